@@ -5,10 +5,11 @@ Jobs come from ``events`` and nodes from ``supplier``: every row of both tables
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..contracts import Trace
+from ..functions import exact_quantiles
 
 TRACE_ORIGIN = "2024-01-01 00:00:00"
 
@@ -81,3 +82,153 @@ nodes AS (
 cap AS (SELECT gpu_model, CAST(sum(gpu_count) AS DOUBLE) AS capacity_gpus FROM nodes GROUP BY 1),
 total AS (SELECT sum(capacity_gpus) AS capacity_gpus FROM cap)
 """
+
+
+# Which action each event type plays in the derived policy-metrics table.
+ACTION_BY_EVENT_TYPE = {
+    "view": "native-fifo",
+    "click": "native-preemptive-3600",
+    "purchase": "native-preemptive-g3600-b09-d0000",
+    "signup": "native-preemptive-g3600-b09-d0900",
+    "error": "native-preemptive-g3600-b09-loss-aware",
+}
+# The study arm played by each residue of event_id modulo seven.
+STUDY_ARMS = (
+    "ordinary-fifo",
+    "fixed-tenant-predictive",
+    "rolling-workload-rule",
+    "rolling-single-agent",
+    "rolling-multi-agent",
+    "rolling-multi-agent-masked",
+    "posthoc-catalog-oracle",
+)
+
+
+def policy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One metrics row per (day, action), computed from every event of that day and type.
+
+    The ranking layer is checked on this table rather than on our own replay, so its oracle does
+    not depend on the replay.
+    """
+    events = table(spark, sf_dir, "events").select(
+        F.to_date("ts").cast("string").alias("window_id"),
+        F.element_at(
+            F.create_map(*[F.lit(x) for pair in ACTION_BY_EVENT_TYPE.items() for x in pair]),
+            F.col("event_type"),
+        ).alias("action_id"),
+        "value",
+    )
+    key = ["window_id", "action_id"]
+    base = (
+        events.groupBy(*key)
+        .agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("a"))
+        .join(exact_quantiles(events, key, "value", {"p50": 0.5, "p95": 0.95}), key)
+        .withColumn("day_n", F.sum("n").over(Window.partitionBy("window_id")))
+    )
+    n = F.col("n")
+    return base.select(
+        *key,
+        "n",
+        F.when(n % 17 != 0, F.lit(1.0)).alias("hp_completion_rate"),
+        F.round(F.col("a") * 10.0, 6).alias("hp_jct_mean_seconds"),
+        F.round(F.col("p50") * 10.0, 6).alias("hp_jct_p50_seconds"),
+        (F.floor(F.col("p95") / 25.0) * 25.0 + 100.0).alias("hp_jct_p95_seconds"),
+        F.round(F.col("a") * 20.0, 6).alias("hp_queue_mean_seconds"),
+        (F.floor(F.col("p50") / 5.0) * 600.0).alias("hp_queue_p95_seconds"),
+        F.when(n % 19 == 0, 1.0).otherwise(0.0).alias("hp_preempted_job_count"),
+        F.lit(1.0).alias("spot_completion_rate"),
+        F.round(F.col("a") * 12.0, 6).alias("spot_jct_mean_seconds"),
+        F.round(F.col("p50") * 12.0, 6).alias("spot_jct_p50_seconds"),
+        (F.floor(F.col("p95") / 40.0) * 40.0).alias("spot_jct_p95_seconds"),
+        F.round(F.col("a") * 15.0, 6).alias("spot_queue_mean_seconds"),
+        F.round(F.col("p95") * 15.0, 6).alias("spot_queue_p95_seconds"),
+        ((n % 3) * 2.0).alias("spot_preemption_count"),
+        F.round((n % 3) / 50.0, 6).alias("spot_preempted_job_rate"),
+        F.round((n % 3) / 100.0, 6).alias("spot_eviction_rate_per_run"),
+        F.round(0.86 + (n % 12) / 100.0, 6).alias("spot_guarantee_success_rate"),
+        F.round(0.5 + (n % 4) / 200.0, 6).alias("allocation_rate_mean"),
+        ((n % 3) * 1000.0).alias("preemption_added_gpu_seconds"),
+        (n % 5 < 2).alias("hard_slo_passed"),
+        (n % 13 != 0).alias("deterministic_repetitions"),
+        (n % 23 != 0).alias("ledger_consistent"),
+        (n % 2).alias("stress_scenario_pass_count"),
+        F.when(n % 17 == 0, F.lit(0)).otherwise(F.floor(F.col("day_n") / 2)).cast("long").alias("hp_job_count"),
+        (F.col("day_n") + F.when(n % 29 == 0, 1).otherwise(0)).cast("long").alias("spot_job_count"),
+        F.when(F.col("action_id") == "native-fifo", "fifo")
+        .otherwise("priority_preemptive")
+        .alias("scheduler"),
+    )
+
+
+def arm_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One study record per (day, arm), computed from every event."""
+    arms = F.array(*[F.lit(a) for a in STUDY_ARMS])
+    events = table(spark, sf_dir, "events").select(
+        F.to_date("ts").cast("string").alias("window_id"),
+        F.element_at(arms, (F.col("event_id") % 7 + 1).cast("int")).alias("arm_id"),
+        "value",
+    )
+    key = ["window_id", "arm_id"]
+    n = F.col("n")
+    rolling = F.col("arm_id").startswith("rolling-")
+    return (
+        events.groupBy(*key)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .join(exact_quantiles(events, key, "value", {"p95": 0.95}), key)
+        .select(
+            *key,
+            (n % 6 != 0).alias("hard_slo_passed"),
+            F.when(n % 11 != 0, F.round(0.5 + (n % 9) / 100.0, 6)).alias("allocation_rate_mean"),
+            F.when(n % 8 != 0, F.floor(F.col("p95") / 40.0) * 40.0).alias("spot_jct_p95_seconds"),
+            F.round((n % 3) / 100.0, 6).alias("spot_eviction_rate_per_run"),
+            F.when(rolling, F.lit(3)).cast("long").alias("candidate_simulation_count"),
+            F.when(F.col("arm_id").startswith("rolling-multi"), 2)
+            .when(F.col("arm_id") == "rolling-single-agent", 1)
+            .cast("long")
+            .alias("llm_call_count"),
+        )
+    )
+
+
+# The same derivations for the DuckDB oracle.
+POLICY_METRICS_CTES = """
+ev AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS window_id,
+    CASE event_type WHEN 'view' THEN 'native-fifo' WHEN 'click' THEN 'native-preemptive-3600'
+      WHEN 'purchase' THEN 'native-preemptive-g3600-b09-d0000' WHEN 'signup' THEN 'native-preemptive-g3600-b09-d0900'
+      WHEN 'error' THEN 'native-preemptive-g3600-b09-loss-aware' END AS action_id, value FROM events),
+pm0 AS (SELECT window_id, action_id, count(*) AS n, avg(value) AS a, quantile_cont(value, 0.5) AS p50,
+    quantile_cont(value, 0.95) AS p95, CAST(sum(count(*)) OVER (PARTITION BY window_id) AS BIGINT) AS day_n FROM ev GROUP BY 1, 2),
+pm AS (SELECT window_id, action_id, n,
+    CASE WHEN n % 17 <> 0 THEN 1.0::DOUBLE END AS hp_completion_rate,
+    round(a * 10.0::DOUBLE, 6) AS hp_jct_mean_seconds, round(p50 * 10.0::DOUBLE, 6) AS hp_jct_p50_seconds,
+    floor(p95 / 25.0::DOUBLE) * 25.0::DOUBLE + 100.0::DOUBLE AS hp_jct_p95_seconds,
+    round(a * 20.0::DOUBLE, 6) AS hp_queue_mean_seconds, floor(p50 / 5.0::DOUBLE) * 600.0::DOUBLE AS hp_queue_p95_seconds,
+    CASE WHEN n % 19 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hp_preempted_job_count,
+    1.0::DOUBLE AS spot_completion_rate, round(a * 12.0::DOUBLE, 6) AS spot_jct_mean_seconds,
+    round(p50 * 12.0::DOUBLE, 6) AS spot_jct_p50_seconds, floor(p95 / 40.0::DOUBLE) * 40.0::DOUBLE AS spot_jct_p95_seconds,
+    round(a * 15.0::DOUBLE, 6) AS spot_queue_mean_seconds, round(p95 * 15.0::DOUBLE, 6) AS spot_queue_p95_seconds,
+    (n % 3) * 2.0::DOUBLE AS spot_preemption_count, round((n % 3) / 50.0::DOUBLE, 6) AS spot_preempted_job_rate,
+    round((n % 3) / 100.0::DOUBLE, 6) AS spot_eviction_rate_per_run,
+    round(0.86::DOUBLE + (n % 12) / 100.0::DOUBLE, 6) AS spot_guarantee_success_rate,
+    round(0.5::DOUBLE + (n % 4) / 200.0::DOUBLE, 6) AS allocation_rate_mean,
+    (n % 3) * 1000.0::DOUBLE AS preemption_added_gpu_seconds,
+    n % 5 < 2 AS hard_slo_passed, n % 13 <> 0 AS deterministic_repetitions, n % 23 <> 0 AS ledger_consistent,
+    CAST(n % 2 AS BIGINT) AS stress_scenario_pass_count,
+    CAST(CASE WHEN n % 17 = 0 THEN 0 ELSE day_n // 2 END AS BIGINT) AS hp_job_count,
+    CAST(day_n + CASE WHEN n % 29 = 0 THEN 1 ELSE 0 END AS BIGINT) AS spot_job_count,
+    CASE WHEN action_id = 'native-fifo' THEN 'fifo' ELSE 'priority_preemptive' END AS scheduler
+  FROM pm0)
+"""
+ARM_RECORDS_CTES = """
+ar0 AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS window_id,
+    ['ordinary-fifo', 'fixed-tenant-predictive', 'rolling-workload-rule', 'rolling-single-agent', 'rolling-multi-agent',
+     'rolling-multi-agent-masked', 'posthoc-catalog-oracle'][event_id % 7 + 1] AS arm_id,
+    count(*) AS n, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY 1, 2),
+ar AS (SELECT window_id, arm_id, n % 6 <> 0 AS hard_slo_passed,
+    CASE WHEN n % 11 <> 0 THEN round(0.5::DOUBLE + (n % 9) / 100.0::DOUBLE, 6) END AS allocation_rate_mean,
+    CASE WHEN n % 8 <> 0 THEN floor(p95 / 40.0::DOUBLE) * 40.0::DOUBLE END AS spot_jct_p95_seconds,
+    round((n % 3) / 100.0::DOUBLE, 6) AS spot_eviction_rate_per_run,
+    CASE WHEN arm_id LIKE 'rolling-%' THEN 3 END AS candidate_simulation_count,
+    CASE WHEN arm_id LIKE 'rolling-multi%' THEN 2 WHEN arm_id = 'rolling-single-agent' THEN 1 END AS llm_call_count
+  FROM ar0)
+"""
