@@ -168,3 +168,60 @@ def global_value_ranks(df: DataFrame, group: Sequence[str], value: str) -> DataF
         )
         .select(*group, value, "value_count", "rows_before", "group_rows")
     )
+
+
+def asof_lookup(
+    steps: DataFrame, probes: DataFrame, group: Sequence[str], key: str, payload: str
+) -> DataFrame:
+    """Attach to every probe the payload of the last step at or before its key.
+
+    Steps are cut at sketch boundaries per group; each bucket starts from the last step of the
+    buckets before it, so no group is sorted in one task. Probes keep all their columns.
+    """
+    cuts = steps.groupBy(*group).agg(
+        F.percentile_approx(
+            key, F.array(*[F.lit(i / RANK_BUCKETS) for i in range(1, RANK_BUCKETS)]), F.lit(1000)
+        ).alias("_cuts")
+    )
+
+    def place(df: DataFrame) -> DataFrame:
+        return (
+            df.join(cuts, list(group))
+            .withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(key))))
+            .drop("_cuts")
+        )
+
+    placed = place(steps.select(*group, key, payload))
+    newest = placed.groupBy(*group, "_bucket").agg(
+        F.max(F.struct(F.col(key).alias("k"), F.col(payload).alias("p"))).alias("_last")
+    )
+    slots = cuts.select(
+        *group, F.explode(F.sequence(F.lit(0), F.size("_cuts"))).alias("_bucket")
+    ).join(newest, [*group, "_bucket"], "left")
+    earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slots.select(
+        *group, "_bucket", F.max("_last").over(earlier)["p"].alias("_carried")
+    )
+    located = place(probes)
+    columns = [c for c in located.columns if c not in (*group, "_bucket", key)]
+    timeline = located.select(
+        *group, "_bucket", key, F.lit(1).alias("_kind"), F.struct(*columns).alias("_probe"),
+        F.lit(None).cast(steps.schema[payload].dataType).alias("_p"),
+    ).unionByName(
+        placed.select(
+            *group, "_bucket", key, F.lit(0).alias("_kind"),
+            F.lit(None).cast(located.select(F.struct(*columns).alias("s")).schema["s"].dataType).alias("_probe"),
+            F.col(payload).alias("_p"),
+        )
+    )
+    seen = (
+        Window.partitionBy(*group, "_bucket")
+        .orderBy(key, "_kind")
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    return (
+        timeline.withColumn("_here", F.last("_p", ignorenulls=True).over(seen))
+        .where("_kind = 1")
+        .join(carried, [*group, "_bucket"])
+        .select(*group, key, "_probe.*", F.coalesce("_here", "_carried").alias(payload))
+    )

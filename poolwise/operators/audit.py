@@ -225,12 +225,14 @@ def relax_for_candidates(audited: DataFrame) -> DataFrame:
     )
     vacuous = (F.col("status") == "unavailable") & empty
     waits = (F.col("severity") == "hard") & ~F.col("constraint_id").isin(*PROSPECTIVE_CONSTRAINTS)
-    return audited.withColumn(
-        "status",
-        F.when(vacuous, "not_applicable_zero_population")
-        .when(waits, "final_window_only")
-        .otherwise(F.col("status")),
-    ).withColumn("passed", F.col("passed") | vacuous | waits)
+    return audited.withColumns(
+        {
+            "status": F.when(vacuous, "not_applicable_zero_population")
+            .when(waits, "final_window_only")
+            .otherwise(F.col("status")),
+            "passed": F.col("passed") | vacuous | waits,
+        }
+    )
 
 
 def audit_summary(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import DAY, HOUR, SERVICE_CLASSES, Trace
 from ..functions import exact_quantiles, rounded
-from .slicing import total_capacity
+from .slicing import one_value, total_capacity
 
 STAT_QUANTILES = {"p50": 0.50, "p95": 0.95}
 
@@ -21,12 +21,10 @@ def class_domain(spark) -> DataFrame:
 
 
 def first_and_last_submit(jobs: DataFrame) -> tuple[Column, Column]:
-    span = jobs.agg(
-        F.struct(
-            F.min("submit_time_seconds").alias("s"), F.max("submit_time_seconds").alias("e")
-        ).alias("span")
-    ).scalar()
-    return span["s"], span["e"]
+    row = jobs.agg(
+        F.min("submit_time_seconds").alias("s"), F.max("submit_time_seconds").alias("e")
+    ).first()
+    return F.lit(row.s), F.lit(row.e)
 
 
 def on_grid(keys: DataFrame, start: Column, end: Column, step: float) -> DataFrame:
@@ -213,12 +211,10 @@ def regime_signals(trace: Trace, step: float = HOUR) -> DataFrame:
         )
     )
     requested = jobs.agg(
-        F.struct(
-            F.coalesce(of("HP", "gpu_count"), F.lit(0.0)).alias("hp"),
-            F.coalesce(of("Spot", "gpu_count"), F.lit(0.0)).alias("spot"),
-        ).alias("r")
-    ).scalar()
-    hp, spot = requested["hp"], requested["spot"]
+        F.coalesce(of("HP", "gpu_count"), F.lit(0.0)).alias("hp"),
+        F.coalesce(of("Spot", "gpu_count"), F.lit(0.0)).alias("spot"),
+    ).first()
+    hp, spot = F.lit(requested.hp), F.lit(requested.spot)
     return peaks.select(
         F.when(hp + spot > 0, rounded(spot / (hp + spot))).alias("spot_requested_gpu_share"),
         rounded(F.col("hp_peak") / capacity).alias("hp_peak_active_pressure"),
@@ -239,7 +235,7 @@ def active_sweep(jobs: DataFrame, keys: Sequence[str], step: float, samples: Col
 
 
 def complete_windows(jobs: DataFrame, window: int = DAY) -> Column:
-    last = jobs.agg(F.max("submit_time_seconds").alias("m")).scalar()
+    last = one_value(jobs, F.max("submit_time_seconds"))
     return F.floor((last + 1.0) / float(window)).cast("long")
 
 

@@ -357,17 +357,10 @@ def partition_summary(records: DataFrame, failures: DataFrame, window: str = "wi
 def rule_controller(split: DataFrame) -> DataFrame:
     """Three bounded candidates per evaluation window from calibration medians alone."""
     pressure, share = F.col("combined_peak_active_pressure"), F.col("spot_requested_gpu_share")
-    medians = (
-        split.where(F.col("partition") == "calibration")
-        .agg(
-            F.struct(
-                F.percentile("combined_peak_active_pressure", F.lit(0.5)).alias("pressure"),
-                F.percentile("spot_requested_gpu_share", F.lit(0.5)).alias("share"),
-            ).alias("m")
-        )
-        .scalar()
-    )
-    crowded, spotty = pressure >= medians["pressure"], share >= medians["share"]
+    calibrating = F.col("partition") == "calibration"
+    middle = lambda c: F.percentile(F.when(calibrating, c), F.lit(0.5)).over(Window.partitionBy())
+    split = split.withColumns({"pressure_median": middle(pressure), "share_median": middle(share)})
+    crowded, spotty = pressure >= F.col("pressure_median"), share >= F.col("share_median")
     delayed, direct, aware = (
         "native-preemptive-g3600-b09-d0900",
         "native-preemptive-g3600-b09-d0000",

@@ -19,8 +19,13 @@ def pool_capacity(nodes: DataFrame) -> DataFrame:
 
 
 def total_capacity(nodes: DataFrame) -> Column:
-    """The cluster's GPU count as a scalar subquery."""
-    return nodes.agg(F.sum("gpu_count").cast("double").alias("capacity")).scalar()
+    """The cluster's GPU count, read once so later plans carry a literal."""
+    return one_value(nodes, F.sum("gpu_count").cast("double"))
+
+
+def one_value(df: DataFrame, aggregate: Column) -> Column:
+    """A single aggregated number as a literal."""
+    return F.lit(df.agg(aggregate.alias("value")).first()["value"])
 
 
 def with_eligible_capacity(trace: Trace) -> DataFrame:
