@@ -1,0 +1,322 @@
+"""State of one capacity lane while its events are folded in time order.
+
+This is the only sequential step of a replay. It sees one slice of one lane: the jobs handed over
+from the slice before, then arrivals as a stream. Everything it is asked about later (ledgers,
+metrics, integrals) is computed from the run rows it emits.
+"""
+
+from __future__ import annotations
+
+import heapq
+from collections.abc import Iterator
+
+from ..contracts import ANY_POOL, EPSILON, Policy
+
+INF = float("inf")
+# Evicting for a job that still does not fit can lose all progress each time and never end.
+STALL_EVICTIONS = 200_000
+
+
+class Job:
+    """A job inside the lane; ``order`` is its place in the queue among equals."""
+
+    __slots__ = (
+        "id", "hp", "pool", "gpus", "submit", "remaining", "queued_since", "order",
+        "ordinal", "run_start", "finish", "guarantee", "grant", "scored",
+    )
+
+    def __init__(self, job_id, hp, pool, gpus, submit, remaining, queued_since, order):
+        self.id, self.hp, self.pool, self.gpus = job_id, hp, pool, gpus
+        self.submit, self.remaining, self.queued_since = submit, remaining, queued_since
+        self.order, self.ordinal = order, 0
+        self.run_start = self.finish = self.guarantee = self.grant = None
+        self.scored = False
+
+
+class Lane:
+    def __init__(self, policy: Policy, nodes, start: float, quota=(), counters=(0, 0, 0, 0)):
+        self.policy = policy
+        self.now = start - 2 * EPSILON
+        self.node_pool = {n: pool for n, pool, _ in nodes}
+        self.node_free = {n: float(count) for n, _, count in nodes}
+        self.free = {}
+        self.roomy = {}
+        for n, pool, count in nodes:
+            self.free[pool] = self.free.get(pool, 0.0) + float(count)
+            self.roomy.setdefault(pool, []).append((-float(count), n))
+        for heap in self.roomy.values():
+            heapq.heapify(heap)
+        self.total = sum(self.free.values())
+        self.waiting = {}
+        self.waiting_hp = 0
+        self.running = {}
+        self.finishes, self.delays, self.holds = [], [], []
+        self.requeued = 0
+        self.quota = list(quota)
+        self.spot_in_use = {}
+        self.evicted, self.started, self.scored_evicted, self.scored_started = counters
+        self.rows = []
+        self.stalled = 0
+
+    # -- capacity ------------------------------------------------------------------------------
+
+    def _free_for(self, pool: str) -> float:
+        return self.total if pool == ANY_POOL else self.free.get(pool, 0.0)
+
+    def _move(self, node: str, gpus: float) -> None:
+        pool = self.node_pool[node]
+        self.node_free[node] += gpus
+        self.free[pool] += gpus
+        self.total += gpus
+        if self.node_free[node] > 0:
+            heapq.heappush(self.roomy[pool], (-self.node_free[node], node))
+
+    def _grant(self, job: Job) -> dict[str, float]:
+        """Most-free node first, ties by id, split over nodes until the request is met."""
+        pools = list(self.roomy) if job.pool == ANY_POOL else [job.pool]
+        need, grant = job.gpus, {}
+        while need:
+            best = None
+            for pool in pools:
+                heap = self.roomy[pool]
+                while heap and (-heap[0][0] != self.node_free[heap[0][1]] or heap[0][1] in grant):
+                    heapq.heappop(heap)
+                if heap and (best is None or heap[0] < self.roomy[best][0]):
+                    best = pool
+            if best is None:
+                break
+            _, node = heapq.heappop(self.roomy[best])
+            grant[node] = min(self.node_free[node], need)
+            need -= grant[node]
+        for node, gpus in grant.items():
+            self._move(node, -gpus)
+        return grant
+
+    # -- queue ---------------------------------------------------------------------------------
+
+    def _key(self, job: Job):
+        """Queue key: protected first when preemptive, original order before re-queued jobs."""
+        return (0 if job.hp or not self.policy.preemptive else 1, job.order, job.id)
+
+    def enqueue(self, job: Job) -> None:
+        bucket = self.waiting.setdefault((job.pool, job.gpus, job.hp), [])
+        heapq.heappush(bucket, (self._key(job), job))
+        if job.hp:
+            self.waiting_hp += 1
+            if self.policy.preemptive and self.policy.hp_preemption_delay_seconds:
+                due = job.queued_since + self.policy.hp_preemption_delay_seconds
+                heapq.heappush(self.delays, (due, job.id, job.ordinal, job))
+
+    def resume(self, job: Job) -> None:
+        """Put back a job that the previous slice left running."""
+        for node, gpus in job.grant.items():
+            self._move(node, -gpus)
+        self._track(job)
+
+    def _track(self, job: Job) -> None:
+        self.running[job.id] = job
+        heapq.heappush(self.finishes, (job.finish, job.id, job.ordinal))
+        if not job.hp:
+            self.spot_in_use[job.pool] = self.spot_in_use.get(job.pool, 0.0) + job.gpus
+            heapq.heappush(self.holds, (job.run_start + job.guarantee, job.id, job.ordinal, job))
+
+    def _quota_allows(self, pool: str, gpus: float) -> bool:
+        if not self.quota or self.policy.predictive_admission_mode == "bypass":
+            return True
+        current = [g for t, p, g in self.quota if t <= self.now + EPSILON and p in (pool, ANY_POOL)]
+        if not current:
+            return True
+        scoped = any(p == pool for _, p, _ in self.quota)
+        used = self.spot_in_use.get(pool, 0.0) if scoped else sum(self.spot_in_use.values())
+        return used + gpus <= current[-1] + EPSILON
+
+    # -- transitions ---------------------------------------------------------------------------
+
+    def start_waiting(self) -> None:
+        """Backfill in queue order.
+
+        Room only shrinks during a pass, so taking the first fitting job again and again is the
+        same as one walk over the queue; jobs of equal shape share a bucket.
+        """
+        while self.total > EPSILON:
+            best = None
+            for (pool, gpus, hp), bucket in self.waiting.items():
+                if not bucket or self._free_for(pool) < gpus:
+                    continue
+                if not hp and not self._quota_allows(pool, gpus):
+                    continue
+                if best is None or bucket[0][0] < best[0][0]:
+                    best = bucket
+            if best is None:
+                return
+            job = heapq.heappop(best)[1]
+            job.grant = self._grant(job)
+            job.run_start, job.finish = self.now, self.now + job.remaining
+            job.ordinal += 1
+            job.guarantee = None if job.hp else float(self.policy.spot_guarantee_seconds)
+            if job.hp:
+                self.waiting_hp -= 1
+            else:
+                self.started += 1
+                self.scored_started += job.scored
+            self._track(job)
+
+    def _stop(self, job: Job, reason: str, trigger=None, rollback=None, overhead=None) -> None:
+        del self.running[job.id]
+        self.stalled = self.stalled + 1 if reason == "preempted" else 0
+        if self.stalled > STALL_EVICTIONS:
+            raise RuntimeError("Evictions repeat without any job completing; the policy livelocks")
+        for node, gpus in job.grant.items():
+            self._move(node, gpus)
+        if not job.hp:
+            self.spot_in_use[job.pool] -= job.gpus
+        self.rows.append(
+            {
+                "kind": "run", "job_id": job.id, "hp": job.hp, "gpu_model": job.pool,
+                "gpu_count": job.gpus, "submit": job.submit, "queued_since": job.queued_since,
+                "ordinal": job.ordinal, "run_start": job.run_start, "finish": self.now,
+                "guarantee": job.guarantee, "reason": reason, "trigger_id": trigger,
+                "rollback": rollback, "overhead": overhead, "node_count": len(job.grant),
+            }
+        )
+        job.grant = None
+
+    def _victims(self, pool: str) -> list[Job]:
+        """Running Spot past its guarantee that holds GPUs the pool could use, best first."""
+        now, interval = self.now, self.policy.checkpoint_interval_seconds
+        able = [
+            job
+            for job in self.running.values()
+            if not job.hp
+            and now + EPSILON >= job.run_start + job.guarantee
+            and (pool == ANY_POOL or any(self.node_pool[n] == pool for n in job.grant))
+        ]
+        if self.policy.preemption_victim_strategy == "lowest_checkpoint_loss":
+            return sorted(
+                able, key=lambda j: ((now - j.run_start) % interval, -j.finish, j.submit, j.id)
+            )
+        return sorted(able, key=lambda j: (j.finish, j.submit, j.id), reverse=True)
+
+    def _over_budget(self, evicted: int, started: int) -> bool:
+        limit = self.policy.spot_eviction_budget_rate
+        return limit is not None and (evicted + 1) / (started + 1) > limit + EPSILON
+
+    def preempt(self) -> bool:
+        """Evict for waiting protected jobs, one victim at a time and without a feasibility check."""
+        policy = self.policy
+        if not policy.preemptive or not self.waiting_hp:
+            return False
+        changed, victims = False, {}
+        pending = sorted(e for (_, _, hp), b in self.waiting.items() if hp for e in b)
+        for _, job in pending:
+            if self._over_budget(self.evicted, self.started):
+                break
+            if self.now + EPSILON < job.queued_since + policy.hp_preemption_delay_seconds:
+                continue
+            if self._free_for(job.pool) >= job.gpus:
+                continue
+            if job.pool not in victims:
+                victims[job.pool] = iter(self._victims(job.pool))
+            while self._free_for(job.pool) < job.gpus:
+                victim = next((v for v in victims[job.pool] if v.id in self.running), None)
+                if victim is None or self._over_budget(self.evicted, self.started):
+                    break
+                if victim.scored and self._over_budget(self.scored_evicted, self.scored_started):
+                    break
+                self._evict(victim, job)
+                changed = True
+        return changed
+
+    def _evict(self, victim: Job, trigger: Job) -> None:
+        rollback = (self.now - victim.run_start) % self.policy.checkpoint_interval_seconds
+        overhead = float(self.policy.preemption_overhead_seconds)
+        victim.remaining = max(0.0, victim.finish - self.now) + rollback + overhead
+        self._stop(victim, "preempted", trigger.id, rollback, overhead)
+        self.evicted += 1
+        self.scored_evicted += victim.scored
+        victim.queued_since = self.now
+        victim.order = (1, float(self.requeued), "")
+        self.requeued += 1
+        self.enqueue(victim)
+
+    # -- time ----------------------------------------------------------------------------------
+
+    def _next_time(self, arrival: float) -> float:
+        later = self.now + EPSILON
+        while self.finishes and not self._still_running(*self.finishes[0][1:]):
+            heapq.heappop(self.finishes)
+        times = [arrival]
+        if self.finishes:
+            times.append(self.finishes[0][0])
+        # A pass may evict again without any state change before it, so only real expiries count.
+        while self.delays and (self.delays[0][0] <= later or self.delays[0][3].grant is not None):
+            heapq.heappop(self.delays)
+        while self.holds and (
+            self.holds[0][0] <= later or not self._still_running(*self.holds[0][1:3])
+        ):
+            heapq.heappop(self.holds)
+        if self.waiting_hp and self.policy.preemptive:
+            times += [heap[0][0] for heap in (self.delays, self.holds) if heap]
+        times += [t for t, _, _ in self.quota if t > later][:1]
+        return min((t for t in times if t > later), default=INF)
+
+    def _still_running(self, job_id: str, ordinal: int) -> bool:
+        job = self.running.get(job_id)
+        return job is not None and job.ordinal == ordinal
+
+    def _finish_due(self) -> None:
+        while self.finishes and self.finishes[0][0] <= self.now + EPSILON:
+            _, job_id, ordinal = heapq.heappop(self.finishes)
+            if self._still_running(job_id, ordinal):
+                self._stop(self.running[job_id], "completed")
+
+    def run(self, arrivals: Iterator[Job], until: float) -> Iterator[list[dict]]:
+        """Fold every event before ``until``; yields emitted rows in batches."""
+        upcoming = next(arrivals, None)
+        while upcoming is not None or self.running or any(self.waiting.values()):
+            moment = self._next_time(upcoming.submit if upcoming else INF)
+            if moment >= until:
+                if moment == INF:
+                    raise RuntimeError("Replay cannot make progress")
+                break
+            self.now = moment
+            self._finish_due()
+            while upcoming is not None and upcoming.submit <= self.now + EPSILON:
+                self.enqueue(upcoming)
+                upcoming = next(arrivals, None)
+            self.start_waiting()
+            if self.preempt():
+                self.start_waiting()
+            if len(self.rows) >= 20_000:
+                yield self.rows
+                self.rows = []
+        if self.rows:
+            yield self.rows
+            self.rows = []
+
+    def handover(self) -> list[dict]:
+        """The jobs still in the lane, as rows the next slice starts from."""
+        left = [job for bucket in self.waiting.values() for _, job in bucket]
+        renumber = {
+            job.id: float(i)
+            for i, job in enumerate(
+                sorted((j for j in left if j.order[0]), key=lambda j: j.order)
+            )
+        }
+        rows = []
+        for job in [*left, *self.running.values()]:
+            requeued = job.order[0] if job.run_start is None or job.grant is None else 0
+            rows.append(
+                {
+                    "kind": "state", "job_id": job.id, "hp": job.hp, "gpu_model": job.pool,
+                    "gpu_count": job.gpus, "submit": job.submit, "remaining": job.remaining,
+                    "queued_since": job.queued_since, "tier": int(requeued),
+                    "order_seq": renumber.get(job.id, 0.0), "ordinal": job.ordinal,
+                    "run_start": job.run_start if job.grant else None,
+                    "finish": job.finish if job.grant else None,
+                    "guarantee": job.guarantee if job.grant else None,
+                    "grant": sorted(job.grant.items()) if job.grant else None,
+                    "scored": bool(job.scored),
+                }
+            )
+        return rows

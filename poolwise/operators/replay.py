@@ -1,0 +1,429 @@
+"""Policy replay as Spark jobs.
+
+A replay is cut into lanes, which share no capacity, and lanes into time slices. Every slice is
+folded in parallel from a guessed hand-over, the one plain occupancy implies. A slice whose guess
+differs from what the slice before it really hands over is folded again from the real one, until
+all agree. The first slice needs no guess, so by induction the result equals one uncut pass; where
+demand stays below capacity the guesses already agree and nothing is repeated. A lane under lasting
+overload degrades to slice-by-slice folding, with every task still bounded by a slice.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator, Mapping
+from itertools import chain
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..contracts import ANY_POOL, DAY, POLICIES, Policy, Trace
+from ..functions import broadcast_if_small
+from ..session import cut_lineage, ship_package
+from .lane import Job, Lane
+from .slicing import pool_capacity
+
+ALL_LANES = "all"
+KEY = ["run_id", "lane", "slice"]
+GRANT = "array<struct<node:string,gpus:double>>"
+OUTPUT = {
+    "run_id": "string", "lane": "string", "slice": "int", "action_id": "string", "kind": "string",
+    "job_id": "string", "hp": "boolean", "gpu_model": "string", "gpu_count": "double",
+    "submit": "double", "remaining": "double", "queued_since": "double", "tier": "int",
+    "order_seq": "double", "ordinal": "int", "run_start": "double", "finish": "double",
+    "guarantee": "double", "grant": GRANT, "scored": "boolean", "reason": "string",
+    "trigger_id": "string", "rollback": "double", "overhead": "double", "node_count": "int",
+    "digest_in": "string", "digest_out": "string", "evicted": "long", "started": "long",
+    "scored_evicted": "long", "scored_started": "long",
+}
+OUTPUT_DDL = ", ".join(f"`{name}` {kind}" for name, kind in OUTPUT.items())
+STATE_COLUMNS = (
+    "job_id", "hp", "gpu_model", "gpu_count", "submit", "remaining", "queued_since", "tier",
+    "order_seq", "ordinal", "run_start", "finish", "guarantee", "grant", "scored",
+)
+COUNTERS = ("evicted", "started", "scored_evicted", "scored_started")
+
+
+def _digest(rows: list[tuple], counters: tuple) -> str:
+    text = repr((sorted(rows), counters))
+    return hashlib.sha256(text.encode("utf-8")).hexdigest()
+
+
+def _state_tuple(job: Job, seq: float) -> tuple:
+    live = job.grant is not None
+    return (
+        job.id, job.pool, job.gpus, job.submit, job.finish if live else job.remaining,
+        job.queued_since, 0 if live else job.order[0], seq, job.ordinal,
+        job.run_start if live else -1.0, sorted(job.grant.items()) if live else [],
+    )
+
+
+def _none(value: Any) -> Any:
+    return None if value is None or value != value else value
+
+
+def _job_from(row: Any) -> Job:
+    """A feed row as a job: an arrival, or one handed over by the slice before."""
+    queued = _none(row.queued_since)
+    tier = int(_none(row.tier) or 0)
+    order = (1, float(row.order_seq), "") if tier else (0, float(row.submit), row.job_id)
+    job = Job(
+        row.job_id, bool(row.hp), row.gpu_model, float(row.gpu_count), float(row.submit),
+        float(row.remaining), float(row.submit) if queued is None else float(queued), order,
+    )
+    job.ordinal = int(_none(row.ordinal) or 0)
+    job.scored = bool(row.scored)
+    if row.ord == 1 and _none(row.run_start) is not None:
+        job.run_start, job.finish = float(row.run_start), float(row.finish)
+        guarantee = _none(row.guarantee)
+        job.guarantee = None if guarantee is None else float(guarantee)
+        job.grant = {g["node"]: float(g["gpus"]) for g in row.grant}
+    return job
+
+
+def _rows_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[Any]:
+    last = None
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            place = (row.ord, row.submit if row.ord == 2 else 0.0, row.job_id if row.ord == 2 else "")
+            if last is not None and place < last:
+                raise RuntimeError("Replay feed is out of order")
+            last = place
+            yield row
+
+
+def _fold(policies: Mapping[str, Policy]):
+    def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run_id, lane_name, number = str(key[0]), str(key[1]), int(key[2])
+        rows = _rows_in_order(batches)
+        head = next(rows)
+        policy = policies[head.action_id]
+        counted = policy.spot_eviction_budget_rate is not None
+        counters = tuple(int(_none(getattr(head, c)) or 0) if counted else 0 for c in COUNTERS)
+        nodes = [(n["node_id"], n["gpu_model"], n["gpu_count"]) for n in head.nodes]
+        quota = [] if head.quota is None else [(q["time"], q["pool"], q["gpus"]) for q in head.quota]
+        lane = Lane(policy, nodes, float(head.slice_start), sorted(quota), counters)
+        carried, upcoming = [], None
+        for row in rows:
+            if row.ord != 1:
+                upcoming = row
+                break
+            carried.append(_job_from(row))
+        digest_in = _digest([_state_tuple(j, j.order[1] if j.order[0] else 0.0) for j in carried], counters)
+        for job in carried:
+            if job.grant is None:
+                lane.requeued += job.order[0]
+                lane.enqueue(job)
+            else:
+                lane.resume(job)
+        later = rows if upcoming is None else chain([upcoming], rows)
+
+        def frame(items: list[dict]) -> pd.DataFrame:
+            full = [
+                {"run_id": run_id, "lane": lane_name, "slice": number, "action_id": head.action_id, **i}
+                for i in items
+            ]
+            return pd.DataFrame(full, columns=list(OUTPUT)).astype(object).where(lambda d: d.notna(), None)
+
+        for emitted in lane.run((_job_from(r) for r in later), float(head.slice_end)):
+            yield frame(emitted)
+        left = lane.handover()
+        after = (lane.evicted, lane.started, lane.scored_evicted, lane.scored_started)
+        after = after if counted else (0, 0, 0, 0)
+        names = ("job_id", "gpu_model", "gpu_count", "submit")
+        digest_out = _digest(
+            [
+                (
+                    *[r[n] for n in names], r["finish"] if r["grant"] else r["remaining"],
+                    r["queued_since"], r["tier"], r["order_seq"], r["ordinal"],
+                    r["run_start"] if r["grant"] else -1.0, r["grant"] or [],
+                )
+                for r in left
+            ],
+            after,
+        )
+        mark = {"kind": "mark", "digest_in": digest_in, "digest_out": digest_out}
+        mark.update(zip(COUNTERS, after))
+        for r in left:
+            r["grant"] = [{"node": n, "gpus": g} for n, g in r["grant"]] if r["grant"] else None
+        yield frame([mark, *left])
+
+    return fold
+
+
+def _with_lanes(jobs: DataFrame, wildcard: bool, policies: Mapping[str, Policy]) -> DataFrame:
+    """Pools are separate lanes unless something ties them.
+
+    A wildcard job does, and so does an eviction budget shared by all pools. So does preemption
+    without a guarantee: its pass may evict and restart the same victims at every event, and an
+    event in any pool runs it. With a guarantee a restarted victim is safe until its own expiry.
+    """
+    tied = [
+        a
+        for a, p in policies.items()
+        if p.spot_eviction_budget_rate is not None or (p.preemptive and not p.spot_guarantee_seconds)
+    ]
+    single = F.lit(True) if wildcard else F.col("action_id").isin(*tied) if tied else F.lit(False)
+    return jobs.withColumn("lane", F.when(single, ALL_LANES).otherwise(F.col("gpu_model")))
+
+
+def _lane_nodes(nodes: DataFrame, wildcard: bool, by_node: bool) -> DataFrame:
+    """Per lane, what it allocates from: whole pools, or nodes when wildcards mix with pools.
+
+    Within one pool a request fits exactly when the pool's free total covers it, because jobs may
+    be split over nodes. So node by node allocation only matters when a wildcard job chooses which
+    pool it drains. With nothing but wildcards the cluster is one pool.
+    """
+    if by_node:
+        unit = nodes.select(
+            "node_id", "gpu_model", F.col("gpu_count").cast("double").alias("gpu_count")
+        )
+    else:
+        pooled = nodes.withColumn("gpu_model", F.lit(ANY_POOL)) if wildcard else nodes
+        unit = pool_capacity(pooled).select(
+            F.col("gpu_model").alias("node_id"), "gpu_model", F.col("capacity_gpus").alias("gpu_count")
+        )
+    packed = F.sort_array(F.collect_list(F.struct("node_id", "gpu_model", "gpu_count")))
+    own = unit.groupBy(F.col("gpu_model").alias("lane")).agg(packed.alias("nodes"))
+    every = unit.agg(packed.alias("nodes")).select(F.lit(ALL_LANES).alias("lane"), "nodes")
+    return own.unionByName(every)
+
+
+def jobs_of_runs(jobs: DataFrame, runs: DataFrame, bucket: float = DAY) -> DataFrame:
+    """Jobs each run replays: arrivals in ``[run_start, run_end]``, matched by day bucket."""
+    covered = runs.select(
+        "run_id",
+        "action_id",
+        "run_start",
+        "run_end",
+        "evaluation_start",
+        "evaluation_end",
+        F.explode(
+            F.sequence(
+                F.floor(F.col("run_start") / bucket).cast("long"),
+                F.floor(F.col("run_end") / bucket).cast("long"),
+            )
+        ).alias("_bucket"),
+    )
+    submit = F.col("submit_time_seconds")
+    return (
+        jobs.withColumn("_bucket", F.floor(submit / bucket).cast("long"))
+        .join(broadcast_if_small(covered), "_bucket")
+        .where(submit.between(F.col("run_start"), F.col("run_end")))
+        .drop("_bucket")
+    )
+
+
+def whole_trace_runs(jobs: DataFrame, actions, bucket_id: str = "trace") -> DataFrame:
+    """One run per action over every arrival."""
+    row = jobs.agg(F.min("submit_time_seconds").alias("s"), F.max("submit_time_seconds").alias("e")).first()
+    return jobs.sparkSession.createDataFrame(
+        [(f"{bucket_id}|{a}", a, row.s, row.e, row.s, row.e) for a in actions],
+        "run_id string, action_id string, run_start double, run_end double, evaluation_start double, evaluation_end double",
+    )
+
+
+def _occupancy_guess(placed: DataFrame, lane_size: float) -> DataFrame:
+    """Hand-over rows as if every job had started on arrival."""
+    end = F.col("submit_time_seconds") + F.col("duration_seconds")
+    last = F.least(
+        F.col("last_slice"),
+        F.floor((end - F.col("run_start")) / lane_size).cast("int"),
+    )
+    return (
+        placed.withColumn("_last", last)
+        .where(F.col("_last") > F.col("slice"))
+        .select(
+            "run_id",
+            "lane",
+            F.explode(F.sequence(F.col("slice") + 1, F.col("_last"))).alias("slice"),
+            "job_id",
+            (F.col("service_class") == "HP").alias("hp"),
+            "gpu_model",
+            "gpu_count",
+            F.col("submit_time_seconds").alias("submit"),
+            F.col("duration_seconds").alias("remaining"),
+            (F.col("submit_time_seconds") - F.col("initial_wait_seconds")).alias("queued_since"),
+            F.lit(0).alias("tier"),
+            F.lit(0.0).alias("order_seq"),
+            F.lit(1).alias("ordinal"),
+            F.col("submit_time_seconds").alias("run_start"),
+            end.alias("finish"),
+            F.when(F.col("service_class") != "HP", F.col("guarantee")).alias("guarantee"),
+            F.array(
+                F.struct(F.col("gpu_model").alias("node"), F.col("gpu_count").alias("gpus"))
+            ).alias("grant"),
+            "scored",
+        )
+    )
+
+
+def replay(
+    trace: Trace,
+    runs: DataFrame,
+    *,
+    policies: Mapping[str, Policy] = POLICIES,
+    slice_seconds: float = DAY,
+    quota: DataFrame | None = None,
+    initial_wait: bool = False,
+) -> DataFrame:
+    """Run rows of every declared run: one row per contiguous execution of a job.
+
+    ``runs``: run_id, action_id, run_start, run_end, evaluation_start, evaluation_end.
+    ``quota``: optional lane, ``time``, ``pool``, ``gpus`` admission limits for enforcing policies.
+    ``initial_wait`` reads ``initial_wait_seconds`` from the jobs, seeding how long they queued.
+    """
+    ship_package(trace.jobs.sparkSession)
+    source = trace.jobs if initial_wait else trace.jobs.withColumn("initial_wait_seconds", F.lit(0.0))
+    kinds = {
+        row[0]
+        for row in trace.jobs.select((F.col("gpu_model") == ANY_POOL).alias("w")).distinct().collect()
+    }
+    wildcard, by_node = True in kinds, kinds == {True, False}
+    used = {r[0] for r in runs.select("action_id").distinct().limit(len(policies) + 1).collect()}
+    policies = {a: policies[a] for a in used}
+    guarantees = F.create_map(
+        *[x for a, p in policies.items() for x in (F.lit(a), F.lit(float(p.spot_guarantee_seconds)))]
+    )
+    size = float(slice_seconds)
+    submit = F.col("submit_time_seconds")
+    placed = _with_lanes(jobs_of_runs(source, runs), wildcard, policies).withColumns(
+        {
+            "slice": F.floor((submit - F.col("run_start")) / size).cast("int"),
+            "last_slice": F.floor((F.col("run_end") - F.col("run_start")) / size).cast("int"),
+            "guarantee": F.element_at(guarantees, F.col("action_id")),
+            "scored": submit.between(F.col("evaluation_start"), F.col("evaluation_end")),
+        }
+    )
+    lane_keys = placed.groupBy("run_id", "action_id", "run_start", "last_slice", "lane").agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    heads = (
+        lane_keys.join(_lane_nodes(trace.nodes, wildcard, by_node), "lane")
+        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("last_slice"))))
+        .withColumns(
+            {
+                "slice_start": F.col("run_start") + F.col("slice") * size,
+                "slice_end": F.when(F.col("slice") == F.col("last_slice"), float("inf")).otherwise(
+                    F.col("run_start") + (F.col("slice") + 1) * size
+                ),
+            }
+        )
+    )
+    limits = (
+        quota.groupBy("lane").agg(F.sort_array(F.collect_list(F.struct("time", "pool", "gpus"))).alias("quota"))
+        if quota is not None
+        else None
+    )
+    heads = (
+        heads.join(limits, "lane", "left")
+        if limits is not None
+        else heads.withColumn("quota", F.lit(None).cast("array<struct<time:double,pool:string,gpus:double>>"))
+    )
+    spots = placed.where(F.col("service_class") == "Spot").groupBy("run_id", "lane", "slice").agg(
+        F.count(F.lit(1)).alias("_s"), F.count_if("scored").alias("_e")
+    )
+    past = Window.partitionBy("run_id", "lane").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    heads = (
+        heads.join(spots, KEY, "left")
+        .withColumns(
+            {
+                "started": F.coalesce(F.sum("_s").over(past), zero),
+                "scored_started": F.coalesce(F.sum("_e").over(past), zero),
+                "evicted": zero,
+                "scored_evicted": zero,
+                "ord": F.lit(0),
+            }
+        )
+        .select(*KEY, "ord", "action_id", "slice_start", "slice_end", "nodes", "quota", *COUNTERS)
+    )
+    arrivals = placed.select(
+        *KEY,
+        F.lit(2).alias("ord"),
+        "job_id",
+        (F.col("service_class") == "HP").alias("hp"),
+        "gpu_model",
+        "gpu_count",
+        submit.alias("submit"),
+        F.col("duration_seconds").alias("remaining"),
+        (submit - F.col("initial_wait_seconds")).alias("queued_since"),
+        "scored",
+    )
+    heads, arrivals = cut_lineage(heads), cut_lineage(arrivals)
+
+    def fold(head_rows: DataFrame, states: DataFrame, arrived: DataFrame) -> DataFrame:
+        feed = (
+            head_rows.unionByName(
+                states.select(*KEY, F.lit(1).alias("ord"), *STATE_COLUMNS), allowMissingColumns=True
+            )
+            .unionByName(arrived, allowMissingColumns=True)
+            .repartition(*KEY)
+            .sortWithinPartitions(*KEY, "ord", "submit", "job_id")
+        )
+        return cut_lineage(feed.groupBy(*KEY).applyInPandas(_fold(policies), OUTPUT_DDL))
+
+    # Node by node grants cannot be guessed, so those lanes start from empty hand-overs.
+    guess = _occupancy_guess(placed.where(F.lit(not by_node)), size)
+    outputs = [fold(heads, guess, arrivals)]
+    marks = _marks(outputs[0], 0)
+    lanes = Window.partitionBy("run_id", "lane").orderBy("slice")
+    while True:
+        # Counters travel with the hand-over, so a stale count is a stale hand-over too.
+        checked = marks.withColumns(
+            {
+                "wanted": F.lag("digest_out").over(lanes),
+                **{f"true_{c}": F.lag(c).over(lanes) for c in COUNTERS},
+            }
+        )
+        stale = checked.where(F.col("wanted").isNotNull() & (F.col("wanted") != F.col("digest_in")))
+        stale = cut_lineage(stale.select(*KEY, *[F.col(f"true_{c}").alias(c) for c in COUNTERS]))
+        if stale.isEmpty():
+            break
+        dirty = broadcast_if_small(stale.select(*KEY))
+        current = _latest(outputs, marks).where(F.col("kind") == "state")
+        handed = current.withColumn("slice", F.col("slice") + 1).join(dirty, KEY, "left_semi")
+        corrected = heads.drop(*COUNTERS).join(stale, KEY)
+        outputs.append(fold(corrected, handed, arrivals.join(dirty, KEY, "left_semi")))
+        fresh = _marks(outputs[-1], len(outputs) - 1)
+        marks = cut_lineage(
+            marks.join(fresh.select(*KEY), KEY, "left_anti").unionByName(fresh)
+        )
+    ledger = _latest(outputs, marks).where(F.col("kind") == "run")
+    return ledger.select(
+        "run_id",
+        "action_id",
+        "lane",
+        "job_id",
+        F.when(F.col("hp"), "HP").otherwise("Spot").alias("service_class"),
+        "gpu_model",
+        "gpu_count",
+        F.col("submit").alias("submit_time_seconds"),
+        "queued_since",
+        F.col("ordinal").alias("run_ordinal"),
+        F.col("run_start").alias("start_time_seconds"),
+        F.col("finish").alias("end_time_seconds"),
+        F.col("reason").alias("end_reason"),
+        F.col("guarantee").alias("guarantee_seconds"),
+        "trigger_id",
+        F.col("rollback").alias("rollback_seconds"),
+        F.col("overhead").alias("overhead_seconds"),
+        "node_count",
+    )
+
+
+def _marks(output: DataFrame, number: int) -> DataFrame:
+    return output.where(F.col("kind") == "mark").select(
+        *KEY, "digest_in", "digest_out", *COUNTERS, F.lit(number).alias("round")
+    )
+
+
+def _latest(outputs: list[DataFrame], marks: DataFrame) -> DataFrame:
+    """Rows of each slice from the last round that folded it."""
+    rows = None
+    for number, output in enumerate(outputs):
+        tagged = output.withColumn("round", F.lit(number))
+        rows = tagged if rows is None else rows.unionByName(tagged)
+    return rows.join(broadcast_if_small(marks.select(*KEY, "round")), [*KEY, "round"], "left_semi")

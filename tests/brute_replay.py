@@ -1,0 +1,132 @@
+"""A deliberately plain replay used only to check the real one on small fixtures.
+
+Everything is rescanned at every event: no heaps, no buckets, no slices.
+"""
+
+EPS = 1e-9
+
+
+def brute_replay(nodes, jobs, policy, window=None):
+    """nodes: (id, pool, gpus); jobs: dicts. Returns closed runs as dicts."""
+    free = {n: float(g) for n, _, g in nodes}
+    pool_of = {n: p for n, p, _ in nodes}
+    jobs = sorted(jobs, key=lambda j: (j["submit"], j["id"]))
+    lo, hi = window or (jobs[0]["submit"], jobs[-1]["submit"])
+    state = {
+        j["id"]: dict(
+            j, left=j["duration"], since=j["submit"] - j.get("wait", 0.0), place=i, runs=0, start=None
+        )
+        for i, j in enumerate(jobs)
+    }
+    waiting, running, out = [], [], []
+    counter = len(jobs)
+    evictions = []
+    arrived, now = 0, jobs[0]["submit"]
+    scored = {j["id"] for j in jobs if j["cls"] == "Spot" and lo <= j["submit"] <= hi}
+
+    def usable(s):
+        return [n for n in free if s["pool"] in ("*", pool_of[n])]
+
+    def room(s):
+        return sum(free[n] for n in usable(s))
+
+    def key(s):
+        urgent = 0 if s["cls"] == "HP" or not policy.preemptive else 1
+        return (urgent, s["place"], s["id"])
+
+    def start_all():
+        for s in sorted(waiting, key=key):
+            if room(s) < s["gpus"]:
+                continue
+            need, s["grant"] = s["gpus"], {}
+            for n in sorted(usable(s), key=lambda n: (-free[n], n)):
+                take = min(free[n], need)
+                if take:
+                    s["grant"][n] = take
+                    free[n] -= take
+                    need -= take
+                if need == 0:
+                    break
+            s["start"] = now
+            s["runs"] += 1
+            waiting.remove(s)
+            running.append(s)
+
+    def close(s, reason, **more):
+        for n, g in s["grant"].items():
+            free[n] += g
+        running.remove(s)
+        out.append(
+            dict(
+                id=s["id"], ordinal=s["runs"], start=s["start"], end=now, reason=reason,
+                queued=s["since"], nodes=len(s["grant"]), **more,
+            )
+        )
+
+    def evict_for_hp():
+        nonlocal counter
+        moved, ranked = False, {}
+        for hp in sorted([s for s in waiting if s["cls"] == "HP"], key=key):
+            if now + EPS < hp["since"] + policy.hp_preemption_delay_seconds:
+                continue
+            if room(hp) >= hp["gpus"]:
+                continue
+            if hp["pool"] not in ranked:
+                able = [
+                    s for s in running
+                    if s["cls"] == "Spot"
+                    and now + EPS >= s["start"] + policy.spot_guarantee_seconds
+                    and any(hp["pool"] in ("*", pool_of[n]) for n in s["grant"])
+                ]
+                if policy.preemption_victim_strategy == "longest_remaining":
+                    able.sort(key=lambda s: (s["left"], s["submit"], s["id"]), reverse=True)
+                else:
+                    every = policy.checkpoint_interval_seconds
+                    able.sort(key=lambda s: ((now - s["start"]) % every, -s["left"], s["submit"], s["id"]))
+                ranked[hp["pool"]] = able
+            line = ranked[hp["pool"]]
+            while room(hp) < hp["gpus"]:
+                while line and line[0] not in running:
+                    line.pop(0)
+                if not line:
+                    break
+                s = line.pop(0)
+                cap = policy.spot_eviction_budget_rate
+                if cap is not None:
+                    starts = sum(x["runs"] for x in state.values() if x["cls"] == "Spot")
+                    if (len(evictions) + 1) / (starts + 1) > cap + EPS:
+                        break
+                    if s["id"] in scored:
+                        mine = sum(state[i]["runs"] for i in scored)
+                        lost = sum(e in scored for e in evictions)
+                        if (lost + 1) / (mine + 1) > cap + EPS:
+                            break
+                back = (now - s["start"]) % policy.checkpoint_interval_seconds
+                s["left"] += back + policy.preemption_overhead_seconds
+                close(s, "preempted", trigger=hp["id"], rollback=back)
+                evictions.append(s["id"])
+                s["since"], s["place"] = now, counter
+                counter += 1
+                waiting.append(s)
+                moved = True
+        return moved
+
+    while len([o for o in out if o["reason"] == "completed"]) < len(jobs):
+        while arrived < len(jobs) and jobs[arrived]["submit"] <= now + EPS:
+            waiting.append(state[jobs[arrived]["id"]])
+            arrived += 1
+        start_all()
+        if policy.preemptive and evict_for_hp():
+            start_all()
+        times = [jobs[arrived]["submit"]] if arrived < len(jobs) else []
+        times += [now + s["left"] for s in running]
+        if policy.preemptive and any(s["cls"] == "HP" for s in waiting):
+            times += [s["since"] + policy.hp_preemption_delay_seconds for s in waiting if s["cls"] == "HP"]
+            times += [s["start"] + policy.spot_guarantee_seconds for s in running if s["cls"] == "Spot"]
+        later = min(t for t in times if t > now + EPS)
+        for s in running:
+            s["left"] = max(0.0, s["left"] - (later - now))
+        now = later
+        for s in sorted([s for s in running if s["left"] <= EPS], key=lambda s: s["id"]):
+            close(s, "completed")
+    return out
