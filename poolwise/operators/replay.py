@@ -268,12 +268,14 @@ def replay(
     slice_seconds: float = DAY,
     quota: DataFrame | None = None,
     initial_wait: bool = False,
+    node_level: bool = False,
 ) -> DataFrame:
     """Run rows of every declared run: one row per contiguous execution of a job.
 
     ``runs``: run_id, action_id, run_start, run_end, evaluation_start, evaluation_end.
     ``quota``: optional lane, ``time``, ``pool``, ``gpus`` admission limits for enforcing policies.
     ``initial_wait`` reads ``initial_wait_seconds`` from the jobs, seeding how long they queued.
+    ``node_level`` places on nodes even where pool totals decide, so that ``node_count`` is real.
     """
     ship_package(trace.jobs.sparkSession)
     source = trace.jobs if initial_wait else trace.jobs.withColumn("initial_wait_seconds", F.lit(0.0))
@@ -281,7 +283,7 @@ def replay(
         row[0]
         for row in trace.jobs.select((F.col("gpu_model") == ANY_POOL).alias("w")).distinct().collect()
     }
-    wildcard, by_node = True in kinds, kinds == {True, False}
+    wildcard, by_node = True in kinds, node_level or kinds == {True, False}
     used = {r[0] for r in runs.select("action_id").distinct().limit(len(policies) + 1).collect()}
     policies = {a: policies[a] for a in used}
     guarantees = F.create_map(

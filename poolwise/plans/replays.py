@@ -1,0 +1,326 @@
+"""Registered replay queries; their oracles are laws a correct replay cannot break."""
+
+from __future__ import annotations
+
+from dataclasses import replace as with_changes
+
+from pyspark.sql import functions as F
+
+from ..contracts import DAY, MULTIWINDOW_ACTIONS, Trace
+from ..functions import rounded
+from ..operators import metrics, replay
+from ..operators.profile import complete_windows
+from ..operators.slicing import pool_capacity, total_capacity
+from ..session import cut_lineage
+from ..sources.tables import TRACE_CTES, trace_from_tables
+from .registry import query
+
+WITH = "WITH " + TRACE_CTES
+CUTOFF = 15.0 * DAY
+ROOMY = 40
+PREEMPTIVE = "native-preemptive-3600"
+
+
+def one_action(trace: Trace, action: str):
+    return replay.whole_trace_runs(trace.jobs, [action])
+
+
+def roomy(trace: Trace) -> Trace:
+    """The same jobs on a cluster so large that nothing ever waits."""
+    return with_changes(trace, nodes=trace.nodes.withColumn("gpu_count", F.col("gpu_count") * ROOMY))
+
+
+def net_work(rows):
+    """Allocated work less what evictions added; equal to the requested work by conservation."""
+    added = F.coalesce(F.col("rollback_seconds") + F.col("overhead_seconds"), F.lit(0.0))
+    return rows.groupBy("service_class").agg(
+        F.countDistinct("job_id").alias("job_count"),
+        (F.count(F.lit(1)) - F.count_if(F.col("end_reason") == "preempted")).alias("completed_runs"),
+        rounded(F.sum(F.col("gpu_count") * (metrics.run_seconds() - added)), 1).alias("net_gpu_seconds"),
+    )
+
+
+CONSERVATION = """SELECT service_class, CAST(count(*) AS BIGINT) AS job_count, CAST(count(*) AS BIGINT) AS completed_runs,
+  round(sum(gpu_count * duration_seconds), 1) AS net_gpu_seconds FROM jobs GROUP BY 1"""
+
+
+@query("q_replay_fifo", WITH + CONSERVATION)
+def replay_fifo(spark, sf_dir):
+    trace = trace_from_tables(spark, sf_dir)
+    return net_work(replay.replay(trace, one_action(trace, "native-fifo"), slice_seconds=2 * DAY))
+
+
+@query("q_replay_preemptive", WITH + CONSERVATION)
+def replay_preemptive(spark, sf_dir):
+    trace = trace_from_tables(spark, sf_dir)
+    return net_work(replay.replay(trace, one_action(trace, PREEMPTIVE), slice_seconds=2 * DAY))
+
+
+@query(
+    "q_replay_serial",
+    WITH
+    + """, o AS (SELECT *, row_number() OVER w AS i, sum(duration_seconds) OVER w AS p FROM jobs
+  WINDOW w AS (PARTITION BY gpu_model ORDER BY submit_time_seconds, job_id)),
+l AS (SELECT *, p + max(submit_time_seconds - (p - duration_seconds)) OVER (PARTITION BY gpu_model ORDER BY i) AS finish FROM o)
+SELECT job_id, gpu_model, round(finish - duration_seconds - submit_time_seconds, 2) + 0.0 AS queue_seconds, round(finish, 2) AS completion_time_seconds FROM l""",
+)
+def replay_serial(spark, sf_dir):
+    """Every job takes its whole pool, so the replay must equal the single-server recursion."""
+    trace = trace_from_tables(spark, sf_dir)
+    capacity = pool_capacity(trace.nodes).select("gpu_model", F.col("capacity_gpus").alias("gpu_count"))
+    whole = with_changes(trace, jobs=trace.jobs.drop("gpu_count").join(F.broadcast(capacity), "gpu_model"))
+    rows = replay.replay(whole, one_action(trace, "native-fifo"), slice_seconds=15 * DAY)
+    return rows.select(
+        "job_id",
+        "gpu_model",
+        rounded(F.col("start_time_seconds") - F.col("queued_since"), 2).alias("queue_seconds"),
+        rounded(F.col("end_time_seconds"), 2).alias("completion_time_seconds"),
+    )
+
+
+def daily_runs(trace: Trace, actions, repetitions: int = 1, warmup: float = 0.25 * DAY):
+    """Every complete day under every action, with a quarter day of warm-up."""
+    count = complete_windows(trace.jobs)
+    grid = F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+    start = F.col("w") * float(DAY)
+    return (
+        trace.jobs.sparkSession.range(1)
+        .select(grid.alias("w"))
+        .select("w", F.explode(F.array(*[F.lit(a) for a in actions])).alias("action_id"))
+        .select("*", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("repetition"))
+        .select(
+            F.concat_ws("|", F.format_string("day-%03d", "w"), "action_id", "repetition").alias("run_id"),
+            "action_id",
+            F.greatest(F.lit(0.0), start - warmup).alias("run_start"),
+            (start + DAY - 1).alias("run_end"),
+            start.alias("evaluation_start"),
+            (start + DAY - 1).alias("evaluation_end"),
+            F.format_string("day-%03d", "w").alias("window_id"),
+        )
+    )
+
+
+DAILY = """, nw AS (SELECT CAST(floor((max(submit_time_seconds) + 1.0::DOUBLE) / 86400.0::DOUBLE) AS BIGINT) AS n FROM jobs),
+days AS (SELECT w, printf('day-%03d', w) AS window_id, w * 86400.0::DOUBLE AS es, w * 86400.0::DOUBLE + 86399 AS ee, greatest(0.0::DOUBLE, w * 86400.0::DOUBLE - 21600) AS rs FROM nw, range(0, n) r(w))
+"""
+
+
+@query(
+    "q_replay_matrix",
+    WITH
+    + DAILY
+    + f"""SELECT window_id, action_id, CAST(count(*) AS BIGINT) AS replayed_jobs, CAST(count(*) FILTER (submit_time_seconds >= es) AS BIGINT) AS evaluation_jobs,
+  CAST(0 AS BIGINT) AS hp_preemptions, round(sum(gpu_count * duration_seconds), 1) AS net_gpu_seconds
+FROM days JOIN jobs ON submit_time_seconds >= rs AND submit_time_seconds <= ee CROSS JOIN (SELECT unnest({list(MULTIWINDOW_ACTIONS)}) AS action_id) GROUP BY 1, 2""",
+)
+def replay_matrix(spark, sf_dir):
+    trace = trace_from_tables(spark, sf_dir)
+    runs = cut_lineage(daily_runs(trace, MULTIWINDOW_ACTIONS))
+    rows = replay.replay(trace, runs, slice_seconds=2 * DAY)
+    added = F.coalesce(F.col("rollback_seconds") + F.col("overhead_seconds"), F.lit(0.0))
+    hp_hit = (F.col("service_class") == "HP") & (F.col("end_reason") == "preempted")
+    done = F.col("end_reason") == "completed"
+    scored = F.col("submit_time_seconds") >= F.col("evaluation_start")
+    return (
+        rows.join(F.broadcast(runs.select("run_id", "window_id", "evaluation_start")), "run_id")
+        .groupBy("window_id", "action_id")
+        .agg(
+            F.count_if(done).alias("replayed_jobs"),
+            F.count_if(done & scored).alias("evaluation_jobs"),
+            F.count_if(hp_hit).alias("hp_preemptions"),
+            rounded(F.sum(F.col("gpu_count") * (metrics.run_seconds() - added)), 1).alias("net_gpu_seconds"),
+        )
+    )
+
+
+@query(
+    "q_determinism",
+    WITH
+    + DAILY
+    + f"""SELECT DISTINCT window_id, '{PREEMPTIVE}' AS action_id, CAST(2 AS BIGINT) AS repetitions, CAST(1 AS BIGINT) AS distinct_results
+FROM days JOIN jobs ON submit_time_seconds >= rs AND submit_time_seconds <= ee""",
+)
+def determinism(spark, sf_dir):
+    trace = trace_from_tables(spark, sf_dir)
+    runs = cut_lineage(daily_runs(trace, [PREEMPTIVE], repetitions=2))
+    rows = replay.replay(trace, runs, slice_seconds=2 * DAY)
+    facts = F.xxhash64("job_id", "run_ordinal", "start_time_seconds", "end_time_seconds", "end_reason")
+    per_run = rows.groupBy("run_id", "action_id").agg(
+        F.sum(facts.cast("decimal(38,0)")).alias("digest")
+    )
+    return (
+        per_run.join(F.broadcast(runs.select("run_id", "window_id")), "run_id")
+        .groupBy("window_id", "action_id")
+        .agg(F.count(F.lit(1)).alias("repetitions"), F.countDistinct("digest").alias("distinct_results"))
+    )
+
+
+def roomy_rows(spark, sf_dir, **options):
+    trace = roomy(trace_from_tables(spark, sf_dir))
+    runs = one_action(trace, "native-fifo").withColumns(
+        {"evaluation_start": F.lit(5.0 * DAY), "evaluation_end": F.lit(20.0 * DAY)}
+    )
+    return trace, runs, replay.replay(trace, runs, slice_seconds=2 * DAY, **options)
+
+
+IN_WINDOW = f"submit_time_seconds BETWEEN {5.0 * DAY} AND {20.0 * DAY}"
+
+
+@query(
+    "q_metrics_by_class",
+    WITH
+    + f"""SELECT service_class, CAST(count(*) AS BIGINT) AS job_count, CAST(count(*) AS BIGINT) AS completed_count, 1.0::DOUBLE AS completion_rate,
+  round(avg(duration_seconds), 4) AS jct_mean_seconds, round(quantile_cont(duration_seconds, 0.5), 4) AS jct_p50_seconds, round(quantile_cont(duration_seconds, 0.95), 4) AS jct_p95_seconds,
+  0.0::DOUBLE AS queue_mean_seconds, 0.0::DOUBLE AS queue_p50_seconds, 0.0::DOUBLE AS queue_p95_seconds, CAST(0 AS BIGINT) AS preemption_count,
+  CAST(0 AS BIGINT) AS preempted_job_count, 0.0::DOUBLE AS preempted_job_rate FROM jobs WHERE {IN_WINDOW} GROUP BY 1""",
+)
+def metrics_by_class(spark, sf_dir):
+    _, runs, rows = roomy_rows(spark, sf_dir)
+    report = metrics.class_metrics(metrics.job_ledger(rows, runs)).drop("run_id", "action_id")
+    return report.withColumns(
+        {c: rounded(F.col(c), 4) for c in ("jct_mean_seconds", "jct_p50_seconds", "jct_p95_seconds")}
+    )
+
+
+@query(
+    "q_spot_metrics",
+    WITH
+    + f"""SELECT CAST(count(*) AS BIGINT) AS spot_run_count, CAST(0 AS BIGINT) AS preemption_event_count, CAST(0 AS BIGINT) AS events_during_evaluation_window,
+  CAST(0 AS BIGINT) AS events_during_drain, 0.0::DOUBLE AS eviction_rate_per_run, CAST(count(*) AS BIGINT) AS guarantee_succeeded_count, 1.0::DOUBLE AS guarantee_success_rate,
+  0.0::DOUBLE AS rollback_seconds_total, 0.0::DOUBLE AS overhead_seconds_total, 0.0::DOUBLE AS added_gpu_seconds_total FROM jobs WHERE service_class = 'Spot' AND {IN_WINDOW}""",
+)
+def spot_metrics(spark, sf_dir):
+    _, runs, rows = roomy_rows(spark, sf_dir)
+    return metrics.spot_metrics(rows, metrics.job_ledger(rows, runs), runs).drop("run_id", "action_id")
+
+
+@query(
+    "q_allocation_rate",
+    WITH
+    + f""", a AS (SELECT gpu_count AS g, submit_time_seconds AS s, submit_time_seconds + duration_seconds AS e FROM jobs),
+i AS (SELECT sum(g * (e - s)) AS total, sum(g * greatest(0.0::DOUBLE, least(e, {5.0 * DAY}) - s)) AS warm, sum(g * greatest(0.0::DOUBLE, least(e, {20.0 * DAY}) - greatest(s, {5.0 * DAY}))) AS ins FROM a)
+SELECT round(total, 1) AS allocated_gpu_seconds, round(warm, 1) AS warmup_allocated_gpu_seconds, round(ins, 1) AS evaluation_allocated_gpu_seconds,
+  round(total - warm - ins, 1) AS drain_allocated_gpu_seconds, round(ins / (capacity_gpus * {ROOMY} * {15.0 * DAY}), 6) AS allocation_rate_mean FROM i, total""",
+)
+def allocation_rate(spark, sf_dir):
+    trace, runs, rows = roomy_rows(spark, sf_dir)
+    report = metrics.allocation(rows, runs, total_capacity(trace.nodes)).drop("run_id", "action_id")
+    work = [c for c in report.columns if c.endswith("gpu_seconds")]
+    return report.withColumns(
+        {
+            **{c: rounded(F.col(c), 1) for c in work},
+            "allocation_rate_mean": rounded(F.col("allocation_rate_mean")),
+        }
+    )
+
+
+@query(
+    "q_seeded_wait",
+    WITH
+    + """SELECT service_class, CAST(count(*) AS BIGINT) AS job_count, round(sum(floor(duration_seconds) % 100), 2) AS queue_seconds_total,
+  round(max(floor(duration_seconds) % 100), 4) AS longest_queue_seconds FROM jobs GROUP BY 1""",
+)
+def seeded_wait(spark, sf_dir):
+    trace = roomy(trace_from_tables(spark, sf_dir))
+    waits = trace.jobs.withColumn(
+        "initial_wait_seconds", (F.floor("duration_seconds") % 100).cast("double")
+    )
+    trace = with_changes(trace, jobs=waits)
+    runs = one_action(trace, "native-fifo")
+    rows = replay.replay(trace, runs, slice_seconds=2 * DAY, initial_wait=True)
+    return metrics.job_ledger(rows, runs).groupBy("service_class").agg(
+        F.count(F.lit(1)).alias("job_count"),
+        rounded(F.sum("queue_seconds"), 2).alias("queue_seconds_total"),
+        rounded(F.max("queue_seconds"), 4).alias("longest_queue_seconds"),
+    )
+
+
+@query(
+    "q_feedback_weights",
+    WITH
+    + """, s AS (SELECT gpu_model, CAST(floor((duration_seconds + 1e-6) / 3600) AS BIGINT) AS k FROM jobs WHERE service_class = 'Spot')
+SELECT gpu_model, 'guarantee_duration_completed' AS event_kind, CAST(sum(k) AS BIGINT) AS event_count, CAST(sum(k) AS DOUBLE) AS weight FROM s GROUP BY 1
+UNION ALL SELECT gpu_model, 'job_completed', CAST(count(*) AS BIGINT), CAST(count(*) AS DOUBLE) FROM s GROUP BY 1""",
+)
+def feedback_weights(spark, sf_dir):
+    _, _, rows = roomy_rows(spark, sf_dir)
+    return metrics.feedback_events(rows).drop("run_id", "action_id")
+
+
+BUDGETED = "native-preemptive-g3600-b09-d0000"
+
+
+def contended(spark, sf_dir, action):
+    trace = trace_from_tables(spark, sf_dir)
+    runs = one_action(trace, action)
+    return trace, runs, replay.replay(trace, runs, slice_seconds=10 * DAY)
+
+
+@query(
+    "q_eval_spot_ledger",
+    WITH
+    + "SELECT gpu_model, CAST(count(*) AS BIGINT) AS spot_jobs, CAST(count(*) AS BIGINT) AS runs_less_preemptions FROM jobs WHERE service_class = 'Spot' GROUP BY 1",
+)
+def eval_spot_ledger(spark, sf_dir):
+    _, runs, rows = contended(spark, sf_dir, PREEMPTIVE)
+    mine = metrics.evaluated_spot(rows, metrics.job_ledger(rows, runs))
+    return mine.groupBy("gpu_model").agg(
+        F.countDistinct("job_id").alias("spot_jobs"),
+        (F.count(F.lit(1)) - F.count_if(F.col("end_reason") == "preempted")).alias("runs_less_preemptions"),
+    )
+
+
+@query(
+    "q_eviction_budget",
+    WITH
+    + "SELECT CAST(count(*) AS BIGINT) AS spot_jobs, true AS within_budget FROM jobs WHERE service_class = 'Spot'",
+)
+def eviction_budget(spark, sf_dir):
+    _, _, rows = contended(spark, sf_dir, BUDGETED)
+    spot = rows.where(F.col("service_class") == "Spot")
+    hit = F.count_if(F.col("end_reason") == "preempted")
+    return spot.agg(
+        F.countDistinct("job_id").alias("spot_jobs"),
+        (hit / F.count(F.lit(1)) <= 0.09 + 1e-9).alias("within_budget"),
+    )
+
+
+@query(
+    "q_rollback_check",
+    WITH
+    + "SELECT CAST(count(*) AS BIGINT) AS jobs, CAST(0 AS BIGINT) AS wrong_rollbacks, CAST(0 AS BIGINT) AS wrong_overheads, CAST(0 AS BIGINT) AS missing_triggers FROM jobs",
+)
+def rollback_check(spark, sf_dir):
+    _, _, rows = contended(spark, sf_dir, BUDGETED)
+    hit = F.col("end_reason") == "preempted"
+    expected = metrics.run_seconds() % 3600.0
+    wrong = F.abs(F.col("rollback_seconds") - expected) > 1e-6
+    return rows.agg(
+        F.countDistinct("job_id").alias("jobs"),
+        F.count_if(hit & wrong).alias("wrong_rollbacks"),
+        F.count_if(hit & (F.col("overhead_seconds") != 80.0)).alias("wrong_overheads"),
+        F.count_if(hit & F.col("trigger_id").isNull()).alias("missing_triggers"),
+    )
+
+
+@query(
+    "q_guarantee_check",
+    WITH
+    + "SELECT CAST(count(*) AS BIGINT) AS completed_spot_runs, CAST(0 AS BIGINT) AS broken_guarantees, CAST(0 AS BIGINT) AS protected_preemptions FROM jobs WHERE service_class = 'Spot'",
+)
+def guarantee_check(spark, sf_dir):
+    _, _, rows = contended(spark, sf_dir, PREEMPTIVE)
+    ledger = metrics.spot_run_ledger(rows)
+    protected = rows.where((F.col("service_class") == "HP") & (F.col("end_reason") == "preempted"))
+    return ledger.agg(
+        F.count_if(F.col("end_reason") == "completed").alias("completed_spot_runs"),
+        F.count_if(~F.col("guarantee_succeeded")).alias("broken_guarantees"),
+    ).withColumn("protected_preemptions", protected.agg(F.count(F.lit(1)).alias("n")).scalar())
+
+
+@query("q_snapshot")
+def snapshot(spark, sf_dir):
+    trace, _, rows = contended(spark, sf_dir, PREEMPTIVE)
+    return metrics.snapshot_summary(
+        metrics.snapshot_at(rows, trace.jobs, CUTOFF), total_capacity(trace.nodes)
+    )
