@@ -1,0 +1,267 @@
+"""The rolling decision loop: every window advances cutoff by cutoff, all windows at once.
+
+At a cutoff the session's own run rows give the snapshot, the snapshot gives scenario jobs, and one
+replay job forks every (window, candidate). Their metrics are audited and ranked relationally, and
+the chosen action joins the window's schedule. Nothing passes through the driver but the count of
+cutoffs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..contracts import EPSILON, ROLLING_ACTIONS, Trace
+from ..functions import broadcast_if_small, exact_quantiles
+from ..session import cut_lineage
+from .audit import audit_constraints, audit_summary, relax_for_candidates
+from .metrics import RUN, job_ledger, metrics_report, snapshot_at
+from .ranking import rolling_selection
+from .replay import replay
+from .rolling import robust_candidates, rule_candidate_sets, survival_estimates
+from .slicing import total_capacity
+
+W = ["scope"]
+
+
+def _candidates(
+    history: DataFrame, carry: DataFrame, windows: DataFrame, capacity, catalog, baseline, horizon
+) -> DataFrame:
+    """The workload rule over what each window can see at its cutoff."""
+    hp = F.col("service_class") == "HP"
+    recent = hp & (F.col("submit_time_seconds") > F.col("cutoff") - horizon / 2)
+    gpus = lambda c: F.sum(F.when(c, F.col("gpu_count")).otherwise(0.0))
+    seen = history.groupBy(*W).agg(
+        gpus(hp).alias("hp"), gpus(~hp).alias("spot"), gpus(recent).alias("hp_recent")
+    )
+    live = carry.groupBy(*W).agg(
+        F.count_if(hp & (F.col("status") == "queued")).alias("queued_hp"),
+        gpus(hp & (F.col("status") == "running")).alias("hp_running"),
+    )
+    sets = rule_candidate_sets(catalog, baseline)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    prior = zero("hp") - zero("hp_recent")
+    trend = F.when(prior > 0, zero("hp_recent") / prior).otherwise(
+        F.when(zero("hp_recent") > 0, 2.0).otherwise(1.0)
+    )
+    requested = zero("hp") + zero("spot")
+    share = F.when(requested > 0, zero("spot") / requested).otherwise(0.0)
+    pressure = zero("hp_running") / capacity
+    # The declared rule thresholds.
+    risky = (F.coalesce("queued_hp", F.lit(0)) > 0) | (pressure >= 0.85) | (trend >= 1.25)
+    reason = (
+        F.when(risky, "high-hp-or-forecast-risk")
+        .when(share >= 0.55, "spot-heavy-history")
+        .otherwise("balanced-or-low-pressure-history")
+    )
+    lists = F.create_map(
+        *[x for r, ids in sets.items() for x in (F.lit(r), F.array(*[F.lit(i) for i in ids]))]
+    )
+    return (
+        windows.join(seen, W, "left")
+        .join(live, W, "left")
+        .withColumn("reason_code", reason)
+        .select("*", F.explode(F.element_at(lists, F.col("reason_code"))).alias("candidate"))
+    )
+
+
+def _scenario(history: DataFrame, estimates: DataFrame, carry: DataFrame, horizon: float) -> DataFrame:
+    """Carry-over with estimated remaining time, then completed history replayed after the cutoff."""
+    waits = carry.select(*W, "job_id", "cutoff", "current_queue_wait_seconds")
+    carried = estimates.join(waits, [*W, "job_id"]).select(
+        *W,
+        F.concat(F.lit("carryover::"), "job_id").alias("job_id"),
+        F.col("cutoff").alias("submit_time_seconds"),
+        F.col("estimated_remaining_seconds").alias("duration_seconds"),
+        "gpu_count",
+        "service_class",
+        "gpu_model",
+        "tenant_id",
+        F.col("current_queue_wait_seconds").alias("initial_wait_seconds"),
+    )
+    repeated = history.select(
+        *W,
+        F.concat(F.lit("history::"), "job_id").alias("job_id"),
+        (F.col("submit_time_seconds") + horizon).alias("submit_time_seconds"),
+        "duration_seconds",
+        "gpu_count",
+        "service_class",
+        "gpu_model",
+        "tenant_id",
+        F.lit(0.0).alias("initial_wait_seconds"),
+    )
+    return carried.unionByName(repeated)
+
+
+def _queue_guard(session: DataFrame, forks: DataFrame, fork_runs: DataFrame) -> DataFrame:
+    """p95 of HP queueing: completed so far in the window, together with each fork's own."""
+    done = session.join(broadcast_if_small(fork_runs.select("scope", "run_id", "cutoff")), "scope").where(
+        (F.col("completion_time_seconds") <= F.col("cutoff")) & F.col("evaluation_population")
+    )
+    pooled = (
+        done.where(F.col("service_class") == "HP")
+        .select(F.col("run_id"), "queue_seconds")
+        .unionByName(
+            forks.where((F.col("service_class") == "HP") & F.col("evaluation_population")).select(
+                "run_id", "queue_seconds"
+            )
+        )
+    )
+    return exact_quantiles(pooled, ["run_id"], "queue_seconds", {"projected_hp_queue_p95": 0.95})
+
+
+def rolling_decisions(
+    trace: Trace,
+    windows: DataFrame,
+    *,
+    decisions: int,
+    interval: float,
+    horizon: float,
+    catalog: Sequence[str] = ROLLING_ACTIONS,
+    baseline: str = "rolling-fifo-open",
+    minimum_hold: float = 0.0,
+    slice_seconds: float = 172800.0,
+) -> DataFrame:
+    """Decisions of every window.
+
+    ``windows``: scope, run_start, evaluation_start, evaluation_end.
+    """
+    capacity = total_capacity(trace.nodes)
+    windows = cut_lineage(windows)
+    session_runs = windows.select(
+        "scope",
+        F.concat("scope", F.lit("|session")).alias("run_id"),
+        F.lit(baseline).alias("action_id"),
+        "run_start",
+        F.col("evaluation_end").alias("run_end"),
+        "evaluation_start",
+        "evaluation_end",
+    )
+    chosen = None
+    for number in range(decisions):
+        schedule = None
+        if chosen is not None:
+            schedule = chosen.select(
+                F.concat("scope", F.lit("|session")).alias("run_id"),
+                F.col("cutoff").alias("time"),
+                F.col("selected_action_id").alias("action_id"),
+            )
+        rows = cut_lineage(
+            replay(trace, session_runs, slice_seconds=slice_seconds, schedule=schedule)
+        )
+        at = windows.withColumn("cutoff", F.col("evaluation_start") + number * interval)
+        at = at.where(F.col("cutoff") < F.col("evaluation_end"))
+        cutoffs = broadcast_if_small(at)
+        keyed = rows.withColumn("scope", F.split("run_id", r"\|")[0]).join(
+            cutoffs.select("scope", "cutoff"), "scope"
+        )
+        carry = cut_lineage(
+            snapshot_at(keyed, trace.jobs, F.col("cutoff"), carry_columns=("scope", "cutoff"))
+        )
+        visible = keyed.where(
+            (F.col("submit_time_seconds") <= F.col("cutoff") + EPSILON)
+        ).select("scope", "cutoff", "job_id").distinct()
+        finish = F.col("submit_time_seconds") + F.col("duration_seconds")
+        completed = (
+            trace.jobs.join(visible, "job_id").where(finish <= F.col("cutoff") + EPSILON)
+        )
+        completed = cut_lineage(completed)
+        history = completed.where(F.col("submit_time_seconds") > F.col("cutoff") - horizon)
+        estimates = survival_estimates(completed, carry.drop("cutoff"), horizon, by=W)
+        scenario = cut_lineage(_scenario(history, estimates, carry, horizon))
+        picks = _candidates(history, carry, at, capacity, catalog, baseline, horizon)
+        forks = cut_lineage(
+            picks.select(
+                "scope",
+                "cutoff",
+                "reason_code",
+                F.concat_ws("|", "scope", F.lit(str(number)), "candidate").alias("run_id"),
+                F.col("candidate").alias("action_id"),
+                F.col("cutoff").alias("run_start"),
+                (F.col("cutoff") + horizon).alias("run_end"),
+                F.col("cutoff").alias("evaluation_start"),
+                (F.col("cutoff") + horizon).alias("evaluation_end"),
+            )
+        )
+        forked = cut_lineage(
+            replay(
+                Trace(trace.nodes, scenario), forks, slice_seconds=slice_seconds, initial_wait=True
+            )
+        )
+        report = cut_lineage(metrics_report(forked, forks, capacity))
+        report = report.join(
+            broadcast_if_small(forks.select("run_id", "scope", "cutoff", "reason_code")), "run_id"
+        ).withColumn(
+            "scheduler", F.when(F.col("action_id") == baseline, "fifo").otherwise(F.col("scheduler"))
+        )
+        verdicts = audit_summary(
+            relax_for_candidates(
+                audit_constraints(report, W, baseline_action=baseline, carry=["ledger_consistent"])
+            ),
+            [*W, "action_id"],
+        ).select(*W, "action_id", F.col("audit_passed").alias("hard_slo_passed"))
+        guard = _queue_guard(
+            job_ledger(rows, session_runs).withColumn("scope", F.split("run_id", r"\|")[0]).drop(*RUN),
+            job_ledger(forked, forks),
+            forks,
+        )
+        evidence = (
+            report.join(verdicts, [*W, "action_id"])
+            .join(guard, "run_id", "left")
+            .withColumn("selection_role", F.lit("decision"))
+        )
+        previous = (
+            chosen.groupBy(*W).agg(
+                F.max_by("selected_action_id", "cutoff").alias("active_action_id"),
+                F.max_by("active_since", "cutoff").alias("previous_since"),
+            )
+            if chosen is not None
+            else windows.select(
+                "scope",
+                F.lit(baseline).alias("active_action_id"),
+                F.lit(None).cast("double").alias("previous_since"),
+            )
+        )
+        robust = robust_candidates(evidence, W).join(previous, W)
+        ranked = rolling_selection(robust, W, baseline_action=baseline)
+        active_ok = robust.groupBy(*W).agg(
+            F.bool_or((F.col("action_id") == F.col("active_action_id")) & F.col("hard_slo_passed")).alias("active_ok")
+        )
+        held = (
+            (F.col("selected_action_id") == baseline)
+            & (F.col("active_action_id") != baseline)
+            & (F.col("cutoff") - F.col("previous_since") < minimum_hold - EPSILON)
+            & F.col("active_ok")
+        )
+        held = F.coalesce(held, F.lit(False))
+        # A window that has seen nothing yet has no scenario to judge and keeps its action.
+        final = F.when(held, F.col("active_action_id")).otherwise(
+            F.coalesce("selected_action_id", "active_action_id")
+        )
+        step = (
+            at.join(previous, W)
+            .join(ranked, W, "left")
+            .join(active_ok, W, "left")
+            .join(picks.select(*W, "reason_code").distinct(), W)
+            .select(
+                "scope",
+                F.lit(number).alias("decision_index"),
+                "cutoff",
+                "reason_code",
+                F.coalesce(F.array_join("frontier_action_ids", ","), F.lit("")).alias(
+                    "frontier_action_ids"
+                ),
+                F.coalesce("selection_status", F.lit("no_observable_scenario")).alias(
+                    "selection_status"
+                ),
+                final.alias("selected_action_id"),
+                held.alias("held"),
+                F.when(final == F.col("active_action_id"), F.coalesce("previous_since", "cutoff"))
+                .otherwise(F.col("cutoff"))
+                .alias("active_since"),
+            )
+        )
+        chosen = cut_lineage(step if chosen is None else chosen.unionByName(step))
+    return chosen

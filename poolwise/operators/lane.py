@@ -34,8 +34,13 @@ class Job:
 
 
 class Lane:
-    def __init__(self, policy: Policy, nodes, start: float, quota=(), counters=(0, 0, 0, 0)):
+    def __init__(
+        self, policy: Policy, nodes, start: float, quota=(), counters=(0, 0, 0, 0), switches=()
+    ):
         self.policy = policy
+        self.switches = sorted(switches, key=lambda s: s[0])
+        while self.switches and self.switches[0][0] < start - EPSILON:
+            self.policy = self.switches.pop(0)[1]
         self.now = start - 2 * EPSILON
         self.node_pool = {n: pool for n, pool, _ in nodes}
         self.node_free = {n: float(count) for n, _, count in nodes}
@@ -130,6 +135,17 @@ class Lane:
         used = self.spot_in_use.get(pool, 0.0) if scoped else sum(self.spot_in_use.values())
         return used + gpus <= current[-1] + EPSILON
 
+    def _switch_policy(self) -> None:
+        """Adopt policies whose time has come; waiting jobs keep their age and are re-keyed."""
+        if not self.switches or self.switches[0][0] > self.now + EPSILON:
+            return
+        while self.switches and self.switches[0][0] <= self.now + EPSILON:
+            self.policy = self.switches.pop(0)[1]
+        waiting = [job for bucket in self.waiting.values() for _, job in bucket]
+        self.waiting, self.waiting_hp, self.delays = {}, 0, []
+        for job in waiting:
+            self.enqueue(job)
+
     # -- transitions ---------------------------------------------------------------------------
 
     def start_waiting(self) -> None:
@@ -258,6 +274,7 @@ class Lane:
         if self.waiting_hp and self.policy.preemptive:
             times += [heap[0][0] for heap in (self.delays, self.holds) if heap]
         times += [t for t, _, _ in self.quota if t > later][:1]
+        times += [t for t, _ in self.switches[:1]]
         return min((t for t in times if t > later), default=INF)
 
     def _still_running(self, job_id: str, ordinal: int) -> bool:
@@ -284,6 +301,7 @@ class Lane:
             while upcoming is not None and upcoming.submit <= self.now + EPSILON:
                 self.enqueue(upcoming)
                 upcoming = next(arrivals, None)
+            self._switch_policy()
             self.start_waiting()
             if self.preempt():
                 self.start_waiting()

@@ -240,7 +240,9 @@ def feedback_events(rows: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_at(rows: DataFrame, jobs: DataFrame, cutoff: float) -> DataFrame:
+def snapshot_at(
+    rows: DataFrame, jobs: DataFrame, cutoff: Column | float, carry_columns: Sequence[str] = ()
+) -> DataFrame:
     """Queue, running and carry-over jobs at a cutoff, seen from the run rows.
 
     Only what the scheduler knew is kept: a running job shows its elapsed time, never its end.
@@ -251,6 +253,7 @@ def snapshot_at(rows: DataFrame, jobs: DataFrame, cutoff: float) -> DataFrame:
     live = rows.where(arrived & (running | queued))
     return live.join(jobs.select("job_id", "tenant_id"), "job_id", "left").select(
         *RUN,
+        *carry_columns,
         "job_id",
         "service_class",
         "gpu_model",

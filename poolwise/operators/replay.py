@@ -100,11 +100,12 @@ def _fold(policies: Mapping[str, Policy]):
         rows = _rows_in_order(batches)
         head = next(rows)
         policy = policies[head.action_id]
-        counted = policy.spot_eviction_budget_rate is not None
+        counted = any(p.spot_eviction_budget_rate is not None for p in policies.values())
         counters = tuple(int(_none(getattr(head, c)) or 0) if counted else 0 for c in COUNTERS)
         nodes = [(n["node_id"], n["gpu_model"], n["gpu_count"]) for n in head.nodes]
         quota = [] if head.quota is None else [(q["time"], q["pool"], q["gpus"]) for q in head.quota]
-        lane = Lane(policy, nodes, float(head.slice_start), sorted(quota), counters)
+        plan = [] if head.schedule is None else [(s["time"], policies[s["action_id"]]) for s in head.schedule]
+        lane = Lane(policy, nodes, float(head.slice_start), sorted(quota), counters, plan)
         carried, upcoming = [], None
         for row in rows:
             if row.ord != 1:
@@ -192,8 +193,13 @@ def _lane_nodes(nodes: DataFrame, wildcard: bool, by_node: bool) -> DataFrame:
 
 
 def jobs_of_runs(jobs: DataFrame, runs: DataFrame, bucket: float = DAY) -> DataFrame:
-    """Jobs each run replays: arrivals in ``[run_start, run_end]``, matched by day bucket."""
+    """Jobs each run replays: arrivals in ``[run_start, run_end]``, matched by day bucket.
+
+    When both sides carry a ``scope``, a run only replays the jobs of its own scope.
+    """
+    scope = ["scope"] if "scope" in jobs.columns and "scope" in runs.columns else []
     covered = runs.select(
+        *scope,
         "run_id",
         "action_id",
         "run_start",
@@ -210,7 +216,7 @@ def jobs_of_runs(jobs: DataFrame, runs: DataFrame, bucket: float = DAY) -> DataF
     submit = F.col("submit_time_seconds")
     return (
         jobs.withColumn("_bucket", F.floor(submit / bucket).cast("long"))
-        .join(broadcast_if_small(covered), "_bucket")
+        .join(broadcast_if_small(covered), ["_bucket", *scope])
         .where(submit.between(F.col("run_start"), F.col("run_end")))
         .drop("_bucket")
     )
@@ -269,12 +275,14 @@ def replay(
     quota: DataFrame | None = None,
     initial_wait: bool = False,
     node_level: bool = False,
+    schedule: DataFrame | None = None,
 ) -> DataFrame:
     """Run rows of every declared run: one row per contiguous execution of a job.
 
     ``runs``: run_id, action_id, run_start, run_end, evaluation_start, evaluation_end.
     ``quota``: optional lane, ``time``, ``pool``, ``gpus`` admission limits for enforcing policies.
     ``initial_wait`` reads ``initial_wait_seconds`` from the jobs, seeding how long they queued.
+    ``schedule``: optional run_id, ``time``, action_id policy switches inside a run.
     ``node_level`` places on nodes even where pool totals decide, so that ``node_count`` is real.
     """
     ship_package(trace.jobs.sparkSession)
@@ -284,14 +292,18 @@ def replay(
         for row in trace.jobs.select((F.col("gpu_model") == ANY_POOL).alias("w")).distinct().collect()
     }
     wildcard, by_node = True in kinds, node_level or kinds == {True, False}
-    used = {r[0] for r in runs.select("action_id").distinct().limit(len(policies) + 1).collect()}
+    named = runs.select("action_id")
+    if schedule is not None:
+        named = named.union(schedule.select("action_id"))
+    used = {r[0] for r in named.distinct().limit(len(policies) + 1).collect()}
     policies = {a: policies[a] for a in used}
     guarantees = F.create_map(
         *[x for a, p in policies.items() for x in (F.lit(a), F.lit(float(p.spot_guarantee_seconds)))]
     )
     size = float(slice_seconds)
     submit = F.col("submit_time_seconds")
-    placed = _with_lanes(jobs_of_runs(source, runs), wildcard, policies).withColumns(
+    tied = wildcard or schedule is not None
+    placed = _with_lanes(jobs_of_runs(source, runs), tied, policies).withColumns(
         {
             "slice": F.floor((submit - F.col("run_start")) / size).cast("int"),
             "last_slice": F.floor((F.col("run_end") - F.col("run_start")) / size).cast("int"),
@@ -324,6 +336,16 @@ def replay(
         if limits is not None
         else heads.withColumn("quota", F.lit(None).cast("array<struct<time:double,pool:string,gpus:double>>"))
     )
+    switches = (
+        schedule.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("time", "action_id"))).alias("schedule"))
+        if schedule is not None
+        else None
+    )
+    heads = (
+        heads.join(switches, "run_id", "left")
+        if switches is not None
+        else heads.withColumn("schedule", F.lit(None).cast("array<struct<time:double,action_id:string>>"))
+    )
     spots = placed.where(F.col("service_class") == "Spot").groupBy("run_id", "lane", "slice").agg(
         F.count(F.lit(1)).alias("_s"), F.count_if("scored").alias("_e")
     )
@@ -340,7 +362,7 @@ def replay(
                 "ord": F.lit(0),
             }
         )
-        .select(*KEY, "ord", "action_id", "slice_start", "slice_end", "nodes", "quota", *COUNTERS)
+        .select(*KEY, "ord", "action_id", "slice_start", "slice_end", "nodes", "quota", "schedule", *COUNTERS)
     )
     arrivals = placed.select(
         *KEY,

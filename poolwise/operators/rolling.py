@@ -307,7 +307,7 @@ ALL_POOLS = "<all>"
 
 
 def survival_estimates(
-    completed: DataFrame, carryover: DataFrame, horizon_seconds: float
+    completed: DataFrame, carryover: DataFrame, horizon_seconds: float, by: Sequence[str] = ()
 ) -> DataFrame:
     """Remaining runtime of each carry-over job from completed jobs it has not yet outlived.
 
@@ -316,11 +316,12 @@ def survival_estimates(
     find the survivors' middle, so no job is paired with the samples.
     """
     samples = completed.select(
+        *by,
         "service_class",
         F.explode(F.array(F.col("gpu_model"), F.lit(ALL_POOLS))).alias("sample_pool"),
         "duration_seconds",
     )
-    key = ["service_class", "sample_pool"]
+    key = [*by, "service_class", "sample_pool"]
     # Read five times below, so it is written once.
     ranks = cut_lineage(
         global_value_ranks(samples, key, "duration_seconds").withColumn(
@@ -330,14 +331,14 @@ def survival_estimates(
     known = ranks.groupBy(*key).agg(F.max("group_rows").alias("samples"))
     pools = known.where(F.col("sample_pool") != ALL_POOLS)
     own = pools.select(
-        "service_class", F.col("sample_pool").alias("gpu_model"), F.col("samples").alias("own_samples")
+        *by, "service_class", F.col("sample_pool").alias("gpu_model"), F.col("samples").alias("own_samples")
     )
     whole = known.where(F.col("sample_pool") == ALL_POOLS).select(
-        "service_class", F.col("samples").alias("class_samples")
+        *by, "service_class", F.col("samples").alias("class_samples")
     )
     items = cut_lineage(
-        carryover.join(own, ["service_class", "gpu_model"], "left")
-        .join(whole, "service_class", "left")
+        carryover.join(own, [*by, "service_class", "gpu_model"], "left")
+        .join(whole, [*by, "service_class"], "left")
         .withColumns(
             {
                 "sample_pool": F.when(F.col("own_samples").isNotNull(), F.col("gpu_model")).otherwise(
@@ -375,7 +376,7 @@ def survival_estimates(
             "rows_before",
             "duration_seconds",
         )
-        .groupBy("job_id", "outlived")
+        .groupBy(*by, "job_id", "outlived")
         .agg(F.avg("duration_seconds").alias("median_duration"))
     )
     alive = F.col("outlived") < F.col("samples")
@@ -384,7 +385,8 @@ def survival_estimates(
         .when(alive, F.col("median_duration") - F.col("elapsed_seconds"))
         .otherwise(F.greatest(F.lit(3600.0), F.col("median_duration")))
     )
-    return items.join(middle, "job_id", "left").select(
+    return items.join(middle, [*by, "job_id"], "left").select(
+        *by,
         "job_id",
         "service_class",
         "gpu_model",

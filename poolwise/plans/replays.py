@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..contracts import DAY, MULTIWINDOW_ACTIONS, Trace
 from ..functions import rounded
 from ..operators import metrics, replay
+from ..operators.decision_loop import rolling_decisions
 from ..operators.profile import complete_windows
 from ..operators.slicing import pool_capacity, total_capacity
 from ..session import cut_lineage
@@ -324,3 +325,15 @@ def snapshot(spark, sf_dir):
     return metrics.snapshot_summary(
         metrics.snapshot_at(rows, trace.jobs, CUTOFF), total_capacity(trace.nodes)
     )
+
+
+@query("q_rolling_decisions")
+def rolling(spark, sf_dir):
+    """Two decisions in every complete day, each forking three candidates over six hours."""
+    trace = trace_from_tables(spark, sf_dir)
+    windows = daily_runs(trace, ["session"]).select(
+        F.col("window_id").alias("scope"), "run_start", "evaluation_start", "evaluation_end"
+    )
+    return rolling_decisions(
+        trace, windows, decisions=2, interval=0.5 * DAY, horizon=0.25 * DAY, minimum_hold=DAY
+    )
