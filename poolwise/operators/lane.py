@@ -8,6 +8,7 @@ metrics, integrals) is computed from the run rows it emits.
 from __future__ import annotations
 
 import heapq
+from collections import deque
 from collections.abc import Iterator
 
 from ..contracts import ANY_POOL, EPSILON, Policy
@@ -57,11 +58,12 @@ class Lane:
         self.running = {}
         self.finishes, self.delays, self.holds = [], [], []
         self.requeued = 0
-        self.quota = list(quota)
+        self.quota, self.limits = deque(quota), {}
         self.spot_in_use = {}
         self.evicted, self.started, self.scored_evicted, self.scored_started = counters
         self.rows = []
         self.stalled = 0
+        self._adopt_quota()
 
     # -- capacity ------------------------------------------------------------------------------
 
@@ -125,15 +127,20 @@ class Lane:
             self.spot_in_use[job.pool] = self.spot_in_use.get(job.pool, 0.0) + job.gpus
             heapq.heappush(self.holds, (job.run_start + job.guarantee, job.id, job.ordinal, job))
 
+    def _adopt_quota(self) -> None:
+        while self.quota and self.quota[0][0] <= self.now + EPSILON:
+            _, pool, gpus = self.quota.popleft()
+            self.limits[pool] = gpus
+
     def _quota_allows(self, pool: str, gpus: float) -> bool:
-        if not self.quota or self.policy.predictive_admission_mode == "bypass":
+        """Running Spot of the limited pool, or of the cluster, stays within the current quota."""
+        if not self.limits or self.policy.predictive_admission_mode == "bypass":
             return True
-        current = [g for t, p, g in self.quota if t <= self.now + EPSILON and p in (pool, ANY_POOL)]
-        if not current:
+        if pool in self.limits and pool != ANY_POOL:
+            return self.spot_in_use.get(pool, 0.0) + gpus <= self.limits[pool] + EPSILON
+        if ANY_POOL not in self.limits:
             return True
-        scoped = any(p == pool for _, p, _ in self.quota)
-        used = self.spot_in_use.get(pool, 0.0) if scoped else sum(self.spot_in_use.values())
-        return used + gpus <= current[-1] + EPSILON
+        return sum(self.spot_in_use.values()) + gpus <= self.limits[ANY_POOL] + EPSILON
 
     def _switch_policy(self) -> None:
         """Adopt policies whose time has come; waiting jobs keep their age and are re-keyed."""
@@ -273,7 +280,8 @@ class Lane:
             heapq.heappop(self.holds)
         if self.waiting_hp and self.policy.preemptive:
             times += [heap[0][0] for heap in (self.delays, self.holds) if heap]
-        times += [t for t, _, _ in self.quota if t > later][:1]
+        if self.quota:
+            times.append(self.quota[0][0])
         times += [t for t, _ in self.switches[:1]]
         return min((t for t in times if t > later), default=INF)
 
@@ -302,6 +310,7 @@ class Lane:
                 self.enqueue(upcoming)
                 upcoming = next(arrivals, None)
             self._switch_policy()
+            self._adopt_quota()
             self.start_waiting()
             if self.preempt():
                 self.start_waiting()

@@ -302,7 +302,7 @@ def replay(
     )
     size = float(slice_seconds)
     submit = F.col("submit_time_seconds")
-    tied = wildcard or schedule is not None
+    tied = wildcard or schedule is not None or quota is not None
     placed = _with_lanes(jobs_of_runs(source, runs), tied, policies).withColumns(
         {
             "slice": F.floor((submit - F.col("run_start")) / size).cast("int"),

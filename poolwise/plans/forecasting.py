@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import DAY, HOUR
 from ..functions import normal_quantile, rounded
-from ..operators import forecast, observation
+from ..operators import forecast, observation, predictive
 from ..operators.slicing import pool_capacity, total_capacity
 from ..sources.tables import TRACE_CTES, trace_from_tables
 from .registry import query
@@ -451,3 +451,13 @@ def eta_trajectory(spark, sf_dir):
     )
     path = forecast.eta_trajectory(updates, ["gpu_model"])
     return path.withColumn("eta", rounded(F.col("eta"), 9))
+
+
+@query("q_update_forecasts")
+def update_forecasts(spark, sf_dir):
+    """The seasonal forecast at every five-minute update up to the cutoff."""
+    trace = trace_from_tables(spark, sf_dir)
+    start = observation.observation_start(trace.jobs, CUTOFF, STEP, 672)
+    origin = float(spark.range(1).select(start.alias("s")).first()["s"])
+    hp = observed(spark, sf_dir).where(F.col("service_class") == "HP")
+    return predictive.update_forecasts(hp, "active_gpus", origin, total_capacity(trace.nodes))

@@ -6,10 +6,11 @@ from dataclasses import replace as with_changes
 
 from pyspark.sql import functions as F
 
-from ..contracts import DAY, MULTIWINDOW_ACTIONS, Trace
+from ..contracts import DAY, MULTIWINDOW_ACTIONS, POLICIES, Trace
 from ..functions import rounded
 from ..operators import metrics, replay
 from ..operators.decision_loop import rolling_decisions
+from ..operators.predictive import predictive_replay
 from ..operators.profile import complete_windows
 from ..operators.slicing import pool_capacity, total_capacity
 from ..session import cut_lineage
@@ -327,6 +328,17 @@ def snapshot(spark, sf_dir):
     )
 
 
+@query("q_predictive_replay", WITH + CONSERVATION)
+def predictive(spark, sf_dir):
+    """FIFO whose Spot admission obeys the forecast quota; whatever waits, all work is still done."""
+    trace = trace_from_tables(spark, sf_dir)
+    return net_work(
+        predictive_replay(
+            trace, one_action(trace, "native-fifo"), POLICIES["native-fifo"], slice_seconds=15 * DAY
+        )
+    )
+
+
 @query("q_rolling_decisions")
 def rolling(spark, sf_dir):
     """Two decisions in every complete day, each forking three candidates over six hours."""
