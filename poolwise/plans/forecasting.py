@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import DAY, HOUR
 from ..functions import normal_quantile, rounded
-from ..operators import forecast, observation, predictive
+from ..operators import forecast, observation, predictive, tenant_model
 from ..operators.slicing import pool_capacity, total_capacity
 from ..sources.tables import TRACE_CTES, trace_from_tables
 from .registry import query
@@ -461,3 +461,10 @@ def update_forecasts(spark, sf_dir):
     origin = float(spark.range(1).select(start.alias("s")).first()["s"])
     hp = observed(spark, sf_dir).where(F.col("service_class") == "HP")
     return predictive.update_forecasts(hp, "active_gpus", origin, total_capacity(trace.nodes))
+
+
+@query("q_tenant_forecast")
+def tenant_forecast(spark, sf_dir):
+    """Pool forecasts of the trained tenant model; the test span only allows a short lookback."""
+    model = tenant_model.TenantModel(lookback=72, validation_hours=72, learning_rate=0.002)
+    return tenant_model.forecast_pools(tenant_hours(spark, sf_dir), CUTOFF, model)
