@@ -13,6 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .sizing import broadcast_if_small
+
 SKETCH_ACCURACY = 20_000
 RANK_BUCKETS = 64
 
@@ -37,6 +40,8 @@ def exact_quantiles(
     ``ceil(p * n)``. ``bounded_groups`` says the group columns range over a declared enumeration,
     so the sketch table may be broadcast.
     """
+    if not group:
+        raise ValueError("Name at least one grouping column")
     names = list(probabilities)
     slack = 4.0 / accuracy
     edges: list[float] = []
@@ -71,11 +76,9 @@ def exact_quantiles(
             )
         )
     sketch = sketch.select(*group, F.array(*targets).alias("_t"))
-    joined = (
-        base.join(F.broadcast(sketch) if bounded_groups else sketch, list(group))
-        if group
-        else base.crossJoin(F.broadcast(sketch))
-    )
+    # Written once and measured, so that a small sketch never makes the rows themselves shuffle.
+    sketch = F.broadcast(sketch) if bounded_groups else broadcast_if_small(cut_lineage(sketch))
+    joined = base.join(sketch, list(group))
     key = [*group, "_name", "_k0", "_k1", "_frac"]
     counted = (
         joined.select(*group, "_v", F.explode("_t").alias("_t"))
@@ -130,17 +133,19 @@ def global_value_ranks(df: DataFrame, group: Sequence[str], value: str) -> DataF
     count is taken bucket by bucket and shifted by the buckets before it. Columns: group, value,
     ``value_count``, ``rows_before``, ``group_rows``.
     """
-    counts = (
+    counts = cut_lineage(
         df.where(F.col(value).isNotNull())
         .groupBy(*group, value)
         .agg(F.count(F.lit(1)).alias("value_count"))
     )
-    cuts = counts.groupBy(*group).agg(
-        F.percentile_approx(
-            value,
-            F.array(*[F.lit(i / RANK_BUCKETS) for i in range(1, RANK_BUCKETS)]),
-            F.lit(1000),
-        ).alias("_cuts")
+    cuts = broadcast_if_small(
+        counts.groupBy(*group).agg(
+            F.percentile_approx(
+                value,
+                F.array(*[F.lit(i / RANK_BUCKETS) for i in range(1, RANK_BUCKETS)]),
+                F.lit(1000),
+            ).alias("_cuts")
+        )
     )
     placed = (
         counts.join(cuts, list(group))
@@ -159,7 +164,7 @@ def global_value_ranks(df: DataFrame, group: Sequence[str], value: str) -> DataF
     )
     inside = Window.partitionBy(*group, "_bucket").orderBy(value)
     return (
-        placed.join(offsets, [*group, "_bucket"])
+        placed.join(broadcast_if_small(offsets), [*group, "_bucket"])
         .withColumn(
             "rows_before",
             F.col("_offset")

@@ -73,10 +73,14 @@ def spot_run_ledger(rows: DataFrame) -> DataFrame:
     )
 
 
-def evaluated_spot(rows: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Run rows of Spot jobs that arrived inside their run's evaluation window."""
-    scored = ledger.where(F.col("evaluation_population") & (F.col("service_class") == "Spot"))
-    return rows.join(scored.select(*RUN, "job_id"), [*RUN, "job_id"], "left_semi")
+def evaluated_spot(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Run rows of Spot jobs that arrived inside their run's evaluation window.
+
+    A run row knows its job's arrival, so the windows come to the rows and nothing is shuffled.
+    """
+    windows = broadcast_if_small(runs.select("run_id", "evaluation_start", "evaluation_end"))
+    arrived = F.col("submit_time_seconds").between(F.col("evaluation_start"), F.col("evaluation_end"))
+    return rows.where(F.col("service_class") == "Spot").join(windows, "run_id").where(arrived)
 
 
 def class_metrics(ledger: DataFrame) -> DataFrame:
@@ -114,10 +118,9 @@ def class_metrics(ledger: DataFrame) -> DataFrame:
     )
 
 
-def spot_metrics(rows: DataFrame, ledger: DataFrame, runs: DataFrame) -> DataFrame:
+def spot_metrics(rows: DataFrame, runs: DataFrame) -> DataFrame:
     """Evictions, guarantees and lost work of evaluated Spot jobs, drain included."""
-    ends = broadcast_if_small(runs.select("run_id", "evaluation_end"))
-    mine = evaluated_spot(rows, ledger).join(ends, "run_id")
+    mine = evaluated_spot(rows, runs)
     hit = F.col("end_reason") == "preempted"
     kept = ~hit | (run_seconds() + EPSILON >= F.col("guarantee_seconds"))
     lost = F.col("rollback_seconds") + F.col("overhead_seconds")
@@ -185,7 +188,7 @@ def metrics_report(rows: DataFrame, runs: DataFrame, capacity: Column) -> DataFr
         )
 
     measured = ("jct_mean", "jct_p50", "jct_p95", "queue_mean", "queue_p95")
-    spot = spot_metrics(rows, ledger, runs).select(
+    spot = spot_metrics(rows, runs).select(
         *RUN,
         F.col("eviction_rate_per_run").alias("spot_eviction_rate_per_run"),
         F.col("guarantee_success_rate").alias("spot_guarantee_success_rate"),

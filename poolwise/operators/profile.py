@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import DAY, HOUR, SERVICE_CLASSES, Trace
 from ..functions import exact_quantiles, rounded
+from ..session import cut_lineage
 from .slicing import one_value, total_capacity
 
 STAT_QUANTILES = {"p50": 0.50, "p95": 0.95}
@@ -250,30 +251,65 @@ def daily_windows(
     """Complete origin-aligned windows with enough of both classes, with their pressure."""
     if window % step:
         raise ValueError("window must be divisible by step")
-    jobs = trace.jobs
     per_window = window // step
-    count = complete_windows(jobs, window)
-    of = lambda cls, v: F.sum(F.when(F.col("service_class") == cls, v).otherwise(0))
-    population = (
-        jobs.withColumn(
-            "window_index", F.floor(F.col("submit_time_seconds") / float(window)).cast("long")
+    submit, gpus = F.col("submit_time_seconds"), F.col("gpu_count")
+    tick = lambda t: F.ceil(t / float(step)).cast("long")
+    nothing, none = F.lit(0.0), F.lit(0).cast("long")
+
+    def fact(slot: Column, jobs: Column, arrived: Column, delta: Column) -> Column:
+        return F.struct(
+            slot.alias("slot"), jobs.alias("jobs"), arrived.alias("arrived"), delta.alias("delta")
         )
-        .where(F.col("window_index") < count)
-        .groupBy("window_index")
+
+    # One pass over the jobs: arrivals per window and demand steps per tick, summed at once.
+    facts = cut_lineage(
+        trace.jobs.select(
+            "service_class",
+            submit.alias("submit"),
+            F.inline(
+                F.array(
+                    fact(
+                        F.floor(submit / float(window)).cast("long") * per_window,
+                        F.lit(1).cast("long"), gpus, nothing,
+                    ),
+                    fact(tick(submit), none, nothing, gpus),
+                    fact(tick(submit + F.col("duration_seconds")), none, nothing, -gpus),
+                )
+            ),
+        )
+        .groupBy("service_class", "slot")
+        .agg(
+            F.sum("jobs").alias("jobs"),
+            F.sum("arrived").alias("arrived"),
+            F.sum("delta").alias("delta"),
+            F.max("submit").alias("last_submit"),
+        )
+    )
+    last_submit = one_value(facts, F.max("last_submit"))
+    count = F.floor((last_submit + 1.0) / float(window)).cast("long")
+    of = lambda cls, v: F.sum(F.when(F.col("service_class") == cls, F.col(v)).otherwise(0))
+    index = F.floor(F.col("slot") / per_window).cast("long")
+    population = (
+        facts.where("jobs > 0")
+        .groupBy(index.alias("window_index"))
         .agg(
-            of("HP", F.lit(1)).cast("long").alias("hp_job_count"),
-            of("Spot", F.lit(1)).cast("long").alias("spot_job_count"),
-            of("HP", F.col("gpu_count")).cast("double").alias("hp_requested_gpus"),
-            of("Spot", F.col("gpu_count")).cast("double").alias("spot_requested_gpus"),
+            of("HP", "jobs").cast("long").alias("hp_job_count"),
+            of("Spot", "jobs").cast("long").alias("spot_job_count"),
+            of("HP", "arrived").cast("double").alias("hp_requested_gpus"),
+            of("Spot", "arrived").cast("double").alias("spot_requested_gpus"),
         )
+        .where(F.col("window_index") < count)
         .where((F.col("hp_job_count") >= min_hp_jobs) & (F.col("spot_job_count") >= min_spot_jobs))
     )
     capacity = total_capacity(trace.nodes)
-    pools = active_sweep(jobs, ["gpu_model"], step, count * per_window)
+    run = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    ticks = on_grid(
+        facts.sparkSession.range(1).select(), nothing, (count * per_window - 1).cast("double"), 1.0
+    ).select(F.col("tick").alias("slot"))
     pressure = (
-        pools.groupBy("tick")
-        .agg(F.sum("active_gpus").alias("active"))
-        .groupBy(F.floor(F.col("tick") / per_window).cast("long").alias("window_index"))
+        ticks.join(facts.groupBy("slot").agg(F.sum("delta").alias("delta")), "slot", "left")
+        .select("slot", F.sum(F.coalesce("delta", nothing)).over(run).alias("active"))
+        .groupBy(index.alias("window_index"))
         .agg(
             rounded(F.max("active") / capacity).alias("combined_peak_active_pressure"),
             rounded(F.avg("active") / capacity).alias("combined_mean_active_pressure"),

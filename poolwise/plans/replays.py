@@ -193,7 +193,7 @@ def metrics_by_class(spark, sf_dir):
 )
 def spot_metrics(spark, sf_dir):
     _, runs, rows = roomy_rows(spark, sf_dir)
-    return metrics.spot_metrics(rows, metrics.job_ledger(rows, runs), runs).drop("run_id", "action_id")
+    return metrics.spot_metrics(rows, runs).drop("run_id", "action_id")
 
 
 @query(
@@ -265,7 +265,7 @@ def contended(spark, sf_dir, action):
 )
 def eval_spot_ledger(spark, sf_dir):
     _, runs, rows = contended(spark, sf_dir, PREEMPTIVE)
-    mine = metrics.evaluated_spot(rows, metrics.job_ledger(rows, runs))
+    mine = metrics.evaluated_spot(rows, runs)
     return mine.groupBy("gpu_model").agg(
         F.countDistinct("job_id").alias("spot_jobs"),
         (F.count(F.lit(1)) - F.count_if(F.col("end_reason") == "preempted")).alias("runs_less_preemptions"),
