@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .contracts import DAY, HOUR, MULTIWINDOW_ACTIONS, POLICIES, Trace
+from .contracts import HOUR, MULTIWINDOW_ACTIONS, POLICIES, Trace
 from .operators import audit, compare, forecast, observation, profile, ranking, slicing
 from .operators.decision_loop import rolling_decisions
 from .operators.metrics import metrics_report
@@ -210,7 +210,7 @@ def parser() -> argparse.ArgumentParser:
     out = (need("--out"), may("--format", "parquet", choices=["parquet", "csv"]))
     number = {"type": float}
     many = {"action": "append"}
-    size = may("--slice-seconds", float(DAY), **number)
+    size = may("--slice-seconds", **number)
     policy = may("--policy", "native-fifo", choices=sorted(POLICIES))
     window = (may("--warmup-start", **number), may("--evaluation-start", **number), may("--evaluation-end", **number))
     command("validate-trace", validate_trace, need("--trace"))

@@ -4,15 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..contracts import POLICIES
 from ..functions import rounded
 from .audit import METRIC_CATALOG, metric_map
 
 MIN_PORTFOLIO, MAX_PORTFOLIO = 3, 5
 
 
+# Controls two compared policies must share.
+EXECUTION_CONTROLS = ("preemption_overhead_seconds", "placement_strategy", "predictive_admission_mode")
+
+
+def _execution_controls(action: Column) -> Column:
+    entries = [
+        x
+        for p in POLICIES.values()
+        for x in (F.lit(p.action_id), F.lit("|".join(str(getattr(p, c)) for c in EXECUTION_CONTROLS)))
+    ]
+    return F.element_at(F.create_map(*entries), action)
+
+
 def comparability(left: str, right: str) -> dict[str, Column]:
     """Named criteria over two aliased metrics rows; all must hold."""
     of = lambda side, c: F.col(f"{side}.{c}")
@@ -23,6 +37,8 @@ def comparability(left: str, right: str) -> dict[str, Column]:
         "population_match": same("hp_job_count") & same("spot_job_count"),
         "event_ledgers_consistent": both("ledger_consistent"),
         "policy_actions_distinct": of(left, "action_id") != of(right, "action_id"),
+        "execution_controls_match": _execution_controls(of(left, "action_id"))
+        == _execution_controls(of(right, "action_id")),
     }
 
 
@@ -56,9 +72,9 @@ def pairwise_deltas(
     ranked = (
         metrics.where(position > 0).withColumn("_i", position).withColumn("_m", metric_map(metrics))
     )
-    sizes = ranked.groupBy(*window).agg(F.count(F.lit(1)).alias("_size"))
-    bounded = ranked.join(
-        sizes.where(F.col("_size").between(MIN_PORTFOLIO, MAX_PORTFOLIO)), list(window)
+    size = F.count(F.lit(1)).over(Window.partitionBy(*window))
+    bounded = ranked.withColumn("_size", size).where(
+        F.col("_size").between(MIN_PORTFOLIO, MAX_PORTFOLIO)
     )
     left, right = bounded.alias("l"), bounded.alias("r")
     on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in window] + [F.col("l._i") < F.col("r._i")]

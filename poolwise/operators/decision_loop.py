@@ -122,7 +122,7 @@ def rolling_decisions(
     catalog: Sequence[str] = ROLLING_ACTIONS,
     baseline: str = "rolling-fifo-open",
     minimum_hold: float = 0.0,
-    slice_seconds: float = 172800.0,
+    slice_seconds: float | None = None,
 ) -> DataFrame:
     """Decisions of every window.
 

@@ -347,3 +347,55 @@ def eta_trajectory(
         .agg(ordered.alias("_u"))
         .select(*keys, F.inline(F.aggregate("_u", start, advance, lambda s: s["path"])))
     )
+
+
+def aggregate_eta_trajectory(
+    updates: DataFrame, keys: Sequence[str], config: SeasonalConfig = SeasonalConfig()
+) -> DataFrame:
+    """Eta after every update under the aggregate law.
+
+    ``updates``: keys, tick, now_seconds, eviction_rate, new_runs (whether runs ended since the
+    last change) and spot_backlog_gpus. New outcomes move eta by the eviction rate; without them a
+    backlog older than the starvation limit raises it.
+    """
+    target = 1.0 - config.guarantee_probability
+    rise = 1.0 + config.eta_increase_step
+
+    def advance(state: Column, update: Column) -> Column:
+        eta, rate, now = state["eta"], update["eviction_rate"], update["now_seconds"]
+        backlog = update["spot_backlog_gpus"] > 0
+        since = F.when(backlog, F.coalesce(state["since"], now))
+        judged = update["new_runs"] & rate.isNotNull()
+        high = (rate >= config.high_eviction_ratio * target) & (rate > 0)
+        low = (rate <= config.low_eviction_ratio * target) & backlog
+        starving = F.coalesce(
+            now - since >= config.starvation_increase_after_seconds, F.lit(False)
+        ) & (eta < config.maximum_eta)
+        moved = (
+            F.when(judged & high, eta * (F.lit(target) / rate))
+            .when(judged & low, eta * rise)
+            .when(judged, eta)
+            .when(starving, eta * rise)
+            .otherwise(eta)
+        )
+        bounded = F.greatest(F.lit(config.minimum_eta), F.least(F.lit(config.maximum_eta), moved))
+        step = F.struct(update["tick"].alias("tick"), bounded.alias("eta"))
+        return F.struct(
+            bounded.alias("eta"), since.alias("since"), F.array_append(state["path"], step).alias("path")
+        )
+
+    ordered = F.array_sort(
+        F.collect_list(
+            F.struct("tick", "now_seconds", "eviction_rate", "new_runs", "spot_backlog_gpus")
+        )
+    )
+    start = F.struct(
+        F.lit(config.initial_eta).alias("eta"),
+        F.lit(None).cast("double").alias("since"),
+        F.array().cast("array<struct<tick:bigint,eta:double>>").alias("path"),
+    )
+    return (
+        updates.groupBy(*keys)
+        .agg(ordered.alias("_u"))
+        .select(*keys, F.inline(F.aggregate("_u", start, advance, lambda s: s["path"])))
+    )

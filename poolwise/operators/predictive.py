@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..contracts import ANY_POOL, DAY, EPSILON, HOUR, Policy, Trace
+from ..contracts import ANY_POOL, EPSILON, HOUR, Policy, Trace
 from ..functions import normal_quantile, rounded
 from ..session import cut_lineage
 from .forecast import SeasonalConfig, _clip
@@ -164,7 +164,7 @@ def predictive_replay(
     policy: Policy,
     *,
     config: SeasonalConfig = SeasonalConfig(),
-    slice_seconds: float = DAY,
+    slice_seconds: float | None = None,
 ) -> DataFrame:
     """Replay under the quota each update would have set from occupancy observed until then.
 

@@ -29,8 +29,8 @@ def first_and_last_submit(jobs: DataFrame) -> tuple[Column, Column]:
 
 
 def on_grid(keys: DataFrame, start: Column, end: Column, step: float) -> DataFrame:
-    """Every key at the ticks ``start, start + step, ...`` up to ``end`` inclusive."""
-    last = F.floor((end - start) / float(step)).cast("long")
+    """Every key at the ticks ``start, start + step, ...`` up to ``end``, at least the first one."""
+    last = F.greatest(F.lit(0), F.floor((end - start) / float(step))).cast("long")
     return keys.select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("tick")
     ).withColumn("sample_time_seconds", start + F.col("tick") * float(step))

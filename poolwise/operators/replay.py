@@ -26,6 +26,7 @@ from .lane import Job, Lane
 from .slicing import pool_capacity
 
 ALL_LANES = "all"
+SLICE_ROWS = 100_000
 KEY = ["run_id", "lane", "slice"]
 GRANT = "array<struct<node:string,gpus:double>>"
 OUTPUT = {
@@ -222,6 +223,15 @@ def jobs_of_runs(jobs: DataFrame, runs: DataFrame, bucket: float = DAY) -> DataF
     )
 
 
+def mean_slice(jobs: DataFrame, rows: int = SLICE_ROWS) -> float:
+    """Slice length that holds about ``rows`` arrivals, and at least a quarter of an hour."""
+    seen = jobs.agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.max("submit_time_seconds") - F.min("submit_time_seconds")).alias("span"),
+    ).first()
+    return max(900.0, (seen.span + 1.0) * rows / max(1, seen.n))
+
+
 def whole_trace_runs(jobs: DataFrame, actions, bucket_id: str = "trace") -> DataFrame:
     """One run per action over every arrival."""
     row = jobs.agg(F.min("submit_time_seconds").alias("s"), F.max("submit_time_seconds").alias("e")).first()
@@ -271,7 +281,7 @@ def replay(
     runs: DataFrame,
     *,
     policies: Mapping[str, Policy] = POLICIES,
-    slice_seconds: float = DAY,
+    slice_seconds: float | None = None,
     quota: DataFrame | None = None,
     initial_wait: bool = False,
     node_level: bool = False,
@@ -280,6 +290,7 @@ def replay(
     """Run rows of every declared run: one row per contiguous execution of a job.
 
     ``runs``: run_id, action_id, run_start, run_end, evaluation_start, evaluation_end.
+    ``slice_seconds`` defaults to what holds about ``SLICE_ROWS`` arrivals at the mean rate.
     ``quota``: optional lane, ``time``, ``pool``, ``gpus`` admission limits for enforcing policies.
     ``initial_wait`` reads ``initial_wait_seconds`` from the jobs, seeding how long they queued.
     ``schedule``: optional run_id, ``time``, action_id policy switches inside a run.
@@ -300,7 +311,7 @@ def replay(
     guarantees = F.create_map(
         *[x for a, p in policies.items() for x in (F.lit(a), F.lit(float(p.spot_guarantee_seconds)))]
     )
-    size = float(slice_seconds)
+    size = float(slice_seconds or mean_slice(trace.jobs))
     submit = F.col("submit_time_seconds")
     tied = wildcard or schedule is not None or quota is not None
     placed = _with_lanes(jobs_of_runs(source, runs), tied, policies).withColumns(

@@ -103,7 +103,9 @@ def window_signals(
         .agg(F.sum("delta").alias("delta"))
     )
     cutoffs = trace.jobs.sparkSession.range(1).select(
-        F.explode(F.sequence(F.lit(1).cast("long"), decisions)).alias("decision")
+        F.explode(
+            F.when(decisions >= 1, F.sequence(F.lit(1).cast("long"), decisions)).otherwise(F.array())
+        ).alias("decision")
     )
     ticks = F.explode(
         F.sequence(F.lit(0).cast("long"), F.lit(samples).cast("long"))

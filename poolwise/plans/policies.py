@@ -355,7 +355,7 @@ def pairwise_deltas(spark, sf_dir):
     + ","
     + PAIR_SQL
     + f"""SELECT l.window_id, true AS window_match, l.hp_job_count = r.hp_job_count AND l.spot_job_count = r.spot_job_count AS population_match,
-  l.ledger_consistent AND r.ledger_consistent AS event_ledgers_consistent, true AS policy_actions_distinct,
+  l.ledger_consistent AND r.ledger_consistent AS event_ledgers_consistent, true AS policy_actions_distinct, true AS execution_controls_match,
   a.metric, a.value AS left_value, b.value AS right_value, round(b.value - a.value, 6) + 0.0 AS right_minus_left,
   CASE WHEN a.value <> 0 THEN round((round(b.value - a.value, 6) + 0.0) / a.value, 6) + 0.0 END AS relative_to_left, d.preferred_direction
 FROM pm l JOIN pm r ON r.window_id = l.window_id AND l.action_id = 'native-fifo' AND r.action_id = 'native-preemptive-3600'

@@ -83,7 +83,8 @@ def replay_serial(spark, sf_dir):
 def daily_runs(trace: Trace, actions, repetitions: int = 1, warmup: float = 0.25 * DAY):
     """Every complete day under every action, with a quarter day of warm-up."""
     count = complete_windows(trace.jobs)
-    grid = F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+    whole = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), count - 1))
+    grid = F.explode(F.when(count > 0, whole))
     start = F.col("w") * float(DAY)
     return (
         trace.jobs.sparkSession.range(1)

@@ -1,0 +1,108 @@
+"""Strict JSON configurations: unknown or missing fields are errors."""
+
+from __future__ import annotations
+
+from dataclasses import fields
+from typing import Any
+
+from pyspark.sql import SparkSession
+
+from ..contracts import Policy, canonical_sha256
+from ..operators.audit import Constraint, check_slo
+from ..operators.forecast import SeasonalConfig, TenantConfig
+from .store import read_json, write_json
+
+POLICY_REQUIRED = {
+    "action_id",
+    "scheduler",
+    "spot_guarantee_seconds",
+    "checkpoint_interval_seconds",
+    "preemption_overhead_seconds",
+    "placement_strategy",
+}
+#: Descriptive fields a controller file may carry besides its parameters.
+CONTROLLER_LABELS = {"schema_version", "controller_id", "model"}
+
+
+def _strict(kind, value: dict[str, Any], required: set[str], labels: set[str] = frozenset()):
+    known = {f.name for f in fields(kind)}
+    given = set(value) - labels
+    if not required <= given or not given <= known:
+        raise ValueError(
+            f"{kind.__name__}: missing {sorted(required - given)}, unknown {sorted(given - known)}"
+        )
+    return {k: tuple(v) if isinstance(v, list) else v for k, v in value.items() if k in known}
+
+
+def policy_from(value: dict[str, Any]) -> Policy:
+    return Policy(**_strict(Policy, value, POLICY_REQUIRED, {"schema_version"}))
+
+
+def slo_from(value: dict[str, Any]) -> tuple[tuple[Constraint, ...], float]:
+    """Constraints and the allocation tie band of an SLO file."""
+    constraints = []
+    for item in value["constraints"]:
+        threshold = item["threshold"]
+        if isinstance(threshold, dict):
+            if threshold.get("kind") != "baseline_relative":
+                raise ValueError(f"Unsupported threshold kind {threshold.get('kind')!r}")
+            limits = {
+                "baseline_metric": threshold["baseline_metric"],
+                "multiplier": float(threshold.get("multiplier", 1.0)),
+                "addend": float(threshold.get("addend", 0.0)),
+            }
+        else:
+            limits = {"threshold": float(threshold)}
+        constraints.append(
+            Constraint(item["id"], item["metric"], item["operator"], item["severity"], **limits)
+        )
+    check_slo(constraints)
+    return tuple(constraints), float(value["ranking"]["allocation_tie_band"])
+
+
+def controller_from(value: dict[str, Any], kind: type = SeasonalConfig) -> Any:
+    """A controller file; every parameter the dataclass declares must be spelled out."""
+    parameters = {f.name for f in fields(kind)}
+    labels = CONTROLLER_LABELS | {
+        "minimum_history_hours",
+        "retrain_interval_seconds",
+        "business_calendar",
+        "nonzero_targets_only",
+        "quantile_calibration_method",
+    }
+    labels -= parameters
+    if kind is TenantConfig and value.get("business_calendar", "weekday") != "weekday":
+        raise ValueError("Only the weekday calendar is available")
+    return kind(**_strict(kind, value, parameters, labels))
+
+
+def lock_selection(
+    spark: SparkSession, path: str, design_fingerprint: str, selected: list[str], holdout_results: int
+) -> dict[str, Any]:
+    """Freeze a calibration choice; refused once any holdout result exists."""
+    if holdout_results:
+        raise ValueError("Holdout results already exist; the selection cannot be frozen")
+    lock: dict[str, Any] = {
+        "design_fingerprint": design_fingerprint,
+        "selected_arm_ids": sorted(selected),
+        "selection_status": "no_eligible_arm"
+        if not selected
+        else "selected"
+        if len(selected) == 1
+        else "tie_requires_human_approval",
+        "holdout_result_count_at_freeze": 0,
+    }
+    lock["selection_lock_fingerprint"] = canonical_sha256(lock)
+    write_json(spark, path, lock)
+    return lock
+
+
+def verify_lock(spark: SparkSession, path: str, design_fingerprint: str) -> dict[str, Any]:
+    """The lock a holdout run must present."""
+    lock = read_json(spark, path)
+    payload = {k: v for k, v in lock.items() if k != "selection_lock_fingerprint"}
+    if canonical_sha256(payload) != lock.get("selection_lock_fingerprint"):
+        raise ValueError("Selection lock is invalid")
+    if lock["design_fingerprint"] != design_fingerprint or lock["holdout_result_count_at_freeze"]:
+        raise ValueError("Selection lock belongs to another study or followed holdout results")
+    return lock

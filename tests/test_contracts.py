@@ -119,3 +119,44 @@ def test_wildcards_keep_every_node(spark):
     named = slicing.slice_prefix(make(spark), 100.0, {"A"})
     assert {r.gpu_model for r in named.nodes.collect()} == {"A"}
     assert named.jobs.where(F.col("gpu_model") == "B").count() == 0
+
+
+def test_configs_are_strict(spark):
+    from poolwise.sources.configs import lock_selection, policy_from, slo_from, verify_lock
+
+    policy = {
+        "schema_version": "x", "action_id": "a", "scheduler": "fifo", "spot_guarantee_seconds": 0,
+        "checkpoint_interval_seconds": 60, "preemption_overhead_seconds": 0,
+        "placement_strategy": "deterministic_best_fit",
+    }
+    assert policy_from(policy).action_id == "a"
+    with pytest.raises(ValueError):
+        policy_from({**policy, "node_id": "n1"})
+    relative = {"kind": "baseline_relative", "baseline_metric": "hp_jct_p95_seconds", "multiplier": 1.01}
+    item = {"id": "x", "metric": "hp_jct_p95_seconds", "operator": "<=", "severity": "hard", "threshold": relative}
+    constraints, band = slo_from({"constraints": [item], "ranking": {"allocation_tie_band": 0.01}})
+    assert constraints[0].multiplier == 1.01 and band == 0.01
+    path = tempfile.mkdtemp(prefix="poolwise-lock-") + "/lock.json"
+    lock_selection(spark, path, "d", ["fifo"], 0)
+    assert verify_lock(spark, path, "d")["selection_status"] == "selected"
+    with pytest.raises(ValueError):
+        verify_lock(spark, path, "other")
+    with pytest.raises(ValueError):
+        lock_selection(spark, path, "d", ["fifo"], 1)
+
+
+def test_aggregate_eta_law(spark):
+    from poolwise.operators.forecast import aggregate_eta_trajectory
+
+    rows = [
+        ("c", 0, 0.0, 0.4, True, 1.0),
+        ("c", 1, 300.0, 0.0, True, 1.0),
+        ("c", 2, 600.0, 0.1, True, 1.0),
+        ("c", 3, 4000.0, None, False, 1.0),
+        ("c", 4, 4300.0, None, False, 0.0),
+    ]
+    df = spark.createDataFrame(
+        rows, "k string, tick long, now_seconds double, eviction_rate double, new_runs boolean, spot_backlog_gpus double"
+    )
+    got = [r.eta for r in aggregate_eta_trajectory(df, ["k"]).orderBy("tick").collect()]
+    assert got == pytest.approx([0.25, 0.275, 0.275, 0.3025, 0.3025])
