@@ -278,8 +278,10 @@ req AS (SELECT p.*, capacity_gpus, greatest(0.0::DOUBLE, least(capacity_gpus, gr
 tm0 AS (SELECT gpu_model, gpu_count, tenant_id, 0 AS src, submit_time_seconds AS t, job_id FROM done WHERE service_class = 'HP' AND submit_time_seconds > {CUTOFF} - {HORIZON}
   UNION ALL SELECT gpu_model, gpu_count, tenant_id, 1, 0.0, job_id FROM est WHERE service_class = 'HP'),
 tm AS (SELECT gpu_model, gpu_count, tenant_id, row_number() OVER (PARTITION BY gpu_model ORDER BY src, t, job_id) - 1 AS pos, count(*) OVER (PARTITION BY gpu_model) AS n FROM tm0),
-sl AS (SELECT req.gpu_model, pi, target, r, i, greatest(r / 256, tm.gpu_count) AS size, tenant_id FROM req CROSS JOIN range(0, 256) s(i)
-  JOIN tm ON tm.gpu_model = req.gpu_model AND tm.pos = (pi + i) % tm.n WHERE r > 1e-9),
+tc AS (SELECT gpu_model, count(*) AS n FROM tm0 GROUP BY 1),
+sl AS (SELECT req.gpu_model, pi, target, r, i, greatest(r / 256, coalesce(tm.gpu_count, least(r, greatest(1.0::DOUBLE, capacity_gpus / 64)))) AS size,
+    coalesce(tm.tenant_id, 'forecast-aggregate') AS tenant_id FROM req CROSS JOIN range(0, 256) s(i) LEFT JOIN tc ON tc.gpu_model = req.gpu_model
+  LEFT JOIN tm ON tm.gpu_model = req.gpu_model AND tm.pos = (pi + i) % tc.n WHERE r > 1e-9),
 cs AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY pi ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS before FROM sl)
 SELECT gpu_model, CAST(pi AS INT) AS point_index, target AS target_time_seconds, CAST(i AS INT) AS piece_index, round(least(size, r - before), 6) AS gpu_count, tenant_id
 FROM cs WHERE r - before > 1e-9""",
