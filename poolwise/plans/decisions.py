@@ -70,7 +70,7 @@ def workload_signals(spark, sf_dir):
 
 def cutoff_states(spark, sf_dir):
     trace = trace_from_tables(spark, sf_dir)
-    long = _signals(spark, sf_dir, DAY)
+    long = cut_lineage(_signals(spark, sf_dir, DAY))
     # The forecast summary here is the long window's own peak, its raw quantile five percent lower.
     peaks = long.select(
         "decision",
