@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat import format_chat, read_chat
 from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_groups
 from .near_dedup import near_groups
 from .packing import pack
 from .token_files import token_digests
+from .url_filter import judge
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -22,6 +25,17 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+PROBE_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.col("id").alias("turn")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), turn, role, F.lit(PROBE_TEXT).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_chat(format_chat(turns.unionByName(probe)))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -34,6 +48,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
 
@@ -56,6 +74,25 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(comp.c, w.doc_id) AS c
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN cls USING (doc_id) LEFT JOIN comp ON comp.rep = cls.rep
 """
 
+OP2_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+o AS (SELECT *, role IN ('system', 'user', 'assistant') AS known,
+             lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS prev,
+             lead(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS next,
+             replace(replace(replace(text, '\', '\\'), '#', '\#'), '<', '\<') AS body,
+             replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '<', '\<'), ':', '\:') AS shown FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('### ') + CASE WHEN known THEN length(role) ELSE length(shown) + 1 END + length(': ') + length(body) + length('</turn>') + 1) AS BIGINT) AS formatted_chars,
+       bool_and(CASE WHEN prev IS NULL THEN role IN ('system', 'user') WHEN prev IN ('system', 'assistant') THEN role = 'user'
+                     WHEN prev = 'user' THEN role = 'assistant' ELSE false END AND (next IS NOT NULL OR role = 'assistant')) AS valid
+FROM o GROUP BY conv_id
+"""
+
 OP3_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -81,10 +118,12 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_chat_format": op2_chat_format,
     "op3_exact_dedup": op3_exact_dedup,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
+    "op9_url_filter": op9_url_filter,
     "op10_token_files": op10_token_files,
 }
 
-ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op8_decontamination": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_decontamination": OP8_SQL}
