@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolwise.session import ensure_checkpoint_dir
+from poolwise.session import ensure_checkpoint_dir, ship_package
 
 #: Bytes of text that a task turns into Python objects at once.
 SLICE_BYTES = 4 << 20
@@ -19,6 +19,7 @@ _STAGED: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
