@@ -12,6 +12,8 @@ from .chat import format_chat, read_chat
 from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_groups
+from .language_id import identify
+from .lm_score import scores
 from .near_dedup import near_groups
 from .packing import pack
 from .token_files import token_digests
@@ -40,6 +42,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY)).drop("loss_tokens")
 
@@ -120,6 +130,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_chat_format": op2_chat_format,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_language_id": op4_language_id,
+    "op6_lm_scores": op6_lm_scores,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
