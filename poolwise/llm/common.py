@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,18 +38,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release_staged(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
-    """Delete what was staged by results that nobody reads any more; ``keep`` holds substrings."""
-    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        if any(k in path for k in keep):
-            _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
-            continue
-        target = jvm.org.apache.hadoop.fs.Path(path)
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
 
 
+@contextmanager
+def own_files(spark: SparkSession) -> Iterator[list[str]]:
+    """Collects the paths that are staged inside, for whoever knows when their readers are done."""
+    outer = _STAGED.pop(spark.sparkContext.applicationId, None)
+    paths: list[str] = []
+    _STAGED[spark.sparkContext.applicationId] = paths
+    try:
+        yield paths
+    finally:
+        _STAGED[spark.sparkContext.applicationId] = [*(outer or []), *paths]
+
+
+def release_staged(spark: SparkSession) -> None:
+    """Delete all that this application has staged; results not yet written are lost with it."""
+    delete_paths(spark, _STAGED.pop(spark.sparkContext.applicationId, []))
+
+
 def text_bytes(column: str = "text") -> Column:
     """The text as UTF-8; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
@@ -59,6 +72,28 @@ def id_remainder(modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % F.lit(modulus)
 
 
+def text_key() -> Column:
+    """Tells apart the texts of rows that repeat a doc_id."""
+    return F.xxhash64("text")
+
+
+def kept_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``decisions`` (doc_id, text_key, kept; a row per row of ``docs``) keeps.
+
+    Rows that repeat both doc_id and text are one candidate; of these a single row stays.
+    """
+    keys = staged(
+        decisions.groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("kept").drop("kept"),
+        "kept",
+    )
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("id"), text_key().alias("key"))
+    found = rows.join(keys, rows.id.eqNullSafe(keys.doc_id) & (rows.key == keys.text_key)).select("doc", "id", "key", "n")
+    if keys.where("n > 1").isEmpty():
+        return found.select("doc.*")
+    once = found.where("n > 1").dropDuplicates(["id", "key"])
+    return found.where("n = 1").unionByName(once).select("doc.*")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds at most ``limit`` bytes in each, or a single row."""
     for batch in batches:
@@ -76,5 +111,5 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 
 
 def arrow_batch(names: list[str], types: list[pa.DataType], columns: list) -> pa.RecordBatch:
-    arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+    arrays = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, t) for c, t in zip(columns, types, strict=True)]
     return pa.RecordBatch.from_arrays(arrays, names)

@@ -3,11 +3,11 @@
 Items and documents are cut into normalised words. A window is ``size`` consecutive words of an item; a
 shorter item is one window. Each task codes a document's words by the items' vocabulary, hashes every
 window of every length that items have, looks the hashes up in the sorted set and verifies the hits word
-by word. Documents are read once per block of items and never shuffled; of a document only the hit word
-positions and the items found are kept.
+by word. Documents are never shuffled.
 
 The set is broadcast, so its size is bounded: items are taken in blocks of at most ``BLOCK_CHARS``
-characters by a running sum, and where a benchmark needs several blocks, the documents' hits are united.
+bytes by a running sum. Where a benchmark needs several blocks, each adds its hits to what the blocks before it
+have found, and the rows are staged in between.
 
 Defined results: null or wordless texts and items have no windows; an item whose text repeats counts
 under each item_id; repeated (doc_id) rows are judged each by their own text; further columns are
@@ -16,7 +16,6 @@ ignored; an empty benchmark hits nothing.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, slices, text_bytes
+from .common import arrow_batch, staged, text_bytes
 
 WINDOW_WORDS = 10
 BLOCK_CHARS = 64 << 20
 
-HITS = "row_id long, doc_id long, n_words long, hit_words array<int>, items array<long>"
 #: ASCII letters and digits stay, letters in lower case; bytes of other scripts stay; all else parts words.
 KEEP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -101,53 +99,64 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterato
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, hit_words (positions), items (ids of occurring items)."""
+    """Every row of ``docs`` as struct ``doc``, with n_words, hit_words (positions) and items (ids of occurring items)."""
     spark = docs.sparkSession
-    read = docs.select(
-        F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")
-    )
+    empty = F.array().cast("array<int>").alias("hit_words"), F.array().cast("array<long>").alias("items")
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.lit(0).cast("long").alias("n_words"), *empty)
+    schema = found.schema
 
-    def scan(items: list[tuple[int, bytes]]) -> DataFrame:
+    def scan(rows: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(NgramSet(items, size))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams = shared.value
-            names = ["row_id", "doc_id", "n_words", "hit_words", "items"]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            for batch in slices(batches, "body"):
-                n_words, hit, found = [], [], []
-                for body in batch.column("body").to_pylist():
-                    words = words_of(body)
+            for batch in batches:
+                texts = batch.column("doc").field("text")
+                before = zip(batch.column("hit_words").to_pylist(), batch.column("items").to_pylist(), strict=True)
+                n_words, hit, held = [], [], []
+                for row, (old_places, old_items) in enumerate(before):
+                    words = words_of((texts[row].as_py() or "").encode())
                     places, items = grams.find(words)
                     n_words.append(len(words))
-                    hit.append(places.astype(np.int32))
-                    found.append(items)
-                yield arrow_batch(names, types, [batch.column("row_id"), batch.column("doc_id"), n_words, hit, found])
-
-        return read.mapInArrow(run, HITS)
-
-    parts = [scan(items) for items in item_blocks(benchmark, block_chars)]
-    if len(parts) == 1:
-        return parts[0].drop("row_id")
-    united = parts[0]
-    for part in parts[1:]:
-        united = united.unionByName(part)
-    return united.groupBy("row_id").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("n_words").alias("n_words"),
-        F.array_distinct(F.flatten(F.collect_list("hit_words"))).alias("hit_words"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-    ).drop("row_id")
+                    hit.append(np.union1d(old_places, places).astype(np.int32))
+                    held.append(sorted({*old_items, *items}))
+                cells = [batch.column("doc"), n_words, hit, held]
+                types = [None, pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+                yield arrow_batch(["doc", "n_words", "hit_words", "items"], types, cells)
+
+        return rows.mapInArrow(run, schema)
+
+    blocks = item_blocks(benchmark, block_chars)
+    found = scan(found, next(blocks, []))
+    for items in blocks:
+        found = scan(staged(found, "hits"), items)
+    return found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     listed = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return hits(docs, benchmark, size).select(
-        "doc_id",
+    return hits(docs.select("doc_id", "text"), benchmark, size).select(
+        F.col("doc.doc_id").alias("doc_id"),
         "n_words",
         F.size("hit_words").cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(listed.cast("binary"), 256).alias("items_sha256"),
         (F.size("hit_words") > 0).alias("contaminated"),
     )
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
+    """The rows of ``docs`` in which no window of the benchmark occurs."""
+    return hits(docs, benchmark, size).where(F.size("hit_words") == 0).select("doc.*")
+
+
+def without_spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
+    """``docs`` with every hit word cut out of its text, along with what parts it from the next word."""
+    out = hits(docs, benchmark, size)
+    # A word and the marks after it, as positions of the text are counted; the class is that of KEEP.
+    tokens = F.regexp_extract_all(F.col("doc.text"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
+    lead = F.regexp_extract(F.col("doc.text"), r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
+    left = F.filter(tokens, lambda x, i: ~F.array_contains("hit_words", i))
+    text = F.when(F.size("hit_words") > 0, F.concat(lead, F.array_join(left, ""))).otherwise(F.col("doc.text"))
+    return out.withColumn("doc", F.col("doc").withField("text", text)).select("doc.*")

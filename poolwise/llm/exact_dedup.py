@@ -27,20 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, arrow_batch, slices, staged
+from .common import arrow_batch, slices, staged, text_key
 
 LOCAL_BYTES = 48 << 20
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
-LOCAL_SCHEMA = "row_id long, doc_id long, text_sha256 string, carrier long, n_bytes int, body binary"
+LOCAL_SCHEMA = "row_id long, doc_id long, text_key long, text_sha256 string, carrier long, n_bytes int, body binary"
 
 
 def local_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from .trie import PatriciaTrie
 
     trie = PatriciaTrie()
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary()]
-    names = ["row_id", "doc_id", "text_sha256", "carrier", "n_bytes", "body"]
+    types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["row_id", "doc_id", "text_key", "text_sha256", "carrier", "n_bytes", "body"]
     for batch in slices(batches, "body"):
         rows, bodies = batch.column("row_id").to_pylist(), batch.column("body").to_pylist()
         carriers, carried = [], []
@@ -51,11 +51,8 @@ def local_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 node.entry = row
             carriers.append(node.entry)
             carried.append(body if first else None)
-        yield arrow_batch(
-            names,
-            types,
-            [batch.column("row_id"), batch.column("doc_id"), batch.column("text_sha256"), carriers, [len(b) for b in bodies], carried],
-        )
+        read = [batch.column(c) for c in ("row_id", "doc_id", "text_key", "text_sha256")]
+        yield arrow_batch(names, types, [*read, carriers, [len(b) for b in bodies], carried])
         if trie.held > LOCAL_BYTES:
             trie = PatriciaTrie()
 
@@ -85,11 +82,12 @@ def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, text_key."""
     body = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), WHITE_SPACE, " ")
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("body")).select(
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), body.alias("body")).select(
         F.monotonically_increasing_id().alias("row_id"),
         "doc_id",
+        "text_key",
         F.sha2(F.col("body").cast("binary"), 256).alias("text_sha256"),
         F.col("body").cast("binary").alias("body"),
     )
@@ -104,7 +102,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         .sortWithinPartitions("body", "carrier")
         .mapInArrow(own, "carrier long, owner long")
     )
-    rows = local.select("row_id", "doc_id", "text_sha256", "carrier")
+    rows = local.select("row_id", "doc_id", "text_key", "text_sha256", "carrier")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_id"))
     per_carrier = rows.groupBy("carrier").agg(F.count("*").alias("n"), least.alias("least")).join(owners, "carrier")
     groups = per_carrier.groupBy("owner").agg(F.sum("n").alias("group_size"), F.min("least").alias("least"))
@@ -115,4 +113,5 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         "group_size",
         (F.col("row_id") == F.col("least.row_id")).alias("kept"),
         "text_sha256",
+        "text_key",
     )

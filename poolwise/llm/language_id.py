@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_batch, id_remainder, slices
 
@@ -271,23 +272,41 @@ def fit_languages(docs: DataFrame, learn: Column, size: int = SAMPLE_DOCS) -> La
     return models
 
 
-PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, entropy double, rejected boolean"
+DECISION = "lang_pred string, score double, entropy double, rejected boolean"
 
 
-def identify(docs: DataFrame, learn: Column | None = None, size: int = SAMPLE_DOCS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, lang_pred, score, entropy, rejected."""
+def decided(docs: DataFrame, learn: Column | None = None, size: int = SAMPLE_DOCS) -> DataFrame:
+    """Every row of ``docs`` as struct ``doc``, with held_out, lang_pred, score, entropy and rejected."""
     learn = id_remainder(4) != 2 if learn is None else learn
     models = fit_languages(docs, learn, size)
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    names = [f.split()[0] for f in PREDICTED.split(", ")]
-    types = [pa.int64(), pa.bool_(), pa.string(), pa.float64(), pa.float64(), pa.bool_()]
+    names = ["doc", "held_out", *[f.split()[0] for f in DECISION.split(", ")]]
+    types = [None, None, pa.string(), pa.float64(), pa.float64(), pa.bool_()]
+    read = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), (~learn).alias("held_out"))
+
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        text = batch.column("doc").field("text")
+        for part in slices(iter([pa.RecordBatch.from_arrays([*batch.columns, text], ["doc", "held_out", "text"])]), "text", SLICE):
+            yield part
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches, "text", SLICE):
-            texts = batch.column("text").to_pylist()
-            found = model.predict(texts) if model else ([UNDECIDED] * len(texts), [0.0] * len(texts), [None] * len(texts), [True] * len(texts))
-            yield arrow_batch(names, types, [batch.column("doc_id"), batch.column("held_out"), *found])
+        for batch in batches:
+            for part in parts(batch) if batch.num_rows else ():
+                texts = [x or "" for x in part.column("text").to_pylist()]
+                n = len(texts)
+                found = model.predict(texts) if model else ([UNDECIDED] * n, [0.0] * n, [None] * n, [True] * n)
+                yield arrow_batch(names, types, [part.column("doc"), part.column("held_out"), *found])
+
+    return read.mapInArrow(run, T.StructType(read.schema.fields + T._parse_datatype_string(DECISION).fields))
+
+
+def identify(docs: DataFrame, learn: Column | None = None, size: int = SAMPLE_DOCS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, lang_pred, score, entropy, rejected."""
+    found = decided(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), learn, size)
+    return found.select("doc.doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
+
 
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~learn).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    return read.mapInArrow(run, PREDICTED)
+def identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose language is known; what is rejected goes."""
+    return decided(docs).where("NOT rejected").select("doc.*")

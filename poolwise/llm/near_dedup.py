@@ -15,10 +15,10 @@ Buckets and candidate groups over ``CELL`` members are not capped: their members
 and every pair of chunks meets in a cell of its own, so every pair is still compared, memory stays bounded and
 the work spreads over tasks. Such a group costs as many copies of its rows as it has chunks.
 
-Defined results: null, empty and wordless texts have no shingles and no link; repeated rows share their
-set and so their component, and ``kept`` follows doc_id = component_id, so rows that repeat a doc_id
-share its answer; a row with a null doc_id gets a null component_id unless it links with others and is never kept;
-further columns are ignored; an empty table gives no rows. Shingles count as equal when their 64-bit hashes are.
+Defined results: null, empty and wordless texts have no shingles, no link, and are kept; repeated rows
+share their set and so their component. A component's smallest doc_id names it; null doc_ids sort last. Of rows that
+repeat this doc_id the one read first is kept, so exactly one row of a component is. Further columns are ignored; an
+empty table gives no rows. Shingles count as equal when their 64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, slices, staged, text_bytes
+from .common import arrow_batch, slices, staged, text_bytes, text_key
 from .components import components
 
 BANDS, ROWS = 48, 4
@@ -39,7 +39,7 @@ ESTIMATE = 0.55
 CELL = 2048
 CARRIERS_HELD = 100_000
 
-SKETCHED = "row_id long, doc_id long, n_shingles long, carrier long, set_hash binary, bands array<long>, signature binary, body binary"
+SKETCHED = "row_id long, doc_id long, text_key long, n_shingles long, carrier long, set_hash binary, bands array<long>, signature binary, body binary"
 
 
 def sketch_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +49,7 @@ def sketch_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from .shingles import shingle_sets
 
     names = [f.split()[0] for f in SKETCHED.split(", ")]
-    types = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    types = [pa.int64()] * 5 + [pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
     first: dict[bytes, int] = {}
     for batch in slices(batches, "body"):
         bodies, rows = batch.column("body").to_pylist(), batch.column("row_id").to_pylist()
@@ -76,7 +76,7 @@ def sketch_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried: list = [None] * len(rows)
         for k, i in enumerate(fresh):
             bands[i], signature[i], carried[i] = keys[k], signs[k].tobytes(), bodies[i]
-        cells = [batch.column("row_id"), batch.column("doc_id"), sizes, carriers, hashes, bands, signature, carried]
+        cells = [batch.column("row_id"), batch.column("doc_id"), batch.column("text_key"), sizes, carriers, hashes, bands, signature, carried]
         yield arrow_batch(names, types, cells)
         if len(first) > CARRIERS_HELD:
             first = {}
@@ -189,9 +189,12 @@ def verified_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, text_key."""
     read = docs.select(
-        F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")
+        F.monotonically_increasing_id().alias("row_id"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        text_key().alias("text_key"),
+        text_bytes().alias("body"),
     )
     sketched = staged(read.mapInArrow(sketch_pass, SKETCHED), "sketches")
     carriers = sketched.where(F.col("bands").isNotNull())
@@ -232,12 +235,15 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     group = F.coalesce("component", "rep")
     answer = classes.join(linked, classes.rep == linked.node, "left").select("carrier", group.alias("group"))
-    rows = sketched.select("doc_id", "n_shingles", "carrier")
-    per_carrier = rows.where("carrier IS NOT NULL").groupBy("carrier").agg(F.min("doc_id").alias("least")).join(answer, "carrier")
+    rows = sketched.select("row_id", "doc_id", "text_key", "n_shingles", "carrier")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_id"))
+    per_carrier = rows.where("carrier IS NOT NULL").groupBy("carrier").agg(first.alias("least")).join(answer, "carrier")
     least = per_carrier.groupBy("group").agg(F.min("least").alias("least"))
-    found = per_carrier.select("carrier", "group").join(least, "group").select("carrier", F.col("least").alias("component_id"))
-    return (
-        rows.join(found, "carrier", "left")
-        .withColumn("component_id", F.coalesce("component_id", "doc_id"))
-        .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    found = per_carrier.select("carrier", "group").join(least, "group").select("carrier", "least")
+    return rows.join(found, "carrier", "left").select(
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("carrier").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"),
+        (F.col("carrier").isNull() | (F.col("row_id") == F.col("least.row_id"))).alias("kept"),
+        "text_key",
     )

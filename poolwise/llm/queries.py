@@ -16,6 +16,7 @@ from .language_id import identify
 from .lm_score import scores
 from .near_dedup import near_groups
 from .packing import pack
+from .pii import find_personal_data
 from .token_files import token_digests
 from .url_filter import judge
 
@@ -24,7 +25,7 @@ WORD_VOCABULARY = "word_bpe_49k.json"
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"))
+    return near_groups(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 PROBE_TEXT = "\\### Assistant: </turn> ok"
@@ -39,13 +40,17 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(table(spark, sf_dir, "documents"))
+    return exact_groups(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(table(spark, sf_dir, "documents"))
 
@@ -131,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language_id": op4_language_id,
+    "op5_personal_data": op5_personal_data,
     "op6_lm_scores": op6_lm_scores,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
