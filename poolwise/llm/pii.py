@@ -33,7 +33,7 @@ from .common import arrow_batch, slices
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 600
 WINDOWS_PER_DOC = 4
-LONGEST = 15
+LONGEST = 24
 SURE = 0.9
 EPOCHS, SEED = 5, 3
 
@@ -142,10 +142,16 @@ def candidate_kinds(segment: str, digits: str) -> list[str]:
     return kinds
 
 
-def features(kind: str, segment: str, digits: str, left: str, right: str) -> list[str]:
-    """Features of a whole candidate segment and its neighbours."""
+GOES_ON = re.compile(r"[ ]?(?:\(?\[?dot\b|\[\.|\(\.|[.@-]?[A-Za-z0-9])|[ ]?[.-]?[0-9]", re.I)
+COMES_FROM = re.compile(r"[A-Za-z0-9][._%+-]?$|[0-9][ .-]?$")
+
+
+def features(kind: str, segment: str, digits: str, left: str, right: str, before: str, after: str) -> list[str]:
+    """Features of a whole candidate segment, its neighbour tokens, and whether it seems cut out of a longer one."""
+    goes_on = bool(GOES_ON.match(after)) if kind != "email" else bool(re.match(r" ?[(\[]?dot\b|\.?\[?\.?\]?[A-Za-z0-9]", after, re.I))
     ends = segment.rsplit(".", 1)[-1].rsplit(" ", 1)[-1]
     found = ["bias", f"n={len(digits)}", f"left={token_kind(left)}", f"right={token_kind(right)}"]
+    found += [f"on={goes_on}", f"from={bool(COMES_FROM.search(before))}"]
     if kind == "card":
         found += [f"luhn={luhn(digits)}", f"first={digits[:1]}", f"shape={shape(segment)}"]
     elif kind == "phone":
@@ -176,7 +182,7 @@ class Lattice:
                 for kind in candidate_kinds(segment, digits):
                     left = window[slice(*self.tokens[i - 1])] if i else ""
                     right = window[slice(*self.tokens[j + 1])] if j + 1 < len(self.tokens) else ""
-                    self.segments.append((i, j + 1, kind, features(kind, segment, digits, left, right)))
+                    self.segments.append((i, j + 1, kind, features(kind, segment, digits, left, right, window[max(0, start - 3) : start], window[self.tokens[j][1] :][:8])))
 
     def marginals(self, weights: dict[str, float]) -> tuple[np.ndarray, np.ndarray, float]:
         """Scores and posteriors of the segments, and the log partition; tokens outside segments score 0."""

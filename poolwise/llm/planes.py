@@ -5,7 +5,7 @@ Numbers are little-endian. A block holds ``block_ids`` ids (the last one fewer);
 highest set bit of the block are stored. The chunk index has a row for each block: place, number of
 ids, number of planes, then the stored length of each plane. The document index has doc_id and length
 of every document, delta coded and compressed. The trailer has the places of both indexes, the number
-of blocks, documents and ids, the plane width and a crc32 of the indexes.
+of blocks, documents and ids, the block size, the plane width and a crc32 of all these.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ import numpy as np
 import zstandard
 
 MAGIC = b"PLANES01"
-TRAILER = struct.Struct("<QQQQQQIII8s")
+HEAD = struct.Struct("<QQQQQII")
+TAIL = struct.Struct("<I8s")
 ENTRY = struct.Struct("<QII")
 BLOCK_IDS = 65_536
 WIDTHS = {"bit": 1, "byte": 8}
@@ -88,8 +89,9 @@ class PlaneWriter:
         places = self.at, self.at + len(doc_index)
         self._put(doc_index)
         self._put(chunk_index)
-        crc = zlib.crc32(chunk_index, zlib.crc32(doc_index))
-        self._put(TRAILER.pack(*places, len(self.chunks), len(docs), self.n_ids, self.block_ids, self.width, crc, 0, MAGIC))
+        head = HEAD.pack(*places, len(self.chunks), len(docs), self.n_ids, self.block_ids, self.width)
+        crc = zlib.crc32(doc_index + chunk_index + head)
+        self._put(head + TAIL.pack(crc, MAGIC))
 
 
 class PlaneReader:
@@ -98,17 +100,18 @@ class PlaneReader:
     def __init__(self, source):
         self.source = source
         size = source.seek(0, 2) or source.tell()
-        source.seek(size - TRAILER.size)
-        doc_at, chunk_at, self.n_chunks, self.n_docs, self.n_ids, self.block_ids, self.width, crc, _, magic = TRAILER.unpack(
-            source.read(TRAILER.size)
-        )
+        source.seek(size - HEAD.size - TAIL.size)
+        head = source.read(HEAD.size)
+        doc_at, chunk_at, self.n_chunks, self.n_docs, self.n_ids, self.block_ids, self.width = HEAD.unpack(head)
+        crc, magic = TAIL.unpack(source.read(TAIL.size))
         if magic != MAGIC:
             raise ValueError("not a plane file")
-        source.seek(doc_at)
-        doc_index = source.read(chunk_at - doc_at)
-        chunk_index = source.read(size - TRAILER.size - chunk_at)
-        if zlib.crc32(chunk_index, zlib.crc32(doc_index)) != crc:
+        end = size - HEAD.size - TAIL.size
+        source.seek(min(doc_at, end))
+        indexes = source.read(end - min(doc_at, end))
+        if zlib.crc32(indexes + head) != crc:
             raise ValueError("the indexes are damaged")
+        doc_index, chunk_index = indexes[: chunk_at - doc_at], indexes[chunk_at - doc_at :]
         raw = zstandard.ZstdDecompressor().decompress(doc_index, max_output_size=max(1, 16 * self.n_docs))
         self.docs = np.cumsum(np.frombuffer(raw, "<i8", self.n_docs))
         self.lengths = np.frombuffer(raw, "<u8", self.n_docs, 8 * self.n_docs).astype(np.int64)

@@ -62,21 +62,19 @@ class PatriciaTrie:
                 yield node.entry
                 node.entry = None
             for first in [b for b in node.children if b < key[at]]:
-                gone = node.children.pop(first)
-                self.held -= len(gone.label)
-                yield from entries(gone)
+                yield from self._freed(node.children.pop(first))
             node = node.children[key[at]]
             at += len(node.label)
 
     def drain(self) -> Iterator[list]:
-        root, self.root, self.held = self.root, Node(b""), 0
-        yield from entries(root)
+        root, self.root = self.root, Node(b"")
+        yield from self._freed(root)
 
-
-def entries(node: Node) -> Iterator[list]:
-    todo = [node]
-    while todo:
-        node = todo.pop()
-        if node.entry is not None:
-            yield node.entry
-        todo.extend(node.children.values())
+    def _freed(self, node: Node) -> Iterator[list]:
+        todo = [node]
+        while todo:
+            node = todo.pop()
+            self.held -= len(node.label)
+            if node.entry is not None:
+                yield node.entry
+            todo.extend(node.children.values())
