@@ -9,46 +9,43 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .contracts import HOUR, MULTIWINDOW_ACTIONS, POLICIES, Trace
+from .contracts import HOUR, MULTIWINDOW_ACTIONS, Trace
 from .operators import audit, compare, forecast, observation, profile, ranking, slicing
-from .operators.decision_loop import rolling_decisions
 from .operators.metrics import metrics_report
-from .operators.predictive import predictive_replay
-from .operators.replay import replay, whole_trace_runs
 from .operators.slicing import total_capacity
 from .session import build_session
-from .sources import importers
-from .sources.store import read_trace, write_trace
+from .sources import configs, importers
+from .sources.store import read_json, read_trace, write_trace
 
 W = ["window_id"]
 
 
-def _show(df: DataFrame, limit: int = 200) -> list[dict]:
-    rows = [json.loads(text) for text in df.select(F.to_json(F.struct("*"))).limit(limit).toPandas().iloc[:, 0]]
-    print(json.dumps(rows, indent=2, sort_keys=True, ensure_ascii=False))
-    return rows
+def _show(df: DataFrame, limit: int | None = None) -> None:
+    """Print all rows as one JSON list, a partition at a time; with a limit, say how many there are."""
+    rows = df.select(F.to_json(F.struct("*")).alias("row"))
+    shown = rows if limit is None else rows.limit(limit)
+    print("[", end="")
+    for i, row in enumerate(shown.toLocalIterator()):
+        body = json.dumps(json.loads(row["row"]), indent=2, sort_keys=True, ensure_ascii=False)
+        print(",\n" if i else "\n", body, sep="", end="")
+    print("\n]")
+    if limit is not None:
+        print(f"at most {limit} of {rows.count()} rows shown", file=sys.stderr)
 
 
-def _runs(trace: Trace, action: str) -> DataFrame:
-    runs = whole_trace_runs(trace.jobs, [action])
-    if trace.evaluation_start_seconds is None:
-        return runs
-    return runs.withColumns(
-        {
-            "evaluation_start": F.lit(trace.evaluation_start_seconds),
-            "evaluation_end": F.lit(trace.evaluation_end_seconds),
-        }
-    )
+def _verdict(df: DataFrame, passed: str) -> int:
+    """0 if there are rows and all of them pass; judged over every row, whatever is printed."""
+    row = df.agg(F.count("*").alias("n"), F.bool_and(F.coalesce(passed, F.lit(False))).alias("ok")).first()
+    return 0 if row.n and row.ok else 1
 
 
-def _save_replay(trace: Trace, runs: DataFrame, rows: DataFrame, out: str) -> None:
-    rows.write.mode("errorifexists").partitionBy("action_id").parquet(f"{out}/runs")
-    written = rows.sparkSession.read.parquet(f"{out}/runs")
-    report = metrics_report(written, runs, total_capacity(trace.nodes)).withColumn(
-        "window_id", F.lit(trace.trace_id)
-    )
-    report.write.mode("errorifexists").parquet(f"{out}/metrics")
-    _show(report.sparkSession.read.parquet(f"{out}/metrics"))
+def _report(df: DataFrame, a, passed: str | None = None) -> int:
+    """Write the full report if a folder is named, print it, and judge it."""
+    if a.out:
+        df.write.mode("errorifexists").parquet(a.out)
+        df = df.sparkSession.read.parquet(a.out)
+    _show(df, a.limit)
+    return _verdict(df, passed) if passed else 0
 
 
 def _metrics(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -59,9 +56,13 @@ def _metrics(spark: SparkSession, paths: list[str]) -> DataFrame:
     return merged
 
 
-def _audited(metrics: DataFrame) -> DataFrame:
-    rows = audit.audit_constraints(metrics, W, carry=["ledger_consistent"])
-    return audit.audit_summary(rows, ["window_id", "action_id"])
+def _slo(spark: SparkSession, path: str | None) -> tuple[tuple[audit.Constraint, ...], float]:
+    return configs.slo_from(read_json(spark, path)) if path else (audit.DEMO_SLO, audit.ALLOCATION_TIE_BAND)
+
+
+def _audited(metrics: DataFrame, constraints) -> DataFrame:
+    rows = audit.audit_constraints(metrics, W, constraints=constraints, carry=audit.EVIDENCE)
+    return audit.audit_summary(rows, ["window_id", "action_id"], constraints)
 
 
 def validate_trace(spark, a):
@@ -123,43 +124,21 @@ def slice_trace(spark, a):
     write_trace(spark, a.out, part, {"parent_trace_id": trace.trace_id}, data_format=a.format)
 
 
-def simulate(spark, a):
-    trace = read_trace(spark, a.trace)
-    runs = _runs(trace, a.policy)
-    _save_replay(trace, runs, replay(trace, runs, slice_seconds=a.slice_seconds), a.out)
-
-
-def simulate_predictive(spark, a):
-    trace = read_trace(spark, a.trace)
-    runs = _runs(trace, a.policy)
-    rows = predictive_replay(trace, runs, POLICIES[a.policy], slice_seconds=a.slice_seconds)
-    _save_replay(trace, runs, rows, a.out)
-
-
-def simulate_rolling(spark, a):
-    trace = read_trace(spark, a.trace)
-    start, end = trace.evaluation_start_seconds, trace.evaluation_end_seconds
-    if start is None:
-        raise ValueError("simulate-rolling needs an evaluation trace")
-    windows = spark.createDataFrame(
-        [(trace.trace_id, 0.0, start, end)],
-        "scope string, run_start double, evaluation_start double, evaluation_end double",
-    )
-    decisions = rolling_decisions(
-        trace,
-        windows,
-        decisions=max(1, -int(-(end - start) // a.interval)),
-        interval=a.interval,
-        horizon=a.horizon,
-        minimum_hold=a.minimum_hold,
+def measure_ledger(spark, a):
+    """Metrics of a given run ledger (parquet) over given evaluation windows, one folder per report."""
+    runs, windows = spark.read.parquet(a.ledger), spark.read.parquet(a.windows)
+    report = metrics_report(runs, windows, F.lit(a.capacity)).withColumnRenamed("run_id", "window_id")
+    ledger = runs.groupBy(F.col("run_id").alias("window_id"), "action_id").agg(F.bool_and(F.col("end_time_seconds") >= F.col("start_time_seconds")).alias("evidence_valid"))
+    marked = report.join(ledger, ["window_id", "action_id"]).withColumns(
+        {"source": F.lit(a.ledger), "trace_id": F.lit(a.trace_id)}
     )
-    decisions.write.mode("errorifexists").parquet(f"{a.out}/decisions")
-    _show(spark.read.parquet(f"{a.out}/decisions").orderBy("decision_index"))
+    marked.write.mode("errorifexists").parquet(f"{a.out}/metrics")
+    _show(spark.read.parquet(f"{a.out}/metrics"), a.limit)
 
 
 def forecast_demand(spark, a):
     trace = read_trace(spark, a.trace)
-    config = forecast.SeasonalConfig()
+    config = configs.controller_from(read_json(spark, a.controller)) if a.controller else forecast.SeasonalConfig()
     step = float(config.observation_interval_seconds)
     seen = observation.observe_classes(trace.jobs, a.cutoff, step, config.lookback_hours)
     start = observation.observation_start(trace.jobs, a.cutoff, step, config.lookback_hours)
@@ -172,26 +151,28 @@ def forecast_demand(spark, a):
 
 
 def compare_policies(spark, a):
-    rows = _show(compare.compare_two(_metrics(spark, [a.left, a.right]), a.left_action, a.right_action), 1000)
-    return 0 if rows and all(r[c] for r in rows for c in compare.comparability("l", "r")) else 1
+    return _report(compare.compare_two(_metrics(spark, [a.left, a.right]), a.left_action, a.right_action), a, "comparable")
 
 
 def compare_portfolio(spark, a):
-    rows = _show(compare.pairwise_deltas(_metrics(spark, a.results), a.action or MULTIWINDOW_ACTIONS), 1000)
-    return 0 if rows and all(r["comparable"] for r in rows) else 1
+    return _report(compare.pairwise_deltas(_metrics(spark, a.results), a.action or MULTIWINDOW_ACTIONS), a, "comparable")
 
 
 def audit_slo(spark, a):
-    rows = _show(_audited(_metrics(spark, a.results)))
-    return 0 if rows and all(r["audit_passed"] for r in rows) else 1
+    return _report(_audited(_metrics(spark, a.results), _slo(spark, a.slo)[0]), a, "audit_passed")
 
 
 def rank_policies(spark, a):
     metrics = _metrics(spark, a.results)
-    verdicts = _audited(metrics).select(
-        "window_id", "action_id", F.col("audit_passed").alias("hard_slo_passed")
-    )
-    _show(ranking.rank_policies(metrics.join(verdicts, ["window_id", "action_id"]), W))
+    constraints, band = _slo(spark, a.slo)
+    audited = ranking.join_audits(metrics, _audited(metrics, constraints), ["window_id", "action_id"])
+    return _report(ranking.rank_policies(audited, W, band=band), a)
+
+
+def show_policy(spark, a):
+    """A policy file after its strict checks, with its fingerprint."""
+    policy = configs.policy_from(read_json(spark, a.policy_file))
+    print(json.dumps({**policy.payload(), "policy_fingerprint": policy.fingerprint}, indent=2, sort_keys=True))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -210,8 +191,7 @@ def parser() -> argparse.ArgumentParser:
     out = (need("--out"), may("--format", "parquet", choices=["parquet", "csv"]))
     number = {"type": float}
     many = {"action": "append"}
-    size = may("--slice-seconds", **number)
-    policy = may("--policy", "native-fifo", choices=sorted(POLICIES))
+    limit, report, slo = may("--limit", type=int), may("--out"), may("--slo")
     window = (may("--warmup-start", **number), may("--evaluation-start", **number), may("--evaluation-end", **number))
     command("validate-trace", validate_trace, need("--trace"))
     command(
@@ -230,21 +210,19 @@ def parser() -> argparse.ArgumentParser:
         "slice-trace", slice_trace, need("--trace"), may("--max-submit", **number),
         may("--gpu-model", **many), *window, *out,
     )
-    command("simulate", simulate, need("--trace"), need("--out"), policy, size)
-    command("forecast-demand", forecast_demand, need("--trace"), need("--cutoff", **number))
-    command("simulate-predictive", simulate_predictive, need("--trace"), need("--out"), policy, size)
+    command("forecast-demand", forecast_demand, need("--trace"), need("--cutoff", **number), may("--controller"))
     command(
-        "simulate-rolling", simulate_rolling, need("--trace"), need("--out"),
-        may("--interval", float(HOUR), **number), may("--horizon", 4.0 * HOUR, **number),
-        may("--minimum-hold", 0.0, **number),
+        "measure-ledger", measure_ledger, need("--ledger"), need("--windows"), need("--capacity", **number),
+        may("--trace-id", "ledger"), need("--out"), limit,
     )
+    command("check-policy", show_policy, need("--policy-file"))
     command(
         "compare-policies", compare_policies, need("--left"), need("--right"),
-        need("--left-action"), need("--right-action"),
+        need("--left-action"), need("--right-action"), limit, report,
     )
-    command("compare-portfolio", compare_portfolio, need("--results", nargs="+"), may("--action", **many))
-    command("audit-slo", audit_slo, need("--results", nargs="+"))
-    command("rank-policies", rank_policies, need("--results", nargs="+"))
+    command("compare-portfolio", compare_portfolio, need("--results", nargs="+"), may("--action", **many), limit, report)
+    command("audit-slo", audit_slo, need("--results", nargs="+"), slo, limit, report)
+    command("rank-policies", rank_policies, need("--results", nargs="+"), slo, limit, report)
     return root
 
 

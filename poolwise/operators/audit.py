@@ -84,6 +84,17 @@ PROSPECTIVE_CONSTRAINTS = (
 )
 
 
+#: Flags of a report that every audit asks for.
+EVIDENCE = (
+    "evidence_valid",
+    "preemption_ledger_consistent",
+    "run_ledger_consistent",
+    "guarantee_ledger_consistent",
+)
+#: What a baseline must share with the audited report.
+SHARED = ("source", "trace_id", "evaluation_start", "evaluation_end", "hp_job_count", "spot_job_count")
+
+
 def check_slo(constraints: Sequence[Constraint]) -> None:
     ids = [c.id for c in constraints]
     if not ids or len(set(ids)) != len(ids):
@@ -139,8 +150,8 @@ def audit_constraints(
 ) -> DataFrame:
     """Every (window, action, constraint) with what was observed and how it was judged.
 
-    A baseline counts only when it ran FIFO over the same window and population; otherwise the
-    relative thresholds are unavailable, which is not a pass.
+    A baseline counts only when it ran FIFO over the same source, trace, window and population and its
+    own evidence is valid; otherwise the relative thresholds are unavailable, which is not a pass.
     """
     check_slo(constraints)
     spec = F.array(
@@ -162,19 +173,15 @@ def audit_constraints(
     baseline = F.first(
         F.when(
             F.col(action) == baseline_action,
-            F.struct(
-                metric_map(metrics).alias("metrics"), "hp_job_count", "spot_job_count", "scheduler"
-            ),
+            F.struct(metric_map(metrics).alias("metrics"), *SHARED, "scheduler", "evidence_valid"),
         ),
         ignorenulls=True,
     ).over(peers)
     joined = metrics.withColumn("_m", metric_map(metrics)).withColumn("_b", baseline)
-    compatible = F.coalesce(
-        (F.col("_b.scheduler") == "fifo")
-        & (F.col("_b.hp_job_count") == F.col("hp_job_count"))
-        & (F.col("_b.spot_job_count") == F.col("spot_job_count")),
-        F.lit(False),
-    )
+    usable = (F.col("_b.scheduler") == "fifo") & F.col("_b.evidence_valid")
+    for name in SHARED:
+        usable = usable & F.col(f"_b.{name}").eqNullSafe(F.col(name))
+    compatible = F.coalesce(usable, F.lit(False))
     rows = joined.select(
         *window,
         action,
@@ -238,14 +245,17 @@ def relax_for_candidates(audited: DataFrame) -> DataFrame:
 def audit_summary(
     audited: DataFrame, keys: Sequence[str], constraints: Sequence[Constraint] = DEMO_SLO
 ) -> DataFrame:
-    """One verdict per candidate: every hard constraint, a usable baseline, consistent ledgers."""
+    """One verdict per candidate: every hard constraint, a usable baseline, valid and consistent evidence.
+
+    ``audited`` must carry the columns of ``EVIDENCE``; a null flag is not a pass.
+    """
     hard = F.col("severity") == "hard"
     baseline_needed = any(c.baseline_metric for c in constraints)
     verdict = F.bool_and(F.col("passed") | ~hard)
     if baseline_needed:
         verdict = verdict & F.bool_and("baseline_compatible")
-    if "ledger_consistent" in audited.columns:
-        verdict = verdict & F.bool_and("ledger_consistent")
+    for flag in EVIDENCE:
+        verdict = verdict & F.bool_and(F.coalesce(flag, F.lit(False)))
     failed = F.array_sort(F.collect_list(F.when(hard & ~F.col("passed"), F.col("constraint_id"))))
     return audited.groupBy(*keys).agg(
         verdict.alias("audit_passed"),

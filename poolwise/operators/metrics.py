@@ -1,4 +1,10 @@
-"""Ledgers and metrics of replayed runs, all relational over the run rows."""
+"""Metrics of a given run ledger, all relational over the run rows.
+
+A run row has run_id, action_id, job_id, service_class, gpu_model, gpu_count, node_count, submit,
+queue, start and end times, end_reason, guarantee_seconds and, if the run was evicted, trigger_id,
+rollback_seconds and overhead_seconds. An eviction without a trigger is missing from the preemption
+ledger, which then disagrees with the job counts.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import EPSILON
 from ..functions import broadcast_if_small, exact_quantiles, rounded
+from ..session import cut_lineage
 
 RUN = ["run_id", "action_id"]
 
@@ -17,8 +24,12 @@ def run_seconds() -> Column:
     return F.col("end_time_seconds") - F.col("start_time_seconds")
 
 
+def is_event() -> Column:
+    return (F.col("end_reason") == "preempted") & F.col("trigger_id").isNotNull()
+
+
 def job_ledger(rows: DataFrame, runs: DataFrame) -> DataFrame:
-    """One row per replayed job: first start, completion, waiting, preemptions, runs."""
+    """One row per job: first start, completion, waiting, preemptions, runs."""
     jobs = rows.groupBy(
         *RUN, "job_id", "service_class", "gpu_model", "gpu_count", "submit_time_seconds"
     ).agg(
@@ -44,7 +55,7 @@ def job_ledger(rows: DataFrame, runs: DataFrame) -> DataFrame:
 
 def preemption_ledger(rows: DataFrame) -> DataFrame:
     lost = F.col("rollback_seconds") + F.col("overhead_seconds")
-    return rows.where(F.col("end_reason") == "preempted").select(
+    return rows.where(is_event()).select(
         *RUN,
         F.col("end_time_seconds").alias("time_seconds"),
         F.col("job_id").alias("preempted_job_id"),
@@ -86,13 +97,24 @@ def evaluated_spot(rows: DataFrame, runs: DataFrame) -> DataFrame:
 def class_metrics(ledger: DataFrame) -> DataFrame:
     """JCT, queueing and preemption per (run, class) of the evaluation population.
 
-    Completion is reported as one because a replay always drains.
+    Both classes of a run appear; a class without jobs has counts of zero and no rates.
     """
-    scored = ledger.where("evaluation_population")
     key = [*RUN, "service_class"]
+    classes = F.array(F.lit("HP"), F.lit("Spot"))
+    domain = ledger.select(*RUN).distinct().withColumn("service_class", F.explode(classes))
+    scored = ledger.where("evaluation_population")
     shares = {"p50": 0.50, "p95": 0.95}
-    jct = exact_quantiles(scored, key, "jct_seconds", {f"jct_{k}": v for k, v in shares.items()})
-    queue = exact_quantiles(scored, key, "queue_seconds", {f"queue_{k}": v for k, v in shares.items()})
+    values = scored.select(
+        *key,
+        F.inline(
+            F.array(
+                *[F.struct(F.lit(m).alias("measure"), F.col(f"{m}_seconds").alias("seconds")) for m in ("jct", "queue")]
+            )
+        ),
+    )
+    ranks = exact_quantiles(values, [*key, "measure"], "seconds", shares)
+    picked = lambda m, q: F.max(F.when(F.col("measure") == m, F.col(q))).alias(f"{m}_{q}")
+    quantiles = ranks.groupBy(*key).agg(*[picked(m, q) for m in ("jct", "queue") for q in shares])
     totals = scored.groupBy(*key).agg(
         F.count(F.lit(1)).alias("job_count"),
         F.count("completion_time_seconds").alias("completed_count"),
@@ -100,20 +122,23 @@ def class_metrics(ledger: DataFrame) -> DataFrame:
         F.avg("queue_seconds").alias("queue_mean"),
         F.sum("preemption_count").alias("preemption_count"),
         F.count_if(F.col("preemption_count") > 0).alias("preempted_job_count"),
+        F.sum("run_count").alias("run_count"),
     )
     measured = ("jct_mean", "jct_p50", "jct_p95", "queue_mean", "queue_p50", "queue_p95")
+    counted = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return (
-        totals.join(jct, key)
-        .join(queue, key)
+        domain.join(totals, key, "left")
+        .join(quantiles, key, "left")
         .select(
             *key,
-            "job_count",
-            "completed_count",
-            F.lit(1.0).alias("completion_rate"),
+            counted("job_count"),
+            counted("completed_count"),
+            rounded(F.col("completed_count") / F.col("job_count"), 9).alias("completion_rate"),
             *[rounded(F.col(c)).alias(f"{c}_seconds") for c in measured],
-            "preemption_count",
-            "preempted_job_count",
+            counted("preemption_count"),
+            counted("preempted_job_count"),
             rounded(F.col("preempted_job_count") / F.col("job_count")).alias("preempted_job_rate"),
+            counted("run_count"),
         )
     )
 
@@ -121,23 +146,24 @@ def class_metrics(ledger: DataFrame) -> DataFrame:
 def spot_metrics(rows: DataFrame, runs: DataFrame) -> DataFrame:
     """Evictions, guarantees and lost work of evaluated Spot jobs, drain included."""
     mine = evaluated_spot(rows, runs)
-    hit = F.col("end_reason") == "preempted"
-    kept = ~hit | (run_seconds() + EPSILON >= F.col("guarantee_seconds"))
+    event, hit = is_event(), F.col("end_reason") == "preempted"
+    kept = (F.col("end_reason") == "completed") | (run_seconds() + EPSILON >= F.col("guarantee_seconds"))
     lost = F.col("rollback_seconds") + F.col("overhead_seconds")
     inside = F.col("end_time_seconds") <= F.col("evaluation_end")
     n = F.count(F.lit(1))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return mine.groupBy(*RUN).agg(
         n.alias("spot_run_count"),
-        F.count_if(hit).alias("preemption_event_count"),
-        F.count_if(hit & inside).alias("events_during_evaluation_window"),
-        F.count_if(hit & ~inside).alias("events_during_drain"),
-        rounded(F.count_if(hit) / n, 9).alias("eviction_rate_per_run"),
+        F.count_if(event).alias("preemption_event_count"),
+        F.count_if(event & inside).alias("events_during_evaluation_window"),
+        F.count_if(event & ~inside).alias("events_during_drain"),
+        rounded(F.count_if(event) / n, 8).alias("eviction_rate_per_run"),
         F.count_if(kept).alias("guarantee_succeeded_count"),
-        rounded(F.count_if(kept) / n, 9).alias("guarantee_success_rate"),
-        rounded(zero(F.sum(F.when(hit, F.col("rollback_seconds"))))).alias("rollback_seconds_total"),
-        rounded(zero(F.sum(F.when(hit, F.col("overhead_seconds"))))).alias("overhead_seconds_total"),
-        rounded(zero(F.sum(F.when(hit, lost * F.col("gpu_count"))))).alias("added_gpu_seconds_total"),
+        rounded(F.count_if(kept) / n, 8).alias("guarantee_success_rate"),
+        F.count_if(~kept & ~hit).alias("unexplained_failure_count"),
+        rounded(zero(F.sum(F.when(event, F.col("rollback_seconds"))))).alias("rollback_seconds_total"),
+        rounded(zero(F.sum(F.when(event, F.col("overhead_seconds"))))).alias("overhead_seconds_total"),
+        rounded(zero(F.sum(F.when(event, lost * F.col("gpu_count"))))).alias("added_gpu_seconds_total"),
     )
 
 
@@ -164,27 +190,32 @@ def allocation(rows: DataFrame, runs: DataFrame, capacity: Column) -> DataFrame:
             rounded(F.col("total") - F.col("warmup") - F.col("inside"), 3).alias(
                 "drain_allocated_gpu_seconds"
             ),
-            F.when(hi > lo, rounded(F.col("inside") / (capacity * (hi - lo)), 9))
+            F.when(hi > lo, rounded(F.col("inside") / (capacity * (hi - lo)), 8))
             .otherwise(0.0)
             .alias("allocation_rate_mean"),
         )
     )
 
 
+METRICS_SCHEMA = "policy-metrics/v1"
+LEDGER_COUNTS = ("preemption_event_count", "spot_run_count", "guarantee_failed_count", "unexplained_failure_count")
+
+
 def metrics_report(rows: DataFrame, runs: DataFrame, capacity: Column) -> DataFrame:
-    """One row per run with every catalogued metric, ready for audit and ranking."""
-    ledger = job_ledger(rows, runs)
-    by_class = class_metrics(ledger)
+    """One row per run with every catalogued metric and the ledgers' consistency, ready for audit and ranking."""
+    by_class = cut_lineage(class_metrics(cut_lineage(job_ledger(rows, runs))))
 
     def side(name: str, prefix: str, columns: Sequence[str]) -> DataFrame:
         return by_class.where(F.col("service_class") == name).select(
             *RUN,
             F.col("job_count").alias(f"{prefix}_job_count"),
+            F.col("completed_count").alias(f"{prefix}_completed_count"),
             F.col("completion_rate").alias(f"{prefix}_completion_rate"),
             *[F.col(f"{c}_seconds").alias(f"{prefix}_{c}_seconds") for c in columns],
             F.col("preemption_count").cast("double").alias(f"{prefix}_preemption_count"),
             F.col("preempted_job_count").cast("double").alias(f"{prefix}_preempted_job_count"),
             F.col("preempted_job_rate").alias(f"{prefix}_preempted_job_rate"),
+            F.col("run_count").alias(f"{prefix}_runs_of_jobs"),
         )
 
     measured = ("jct_mean", "jct_p50", "jct_p95", "queue_mean", "queue_p95")
@@ -195,24 +226,28 @@ def metrics_report(rows: DataFrame, runs: DataFrame, capacity: Column) -> DataFr
         F.col("added_gpu_seconds_total").alias("preemption_added_gpu_seconds"),
         "preemption_event_count",
         "spot_run_count",
+        (F.col("spot_run_count") - F.col("guarantee_succeeded_count")).alias("guarantee_failed_count"),
+        "unexplained_failure_count",
     )
+    windows = broadcast_if_small(runs.select("run_id", "evaluation_start", "evaluation_end"))
     joined = (
         allocation(rows, runs, capacity)
-        .join(side("HP", "hp", measured), RUN, "left")
-        .join(side("Spot", "spot", measured), RUN, "left")
+        .join(side("HP", "hp", measured), RUN)
+        .join(side("Spot", "spot", measured), RUN)
         .join(spot, RUN, "left")
+        .join(windows, "run_id")
     )
-    empty = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    counted = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return joined.withColumns(
+        {c: counted(c) for c in LEDGER_COUNTS}
+    ).withColumns(
         {
-            "hp_job_count": empty("hp_job_count"),
-            "spot_job_count": empty("spot_job_count"),
-            "ledger_consistent": F.coalesce(
-                F.col("preemption_event_count") == F.col("spot_preemption_count"), F.lit(True)
-            ),
-            "scheduler": F.when(F.col("action_id").contains("fifo"), "fifo").otherwise(
-                "priority_preemptive"
-            ),
+            "schema_version": F.lit(METRICS_SCHEMA),
+            "preemption_ledger_consistent": F.col("preemption_event_count") == F.col("spot_preemption_count"),
+            "run_ledger_consistent": F.col("spot_run_count") == F.col("spot_runs_of_jobs"),
+            "guarantee_ledger_consistent": (F.col("guarantee_failed_count") <= F.col("preemption_event_count"))
+            & (F.col("unexplained_failure_count") == 0),
+            "scheduler": F.when(F.col("action_id").contains("fifo"), "fifo").otherwise("priority_preemptive"),
         }
     )
 
@@ -241,50 +276,3 @@ def feedback_events(rows: DataFrame) -> DataFrame:
             F.sum(F.col("events") * F.col("node_count")).cast("double").alias("weight"),
         )
     )
-
-
-def snapshot_at(
-    rows: DataFrame, jobs: DataFrame, cutoff: Column | float, carry_columns: Sequence[str] = ()
-) -> DataFrame:
-    """Queue, running and carry-over jobs at a cutoff, seen from the run rows.
-
-    Only what the scheduler knew is kept: a running job shows its elapsed time, never its end.
-    """
-    running = (F.col("start_time_seconds") <= cutoff) & (F.col("end_time_seconds") > cutoff)
-    queued = (F.col("queued_since") <= cutoff) & (F.col("start_time_seconds") > cutoff)
-    arrived = F.col("submit_time_seconds") <= cutoff
-    live = rows.where(arrived & (running | queued))
-    return live.join(jobs.select("job_id", "tenant_id"), "job_id", "left").select(
-        *RUN,
-        *carry_columns,
-        "job_id",
-        "service_class",
-        "gpu_model",
-        "gpu_count",
-        "tenant_id",
-        F.when(running, "running").otherwise("queued").alias("status"),
-        F.when(running, 0.0).otherwise(cutoff - F.col("queued_since")).alias(
-            "current_queue_wait_seconds"
-        ),
-        F.when(running, cutoff - F.col("start_time_seconds")).otherwise(0.0).alias("elapsed_seconds"),
-    )
-
-
-def snapshot_summary(carryover: DataFrame, capacity: Column) -> DataFrame:
-    """Cluster-level view of a snapshot."""
-    is_running = F.col("status") == "running"
-    hp = F.col("service_class") == "HP"
-    gpus = lambda c: F.sum(F.when(c, F.col("gpu_count")).otherwise(0.0))
-    wait = lambda c: F.coalesce(
-        F.max(F.when(~is_running & c, F.col("current_queue_wait_seconds"))), F.lit(0.0)
-    )
-    return carryover.groupBy(*RUN).agg(
-        F.count_if(is_running).alias("running_job_count"),
-        F.count_if(~is_running).alias("queued_job_count"),
-        F.count_if(~is_running & hp).alias("queued_hp_job_count"),
-        rounded(capacity - gpus(is_running)).alias("free_gpus"),
-        rounded(gpus(is_running & ~hp)).alias("running_spot_gpus"),
-        rounded(gpus(~is_running)).alias("queued_requested_gpus"),
-        rounded(wait(hp)).alias("maximum_hp_wait_seconds"),
-        rounded(wait(~hp)).alias("maximum_spot_wait_seconds"),
-    )

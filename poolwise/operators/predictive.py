@@ -1,18 +1,15 @@
-"""Forecasts and quotas at every controller update, and replays that obey them."""
+"""Forecasts and quotas at every controller update."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..contracts import ANY_POOL, EPSILON, HOUR, Policy, Trace
+from ..contracts import EPSILON, HOUR
 from ..functions import normal_quantile, rounded
 from ..session import cut_lineage
 from .forecast import SeasonalConfig, _clip
 from .observation import bucket_number
-from .profile import active_by_class
-from .replay import ALL_LANES, replay
-from .slicing import one_value, total_capacity
 
 WEEK_HOURS = 168
 
@@ -156,54 +153,3 @@ def horizon_for(guarantee_seconds: float, horizons=SeasonalConfig.guarantee_hori
         if horizon >= needed:
             return horizon
     raise ValueError("The guarantee is longer than every declared horizon")
-
-
-def predictive_replay(
-    trace: Trace,
-    runs: DataFrame,
-    policy: Policy,
-    *,
-    config: SeasonalConfig = SeasonalConfig(),
-    slice_seconds: float | None = None,
-) -> DataFrame:
-    """Replay under the quota each update would have set from occupancy observed until then.
-
-    Eta stays at its initial value: the quota plan is made before the replay, so run outcomes do
-    not feed back into it.
-    """
-    capacity = total_capacity(trace.nodes)
-    step = float(config.observation_interval_seconds)
-    jobs = trace.jobs
-    first = one_value(jobs, F.min("submit_time_seconds"))
-    last = one_value(jobs, F.max("submit_time_seconds"))
-    start = F.floor(first / step) * step
-    samples = active_by_class(jobs, start, last, step).where(F.col("service_class") == "HP")
-    origin = float(jobs.sparkSession.range(1).select(start.alias("s")).first()["s"])
-    points = update_forecasts(samples, "active_gpus", origin, capacity, config)
-    wanted = horizon_for(policy.spot_guarantee_seconds, config.guarantee_horizons_hours)
-    quotas = update_quotas(points, capacity, config.initial_eta, config).where(
-        F.col("horizon_hours") == wanted
-    )
-    # An unchanged quota is not an event, so only changes are handed to the lane.
-    order = Window.orderBy("cutoff")
-    changes = quotas.withColumn("_last", F.lag("spot_quota_gpus").over(order)).where(
-        F.col("_last").isNull() | (F.col("_last") != F.col("spot_quota_gpus"))
-    )
-    quota = changes.select(
-        F.lit(ALL_LANES).alias("lane"),
-        F.col("cutoff").alias("time"),
-        F.lit(ANY_POOL).alias("pool"),
-        F.col("spot_quota_gpus").alias("gpus"),
-    )
-    # Control ends with the observations; the drain after them is not limited.
-    ended = quotas.agg((F.max("cutoff") + step).alias("time")).select(
-        F.lit(ALL_LANES).alias("lane"), "time", F.lit(ANY_POOL).alias("pool"), capacity.alias("gpus")
-    )
-    quota = quota.unionByName(ended)
-    return replay(
-        trace,
-        runs,
-        policies={policy.action_id: policy},
-        slice_seconds=slice_seconds,
-        quota=cut_lineage(quota),
-    )

@@ -100,17 +100,35 @@ def selection(
     )
 
 
+def join_audits(metrics: DataFrame, audits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every audit with its report; an audit without one is an error. ``hard_slo_passed`` is its verdict."""
+    known = metrics.withColumn("_known", F.lit(True))
+    verdicts = audits.select(*keys, F.col("audit_passed").alias("hard_slo_passed"))
+    checked = F.when(F.col("_known"), F.col("hard_slo_passed")).otherwise(
+        F.raise_error(F.lit("an audit has no matching metrics report")).cast("boolean")
+    )
+    return verdicts.join(known.drop("hard_slo_passed"), list(keys), "left").withColumn("hard_slo_passed", checked).drop("_known")
+
+
 def rank_policies(
     metrics: DataFrame, window: Sequence[str], *, band: float = ALLOCATION_TIE_BAND
 ) -> DataFrame:
-    """Audited ranking; a missing ranking metric is an error, not a silent loss."""
-    complete = F.when(
-        F.col(ALLOCATION).isNull() | F.col(SPOT_JCT).isNull() | F.col(EVICTION).isNull(),
-        F.raise_error(F.lit("ranking metric is unavailable")).cast("boolean"),
-    ).otherwise(F.lit(True))
-    return selection(
-        mark_frontier(metrics, window, F.col("hard_slo_passed") & complete, band=band), window
+    """Audited ranking of each window's three to five candidates.
+
+    A missing ranking metric is an error for any candidate, passed or not, and so is a window with fewer or more
+    candidates; a candidate whose evidence is not valid is not eligible.
+    """
+    missing = F.col(ALLOCATION).isNull() | F.col(SPOT_JCT).isNull() | F.col(EVICTION).isNull()
+    peers = Window.partitionBy(*window)
+    valid = F.coalesce("evidence_valid", F.lit(False)) if "evidence_valid" in metrics.columns else F.lit(True)
+    error = lambda text: F.raise_error(F.lit(text)).cast("boolean")
+    judged = metrics.withColumn("_size", F.count(F.lit(1)).over(peers)).withColumn(
+        "_eligible",
+        F.when(missing, error("ranking metric is unavailable"))
+        .when(~F.col("_size").between(3, 5), error("ranking needs between 3 and 5 candidates"))
+        .otherwise(F.coalesce("hard_slo_passed", F.lit(False)) & valid),
     )
+    return selection(mark_frontier(judged, window, F.col("_eligible"), band=band), window)
 
 
 def control_distance(action: Column, other: Column) -> Column:
@@ -507,9 +525,11 @@ def arm_verdict(left: str, right: str, *, passes_first: bool = True) -> Column:
 
 
 def arm_comparisons(arms: DataFrame, subject: str = "rolling-multi-agent") -> DataFrame:
-    left = arms.where(F.col("arm_id") == subject).withColumn("_k", F.lit(1)).alias("l")
-    right = arms.where(F.col("arm_id") != subject).withColumn("_k", F.lit(1)).alias("r")
-    return right.join(F.broadcast(left), F.col("l._k") == F.col("r._k")).select(
+    """The subject against every other arm; arms are a declared enumeration, one row each."""
+    row = F.struct(*arms.columns)
+    mine = F.max(F.when(F.col("arm_id") == subject, row)).over(Window.partitionBy())
+    paired = arms.select(row.alias("r"), mine.alias("l")).where((F.col("r.arm_id") != subject) & F.col("l").isNotNull())
+    return paired.select(
         F.col("r.arm_id").alias("comparator_arm_id"),
         arm_verdict("l", "r").alias("verdict"),
         (F.col("l.hard_slo_pass_count") >= F.col("r.hard_slo_pass_count")).alias("no_fewer_passes"),
@@ -563,25 +583,28 @@ def claim_gates(comparisons: DataFrame) -> DataFrame:
 
 
 def closeout(arms: DataFrame) -> DataFrame:
-    """Arms that pass in every window, and whether one of them beats all the others outright.
+    """Arms that pass in every window, each against all others, and which one the ranking puts first.
 
-    The pairwise rule is not transitive, so an arm is recommended only when it loses to nobody
-    and no other arm ties it for that.
+    The first arm is recommended if it beats the second: it loses to nobody, and no other arm does so too.
+    The arms are a declared enumeration, so each holds the others in one array.
     """
     eligible = arms.where(
         (F.col("arm_id") != "posthoc-catalog-oracle")
         & (F.col("hard_slo_pass_count") == F.col("window_count"))
-    ).withColumn("_k", F.lit(1))
-    left, right = eligible.alias("l"), eligible.alias("r")
-    duels = left.join(right, F.col("l._k") == F.col("r._k"), "left").select(
-        F.col("l.arm_id").alias("arm_id"),
-        F.when(F.col("l.arm_id") != F.col("r.arm_id"), arm_verdict("l", "r", passes_first=False)).alias("v"),
     )
-    return duels.groupBy("arm_id").agg(
+    everyone = Window.partitionBy()
+    fields = [c for c in arms.columns]
+    rivals = eligible.withColumn("_all", F.collect_list(F.struct(*fields)).over(everyone)).select(
+        F.struct(*fields).alias("l"), F.explode("_all").alias("r")
+    )
+    verdict = F.when(F.col("l.arm_id") != F.col("r.arm_id"), arm_verdict("l", "r", passes_first=False))
+    counted = rivals.select(F.col("l.arm_id").alias("arm_id"), verdict.alias("v")).groupBy("arm_id").agg(
         F.count_if(F.col("v") == "better").alias("wins"),
         F.count_if(F.col("v") == "worse").alias("losses"),
         F.count_if(F.col("v") == "tie").alias("ties"),
-    ).withColumn("recommended", (F.col("losses") == 0) & (F.col("ties") == 0))
+    )
+    unbeaten = F.count_if(F.col("losses") == 0).over(everyone)
+    return counted.withColumn("recommended", (F.col("losses") == 0) & (unbeaten == 1))
 
 
 def study_violations(

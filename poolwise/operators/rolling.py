@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..contracts import EPSILON, HOUR, POLICIES, ROLLING_ACTIONS, Trace
@@ -233,58 +233,72 @@ def multi_timescale(
     )
 
 
-def _roles(catalog: Sequence[str]) -> dict[str, str | None]:
-    """Which catalog action plays each role of the workload rule, if any does."""
-    policies = [POLICIES[a] for a in catalog]
+# The controls that name a kind of action.
+KINDS = {
+    "fifo, guarded": {"preemptive": False, "open": False},
+    "prompt, guarded": {"preemptive": True, "delayed": False, "open": False},
+    "prompt, open": {"preemptive": True, "delayed": False, "open": True, "victim": "longest_remaining"},
+    "delayed, open": {"preemptive": True, "delayed": True, "open": True},
+    "sparing, open": {"preemptive": True, "delayed": False, "open": True, "victim": "lowest_checkpoint_loss"},
+}
+# Per reason, the places after the baseline and the kinds that may take each, best first.
+RULE_PLACES = {
+    "high-hp-or-forecast-risk": (("prompt, open",), ("sparing, open", "prompt, guarded")),
+    "spot-heavy-history": (("prompt, open",), ("delayed, open", "fifo, guarded")),
+    "balanced-or-low-pressure-history": (("fifo, guarded",), ("prompt, open",)),
+}
 
-    def first(test) -> str | None:
-        return next((p.action_id for p in policies if test(p)), None)
 
-    guarded = lambda p: p.predictive_admission_mode == "enforce"
-    prompt = lambda p: p.preemptive and p.hp_preemption_delay_seconds == 0
-    longest = lambda p: p.preemption_victim_strategy == "longest_remaining"
-    return {
-        "fifo_guarded": first(lambda p: not p.preemptive and guarded(p)),
-        "preemptive_guarded": first(lambda p: prompt(p) and guarded(p)),
-        "preemptive_open": first(lambda p: prompt(p) and not guarded(p) and longest(p)),
-        "delayed_open": first(
-            lambda p: p.preemptive and not guarded(p) and p.hp_preemption_delay_seconds > 0
-        ),
-        "loss_aware_open": first(lambda p: prompt(p) and not guarded(p) and not longest(p)),
-    }
+def catalog_controls(spark: SparkSession, catalog: Sequence[str]) -> DataFrame:
+    """One row per catalogued action with the controls that the rule looks at."""
+    rows = [
+        (p.action_id, i, p.preemptive, p.hp_preemption_delay_seconds > 0, p.predictive_admission_mode == "bypass", p.preemption_victim_strategy)
+        for i, p in enumerate(POLICIES[a] for a in catalog)
+    ]
+    return spark.createDataFrame(
+        rows, "action_id string, place int, preemptive boolean, delayed boolean, open boolean, victim string"
+    )
 
 
 def rule_candidate_sets(
-    catalog: Sequence[str], baseline_action: str, budget: int = 3
-) -> dict[str, list[str]]:
-    """The candidate list each reason leads to over a declared catalog."""
-    role = _roles(catalog)
-    wishes = {
-        "high-hp-or-forecast-risk": [
-            role["preemptive_open"],
-            role["loss_aware_open"] or role["preemptive_guarded"],
-        ],
-        "spot-heavy-history": [
-            role["preemptive_open"],
-            role["delayed_open"] or role["fifo_guarded"],
-        ],
-        "balanced-or-low-pressure-history": [role["fifo_guarded"], role["preemptive_open"]],
-    }
-    sets = {}
-    for reason, wish in wishes.items():
-        pool = dict.fromkeys([baseline_action, *wish, *role.values(), *sorted(catalog)])
-        chosen = [a for a in pool if a is not None and a in catalog][:budget]
-        if baseline_action not in chosen or len(chosen) != budget:
-            raise ValueError("The catalog cannot form a bounded candidate set with its baseline")
-        sets[reason] = chosen
-    return sets
+    spark: SparkSession, catalog: Sequence[str], baseline_action: str, budget: int = 3
+) -> DataFrame:
+    """Per reason, the baseline and the best other actions: reason_code, candidate_action_ids.
+
+    A place goes to the catalog's first action of its best kind that the catalog has. Places left over go to
+    the kinds in their declared order, then to any action by name. All tables are declared enumerations.
+    """
+    if baseline_action not in catalog or len(set(catalog)) < budget:
+        raise ValueError("The catalog cannot form a bounded candidate set with its baseline")
+    wanted = []
+    for reason, places in RULE_PLACES.items():
+        filled = [*places, *[(kind,) for kind in KINDS]]
+        for place, kinds in enumerate(filled, 1):
+            for choice, kind in enumerate(kinds):
+                w = KINDS[kind]
+                wanted.append((reason, place, choice, w["preemptive"], w.get("delayed"), w["open"], w.get("victim")))
+    rules = spark.createDataFrame(
+        wanted, "reason_code string, rank int, choice int, w_preemptive boolean, w_delayed boolean, w_open boolean, w_victim string"
+    )
+    controls = catalog_controls(spark, catalog)
+    fits = F.lit(True)
+    for name in ("preemptive", "delayed", "open", "victim"):
+        fits = fits & F.coalesce(F.col(f"w_{name}") == F.col(name), F.lit(True))
+    placed = F.broadcast(rules).join(controls, fits).groupBy("reason_code", "rank").agg(
+        F.min_by("action_id", F.struct("choice", "place")).alias("action_id")
+    )
+    last = F.when(F.col("action_id") == baseline_action, 0).otherwise(len(KINDS) + 10)
+    others = rules.select("reason_code").distinct().crossJoin(controls.select("action_id", last.alias("rank")))
+    best = placed.unionByName(others).groupBy("reason_code", "action_id").agg(F.min("rank").alias("rank"))
+    ordered = F.slice(F.array_sort(F.collect_list(F.struct("rank", "action_id"))), 1, budget)
+    return best.groupBy("reason_code").agg(ordered.getField("action_id").alias("candidate_action_ids"))
 
 
 def rule_candidates(
     state: DataFrame, catalog: Sequence[str] = ROLLING_ACTIONS, baseline_action: str = "rolling-fifo-open"
 ) -> DataFrame:
-    """Pick the candidate set of every cutoff from its risk, pressure, trend and Spot share."""
-    sets = rule_candidate_sets(catalog, baseline_action)
+    """The candidate set of every cutoff, from its risk, pressure, trend and Spot share."""
+    sets = rule_candidate_sets(state.sparkSession, catalog, baseline_action)
     # The declared rule thresholds.
     risky = (
         (F.col("risk_level") == "high")
@@ -297,12 +311,8 @@ def rule_candidates(
         .when(F.col("spot_requested_gpu_share") >= 0.55, "spot-heavy-history")
         .otherwise("balanced-or-low-pressure-history")
     )
-    lists = F.create_map(
-        *[x for r, ids in sets.items() for x in (F.lit(r), F.array(*[F.lit(i) for i in ids]))]
-    )
-    return state.select("decision", "cutoff_seconds", reason.alias("reason_code")).withColumn(
-        "candidate_action_ids", F.element_at(lists, F.col("reason_code"))
-    )
+    judged = state.select("decision", "cutoff_seconds", reason.alias("reason_code"))
+    return judged.join(F.broadcast(sets), "reason_code", "left")
 
 
 ALL_POOLS = "<all>"

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import QUERIES, Query
 
-PLAN_MODULES = ("workload", "policies", "forecasting", "decisions", "imports", "replays")
+PLAN_MODULES = ("workload", "policies", "forecasting", "decisions", "imports", "ledgers")
 
 
 def load_all() -> dict[str, Query]:

@@ -76,31 +76,107 @@ def test_duplicate_constraints_are_refused():
         audit.check_slo([audit.DEMO_SLO[0], audit.DEMO_SLO[0]])
 
 
-def test_rule_keeps_its_baseline():
-    for actions in rule_candidate_sets(("native-fifo", "rolling-fifo-open", "rolling-preemptive-open-d0000"), "rolling-fifo-open").values():
-        assert actions[0] == "rolling-fifo-open" and len(set(actions)) == 3
+RANKED = (
+    "window_id string, action_id string, allocation_rate_mean double, spot_jct_p95_seconds double, "
+    "spot_eviction_rate_per_run double, hard_slo_passed boolean"
+)
+
+
+def test_rule_keeps_its_baseline(spark):
+    sets = rule_candidate_sets(spark, ("native-fifo", "rolling-fifo-open", "rolling-preemptive-open-d0000"), "rolling-fifo-open")
+    rows = sets.collect()
+    assert len(rows) == 3
+    for row in rows:
+        assert row.candidate_action_ids[0] == "rolling-fifo-open" and len(set(row.candidate_action_ids)) == 3
+    with pytest.raises(ValueError):
+        rule_candidate_sets(spark, ("native-fifo", "rolling-fifo-open"), "rolling-fifo-open")
 
 
 def test_tie_inside_the_strict_band_needs_approval(spark):
-    rows = [("w", "a", 0.5, 10.0, 0.0, True), ("w", "b", 0.805, 10.0, 0.0, True), ("w", "c", 0.81, 10.0, 0.0, True)]
-    df = spark.createDataFrame(
-        rows,
-        "window_id string, action_id string, allocation_rate_mean double, spot_jct_p95_seconds double, "
-        "spot_eviction_rate_per_run double, hard_slo_passed boolean",
-    )
-    row = rank_policies(df, ["window_id"]).first()
-    assert row.selected_action_ids == ["b", "c"]
+    rows = [("w", "x", 0.31, 7.0, 0.02, True), ("w", "y", 0.622, 7.0, 0.02, True), ("w", "z", 0.6301, 7.0, 0.02, True)]
+    row = rank_policies(spark.createDataFrame(rows, RANKED), ["window_id"]).first()
+    assert row.selected_action_ids == ["y", "z"]
     assert row.selection_status == "tie_requires_human_approval"
 
 
-def test_missing_ranking_metric_is_an_error(spark):
-    df = spark.createDataFrame(
-        [("w", "a", None, 1.0, 0.0, True)],
-        "window_id string, action_id string, allocation_rate_mean double, spot_jct_p95_seconds double, "
-        "spot_eviction_rate_per_run double, hard_slo_passed boolean",
-    )
+@pytest.mark.parametrize("passed", [True, False])
+def test_missing_ranking_metric_is_an_error_for_any_candidate(spark, passed):
+    rows = [("w", "a", None, 1.0, 0.0, passed), ("w", "b", 0.5, 1.0, 0.0, True), ("w", "c", 0.5, 1.0, 0.0, True)]
     with pytest.raises(Exception, match="unavailable"):
-        rank_policies(df, ["window_id"]).collect()
+        rank_policies(spark.createDataFrame(rows, RANKED), ["window_id"]).collect()
+
+
+@pytest.mark.parametrize("size", [1, 2, 6])
+def test_ranking_needs_three_to_five_candidates(spark, size):
+    rows = [("w", f"a{i}", 0.5, 1.0, 0.0, True) for i in range(size)]
+    with pytest.raises(Exception, match="between 3 and 5"):
+        rank_policies(spark.createDataFrame(rows, RANKED), ["window_id"]).collect()
+
+
+def test_invalid_evidence_is_not_eligible_and_missing_metrics_are_an_error(spark):
+    from poolwise.operators.ranking import join_audits
+
+    rows = [("w", a, 0.5, 1.0 + i, 0.0, True) for i, a in enumerate("abc")]
+    df = spark.createDataFrame(rows, RANKED).withColumn("evidence_valid", F.col("action_id") != "a")
+    assert rank_policies(df, ["window_id"]).first().selected_action_ids == ["b"]
+    audits = spark.createDataFrame([("w", "a", True), ("w", "q", True)], "window_id string, action_id string, audit_passed boolean")
+    with pytest.raises(Exception, match="no matching metrics"):
+        join_audits(df, audits, ["window_id", "action_id"]).collect()
+
+
+def report(spark, actions, **changes):
+    from poolwise.operators.metrics import METRICS_SCHEMA
+
+    base = {
+        "window_id": "w", "schema_version": METRICS_SCHEMA, "evidence_valid": True, "source": "s", "trace_id": "t", "evaluation_start": 0.0, "evaluation_end": 9.0,
+        "hp_job_count": 2, "spot_job_count": 3, "hp_completed_count": 2, "spot_completed_count": 3, "preemption_event_count": 0, "spot_run_count": 3,
+        "guarantee_failed_count": 0, "preemption_ledger_consistent": True, "run_ledger_consistent": True, "guarantee_ledger_consistent": True,
+        "allocation_rate_mean": 0.5, "spot_jct_p95_seconds": 3.0,
+    }
+    rows = [{**base, "action_id": a, **(changes if i == 1 else {})} for i, a in enumerate(actions)]
+    return spark.createDataFrame(rows)
+
+
+THREE = ("native-fifo", "native-preemptive-0000", "native-preemptive-1800")
+
+
+def test_every_comparability_criterion_can_fail(spark):
+    from poolwise.operators.compare import group_criteria
+
+    assert group_criteria(report(spark, THREE), ["window_id"], "unique").first().comparable
+    broken = {
+        "metrics_schema_supported": {"schema_version": "x"}, "metrics_fingerprints_valid": {"evidence_valid": False}, "source_match": {"source": "z"},
+        "trace_id_match": {"trace_id": "z"}, "window_match": {"evaluation_end": 8.0}, "population_match": {"spot_job_count": 4, "spot_completed_count": 4},
+        "populations_complete": {"spot_completed_count": 2}, "event_ledgers_consistent": {"preemption_ledger_consistent": False},
+        "run_ledgers_consistent": {"run_ledger_consistent": False}, "guarantee_ledgers_consistent": {"guarantee_ledger_consistent": False},
+        "unique": {"action_id": "native-fifo"},
+    }
+    for name, change in broken.items():
+        row = group_criteria(report(spark, THREE, **change), ["window_id"], "unique").first()
+        assert not row.comparable and [n for n in broken if not row[n]] == [name]
+
+
+def test_a_portfolio_of_another_size_is_an_error(spark):
+    from poolwise.operators.compare import pairwise_deltas
+
+    six = (*THREE, "native-preemptive-3600", "native-preemptive-7200", "native-preemptive-budget09-d0000")
+    assert pairwise_deltas(report(spark, THREE), THREE).count() == 3 * 19
+    for actions in (six, THREE[:2]):
+        with pytest.raises(Exception, match="between 3 and 5"):
+            pairwise_deltas(report(spark, actions), six).collect()
+    with pytest.raises(Exception, match="undeclared action"):
+        pairwise_deltas(report(spark, THREE), THREE[:2]).collect()
+
+
+def test_closeout_recommends_an_arm_that_beats_the_second(spark):
+    from poolwise.operators.ranking import closeout
+
+    columns = "arm_id string, window_count long, hard_slo_pass_count long, allocation_rate_mean double, spot_jct_p95_seconds double, spot_eviction_rate_per_run double"
+    arms = [("a", 3, 3, 0.60, 5.0, 0.0), ("b", 3, 3, 0.55, 4.0, 0.0), ("c", 3, 3, 0.55, 4.0, 0.0), ("d", 3, 2, 0.9, 1.0, 0.0)]
+    rows = {r.arm_id: r for r in closeout(spark.createDataFrame(arms, columns)).collect()}
+    assert set(rows) == {"a", "b", "c"} and rows["a"].recommended and rows["b"].ties == 1
+    tied = [("a", 3, 3, 0.6, 5.0, 0.0), ("b", 3, 3, 0.6, 5.0, 0.0)]
+    assert not any(r.recommended for r in closeout(spark.createDataFrame(tied, columns)).collect())
 
 
 def test_the_future_does_not_reach_an_observation(spark):

@@ -1,17 +1,12 @@
-"""The streaming front end closes the same runs as the batch replay."""
+"""Windowed demand over a stream equals the batch."""
 
+import random
 import tempfile
 
 from pyspark.sql import functions as F
-from test_replay import random_jobs, trace_of
 
-from poolwise.contracts import Policy
-from poolwise.operators.replay import replay, whole_trace_runs
 from poolwise.streaming.demand import arrival_pressure, hourly_peaks, with_event_time
-from poolwise.streaming.live_replay import FLUSH, live_replay
 
-POLICY = Policy("p30", "priority_preemptive", 30, 10, 2)
-NODES = [("n1", "A", 5), ("n2", "B", 5)]
 
 
 def stream_of(spark, frames):
@@ -34,24 +29,10 @@ def run_stream(df, name):
     return df.sparkSession.table(name)
 
 
-def test_stream_matches_batch(spark):
-    jobs = random_jobs(5, 40, "none")
-    trace = trace_of(spark, NODES, jobs)
-    batch = replay(trace, whole_trace_runs(trace.jobs, ["p30"]), policies={"p30": POLICY}, slice_seconds=1e9)
-    expected = {(r.job_id, r.run_ordinal, round(r.start_time_seconds, 6), round(r.end_time_seconds, 6), r.end_reason) for r in batch.collect()}
-    edge = jobs[20]["submit"]
-    early = trace.jobs.where(F.col("submit_time_seconds") <= edge)
-    late = trace.jobs.where(F.col("submit_time_seconds") > edge)
-    flush = spark.createDataFrame(
-        [(FLUSH, float("inf"), 1.0, 1.0, "HP", p) for p in ("A", "B")], trace.jobs.schema
-    )
-    stream = stream_of(spark, [early, late, flush])
-    got = run_stream(live_replay(stream, {"A": 5.0, "B": 5.0}, POLICY), "live_runs").collect()
-    assert {(r.job_id, r.run_ordinal, round(r.start_time_seconds, 6), round(r.end_time_seconds, 6), r.end_reason) for r in got} == expected
-
-
 def test_windowed_demand(spark):
-    jobs = trace_of(spark, NODES, random_jobs(9, 60, "none")).jobs
+    rng = random.Random(9)
+    rows = [(f"j{i}", rng.uniform(0, 2e5), rng.uniform(60, 9000), float(rng.randint(1, 4)), rng.choice(["HP", "Spot"]), rng.choice("AB")) for i in range(60)]
+    jobs = spark.createDataFrame(rows, "job_id string, submit_time_seconds double, duration_seconds double, gpu_count double, service_class string, gpu_model string")
     timed = with_event_time(jobs, "2024-01-01 00:00:00")
     peaks = hourly_peaks(timed.withColumnRenamed("gpu_count", "gpus"))
     batch = {(r.hour_start, r.gpu_model, r.peak_gpus) for r in peaks.collect()}
