@@ -310,92 +310,110 @@ def admission_diagnostics(updates: DataFrame, interval_seconds: float) -> DataFr
     )
 
 
-def eta_trajectory(
-    updates: DataFrame, keys: Sequence[str], config: TenantConfig = TenantConfig()
+ETA_BLOCK = 512
+
+
+def fold_clipped(
+    factors: DataFrame, keys: Sequence[str], initial: float, low: float, high: float, block: int = ETA_BLOCK
 ) -> DataFrame:
-    """Eta after every update of each pool.
+    """Eta after every tick of the law eta' = clip(factor * eta, low, high).
 
-    The law is a recurrence, so each pool's updates are folded in order. A pool has one update per
-    quota interval, whatever the number of jobs.
+    ``factors``: keys, tick, factor > 0. Such steps compose to clip(a * x, l, h), so each block of ticks is
+    reduced to one map, the maps are folded over the blocks, and every block then walks its own ticks
+    from where the blocks before it end. A task holds a block, or one row per block of its key.
     """
-    target = 1.0 - config.guarantee_probability
+    lo, hi = F.lit(low), F.lit(high)
+    clip = lambda x: F.greatest(lo, F.least(hi, x))
+    blocks = factors.withColumn("_b", F.floor(F.col("tick") / block)).groupBy(*keys, "_b").agg(
+        F.array_sort(F.collect_list(F.struct("tick", "factor"))).alias("_steps")
+    )
 
-    def advance(state: Column, update: Column) -> Column:
-        eta, rate = state["eta"], update["eviction_rate"]
-        high = rate >= config.high_eviction_multiple * target
-        low = (rate <= config.low_eviction_multiple * target) & (
-            update["maximum_spot_wait_seconds"] > config.queue_wait_threshold_seconds
-        )
-        moved = (
-            F.when(F.coalesce(high, F.lit(False)), eta * (F.lit(target) / rate))
-            .when(F.coalesce(low, F.lit(False)), eta * (F.lit(1.5) - rate / F.lit(target)))
-            .otherwise(eta)
+    def compose(m: Column, step: Column) -> Column:
+        f = step["factor"]
+        return F.struct((m["a"] * f).alias("a"), clip(m["l"] * f).alias("l"), clip(m["h"] * f).alias("h"))
+
+    same = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("l"), F.lit(float("inf")).alias("h"))
+    maps = blocks.withColumn("_map", F.aggregate("_steps", same, compose))
+
+    def enter(state: Column, m: Column) -> Column:
+        into = F.struct(m["_b"].alias("_b"), state["x"].alias("eta"))
+        return F.struct(
+            F.greatest(m["_map"]["l"], F.least(m["_map"]["h"], m["_map"]["a"] * state["x"])).alias("x"),
+            F.array_append(state["path"], into).alias("path"),
         )
-        bounded = F.greatest(F.lit(config.minimum_eta), F.least(F.lit(config.maximum_eta), moved))
-        step = F.struct(update["tick"].alias("tick"), bounded.alias("eta"))
+
+    begin = F.struct(F.lit(initial).alias("x"), F.array().cast("array<struct<_b:bigint,eta:double>>").alias("path"))
+    ordered = F.array_sort(F.collect_list(F.struct("_b", "_map")))
+    entering = maps.groupBy(*keys).agg(ordered.alias("_m")).select(
+        *keys, F.inline(F.aggregate("_m", begin, enter, lambda s: s["path"]))
+    )
+
+    def walk(state: Column, step: Column) -> Column:
+        eta = clip(state["eta"] * step["factor"])
         return F.struct(
-            bounded.alias("eta"), F.array_append(state["path"], step).alias("path")
+            eta.alias("eta"),
+            F.array_append(state["path"], F.struct(step["tick"].alias("tick"), eta.alias("eta"))).alias("path"),
         )
 
-    ordered = F.array_sort(
-        F.collect_list(F.struct("tick", "eviction_rate", "maximum_spot_wait_seconds"))
+    start = F.struct(F.col("_eta").alias("eta"), F.array().cast("array<struct<tick:bigint,eta:double>>").alias("path"))
+    return blocks.join(entering.withColumnRenamed("eta", "_eta"), [*keys, "_b"]).select(
+        *keys, F.inline(F.aggregate("_steps", start, walk, lambda s: s["path"]))
     )
-    empty = F.array().cast("array<struct<tick:bigint,eta:double>>")
-    start = F.struct(F.lit(config.initial_eta).alias("eta"), empty.alias("path"))
-    return (
-        updates.groupBy(*keys)
-        .agg(ordered.alias("_u"))
-        .select(*keys, F.inline(F.aggregate("_u", start, advance, lambda s: s["path"])))
+
+
+def eta_trajectory(
+    updates: DataFrame, keys: Sequence[str], config: TenantConfig = TenantConfig()
+) -> DataFrame:
+    """Eta after every update of each pool: keys, tick, eta.
+
+    ``updates``: keys, tick, eviction_rate, maximum_spot_wait_seconds. Each update is a factor on eta.
+    """
+    target = 1.0 - config.guarantee_probability
+    rate = F.col("eviction_rate")
+    high = rate >= config.high_eviction_multiple * target
+    low = (rate <= config.low_eviction_multiple * target) & (
+        F.col("maximum_spot_wait_seconds") > config.queue_wait_threshold_seconds
+    )
+    factor = (
+        F.when(F.coalesce(high, F.lit(False)), F.lit(target) / rate)
+        .when(F.coalesce(low, F.lit(False)), F.lit(1.5) - rate / F.lit(target))
+        .otherwise(1.0)
     )
+    steps = updates.select(*keys, F.col("tick").cast("long").alias("tick"), factor.alias("factor"))
+    return fold_clipped(steps, keys, config.initial_eta, config.minimum_eta, config.maximum_eta)
 
 
 def aggregate_eta_trajectory(
     updates: DataFrame, keys: Sequence[str], config: SeasonalConfig = SeasonalConfig()
 ) -> DataFrame:
-    """Eta after every update under the aggregate law.
+    """Eta after every update under the aggregate law: keys, tick, eta.
 
     ``updates``: keys, tick, now_seconds, eviction_rate, new_runs (whether runs ended since the
     last change) and spot_backlog_gpus. New outcomes move eta by the eviction rate; without them a
-    backlog older than the starvation limit raises it.
+    backlog older than the starvation limit raises it. How long a backlog lasts does not depend on eta,
+    so it is a window over the updates, and each update is a factor on eta.
     """
     target = 1.0 - config.guarantee_probability
     rise = 1.0 + config.eta_increase_step
-
-    def advance(state: Column, update: Column) -> Column:
-        eta, rate, now = state["eta"], update["eviction_rate"], update["now_seconds"]
-        backlog = update["spot_backlog_gpus"] > 0
-        since = F.when(backlog, F.coalesce(state["since"], now))
-        judged = update["new_runs"] & rate.isNotNull()
-        high = (rate >= config.high_eviction_ratio * target) & (rate > 0)
-        low = (rate <= config.low_eviction_ratio * target) & backlog
-        starving = F.coalesce(
-            now - since >= config.starvation_increase_after_seconds, F.lit(False)
-        ) & (eta < config.maximum_eta)
-        moved = (
-            F.when(judged & high, eta * (F.lit(target) / rate))
-            .when(judged & low, eta * rise)
-            .when(judged, eta)
-            .when(starving, eta * rise)
-            .otherwise(eta)
-        )
-        bounded = F.greatest(F.lit(config.minimum_eta), F.least(F.lit(config.maximum_eta), moved))
-        step = F.struct(update["tick"].alias("tick"), bounded.alias("eta"))
-        return F.struct(
-            bounded.alias("eta"), since.alias("since"), F.array_append(state["path"], step).alias("path")
-        )
-
-    ordered = F.array_sort(
-        F.collect_list(
-            F.struct("tick", "now_seconds", "eviction_rate", "new_runs", "spot_backlog_gpus")
-        )
+    ordered = Window.partitionBy(*keys).orderBy("tick")
+    backlog = F.col("spot_backlog_gpus") > 0
+    spell = F.count_if(~backlog).over(ordered)
+    began = F.min(F.when(backlog, F.col("now_seconds"))).over(
+        Window.partitionBy(*keys, "_spell").orderBy("tick")
     )
-    start = F.struct(
-        F.lit(config.initial_eta).alias("eta"),
-        F.lit(None).cast("double").alias("since"),
-        F.array().cast("array<struct<tick:bigint,eta:double>>").alias("path"),
+    rate = F.col("eviction_rate")
+    judged = F.col("new_runs") & rate.isNotNull()
+    high = (rate >= config.high_eviction_ratio * target) & (rate > 0)
+    low = (rate <= config.low_eviction_ratio * target) & backlog
+    starving = F.coalesce(
+        backlog & (F.col("now_seconds") - began >= config.starvation_increase_after_seconds), F.lit(False)
     )
-    return (
-        updates.groupBy(*keys)
-        .agg(ordered.alias("_u"))
-        .select(*keys, F.inline(F.aggregate("_u", start, advance, lambda s: s["path"])))
+    factor = (
+        F.when(judged & high, F.lit(target) / rate)
+        .when(judged & low, rise)
+        .when(judged, 1.0)
+        .when(starving, rise)
+        .otherwise(1.0)
     )
+    steps = updates.withColumn("_spell", spell).select(*keys, F.col("tick").cast("long").alias("tick"), factor.alias("factor"))
+    return fold_clipped(steps, keys, config.initial_eta, config.minimum_eta, config.maximum_eta)

@@ -252,7 +252,8 @@ def scenario_pieces(trace, estimates, cutoff=CUTOFF):
         "gpu_model", "gpu_count", "tenant_id", F.lit(1).alias("src"), F.lit(0.0).alias("t"), "job_id"
     )
     order = Window.partitionBy("gpu_model").orderBy("src", "t", "job_id")
-    templates = history.unionByName(carried).select(
+    fitting = history.unionByName(carried).join(capacity, "gpu_model").where("gpu_count <= capacity_gpus")
+    templates = fitting.select(
         "gpu_model",
         (F.row_number().over(order) - 1).alias("position"),
         F.count(F.lit(1)).over(Window.partitionBy("gpu_model")).alias("template_count"),
@@ -277,8 +278,9 @@ req AS (SELECT p.*, capacity_gpus, greatest(0.0::DOUBLE, least(capacity_gpus, gr
     AND e.gpu_model = p.gpu_model AND e.estimated_remaining_seconds > p.target - {CUTOFF} + 1e-9), 0.0::DOUBLE)) AS r FROM pts p JOIN cap USING (gpu_model)),
 tm0 AS (SELECT gpu_model, gpu_count, tenant_id, 0 AS src, submit_time_seconds AS t, job_id FROM done WHERE service_class = 'HP' AND submit_time_seconds > {CUTOFF} - {HORIZON}
   UNION ALL SELECT gpu_model, gpu_count, tenant_id, 1, 0.0, job_id FROM est WHERE service_class = 'HP'),
-tm AS (SELECT gpu_model, gpu_count, tenant_id, row_number() OVER (PARTITION BY gpu_model ORDER BY src, t, job_id) - 1 AS pos, count(*) OVER (PARTITION BY gpu_model) AS n FROM tm0),
-tc AS (SELECT gpu_model, count(*) AS n FROM tm0 GROUP BY 1),
+tmf AS (SELECT tm0.* FROM tm0 JOIN cap USING (gpu_model) WHERE gpu_count <= capacity_gpus),
+tm AS (SELECT gpu_model, gpu_count, tenant_id, row_number() OVER (PARTITION BY gpu_model ORDER BY src, t, job_id) - 1 AS pos, count(*) OVER (PARTITION BY gpu_model) AS n FROM tmf),
+tc AS (SELECT gpu_model, count(*) AS n FROM tmf GROUP BY 1),
 sl AS (SELECT req.gpu_model, pi, target, r, i, greatest(r / 256, coalesce(tm.gpu_count, least(r, greatest(1.0::DOUBLE, capacity_gpus / 64)))) AS size,
     coalesce(tm.tenant_id, 'forecast-aggregate') AS tenant_id FROM req CROSS JOIN range(0, 256) s(i) LEFT JOIN tc ON tc.gpu_model = req.gpu_model
   LEFT JOIN tm ON tm.gpu_model = req.gpu_model AND tm.pos = (pi + i) % tc.n WHERE r > 1e-9),

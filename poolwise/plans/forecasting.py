@@ -9,6 +9,7 @@ from ..contracts import DAY, HOUR
 from ..functions import normal_quantile, rounded
 from ..operators import forecast, observation, predictive, tenant_model
 from ..operators.slicing import pool_capacity, total_capacity
+from ..sources.ledger import FIRST_WINDOW, LEDGER_CTES, WINDOW_COUNT, run_ledger
 from ..sources.tables import TRACE_CTES, trace_from_tables
 from .registry import query
 
@@ -170,11 +171,11 @@ def tenant_hourly(spark, sf_dir):
     + TENANTS
     + """, n AS (SELECT max(tick) + 1 AS n FROM ticks)
 SELECT gpu_model, tenant_id, CAST(o AS INT) AS "offset", CAST((tick - o) // 12 AS BIGINT) AS hour_index, round(max(gpus), 6) AS hourly_max_gpus
-FROM series, (SELECT unnest([0, 3, 6, 9]) AS o), n WHERE tick >= o AND (tick - o) // 12 < (n - o) // 12 GROUP BY 1, 2, 3, 4""",
+FROM series, (SELECT unnest(range(0, 12)) AS o), n WHERE tick >= o AND (tick - o) // 12 < (n - o) // 12 GROUP BY 1, 2, 3, 4""",
 )
 def aligned_hourly_max(spark, sf_dir):
     return observation.aligned_hourly_max(
-        tenant_series(spark, sf_dir), ["gpu_model", "tenant_id"], "active_gpus", 12, 3
+        tenant_series(spark, sf_dir), ["gpu_model", "tenant_id"], "active_gpus", 12, 1
     )
 
 
@@ -387,38 +388,56 @@ def admission_diag(spark, sf_dir):
     return forecast.admission_diagnostics(pool_updates(spark, sf_dir), STEP)
 
 
-FEEDBACK = """, ends AS (SELECT gpu_model, submit_time_seconds + duration_seconds AS e, gpu_count AS w, duration_seconds > 43200 AS evicted
-  FROM jobs WHERE service_class = 'Spot' AND submit_time_seconds + duration_seconds <= 1296000),
-fticks AS (SELECT i AS tick, i * 300.0::DOUBLE AS t FROM range(0, 4321) r(i)),
-fb AS (SELECT p.gpu_model, k.tick, coalesce(sum(w), 0.0::DOUBLE) AS ew, coalesce(sum(w) FILTER (evicted), 0.0::DOUBLE) AS lw
-  FROM fticks k CROSS JOIN (SELECT DISTINCT gpu_model FROM ends) p LEFT JOIN ends ON ends.gpu_model = p.gpu_model AND e <= k.t AND e >= k.t - 14400 GROUP BY 1, 2)
+FEEDBACK_ACTION = "native-preemptive-3600"
+LEDGER_SECONDS = WINDOW_COUNT * DAY
+LAST_TICK = int(LEDGER_SECONDS // STEP)
+FEEDBACK = f""", sr AS (SELECT gpu_model, node_count::DOUBLE AS w, end_reason = 'preempted' AS evicted, s - queued_since AS waited, gpu_count AS g,
+    date_diff('day', DATE '{FIRST_WINDOW}', CAST(run_id AS DATE)) * 86400.0::DOUBLE AS o, s, e FROM runs WHERE service_class = 'Spot' AND action_id = '{FEEDBACK_ACTION}'),
+fpools AS (SELECT DISTINCT gpu_model FROM sr),
+fticks AS (SELECT i AS tick, i * 300.0::DOUBLE AS t FROM range(0, {LAST_TICK + 1}) r(i)),
+fb AS (SELECT p.gpu_model, k.tick, coalesce(sum(w), 0.0::DOUBLE) AS ew, coalesce(sum(w) FILTER (evicted), 0.0::DOUBLE) AS lw,
+    count(*) FILTER (o + e > k.t - 300) > 0 AS fresh
+  FROM fticks k CROSS JOIN fpools p LEFT JOIN sr ON sr.gpu_model = p.gpu_model AND o + e <= k.t AND o + e >= k.t - 14400 GROUP BY 1, 2),
+st AS (SELECT gpu_model, CAST(ceil((o + s) / 300.0::DOUBLE) AS BIGINT) AS tick, max(waited) AS wait, coalesce(sum(g) FILTER (waited > 1800), 0) AS backlog FROM sr GROUP BY 1, 2)
 """
 
 
-def run_ends(spark, sf_dir):
-    """Spot run ends as occupancy implies them; runs over twelve hours count as evicted."""
-    end = F.col("submit_time_seconds") + F.col("duration_seconds")
+def spot_feedback(spark, sf_dir):
+    """Spot runs of one action over all study windows, laid end to end."""
+    day = F.datediff(F.col("run_id").cast("date"), F.lit(FIRST_WINDOW).cast("date")) * float(DAY)
     return (
-        trace_from_tables(spark, sf_dir)
-        .jobs.where((F.col("service_class") == "Spot") & (end <= CUTOFF))
+        run_ledger(spark, sf_dir)
+        .where((F.col("service_class") == "Spot") & (F.col("action_id") == FEEDBACK_ACTION))
         .select(
             "gpu_model",
-            end.alias("event_time_seconds"),
-            F.col("gpu_count").alias("weight"),
-            (F.col("duration_seconds") > 43200).alias("evicted"),
+            (day + F.col("start_time_seconds")).alias("began"),
+            (day + F.col("end_time_seconds")).alias("event_time_seconds"),
+            F.col("node_count").cast("double").alias("weight"),
+            (F.col("end_reason") == "preempted").alias("evicted"),
+            (F.col("start_time_seconds") - F.col("queued_since")).alias("waited"),
+            "gpu_count",
         )
     )
 
 
 def feedback_rates(spark, sf_dir):
     return observation.feedback_window(
-        run_ends(spark, sf_dir), ["gpu_model"], F.lit(CUTOFF), STEP, 14400
+        spot_feedback(spark, sf_dir), ["gpu_model"], F.lit(float(LEDGER_SECONDS)), STEP, 14400
+    )
+
+
+def started(spark, sf_dir):
+    """Per pool and tick, the longest wait and the GPUs of Spot runs that started since the tick before."""
+    return spot_feedback(spark, sf_dir).groupBy("gpu_model", F.ceil(F.col("began") / STEP).alias("tick")).agg(
+        F.max("waited").alias("maximum_spot_wait_seconds"),
+        F.coalesce(F.sum(F.when(F.col("waited") > 1800, F.col("gpu_count"))), F.lit(0.0)).alias("spot_backlog_gpus"),
     )
 
 
 @query(
     "q_feedback_rate",
-    WITH
+    "WITH "
+    + LEDGER_CTES
     + FEEDBACK
     + """SELECT gpu_model, CAST(tick AS BIGINT) AS tick, round(ew, 6) AS event_weight, round(lw, 6) + 0.0 AS evicted_weight,
   CASE WHEN ew > 0 THEN round(lw / ew, 9) + 0.0 END AS eviction_rate FROM fb""",
@@ -436,21 +455,52 @@ def feedback_rate(spark, sf_dir):
 @query(
     "q_eta_trajectory",
     "WITH RECURSIVE "
-    + TRACE_CTES
+    + LEDGER_CTES
     + FEEDBACK
-    + """, law AS (SELECT gpu_model, tick, CASE WHEN ew > 0 THEN lw / ew END AS rate, CASE WHEN tick % 5 = 0 THEN 7200 ELSE 0 END AS wait FROM fb),
-fold AS (SELECT gpu_model, CAST(-1 AS BIGINT) AS tick, 1.0::DOUBLE AS eta FROM (SELECT DISTINCT gpu_model FROM fb)
+    + """, law AS MATERIALIZED (SELECT fb.gpu_model, fb.tick, CASE WHEN ew > 0 THEN lw / ew END AS rate, coalesce(wait, 0) AS wait FROM fb LEFT JOIN st USING (gpu_model, tick)),
+fold AS (SELECT gpu_model, CAST(-1 AS BIGINT) AS tick, 1.0::DOUBLE AS eta FROM fpools
   UNION ALL SELECT f.gpu_model, l.tick, greatest(0.25::DOUBLE, least(1.25::DOUBLE, CASE WHEN rate >= 1.5::DOUBLE * (1 - 0.9::DOUBLE) THEN eta * ((1 - 0.9::DOUBLE) / rate)
     WHEN rate <= 0.5::DOUBLE * (1 - 0.9::DOUBLE) AND wait > 3600 THEN eta * (1.5::DOUBLE - rate / (1 - 0.9::DOUBLE)) ELSE eta END))
   FROM fold f JOIN law l ON l.gpu_model = f.gpu_model AND l.tick = f.tick + 1)
-SELECT gpu_model, tick, round(eta, 9) AS eta FROM fold WHERE tick >= 0""",
+SELECT gpu_model, tick, round(eta, 7) AS eta FROM fold WHERE tick >= 0""",
 )
 def eta_trajectory(spark, sf_dir):
-    updates = feedback_rates(spark, sf_dir).withColumn(
-        "maximum_spot_wait_seconds", F.when(F.col("tick") % 5 == 0, 7200.0).otherwise(0.0)
+    waits = started(spark, sf_dir).drop("spot_backlog_gpus")
+    updates = feedback_rates(spark, sf_dir).join(waits, ["gpu_model", "tick"], "left").fillna(0.0, ["maximum_spot_wait_seconds"])
+    return forecast.eta_trajectory(updates, ["gpu_model"]).withColumn("eta", rounded(F.col("eta"), 7))
+
+
+@query(
+    "q_aggregate_eta",
+    "WITH RECURSIVE "
+    + LEDGER_CTES
+    + FEEDBACK
+    + """, law AS MATERIALIZED (SELECT fb.gpu_model, fb.tick, fb.tick * 300.0::DOUBLE AS now, CASE WHEN ew > 0 THEN lw / ew END AS rate, fresh, coalesce(backlog, 0) AS backlog
+  FROM fb LEFT JOIN st USING (gpu_model, tick)),
+fold AS (SELECT gpu_model, CAST(-1 AS BIGINT) AS tick, 1.0::DOUBLE AS eta, CAST(NULL AS DOUBLE) AS since FROM fpools
+  UNION ALL SELECT f.gpu_model, l.tick, greatest(0.25::DOUBLE, least(1.25::DOUBLE, CASE
+      WHEN fresh AND rate IS NOT NULL AND rate >= 1.5::DOUBLE * (1 - 0.9::DOUBLE) AND rate > 0 THEN eta * ((1 - 0.9::DOUBLE) / rate)
+      WHEN fresh AND rate IS NOT NULL AND rate <= 0.5::DOUBLE * (1 - 0.9::DOUBLE) AND backlog > 0 THEN eta * 1.1::DOUBLE
+      WHEN fresh AND rate IS NOT NULL THEN eta
+      WHEN backlog > 0 AND now - coalesce(since, now) >= 3600 THEN eta * 1.1::DOUBLE ELSE eta END)),
+    CASE WHEN backlog > 0 THEN coalesce(since, now) END
+  FROM fold f JOIN law l ON l.gpu_model = f.gpu_model AND l.tick = f.tick + 1)
+SELECT gpu_model, tick, round(eta, 7) AS eta FROM fold WHERE tick >= 0""",
+)
+def aggregate_eta(spark, sf_dir):
+    """The aggregate law over the ledger's feedback, one update each five minutes."""
+    fresh = spot_feedback(spark, sf_dir).groupBy("gpu_model", F.ceil(F.col("event_time_seconds") / STEP).alias("tick")).agg(
+        F.lit(True).alias("new_runs")
+    )
+    updates = (
+        feedback_rates(spark, sf_dir)
+        .join(started(spark, sf_dir), ["gpu_model", "tick"], "left")
+        .join(fresh, ["gpu_model", "tick"], "left")
+        .fillna(0.0, ["spot_backlog_gpus"])
+        .fillna(False, ["new_runs"])
+        .withColumn("now_seconds", F.col("tick") * STEP)
     )
-    path = forecast.eta_trajectory(updates, ["gpu_model"])
-    return path.withColumn("eta", rounded(F.col("eta"), 9))
+    return forecast.aggregate_eta_trajectory(updates, ["gpu_model"]).withColumn("eta", rounded(F.col("eta"), 7))
 
 
 @query("q_update_forecasts")

@@ -73,6 +73,7 @@ ATTEMPT_LOG = T.StructType(
         ),
     ]
 )
+# Why a pod is skipped, and the phases that are kept.
 SKIP_REASONS = ("unsupported_qos", "excluded_phase", "no_gpu", "missing_or_invalid_interval")
 PHASES = ("Running", "Failed", "Succeeded")
 
@@ -83,8 +84,11 @@ def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 
 
 def read_attempt_log(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
-    """The attempt log as a JSON array, or as JSON lines when it is too big for one task."""
-    return spark.read.schema(ATTEMPT_LOG).json(path, multiLine=not lines, mode="PERMISSIVE")
+    """The attempt log as a JSON array, which one task reads, or as JSON lines, which are split.
+
+    Broken JSON is an error.
+    """
+    return spark.read.schema(ATTEMPT_LOG).json(path, multiLine=not lines, mode="FAILFAST")
 
 
 def read_machine_list(spark: SparkSession, path: str) -> DataFrame:

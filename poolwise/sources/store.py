@@ -19,6 +19,7 @@ from ..operators.slicing import require_valid
 
 MANIFEST = "trace.json"
 SCHEMA_V1, SCHEMA_V2 = "trace/v1", "trace/v2"
+# The fields of a manifest.
 MANIFEST_KEYS = {
     "schema_version",
     "trace_id",
@@ -56,17 +57,20 @@ def _hadoop_path(spark: SparkSession, path: str):
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
-    """Write a report beside its final name, then rename it into place."""
+    """Write a report beside its final name, then rename it over the old one in a single step."""
     text = json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n"
     target, system = _hadoop_path(spark, path)
     staged, _ = _hadoop_path(spark, path + ".staged")
     stream = system.create(staged, True)
     stream.write(bytearray(text.encode("utf-8")))
     stream.close()
-    if system.exists(target):
-        system.delete(target, False)
-    if not system.rename(staged, target):
-        raise OSError(f"Could not move {path} into place")
+    jvm = spark._jvm
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        system.makeQualified(target).toUri(), spark._jsc.hadoopConfiguration()
+    )
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(system.makeQualified(staged), system.makeQualified(target), options)
 
 
 def read_json(spark: SparkSession, path: str) -> dict:
