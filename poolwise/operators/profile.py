@@ -179,8 +179,8 @@ def workload_stats(jobs: DataFrame, step: float = HOUR) -> DataFrame:
     """Duration, arrival and sampled-active statistics per class."""
     start, end = first_and_last_submit(jobs)
     parts = {
-        "duration_seconds": summary_stats(
-            jobs, ["service_class"], "duration_seconds", bounded_groups=True
+        "duration_seconds": class_domain(jobs.sparkSession).join(
+            summary_stats(jobs, ["service_class"], "duration_seconds", bounded_groups=True), "service_class", "left"
         ),
         "arrival_requested_gpus": report_stats(
             arrival_buckets(jobs, start, end, step), ["service_class"], "arrival_requested_gpus"

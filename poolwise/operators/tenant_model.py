@@ -7,7 +7,8 @@ For a series with history x, split into trend and cycle, and horizon step h:
 
 The loss is the Gaussian negative log-likelihood of non-zero targets. Training rows stay where Spark
 put them: each partition sums its gradient, the sums are added by key, and only the parameters visit
-the driver. Their number follows the model and the series, not the training rows.
+the driver. Series biases live in ``SERIES_SLOTS`` hashed slots, so the number of parameters follows the
+model alone; series whose hashes agree share a bias.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .forecast import pool_gaussians, residual_calibration
 
 SERIES = ["gpu_model", "tenant_id"]
 TIME_SLOTS = 2 + 7 + 24
-MAX_SERIES = 100_000
+SERIES_SLOTS = 4096
 
 
 @dataclass(frozen=True)
@@ -147,8 +148,6 @@ def _gradient_job(rows: DataFrame, weights, model: TenantModel) -> dict[str, np.
 
 def train(rows: DataFrame, series: int, model: TenantModel) -> tuple[dict, list[dict]]:
     """Full-batch Adam with halving rate, early stopping on validation loss, best weights kept."""
-    if series > MAX_SERIES:
-        raise ValueError("Too many series for driver-held parameters")
     weights = _initial(model, series)
     first = {n: np.zeros_like(v) for n, v in weights.items()}
     second = {n: np.zeros_like(v) for n, v in weights.items()}
@@ -210,19 +209,15 @@ def forecast_pools(
     ship_package(hours.sparkSession)
     last = int(cutoff // 3600) - 1
     seen = hours.where(F.col("bucket") <= last)
-    names = seen.select(*SERIES).distinct().withColumn(
-        "series_index", (F.row_number().over(Window.orderBy(*SERIES)) - 1).cast("long")
-    )
-    names = cut_lineage(names)
     edge = last - model.validation_hours
     rows = cut_lineage(
         training_rows(seen, model, origin_weekday)
-        .join(F.broadcast(names.limit(MAX_SERIES + 1)), SERIES)
+        .withColumn("series_index", F.pmod(F.xxhash64(*SERIES), F.lit(SERIES_SLOTS)))
         .withColumn("validation", F.col("bucket") > edge)
     )
     complete = F.size("y") == model.horizon
     gap = F.col("validation") | (F.col("bucket") + model.horizon <= edge)
-    weights, _ = train(rows.where(complete & gap), names.count(), model)
+    weights, _ = train(rows.where(complete & gap), SERIES_SLOTS, model)
     z = normal_quantile(model.probability)
     key = ["gpu_model", "bucket", "horizon_step"]
     held = predict(rows.where(complete & F.col("validation")), weights, model)

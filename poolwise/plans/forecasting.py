@@ -28,7 +28,7 @@ obs AS (SELECT c.service_class, k.tick, k.t, coalesce(sum(v.gpu_count), 0.0::DOU
 
 
 def observed(spark, sf_dir):
-    return observation.observe_classes(trace_from_tables(spark, sf_dir).jobs, CUTOFF, STEP)
+    return observation.observe_classes(trace_from_tables(spark, sf_dir, last=CUTOFF).jobs, CUTOFF, STEP)
 
 
 @query(
@@ -50,13 +50,13 @@ def observation_replay(spark, sf_dir):
 @query(
     "q_hourly_max",
     WITH
-    + OBSERVED
+    + OBSERVED.replace(str(CUTOFF), str(30.0 * DAY)).replace("672 * 3600", "720 * 3600")
     + "SELECT service_class, CAST(floor(t / 3600.0::DOUBLE + 1e-9) AS BIGINT) AS bucket, round(max(gpus), 6) AS gpus FROM obs GROUP BY 1, 2",
 )
 def hourly_max(spark, sf_dir):
-    return observation.hourly_max(
-        observed(spark, sf_dir), ["service_class"], "active_gpus"
-    ).withColumn("gpus", rounded(F.col("gpus")))
+    jobs = trace_from_tables(spark, sf_dir).jobs
+    samples = observation.observe_classes(jobs, 30.0 * DAY, STEP, lookback_hours=720)
+    return observation.hourly_max(samples, ["service_class"], "active_gpus").withColumn("gpus", rounded(F.col("gpus")))
 
 
 SEASONAL = f""", trained AS (SELECT s + floor(({CUTOFF} - s) / 86400.0::DOUBLE + 1e-9) * 86400.0::DOUBLE AS fitted_at FROM obs_start),
@@ -132,17 +132,23 @@ hourly AS (SELECT gpu_model, tenant_id, CAST(floor(t / 3600.0::DOUBLE + 1e-9) AS
 """
 
 
-def tenant_series(spark, sf_dir):
-    return observation.observe_tenants(trace_from_tables(spark, sf_dir).jobs, CUTOFF, STEP)
+#: Queries without a cutoff of their own run to the end of the trace.
+END = 30.0 * DAY
+WHOLE = TENANTS.replace(str(CUTOFF), str(END))
+
 
+def tenant_series(spark, sf_dir, cutoff=END):
+    jobs = trace_from_tables(spark, sf_dir, last=cutoff).jobs
+    return observation.observe_tenants(jobs, cutoff, STEP)
 
-def pool_samples(spark, sf_dir):
-    return observation.observe_pools(trace_from_tables(spark, sf_dir), CUTOFF, STEP)
 
+def pool_samples(spark, sf_dir, cutoff=CUTOFF):
+    return observation.observe_pools(trace_from_tables(spark, sf_dir, last=cutoff), cutoff, STEP)
 
-def tenant_hours(spark, sf_dir):
+
+def tenant_hours(spark, sf_dir, cutoff=END):
     return observation.hourly_max(
-        tenant_series(spark, sf_dir), ["gpu_model", "tenant_id"], "active_gpus"
+        tenant_series(spark, sf_dir, cutoff), ["gpu_model", "tenant_id"], "active_gpus"
     )
 
 
@@ -159,7 +165,7 @@ def tenant_observation(spark, sf_dir):
 
 @query(
     "q_tenant_hourly",
-    WITH + TENANTS + "SELECT gpu_model, tenant_id, bucket, round(gpus, 6) AS gpus FROM hourly",
+    WITH + WHOLE + "SELECT gpu_model, tenant_id, bucket, round(gpus, 6) AS gpus FROM hourly",
 )
 def tenant_hourly(spark, sf_dir):
     return tenant_hours(spark, sf_dir)
@@ -168,7 +174,7 @@ def tenant_hourly(spark, sf_dir):
 @query(
     "q_aligned_hourly_max",
     WITH
-    + TENANTS
+    + WHOLE
     + """, n AS (SELECT max(tick) + 1 AS n FROM ticks)
 SELECT gpu_model, tenant_id, CAST(o AS INT) AS "offset", CAST((tick - o) // 12 AS BIGINT) AS hour_index, round(max(gpus), 6) AS hourly_max_gpus
 FROM series, (SELECT unnest(range(0, 12)) AS o), n WHERE tick >= o AND (tick - o) // 12 < (n - o) // 12 GROUP BY 1, 2, 3, 4""",
@@ -182,7 +188,7 @@ def aligned_hourly_max(spark, sf_dir):
 @query(
     "q_moving_average",
     WITH
-    + TENANTS
+    + WHOLE
     + """, p AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY gpu_model, tenant_id) AS n,
     first_value(gpus) OVER (PARTITION BY gpu_model, tenant_id ORDER BY bucket) AS f,
     last_value(gpus) OVER (PARTITION BY gpu_model, tenant_id ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l
@@ -210,7 +216,7 @@ def moving_average(spark, sf_dir):
 @query(
     "q_gaussian_pool",
     WITH
-    + TENANTS
+    + WHOLE
     + """, c AS (SELECT gpu_model, tenant_id, avg(gpus) AS mu, stddev_pop(gpus) AS sd FROM hourly GROUP BY 1, 2)
 SELECT gpu_model, round(sum(mu), 6) AS mu_gpus, round(sqrt(sum(sd * sd)), 6) AS sigma_gpus FROM c GROUP BY 1""",
 )

@@ -91,7 +91,7 @@ SELECT k.gpu_model, k.service_class, CAST(count(*) AS BIGINT) AS job_count, roun
 FROM kept k GROUP BY 1, 2""",
 )
 def slice_prefix(spark, sf_dir):
-    part = slicing.slice_prefix(trace_from_tables(spark, sf_dir), PREFIX_SECONDS, {"A"})
+    part = slicing.slice_prefix(trace_from_tables(spark, sf_dir, last=PREFIX_SECONDS), PREFIX_SECONDS, {"A"})
     kept_nodes = part.nodes.agg(F.count(F.lit(1)).alias("n")).scalar()
     return part.jobs.groupBy("gpu_model", "service_class").agg(
         F.count(F.lit(1)).alias("job_count"),
@@ -108,7 +108,7 @@ FROM jobs WHERE submit_time_seconds >= {WARMUP} AND submit_time_seconds <= {EVAL
 )
 def slice_window(spark, sf_dir):
     return slicing.slice_window(
-        trace_from_tables(spark, sf_dir), WARMUP, EVAL_START, EVAL_END
+        trace_from_tables(spark, sf_dir, WARMUP, EVAL_END), WARMUP, EVAL_START, EVAL_END
     ).jobs
 
 
@@ -139,7 +139,7 @@ def population_flag(spark, sf_dir):
 FROM jobs WHERE submit_time_seconds <= {CUTOFF} + 1e-9 GROUP BY 1, 2""",
 )
 def cutoff_visible(spark, sf_dir):
-    visible = slicing.as_of(trace_from_tables(spark, sf_dir).jobs, CUTOFF)
+    visible = slicing.as_of(trace_from_tables(spark, sf_dir, last=CUTOFF).jobs, CUTOFF)
     return visible.groupBy("service_class", "gpu_model").agg(
         F.count(F.lit(1)).alias("visible_jobs"),
         F.count_if("completed_by_cutoff").alias("completed_jobs"),

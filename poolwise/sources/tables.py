@@ -5,6 +5,8 @@ Jobs come from ``events`` and nodes from ``supplier``: every row of both tables
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,10 +55,27 @@ def nodes_from_suppliers(supplier: DataFrame) -> DataFrame:
     )
 
 
-def trace_from_tables(spark: SparkSession, sf_dir: str) -> Trace:
+def arrived_between(events: DataFrame, first: float | None, last: float | None) -> DataFrame:
+    """Inclusive bounds on the arrival, as literals on ``ts`` itself, so that the scan can prune by them."""
+
+    def instant(seconds: float, whole) -> str:
+        micros = int(whole(seconds * 1_000_000))
+        return f"TIMESTAMP_NTZ'{TRACE_ORIGIN}' + make_dt_interval(0, 0, 0, CAST({micros} AS DECIMAL(24, 6)) / 1000000)"
+
+    if first is not None:
+        events = events.where(F.expr(f"ts >= {instant(first, math.ceil)}"))
+    if last is not None:
+        events = events.where(F.expr(f"ts <= {instant(last, math.floor)}"))
+    return events
+
+
+def trace_from_tables(
+    spark: SparkSession, sf_dir: str, first: float | None = None, last: float | None = None
+) -> Trace:
+    """The trace, or its arrivals between ``first`` and ``last`` seconds, both included."""
     return Trace(
         nodes=nodes_from_suppliers(table(spark, sf_dir, "supplier")),
-        jobs=jobs_from_events(table(spark, sf_dir, "events")),
+        jobs=jobs_from_events(arrived_between(table(spark, sf_dir, "events"), first, last)),
         trace_id="driver-tables",
         time_origin=TRACE_ORIGIN,
     )
