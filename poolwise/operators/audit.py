@@ -265,6 +265,25 @@ def audit_summary(
     )
 
 
+# What a metric snapshot shows.
+SNAPSHOT = (
+    "allocation_rate_mean",
+    "hp_completion_rate",
+    "hp_preempted_job_count",
+    "hp_jct_p95_seconds",
+    "hp_queue_p95_seconds",
+    "spot_completion_rate",
+    "spot_jct_p95_seconds",
+    "spot_eviction_rate_per_run",
+    "spot_guarantee_success_rate",
+)
+
+
+def metric_snapshot(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Only the declared audit and ranking metrics of each report."""
+    return metrics.select(*keys, *SNAPSHOT)
+
+
 def queue_guard(p95: Column, threshold: float) -> Column:
     """The projected HP queue p95 stays within its limit; no HP at all passes."""
     return p95.isNull() | (p95 <= threshold + EPSILON)

@@ -99,6 +99,12 @@ def class_metrics(ledger: DataFrame) -> DataFrame:
 
     Both classes of a run appear; a class without jobs has counts of zero and no rates.
     """
+    # Written once: the population is read for its classes, its moments and twice for its ranks.
+    ledger = cut_lineage(
+        ledger.select(
+            *RUN, "service_class", "evaluation_population", "jct_seconds", "queue_seconds", "completion_time_seconds", "preemption_count", "run_count"
+        )
+    )
     key = [*RUN, "service_class"]
     classes = F.array(F.lit("HP"), F.lit("Spot"))
     domain = ledger.select(*RUN).distinct().withColumn("service_class", F.explode(classes))
@@ -133,7 +139,7 @@ def class_metrics(ledger: DataFrame) -> DataFrame:
             *key,
             counted("job_count"),
             counted("completed_count"),
-            rounded(F.col("completed_count") / F.col("job_count"), 9).alias("completion_rate"),
+            rounded(F.col("completed_count") / F.col("job_count")).alias("completion_rate"),
             *[rounded(F.col(c)).alias(f"{c}_seconds") for c in measured],
             counted("preemption_count"),
             counted("preempted_job_count"),
@@ -157,9 +163,9 @@ def spot_metrics(rows: DataFrame, runs: DataFrame) -> DataFrame:
         F.count_if(event).alias("preemption_event_count"),
         F.count_if(event & inside).alias("events_during_evaluation_window"),
         F.count_if(event & ~inside).alias("events_during_drain"),
-        rounded(F.count_if(event) / n, 8).alias("eviction_rate_per_run"),
+        rounded(F.count_if(event) / n).alias("eviction_rate_per_run"),
         F.count_if(kept).alias("guarantee_succeeded_count"),
-        rounded(F.count_if(kept) / n, 8).alias("guarantee_success_rate"),
+        rounded(F.count_if(kept) / n).alias("guarantee_success_rate"),
         F.count_if(~kept & ~hit).alias("unexplained_failure_count"),
         rounded(zero(F.sum(F.when(event, F.col("rollback_seconds"))))).alias("rollback_seconds_total"),
         rounded(zero(F.sum(F.when(event, F.col("overhead_seconds"))))).alias("overhead_seconds_total"),
@@ -190,7 +196,7 @@ def allocation(rows: DataFrame, runs: DataFrame, capacity: Column) -> DataFrame:
             rounded(F.col("total") - F.col("warmup") - F.col("inside"), 3).alias(
                 "drain_allocated_gpu_seconds"
             ),
-            F.when(hi > lo, rounded(F.col("inside") / (capacity * (hi - lo)), 8))
+            F.when(hi > lo, rounded(F.col("inside") / (capacity * (hi - lo))))
             .otherwise(0.0)
             .alias("allocation_rate_mean"),
         )
@@ -203,7 +209,7 @@ LEDGER_COUNTS = ("preemption_event_count", "spot_run_count", "guarantee_failed_c
 
 def metrics_report(rows: DataFrame, runs: DataFrame, capacity: Column) -> DataFrame:
     """One row per run with every catalogued metric and the ledgers' consistency, ready for audit and ranking."""
-    by_class = cut_lineage(class_metrics(cut_lineage(job_ledger(rows, runs))))
+    by_class = cut_lineage(class_metrics(job_ledger(rows, runs)))
 
     def side(name: str, prefix: str, columns: Sequence[str]) -> DataFrame:
         return by_class.where(F.col("service_class") == name).select(

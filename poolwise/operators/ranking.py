@@ -632,3 +632,27 @@ def study_violations(
             F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("violation_count")) for n in rules])
         )
     )
+
+
+def study_receipt(
+    metrics: DataFrame, audits: DataFrame, selected: DataFrame, snapshot: Sequence[str]
+) -> DataFrame:
+    """A study's public rows, without any job: per window and arm its verdict and metrics, and the study's status.
+
+    ``metrics`` has window_id, partition and action_id; ``selected`` the arms chosen on the calibration windows.
+    An arm stands if it passes every holdout window.
+    """
+    chosen = selected.select("action_id").distinct()
+    holdout = metrics.where(F.col("partition") == "holdout").groupBy("action_id").agg(F.bool_and("hard_slo_passed").alias("stands"))
+    tally = chosen.join(holdout, "action_id", "left").agg(
+        F.count("*").alias("n"), F.bool_and(F.coalesce("stands", F.lit(False))).alias("all_stand")
+    )
+    status = (
+        F.when(F.col("n") == 0, "no_calibration_eligible_arm")
+        .when(~F.col("all_stand"), "holdout_rejected")
+        .when(F.col("n") == 1, "holdout_passed")
+        .otherwise("holdout_tie_requires_human_approval")
+    )
+    verdicts = audits.select("window_id", "action_id", "failed_hard_constraints")
+    rows = metrics.select("window_id", "partition", "action_id", "hard_slo_passed", "deterministic_repetitions", *snapshot)
+    return rows.join(verdicts, ["window_id", "action_id"]).withColumn("study_status", tally.select(status).scalar())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,16 +99,51 @@ def validate_trace(trace: Trace, *, tenant_required: bool = True) -> DataFrame:
     )
 
 
+def extent_rules(trace: Trace) -> dict[str, bool]:
+    """Rules over the whole trace: rows exist, and an evaluation window fits the arrivals. True is a breach."""
+    start, end = trace.evaluation_start_seconds, trace.evaluation_end_seconds
+    at = F.col("submit_time_seconds")
+    inside = F.count_if(at.between(start, end)) if start is not None else F.lit(0)
+    row = trace.jobs.agg(
+        F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last"), inside.alias("inside")
+    ).first()
+    broken = {"jobs_empty": row.n == 0, "nodes_empty": trace.nodes.isEmpty()}
+    if start is not None and row.n:
+        broken |= {
+            "window_starts_before_first_arrival": row.first > start,
+            "arrivals_after_window": row.last > end,
+            "window_without_arrivals": row.inside == 0,
+        }
+    return broken
+
+
 def require_valid(trace: Trace, *, tenant_required: bool = True) -> Trace:
     broken = (
         validate_trace(trace, tenant_required=tenant_required).where("violation_count > 0").collect()
     )
-    if broken:
-        listed = ", ".join(f"{row.rule}={row.violation_count}" for row in broken)
-        raise ValueError(f"Trace breaks its contract: {listed}")
+    listed = [f"{row.rule}={row.violation_count}" for row in broken]
+    listed += [rule for rule, hit in extent_rules(trace).items() if hit]
+    if listed:
+        raise ValueError(f"Trace breaks its contract: {', '.join(listed)}")
     return trace
 
 
+def last_wins(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Union of tables in which, for equal keys, the row of the last table stays.
+
+    A key has at most a row for each table, so the shuffle carries partial maxima only.
+    """
+    columns = sources[0].columns
+    rest = [c for c in columns if c not in keys]
+    tagged = [
+        df.select(*keys, F.struct(F.lit(i).alias("_source"), *rest).alias("_row")) for i, df in enumerate(sources)
+    ]
+    union = tagged[0]
+    for df in tagged[1:]:
+        union = union.unionByName(df)
+    return union.groupBy(*keys).agg(F.max("_row").alias("_row")).select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in columns])
+
+
 def slice_prefix(
     trace: Trace, max_submit_time_seconds: float, gpu_models: Iterable[str] | None = None
 ) -> Trace:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..contracts import DAY, MULTIWINDOW_ACTIONS, POLICIES
@@ -413,21 +414,55 @@ joined_fails AS (SELECT partition, action_id, string_agg(constraint_id || ':' ||
 FROM recs LEFT JOIN joined_fails j ON j.partition = recs.partition AND j.action_id = recs.action_id GROUP BY 1, 2""",
 )
 def partition_summary(spark, sf_dir):
-    from pyspark.sql import Window
+    measured = partitioned(policy_metrics(spark, sf_dir))
+    verdicts = verdicts_of(measured).join(measured.select("window_id", "partition").distinct(), "window_id")
+    return ranking.partition_summary(measured, verdicts)
 
-    metrics = policy_metrics(spark, sf_dir)
+
+def partitioned(report):
+    """The first three fifths of the windows calibrate, the rest are held out; windows are few."""
     ordered = Window.orderBy("window_id")
     cut = F.floor(F.count(F.lit(1)).over(Window.partitionBy()) * 0.6)
-    days = metrics.select("window_id").distinct().select(
-        "window_id",
-        F.when(F.row_number().over(ordered) <= cut, "calibration")
-        .otherwise("holdout")
-        .alias("partition"),
+    days = report.select("window_id").distinct().select(
+        "window_id", F.when(F.row_number().over(ordered) <= cut, "calibration").otherwise("holdout").alias("partition")
     )
-    verdicts = audit.audit_summary(
-        audited_metrics(spark, sf_dir), ["window_id", "action_id"]
-    ).join(days, "window_id")
-    return ranking.partition_summary(metrics.join(days, "window_id"), verdicts)
+    return report.join(days, "window_id")
+
+
+def verdicts_of(report):
+    audited = audit.audit_constraints(report.drop("partition"), WINDOW, carry=audit.EVIDENCE)
+    return audit.audit_summary(audited, ["window_id", "action_id"])
+
+
+@query("q_metric_snapshot", PM + f"SELECT window_id, action_id, {', '.join(audit.SNAPSHOT)} FROM pm")
+def metric_snapshot(spark, sf_dir):
+    return audit.metric_snapshot(policy_metrics(spark, sf_dir), ["window_id", "action_id"])
+
+
+@query(
+    "q_study_receipt",
+    PM
+    + f""", {AUDIT},
+days AS (SELECT window_id, CASE WHEN row_number() OVER (ORDER BY window_id) <= floor(count(*) OVER () * 0.6)
+    THEN 'calibration' ELSE 'holdout' END AS partition FROM (SELECT DISTINCT window_id FROM pm)),
+m AS (SELECT action_id, count(*) FILTER (NOT hard_slo_passed OR NOT deterministic_repetitions) = 0 AS k0, round(avg(allocation_rate_mean), 9) AS a,
+    round(avg(spot_jct_p95_seconds), 9) AS j, round(avg(spot_eviction_rate_per_run), 9) AS e FROM pm JOIN days USING (window_id) WHERE partition = 'calibration' GROUP BY 1),
+m1 AS (SELECT *, k0 AND max(CASE WHEN k0 THEN a END) OVER () - a < 0.01 AS k1 FROM m),
+m2 AS (SELECT *, k1 AND j = min(CASE WHEN k1 THEN j END) OVER () AS k2 FROM m1),
+chosen AS (SELECT action_id FROM (SELECT *, coalesce(k2 AND e = min(CASE WHEN k2 THEN e END) OVER (), false) AS f FROM m2) WHERE f),
+hold AS (SELECT action_id, bool_and(hard_slo_passed) AS stands FROM pm JOIN days USING (window_id) WHERE partition = 'holdout' GROUP BY 1),
+tally AS (SELECT count(*) AS n, bool_and(coalesce(stands, false)) AS every FROM chosen LEFT JOIN hold USING (action_id)),
+fails AS (SELECT window_id, action_id, coalesce(string_agg(constraint_id, ',' ORDER BY constraint_id) FILTER (severity = 'hard' AND NOT passed), '') AS failed_hard_constraints FROM aud GROUP BY 1, 2)
+SELECT window_id, action_id, partition, hard_slo_passed, deterministic_repetitions, {', '.join(audit.SNAPSHOT)}, failed_hard_constraints,
+  CASE WHEN tally.n = 0 THEN 'no_calibration_eligible_arm' WHEN NOT every THEN 'holdout_rejected' WHEN tally.n = 1 THEN 'holdout_passed'
+    ELSE 'holdout_tie_requires_human_approval' END AS study_status
+FROM pm JOIN days USING (window_id) JOIN fails USING (window_id, action_id), tally""",
+)
+def study_receipt(spark, sf_dir):
+    measured = partitioned(policy_metrics(spark, sf_dir))
+    selected = ranking.calibration_selection(measured.where("partition = 'calibration'")).where("on_frontier")
+    receipt = ranking.study_receipt(measured, verdicts_of(measured), selected, audit.SNAPSHOT)
+    return receipt.withColumn("failed_hard_constraints", F.array_join("failed_hard_constraints", ","))
 
 
 ACTIVE = "CASE CAST(substr(window_id, 9, 2) AS INT) % 3 WHEN 0 THEN 'native-fifo' WHEN 1 THEN 'native-preemptive-3600' ELSE 'native-preemptive-g3600-b09-d0900' END"

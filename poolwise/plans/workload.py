@@ -374,3 +374,21 @@ def chrono_split(spark, sf_dir):
     return split_windows(spark, sf_dir).select(
         "date", "partition", "start_seconds", "combined_peak_active_pressure"
     )
+
+
+@query(
+    "q_last_wins_union",
+    WITH
+    + f""", done AS (SELECT * FROM jobs WHERE submit_time_seconds + duration_seconds <= {CUTOFF} + 1e-9),
+again AS (SELECT * REPLACE (duration_seconds * 0.5::DOUBLE AS duration_seconds) FROM done WHERE gpu_count >= 2)
+SELECT service_class, gpu_model, CAST(count(*) AS BIGINT) AS job_count, round(sum(duration_seconds), 2) AS duration_seconds FROM (
+  SELECT * FROM again UNION ALL SELECT * FROM done WHERE (job_id, service_class) NOT IN (SELECT (job_id, service_class) FROM again)) GROUP BY 1, 2""",
+)
+def last_wins_union(spark, sf_dir):
+    """Finished jobs of a trace and of a second one that restates its larger jobs; the second wins."""
+    done = slicing.as_of(trace_from_tables(spark, sf_dir, last=CUTOFF).jobs, CUTOFF).where("completed_by_cutoff")
+    again = done.where("gpu_count >= 2").withColumn("duration_seconds", F.col("duration_seconds") * 0.5)
+    both = slicing.last_wins([done, again], ["job_id", "service_class"])
+    return both.groupBy("service_class", "gpu_model").agg(
+        F.count(F.lit(1)).alias("job_count"), F.round(F.sum("duration_seconds"), 2).alias("duration_seconds")
+    )

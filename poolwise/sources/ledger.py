@@ -182,7 +182,7 @@ je AS (SELECT jl.* FROM jl JOIN wins USING (run_id) WHERE submit_time_seconds BE
 re AS (SELECT runs.*, ee FROM runs JOIN wins USING (run_id) WHERE submit_time_seconds BETWEEN es AND ee),
 cells AS (SELECT DISTINCT run_id, action_id FROM runs),
 cm AS (SELECT c.run_id, c.action_id, sc.service_class, count(job_id) AS job_count, count(jct) AS completed_count,
-    CASE WHEN count(job_id) > 0 THEN round(count(jct) / count(job_id)::DOUBLE, 9) END AS completion_rate,
+    CASE WHEN count(job_id) > 0 THEN round(count(jct) / count(job_id)::DOUBLE, 6) END AS completion_rate,
     round(avg(jct), 6) AS jct_mean, round(quantile_cont(jct, 0.5), 6) AS jct_p50, round(quantile_cont(jct, 0.95), 6) AS jct_p95,
     round(avg(queued), 6) AS queue_mean, round(quantile_cont(queued, 0.5), 6) AS queue_p50, round(quantile_cont(queued, 0.95), 6) AS queue_p95,
     CAST(coalesce(sum(hits), 0) AS BIGINT) AS preemption_count, count(*) FILTER (hits > 0) AS preempted_job_count,
@@ -192,9 +192,9 @@ cm AS (SELECT c.run_id, c.action_id, sc.service_class, count(job_id) AS job_coun
   LEFT JOIN je ON je.run_id = c.run_id AND je.action_id = c.action_id AND je.service_class = sc.service_class GROUP BY 1, 2, 3),
 sm AS (SELECT run_id, action_id, count(*) AS spot_run_count, count(trigger_id) AS preemption_event_count,
     count(trigger_id) FILTER (e <= ee) AS events_during_evaluation_window, count(trigger_id) FILTER (e > ee) AS events_during_drain,
-    round(count(trigger_id) / count(*)::DOUBLE, 8) AS eviction_rate_per_run,
+    round(count(trigger_id) / count(*)::DOUBLE, 6) AS eviction_rate_per_run,
     count(*) FILTER (end_reason = 'completed' OR e - s + 1e-9 >= guarantee_seconds) AS guarantee_succeeded_count,
-    round(count(*) FILTER (end_reason = 'completed' OR e - s + 1e-9 >= guarantee_seconds) / count(*)::DOUBLE, 8) AS guarantee_success_rate,
+    round(count(*) FILTER (end_reason = 'completed' OR e - s + 1e-9 >= guarantee_seconds) / count(*)::DOUBLE, 6) AS guarantee_success_rate,
     count(*) FILTER (end_reason = 'cut' AND e - s + 1e-9 < guarantee_seconds) AS unexplained_failure_count,
     round(coalesce(sum(rollback_seconds) FILTER (trigger_id IS NOT NULL), 0.0::DOUBLE), 6) AS rollback_seconds_total,
     round(coalesce(sum(overhead_seconds) FILTER (trigger_id IS NOT NULL), 0.0::DOUBLE), 6) AS overhead_seconds_total,
@@ -221,7 +221,7 @@ pm0 AS (SELECT al.run_id AS window_id, al.action_id, n, es AS evaluation_start,
     CASE WHEN al.action_id = '{MULTIWINDOW_ACTIONS[4]}' AND CAST(substr(al.run_id, 9, 2) AS INT) % 10 = 9 THEN 'lines-b' ELSE 'lines-a' END AS trace_id,
     {_side('HP', 'hp')}, {_side('Spot', 'spot')}, sm.eviction_rate_per_run AS spot_eviction_rate_per_run, sm.guarantee_success_rate AS spot_guarantee_success_rate,
     sm.added_gpu_seconds_total AS preemption_added_gpu_seconds, coalesce(sm.preemption_event_count, 0) AS preemption_event_count, coalesce(sm.spot_run_count, 0) AS spot_run_count,
-    round(ins / (gpus * (ee - es)), 8) AS allocation_rate_mean,
+    round(ins / (gpus * (ee - es)), 6) AS allocation_rate_mean,
     coalesce(sm.preemption_event_count, 0) = spot.preemption_count AS preemption_ledger_consistent, coalesce(sm.spot_run_count, 0) = spot.run_count AS run_ledger_consistent,
     coalesce(sm.spot_run_count - sm.guarantee_succeeded_count, 0) <= coalesce(sm.preemption_event_count, 0) AND coalesce(sm.unexplained_failure_count, 0) = 0 AS guarantee_ledger_consistent,
     CASE WHEN al.action_id = 'native-fifo' THEN 'fifo' ELSE 'priority_preemptive' END AS scheduler

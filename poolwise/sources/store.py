@@ -91,11 +91,24 @@ def write_trace(
     source: dict,
     *,
     data_format: str = "parquet",
+    verify: bool = True,
 ) -> dict:
-    """Write nodes and jobs range-sorted in parallel, then the manifest that binds them."""
+    """Write nodes and jobs range-sorted in parallel, then the manifest that binds them.
+
+    Jobs with tenants make a v2 trace and must all have one; without any it is v1. The written trace is
+    loaded again and checked unless ``verify`` is off.
+    """
     if data_format not in ("parquet", "csv"):
         raise ValueError("data_format must be parquet or csv")
+    if not trace.trace_id or (trace.evaluation_start_seconds is None) != (trace.evaluation_end_seconds is None):
+        raise ValueError("A trace needs an id, and both ends of an evaluation window or none")
     tenant = "tenant_id" in trace.jobs.columns
+    if tenant:
+        blank = F.col("tenant_id").isNull() | (F.col("tenant_id") == "")
+        row = trace.jobs.agg(F.count_if(blank).alias("without"), F.count_if(~blank).alias("with")).first()
+        if row["without"] and row["with"]:
+            raise ValueError(f"{row['without']} jobs of a trace with tenants have none")
+        tenant = row["with"] > 0
     nodes, jobs = _columns(trace, tenant)
     ordered = {"nodes": nodes.sort("node_id"), "jobs": jobs.sort("submit_time_seconds", "job_id")}
     files: dict[str, str] = {}
@@ -120,6 +133,8 @@ def write_trace(
         }
     manifest["trace_fingerprint"] = canonical_sha256(manifest)
     write_json(spark, f"{root}/{MANIFEST}", manifest)
+    if verify:
+        read_trace(spark, root)
     return manifest
 
 

@@ -1,6 +1,7 @@
 """Contract checks, storage round trips and refusals."""
 
 import tempfile
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +64,38 @@ def test_broken_traces_are_refused(spark, bad):
         slicing.require_valid(make(spark, jobs=[*JOBS, bad]))
 
 
+@pytest.mark.parametrize(
+    "window,rule",
+    [((1.0, 9.0), None), ((1.0, 4.0), "arrivals_after_window"), ((0.0, 9.0), None), ((3.5, 4.9), "window_without_arrivals")],
+)
+def test_evaluation_windows_fit_the_arrivals(spark, window, rule):
+    trace = replace(make(spark), evaluation_start_seconds=window[0], evaluation_end_seconds=window[1])
+    assert rule is None or slicing.extent_rules(trace)[rule]
+    if rule is None:
+        assert not any(slicing.extent_rules(trace).values())
+
+
+def test_empty_traces_and_mixed_tenants_are_refused(spark):
+    with pytest.raises(ValueError, match="jobs_empty"):
+        slicing.require_valid(make(spark, jobs=[]))
+    with pytest.raises(ValueError, match="nodes_empty"):
+        slicing.require_valid(make(spark, nodes=[]))
+    mixed = make(spark, jobs=[JOBS[0], (*JOBS[1][:6], None)])
+    with pytest.raises(ValueError, match="have none"):
+        write_trace(spark, tempfile.mkdtemp(prefix="poolwise-store-") + "/t", mixed, {})
+    bare = make(spark, jobs=[(*j[:6], None) for j in JOBS])
+    root = tempfile.mkdtemp(prefix="poolwise-store-") + "/t"
+    assert write_trace(spark, root, bare, {})["schema_version"] == "trace/v1"
+    assert "tenant_id" not in read_trace(spark, root).jobs.columns
+
+
+def test_reports_replace_the_old_one(spark):
+    path = tempfile.mkdtemp(prefix="poolwise-report-") + "/r.json"
+    for value in ({"a": 1}, {"a": 2}):
+        write_json(spark, path, value)
+    assert read_json(spark, path) == {"a": 2}
+
+
 def test_policies_reject_unknown_controls():
     for change in ({"scheduler": "lifo"}, {"spot_eviction_budget_rate": 2.0}, {"checkpoint_interval_seconds": 0}):
         with pytest.raises(ValueError):
