@@ -38,7 +38,7 @@ SLICE = 1 << 20
 
 ORDER = 4
 SAMPLE_DOCS = 400
-SLACK = 1.2
+SLACK = 1.8
 UNDECIDED = "und"
 SPREAD = 2.0
 GOLD = np.uint64(0x9E3779B97F4A7C15)
