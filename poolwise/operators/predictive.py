@@ -40,6 +40,11 @@ def _history(full: DataFrame, so_far: DataFrame, times: DataFrame, key: str, hou
     return older.unionByName(now)
 
 
+def steady(value: Column) -> Column:
+    """Rounded to 6 after 10 digits, so that the noise of a sum's order does not decide a half."""
+    return rounded(F.round(value, 10))
+
+
 def update_forecasts(
     samples: DataFrame,
     value: str,
@@ -119,11 +124,9 @@ def update_forecasts(
             "cutoff",
             "horizon_step",
             target.alias("target_time_seconds"),
-            rounded(F.col("_mu")).alias("mu_gpus"),
-            rounded(F.col("_sigma")).alias("sigma_gpus"),
-            rounded(_clip(F.col("_mu") + z * F.col("_sigma"), 0.0, capacity)).alias(
-                "guarantee_quantile_gpus"
-            ),
+            steady(F.col("_mu")).alias("mu_gpus"),
+            steady(F.col("_sigma")).alias("sigma_gpus"),
+            steady(_clip(F.col("_mu") + z * F.col("_sigma"), 0.0, capacity)).alias("guarantee_quantile_gpus"),
         )
     )
 

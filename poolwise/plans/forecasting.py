@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..contracts import DAY, HOUR
 from ..functions import normal_quantile, rounded
 from ..operators import forecast, observation, predictive, tenant_model
+from ..operators.forecast import SeasonalConfig
 from ..operators.slicing import pool_capacity, total_capacity
 from ..sources.ledger import FIRST_WINDOW, LEDGER_CTES, WINDOW_COUNT, run_ledger
 from ..sources.tables import TRACE_CTES, trace_from_tables
@@ -509,7 +510,29 @@ def aggregate_eta(spark, sf_dir):
     return forecast.aggregate_eta_trajectory(updates, ["gpu_model"]).withColumn("eta", rounded(F.col("eta"), 7))
 
 
-@query("q_update_forecasts")
+UPDATED = f""", sf AS (SELECT t, CAST(floor(t / 3600.0::DOUBLE + 1e-9) AS BIGINT) AS b, max(gpus) OVER (PARTITION BY CAST(floor(t / 3600.0::DOUBLE + 1e-9) AS BIGINT) ORDER BY t) AS v
+  FROM obs WHERE service_class = 'HP'),
+fullh AS (SELECT b, max(v) AS v FROM sf GROUP BY 1),
+upd AS (SELECT t, b, v, s + floor((t - s) / 86400.0::DOUBLE + 1e-9) * 86400.0::DOUBLE AS f FROM sf, obs_start),
+fits AS (SELECT DISTINCT f, CAST(floor(f / 3600.0::DOUBLE + 1e-9) AS BIGINT) AS fb FROM upd),
+hist AS (SELECT f, h.b, h.v FROM fits JOIN fullh h ON h.b BETWEEN fb - 671 AND fb - 1 AND h.b >= 0 UNION ALL SELECT f, sf.b, sf.v FROM fits JOIN sf ON sf.t = f),
+hx AS (SELECT *, avg(v) OVER (PARTITION BY f) AS overall, avg(v) OVER (PARTITION BY f, b % 24) AS dm,
+    CASE WHEN count(*) OVER (PARTITION BY f, b % 168) >= 2 THEN avg(v) OVER (PARTITION BY f, b % 168) END AS wm, row_number() OVER (PARTITION BY f ORDER BY b DESC) AS age FROM hist),
+shape AS (SELECT f, stddev_pop(v - coalesce(wm, dm, overall)) AS sd, any_value(overall) AS overall, avg(v) FILTER (age <= 24) AS recent, avg(v) FILTER (age BETWEEN 25 AND 48) AS previous FROM hx GROUP BY 1),
+dms AS (SELECT f, b % 24 AS hod, any_value(dm) AS dm FROM hx GROUP BY 1, 2),
+wms AS (SELECT f, b % 168 AS how, any_value(wm) AS wm FROM hx GROUP BY 1, 2),
+tb AS (SELECT shape.f, r.how, coalesce(wm, dm, overall) AS expected FROM shape CROSS JOIN range(0, 168) r(how) LEFT JOIN dms ON dms.f = shape.f AND hod = how % 24 LEFT JOIN wms ON wms.f = shape.f AND wms.how = r.how),
+near AS (SELECT u.t, u.f, h.b, h.v FROM upd u JOIN fullh h ON h.b BETWEEN u.b - 23 AND u.b - 1 AND h.b >= 0 UNION ALL SELECT t, f, b, v FROM upd),
+lev AS (SELECT t, near.f, avg(v - expected) AS level FROM near JOIN tb ON tb.f = near.f AND how = b % 168 GROUP BY 1, 2),
+up0 AS (SELECT t, k, t + k * 3600.0::DOUBLE AS target, capacity_gpus AS c, greatest({SeasonalConfig().minimum_sigma_gpus}::DOUBLE, sd) AS sg,
+    greatest(0.0::DOUBLE, least(capacity_gpus, expected + level + k * greatest(-greatest(1.0::DOUBLE, capacity_gpus * 0.05::DOUBLE),
+      least(greatest(1.0::DOUBLE, capacity_gpus * 0.05::DOUBLE), coalesce((recent - previous) / 24.0::DOUBLE, 0.0::DOUBLE))))) AS mu
+  FROM lev JOIN shape USING (f) CROSS JOIN range(1, 5) r(k) JOIN tb ON tb.f = lev.f AND how = CAST(floor((t + k * 3600.0::DOUBLE) / 3600.0::DOUBLE + 1e-9) AS BIGINT) % 168, total)
+SELECT t AS cutoff, CAST(k AS BIGINT) AS horizon_step, target AS target_time_seconds, round(round(mu, 10), 6) AS mu_gpus, round(round(sg, 10), 6) AS sigma_gpus,
+  round(round(greatest(0.0::DOUBLE, least(c, mu + {Z90!r}::DOUBLE * sg)), 10), 6) AS guarantee_quantile_gpus FROM up0"""
+
+
+@query("q_update_forecasts", WITH + OBSERVED + UPDATED)
 def update_forecasts(spark, sf_dir):
     """The seasonal forecast at every five-minute update up to the cutoff."""
     trace = trace_from_tables(spark, sf_dir)
