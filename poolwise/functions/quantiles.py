@@ -17,7 +17,9 @@ from ..session import cut_lineage
 from .sizing import broadcast_if_small
 
 SKETCH_ACCURACY = 20_000
+#: Buckets of ordered values: at least so many, and more where they would exceed so many rows each.
 RANK_BUCKETS = 64
+ROWS_PER_BUCKET = 500_000
 
 
 def _bracketed(p: float, slack: float) -> tuple[float, float]:
@@ -138,12 +140,13 @@ def global_value_ranks(df: DataFrame, group: Sequence[str], value: str) -> DataF
         .groupBy(*group, value)
         .agg(F.count(F.lit(1)).alias("value_count"))
     )
+    buckets = max(RANK_BUCKETS, counts.count() // ROWS_PER_BUCKET + 1)
     cuts = broadcast_if_small(
         counts.groupBy(*group).agg(
             F.percentile_approx(
                 value,
-                F.array(*[F.lit(i / RANK_BUCKETS) for i in range(1, RANK_BUCKETS)]),
-                F.lit(1000),
+                F.array(*[F.lit(i / buckets) for i in range(1, buckets)]),
+                F.lit(max(1000, 4 * buckets)),
             ).alias("_cuts")
         )
     )
