@@ -9,9 +9,12 @@ back order by order. The language with the lowest entropy per character wins; ti
 
 The fit takes about ``SAMPLE_DOCS`` labelled documents of each language, those with the smallest hashes
 of doc_id, one in five of them for calibration only: the share is set from the count of labelled rows per language, and
-at most twice that number is used. A document is rejected when its entropy lies above what
-calibration documents of the predicted language have, by three times their 99th percentile (scaled by
-the root of the length) and by ``SLACK`` nats at least.
+at most twice that number is used. Calibration documents are measured whole and in pieces of every length class
+(powers of two). A document is rejected when its entropy exceeds the median of the predicted language in
+its length class by more than three times what the 99th percentile there does, and by ``FLOOR`` nats at least.
+Where a language has fewer than ``LEAST`` pieces of a class, the excess of all languages' pieces counts too; a
+language without calibration is held against the highest median. Nothing is rejected for its entropy where no
+language was calibrated.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected; without any training row, all
 others are ``und`` too; null labels are not learned; repeated rows are predicted alike; further columns are
@@ -38,7 +41,10 @@ SLICE = 1 << 20
 
 ORDER = 4
 SAMPLE_DOCS = 400
-SLACK = 1.8
+FLOOR = 0.25
+#: Length classes end at powers of two; pieces per document and class; pieces that calibrate a class.
+SHORTEST, LONGEST = 2, 10
+PIECES, LEAST = 4, 50
 UNDECIDED = "und"
 SPREAD = 2.0
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -146,8 +152,8 @@ class LanguageModels:
     grams: dict[int, Table] = field(default_factory=dict)
     weights: dict[int, Table] = field(default_factory=dict)
     floor: float = 0.0
-    #: For each language, the usual entropy and the allowed excess times the root of the length.
-    usual: dict[str, tuple[float, float]] = field(default_factory=dict)
+    #: For each language, the highest entropy that is kept in each length class.
+    limits: dict[str, np.ndarray] = field(default_factory=dict)
 
     @classmethod
     def fit(cls, counts: dict[str, dict[tuple[int, ...], int]], order: int = ORDER) -> LanguageModels:
@@ -205,13 +211,46 @@ class LanguageModels:
                 scores.append(0.0)
                 rejected.append(True)
                 continue
-            usual, spread = self.usual.get(self.names[k], (0.0, np.inf))
             names.append(self.names[k])
             scores.append(s)
-            rejected.append(bool(h - usual > max(SLACK, spread / min(length, 1000) ** 0.5)))
+            rejected.append(bool(self.names[k] in self.limits and h > self.limits[self.names[k]][length_class(length)]))
         return names, scores, least.tolist(), rejected
 
 
+def length_class(n: int) -> int:
+    return min(max(n.bit_length() - 1, SHORTEST), LONGEST) - SHORTEST
+
+
+def pieces(text: str) -> list[str]:
+    """The text, and up to ``PIECES`` pieces for each shorter length class, from the beginnings of words."""
+    out = [text]
+    for power in range(SHORTEST, LONGEST + 1):
+        size = 3 << power - 1
+        for part in range(PIECES if len(text) > size else 0):
+            at = text.find(" ", (len(text) - size) * part // PIECES) + 1 if part else 0
+            out.append(text[at : at + size])
+    return out
+
+
+def limits(names: list[str], measured: list[tuple[str, int, float]]) -> dict[str, np.ndarray]:
+    """Highest kept entropy by language and length class, from (language, symbols, entropy) of calibration pieces."""
+    seen: dict[tuple[str, int], list[float]] = defaultdict(list)
+    for lang, n, h in measured:
+        seen[lang, length_class(n)].append(h)
+    out = {name: np.full(LONGEST - SHORTEST + 1, np.inf) for name in names}
+    for c in range(LONGEST - SHORTEST + 1):
+        usual = {lang: float(np.median(seen[lang, c])) for lang in names if (lang, c) in seen}
+        excess = {lang: np.array(seen[lang, c]) - u for lang, u in usual.items()}
+        if not usual:
+            continue
+        pooled = float(np.quantile(np.concatenate(list(excess.values())), 0.99))
+        for lang in names:
+            own = float(np.quantile(excess[lang], 0.99)) if lang in excess else 0.0
+            some = own if lang in excess and len(excess[lang]) >= LEAST else max(own, pooled)
+            out[lang][c] = usual.get(lang, max(usual.values())) + max(FLOOR, 3 * some)
+    return out
+
+
 def labelled_sample(docs: DataFrame, learn: Column, size: int) -> DataFrame:
     """About ``size`` rows of each language (twice that at most): lang, text, calibration."""
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -255,20 +294,15 @@ def fit_languages(docs: DataFrame, learn: Column, size: int = SAMPLE_DOCS) -> La
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in slices(batches, "text", SLICE):
-            langs = batch.column("lang").to_pylist()
-            entropies, n, n_letters = model.entropies(batch.column("text").to_pylist())
+            cut = [(x, p) for x, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) for p in pieces(t)]
+            langs = [x for x, _ in cut]
+            entropies, n, n_letters = model.entropies([p for _, p in cut])
             rows = [(x, float(h[model.names.index(x)]), int(k)) for x, h, k, some in zip(langs, entropies, n, n_letters, strict=True) if some and x in model.names]
             if rows:
                 yield arrow_batch(["lang", "h", "n"], [pa.string(), pa.float64(), pa.int64()], list(zip(*rows, strict=True)))
 
-    seen = defaultdict(list)
-    for lang, h, n in sample.where("calibration").select("lang", "text").mapInArrow(measure, "lang string, h double, n long").collect():
-        seen[lang].append((h, n))
-    for lang, pairs in seen.items():
-        h, n = np.array(pairs).T
-        usual = float(np.median(h))
-        excess = np.quantile(np.maximum(h - usual, 0) * np.sqrt(np.minimum(n, 1000)), 0.99)
-        models.usual[lang] = usual, float(3 * excess)
+    found = sample.where("calibration").select("lang", "text").mapInArrow(measure, "lang string, h double, n long").collect()
+    models.limits = limits(models.names, [(r.lang, r.n, r.h) for r in found])
     return models
 
 

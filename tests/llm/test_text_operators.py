@@ -15,7 +15,7 @@ from poolwise.llm import pii
 from poolwise.llm.chat import HEADINGS, format_chat, read_chat
 from poolwise.llm.decontaminate import contamination, hits, item_blocks, without_contaminated, without_spans
 from poolwise.llm.hidden_markov import Hmm, expected_counts, log_likelihoods, unpack
-from poolwise.llm.language_id import UNDECIDED, LanguageModels, fit_languages, identified, identify
+from poolwise.llm.language_id import UNDECIDED, LanguageModels, fit_languages, identified, identify, length_class, limits
 from poolwise.llm.lm_score import scores
 from poolwise.llm.url_filter import RULES, judge
 
@@ -84,6 +84,25 @@ def test_language_probabilities_sum_to_one():
         assert total == pytest.approx([1, 1], abs=1e-4)
 
 
+@pytest.mark.parametrize("unlearned", ["de", "es"])
+def test_language_that_no_row_is_labelled_with_is_rejected(spark, unlearned):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    langs = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    label = F.when(F.col("lang") != unlearned, F.col("lang"))
+    rows = identify(docs.withColumn("lang", label)).collect()
+    foreign = [r.rejected for r in rows if langs[r.doc_id] == unlearned]
+    clean = [r.rejected for r in rows if langs[r.doc_id] != unlearned]
+    assert sum(foreign) / len(foreign) > 0.9
+    assert sum(clean) / len(clean) < 0.01
+
+
+def test_limits_of_languages_with_few_or_no_calibration_pieces():
+    measured = [("a", 100, 1 + k / 1000) for k in range(200)] + [("b", 100, 1.5)]
+    found = {name: x[length_class(100)] for name, x in limits(["a", "b", "c"], measured).items()}
+    assert found["a"] < found["b"] == found["c"] < 1.9
+    assert np.isinf(limits(["a", "b"], measured)["a"][length_class(2000)]) and np.isinf(limits(["a"], [])["a"]).all()
+
+
 def test_language_on_odd_rows(spark, make_docs, sample):
     docs, _ = sample
     models = fit_languages(docs, docs.doc_id >= 0)
