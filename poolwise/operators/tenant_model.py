@@ -6,28 +6,30 @@ For a series with history x, split into trend and cycle, and horizon step h:
     sigma_h = softplus(c_h . x + time biases + series bias)
 
 The loss is the Gaussian negative log-likelihood of non-zero targets. Training rows stay where Spark
-put them: each partition sums its gradient, the sums are added by key, and only the parameters visit
-the driver. Series biases live in ``SERIES_SLOTS`` hashed slots, so the number of parameters follows the
-model alone; series whose hashes agree share a bias.
+put them: each partition sums its gradient, the sums are added by key, and only the shared parameters visit
+the driver. Biases are a DataFrame with one row per series, joined to the rows by the series key; their
+gradients are added and their steps taken on Spark. A series without training rows has bias zero.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normal_quantile, rounded
+from ..functions.sizing import broadcast_if_small
 from ..session import cut_lineage, ship_package
 from .forecast import pool_gaussians, residual_calibration
 
 SERIES = ["gpu_model", "tenant_id"]
 TIME_SLOTS = 2 + 7 + 24
-SERIES_SLOTS = 4096
+BIASES = ("mean_bias", "scale_bias")
 
 
 @dataclass(frozen=True)
@@ -68,8 +70,8 @@ def training_rows(hours: DataFrame, model: TenantModel, origin_weekday: int = 0)
     )
 
 
-def _design(frame: pd.DataFrame, model: TenantModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean inputs, scale inputs, series index): history parts with one-hot time slots."""
+def _design(frame: pd.DataFrame, model: TenantModel) -> tuple[np.ndarray, np.ndarray]:
+    """(mean inputs, scale inputs): history parts with one-hot time slots."""
     x = np.array(frame["x"].tolist(), dtype=float)
     half = (model.moving_average_window - 1) // 2
     padded = np.pad(x, ((0, 0), (half, half)), mode="edge")
@@ -81,27 +83,86 @@ def _design(frame: pd.DataFrame, model: TenantModel) -> tuple[np.ndarray, np.nda
     slots[at, frame["workday"]] = 1.0
     slots[at, 2 + frame["weekday"].to_numpy()] = 1.0
     slots[at, 9 + frame["hour"].to_numpy()] = 1.0
-    return np.hstack([x - trend, trend, slots]), np.hstack([x, slots]), frame["series_index"].to_numpy()
+    return np.hstack([x - trend, trend, slots]), np.hstack([x, slots])
 
 
-def _initial(model: TenantModel, series: int) -> dict[str, np.ndarray]:
+def _initial(model: TenantModel, series: int | None) -> dict[str, np.ndarray]:
+    """Initial parameters; with biases if the series are indexed."""
     start, h = 1.0 / model.lookback, model.horizon
     mean = np.zeros((2 * model.lookback + TIME_SLOTS, h))
     scale = np.zeros((model.lookback + TIME_SLOTS, h))
     mean[: 2 * model.lookback], scale[: model.lookback] = start, start
-    return {"mean": mean, "scale": scale, "mean_bias": np.zeros((series, h)), "scale_bias": np.zeros((series, h))}
+    shared = {"mean": mean, "scale": scale}
+    return shared if series is None else shared | {name: np.zeros((series, h)) for name in BIASES}
 
 
-def _predict(weights, design) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    wide, narrow, index = design
-    mean = wide @ weights["mean"] + weights["mean_bias"][index]
-    raw = narrow @ weights["scale"] + weights["scale_bias"][index]
+def _predict(weights, design, frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    wide, narrow = design
+    if "mean_bias" in weights:
+        mean_bias, scale_bias = (weights[name][frame["series_index"].to_numpy()] for name in BIASES)
+    else:
+        mean_bias, scale_bias = (np.array(frame[name].tolist(), dtype=float) for name in BIASES)
+    mean = wide @ weights["mean"] + mean_bias
+    raw = narrow @ weights["scale"] + scale_bias
     return mean, np.logaddexp(0.0, raw) + 1e-6, raw
 
 
-def _gradient_job(rows: DataFrame, weights, model: TenantModel) -> dict[str, np.ndarray]:
-    """Sum of losses and gradients over all rows, added up by (parameter, position)."""
+def _joined_by_series(left: DataFrame, right: DataFrame, values: list[str]) -> DataFrame:
+    """``left`` with ``values`` of the row of ``right`` that has the same series, null keys alike."""
+    named = right.select(*[F.col(c).alias("of_" + c) for c in SERIES], *values)
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col("of_" + c)) for c in SERIES))
+    return left.join(broadcast_if_small(named), same, "left").drop(*["of_" + c for c in SERIES])
+
+
+def _with_biases(rows: DataFrame, biases: DataFrame, model: TenantModel) -> DataFrame:
+    zeros = F.array_repeat(F.lit(0.0), model.horizon)
+    joined = _joined_by_series(rows, biases, list(BIASES))
+    return joined.withColumns({name: F.coalesce(name, zeros) for name in BIASES})
+
+
+def _initial_biases(rows: DataFrame, model: TenantModel) -> DataFrame:
+    """One row per series: each bias of every horizon step, and the two moments of its gradient."""
+    zeros = F.array_repeat(F.lit(0.0), model.horizon)
+    names = [name + part for name in BIASES for part in ("", "_first", "_second")]
+    return cut_lineage(rows.select(*SERIES).distinct().select(*SERIES, *[zeros.alias(n) for n in names]))
+
+
+def _stepped_biases(biases: DataFrame, added: DataFrame, fit_n: float, rate: float, epoch: int, model: TenantModel) -> DataFrame:
+    """The biases after one step of Adam, from the sums of their gradients."""
+    total = lambda name, k: F.sum(F.when((F.col("parameter") == name) & (F.col("position") == k), F.col("total")))
+    gradients = added.where(F.col("parameter").isin(*BIASES)).groupBy(*SERIES).agg(
+        *[
+            F.array(*[F.coalesce(total(name, k), F.lit(0.0)) / float(fit_n) for k in range(model.horizon)]).alias(name + "_gradient")
+            for name in BIASES
+        ]
+    )
+    joined = _joined_by_series(biases, gradients, [name + "_gradient" for name in BIASES])
+    zeros = F.array_repeat(F.lit(0.0), model.horizon)
+    columns = []
+    for name in BIASES:
+        gradient = F.coalesce(F.col(name + "_gradient"), zeros)
+        first = F.zip_with(name + "_first", gradient, lambda m, g: 0.9 * m + 0.1 * g)
+        second = F.zip_with(name + "_second", gradient, lambda m, g: 0.999 * m + 0.001 * g * g)
+        step = F.zip_with(
+            first,
+            second,
+            lambda a, b: rate * (a / (1 - 0.9 ** (epoch + 1))) / (F.sqrt(b / (1 - 0.999 ** (epoch + 1))) + 1e-8),
+        )
+        columns += [
+            F.zip_with(name, step, lambda v, d: v - d).alias(name),
+            first.alias(name + "_first"),
+            second.alias(name + "_second"),
+        ]
+    return cut_lineage(joined.select(*SERIES, *columns))
+
+
+def _gradient_sums(rows: DataFrame, weights, model: TenantModel) -> DataFrame:
+    """Losses and gradients over all rows, added up by (series, parameter, position).
+
+    Only biases that ``rows`` brings along as columns are added by series; other rows have no series.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(weights)
+    indexed = "mean_bias" in weights
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = shared.value
@@ -113,7 +174,7 @@ def _gradient_job(rows: DataFrame, weights, model: TenantModel) -> dict[str, np.
             design = _design(frame, model)
             target = np.array(frame["y"].tolist(), dtype=float)
             held = frame["validation"].to_numpy()
-            mean, sigma, raw = _predict(w, design)
+            mean, sigma, raw = _predict(w, design, frame)
             used = target != 0
             gap = (target - mean) / sigma
             nll = np.log(sigma) + 0.5 * gap**2 + 0.5 * np.log(2 * np.pi)
@@ -126,40 +187,62 @@ def _gradient_job(rows: DataFrame, weights, model: TenantModel) -> dict[str, np.
             d_raw = np.where(fit, (1.0 - gap**2) / sigma, 0.0) / (1.0 + np.exp(-raw))
             sums["mean"] += design[0].T @ d_mean
             sums["scale"] += design[1].T @ d_raw
-            np.add.at(sums["mean_bias"], design[2], d_mean)
-            np.add.at(sums["scale_bias"], design[2], d_raw)
+            if indexed:
+                index = frame["series_index"].to_numpy()
+                np.add.at(sums["mean_bias"], index, d_mean)
+                np.add.at(sums["scale_bias"], index, d_raw)
+                continue
+            for name, value in zip(BIASES, (d_mean, d_raw), strict=True):
+                for step in range(model.horizon):
+                    part = frame[SERIES].assign(total=value[:, step]).groupby(SERIES, dropna=False, as_index=False).sum()
+                    yield part.assign(parameter=name, position=step)[[*SERIES, "parameter", "position", "total"]]
         for name, value in sums.items():
             flat = value.ravel()
             place = np.flatnonzero(flat)
-            yield pd.DataFrame({"parameter": name, "position": place.astype("int64"), "total": flat[place]})
+            yield pd.DataFrame(
+                {"gpu_model": None, "tenant_id": None, "parameter": name, "position": place.astype("int64"), "total": flat[place]}
+            )
 
-    added = (
-        rows.mapInPandas(partial, "parameter string, position long, total double")
-        .groupBy("parameter", "position")
+    return (
+        rows.mapInPandas(partial, "gpu_model string, tenant_id string, parameter string, position long, total double")
+        .groupBy(*SERIES, "parameter", "position")
         .agg(F.sum("total").alias("total"))
-        .toPandas()
     )
-    shared.unpersist()
+
+
+def _on_driver(added: DataFrame, weights) -> dict[str, np.ndarray]:
+    """The sums of the losses and of the gradients of ``weights``."""
     result = {name: np.zeros(value.size) for name, value in weights.items()} | {"loss": np.zeros(4)}
-    for name, part in added.groupby("parameter"):
+    found = added.where(F.col("parameter").isin(*result)).select("parameter", "position", "total").toPandas()
+    for name, part in found.groupby("parameter"):
         result[name][part["position"].to_numpy()] = part["total"].to_numpy()
     return {n: v.reshape(weights[n].shape) if n in weights else v for n, v in result.items()}
 
 
-def train(rows: DataFrame, series: int, model: TenantModel) -> tuple[dict, list[dict]]:
-    """Full-batch Adam with halving rate, early stopping on validation loss, best weights kept."""
+def _gradient_job(rows: DataFrame, weights, model: TenantModel) -> dict[str, np.ndarray]:
+    return _on_driver(_gradient_sums(rows, weights, model), weights)
+
+
+def train(rows: DataFrame, series: int | None, model: TenantModel) -> tuple[dict, list[dict]]:
+    """Full-batch Adam with halving rate, early stopping on validation loss, best weights kept.
+
+    ``series`` counts the values of ``series_index``, whose biases are arrays on the driver; with None the
+    biases are a DataFrame by series, returned as ``biases``.
+    """
     weights = _initial(model, series)
+    biases = _initial_biases(rows, model) if series is None else None
     first = {n: np.zeros_like(v) for n, v in weights.items()}
     second = {n: np.zeros_like(v) for n, v in weights.items()}
     best, best_loss, stale, log = weights, np.inf, 0, []
     for epoch in range(model.epochs + 1):
-        sums = _gradient_job(rows, weights, model)
+        added = _gradient_sums(rows if biases is None else _with_biases(rows, biases, model), weights, model).persist()
+        sums = _on_driver(added, weights)
         fit, fit_n, held, held_n = sums["loss"]
         if not fit_n or not held_n:
             raise ValueError("Training or validation has no usable targets")
         log.append({"epoch": epoch, "train_nll": fit / fit_n, "validation_nll": held / held_n})
         if held / held_n + 1e-9 < best_loss:
-            best, best_loss, stale = weights, held / held_n, 0
+            best, best_loss, stale = weights if biases is None else weights | {"biases": biases}, held / held_n, 0
         else:
             stale += 1
             if stale >= model.patience:
@@ -176,18 +259,23 @@ def train(rows: DataFrame, series: int, model: TenantModel) -> tuple[dict, list[
             spread = np.sqrt(second[name] / (1 - 0.999 ** (epoch + 1)))
             updated[name] = value - rate * unbiased / (spread + 1e-8)
         weights = updated
+        if biases is not None:
+            biases = _stepped_biases(biases, added, fit_n, rate, epoch, model)
+        added.unpersist()
     return best, log
 
 
 def predict(rows: DataFrame, weights, model: TenantModel) -> DataFrame:
     """Mean and sigma of every row and horizon step."""
-    shared = rows.sparkSession.sparkContext.broadcast(weights)
+    if "biases" in weights:
+        rows = _with_biases(rows, weights["biases"], model)
+    shared = rows.sparkSession.sparkContext.broadcast({n: w for n, w in weights.items() if n != "biases"})
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             if not len(frame):
                 continue
-            mean, sigma, _ = _predict(shared.value, _design(frame, model))
+            mean, sigma, _ = _predict(shared.value, _design(frame, model), frame)
             for step in range(model.horizon):
                 part = frame[["gpu_model", "tenant_id", "bucket"]].copy()
                 part["horizon_step"] = step + 1
@@ -212,12 +300,11 @@ def forecast_pools(
     edge = last - model.validation_hours
     rows = cut_lineage(
         training_rows(seen, model, origin_weekday)
-        .withColumn("series_index", F.pmod(F.xxhash64(*SERIES), F.lit(SERIES_SLOTS)))
         .withColumn("validation", F.col("bucket") > edge)
     )
     complete = F.size("y") == model.horizon
     gap = F.col("validation") | (F.col("bucket") + model.horizon <= edge)
-    weights, _ = train(rows.where(complete & gap), SERIES_SLOTS, model)
+    weights, _ = train(rows.where(complete & gap), None, model)
     z = normal_quantile(model.probability)
     key = ["gpu_model", "bucket", "horizon_step"]
     held = predict(rows.where(complete & F.col("validation")), weights, model)
