@@ -6,7 +6,9 @@ without overlap for each kind. They run in linear time: each starts only where a
 The model labels windows of tokens around hints (long digit groups, written-out or broken-up addresses).
 A segment of up to ``LONGEST`` tokens is scored as a whole, by features such as its digit groups, check
 digit, separators and neighbours; a dynamic program over bounded segments chooses boundaries and kinds jointly, and a
-segment is added if its posterior is at least ``SURE`` and it overlaps no base span. It learns from
+segment is added if its posterior is at least ``SURE`` and it overlaps no base span. Long runs of hints are searched
+in windows that reach ``OVERLAP`` tokens into their neighbours; each segment is taken from the window in whose own part
+it starts. It learns from
 windows of about ``SAMPLE_DOCS`` documents (twice that at most), labelled by the base spans in them, and from
 altered copies of these: plus signs dropped, dots for blanks, addresses written out, check digits broken.
 
@@ -34,6 +36,7 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 600
 WINDOWS_PER_DOC = 4
 LONGEST = 24
+WINDOW, OVERLAP = 2000, 2 * LONGEST
 SURE = 0.9
 EPOCHS, SEED = 5, 3
 
@@ -95,7 +98,7 @@ BROKEN_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)| \. )[0-9]{1,3}
 AROUND = 48
 
 
-def hints(text: str) -> Iterator[tuple[int, int]]:
+def hints(text: str, longest: float = WINDOW) -> Iterator[tuple[int, int]]:
     """Windows that may hold personal data, by start, without overlap, at the edges of words."""
     marks = [m.span() for m in DIGIT_HINT.finditer(text)] + [m.span() for m in AT_HINT.finditer(text)] + [m.span() for m in BROKEN_IP.finditer(text)]
     last: tuple[int, int] | None = None
@@ -105,7 +108,7 @@ def hints(text: str) -> Iterator[tuple[int, int]]:
             low -= 1
         while high < len(text) and text[high].isalnum() and high - end < 2 * AROUND:
             high += 1
-        if last and low <= last[1] and high - last[0] < 2000:
+        if last and low <= last[1] and high - last[0] < longest:
             last = last[0], max(last[1], high)
             continue
         if last:
@@ -116,6 +119,20 @@ def hints(text: str) -> Iterator[tuple[int, int]]:
         yield last
 
 
+def search_windows(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """Windows of bounded size over all runs of hints, and the part of each whose segments are its own."""
+    for low, high in hints(text, math.inf):
+        tokens = [m.span() for m in TOKEN.finditer(text, low, high)]
+        first = 0
+        while first < len(tokens):
+            last = first + 1
+            while last < len(tokens) and tokens[last][1] - tokens[first][0] < WINDOW:
+                last += 1
+            reach = tokens[max(0, first - OVERLAP)][0], tokens[min(len(tokens), last + OVERLAP) - 1][1]
+            yield *reach, tokens[first][0], tokens[last - 1][1]
+            first = last
+
+
 def shape(segment: str) -> str:
     """Lengths of digit groups with what stands between them, blanks and hyphens alike."""
     out = re.sub(r"[0-9]+", lambda m: str(len(m[0])), segment)
@@ -165,12 +182,13 @@ def features(kind: str, segment: str, digits: str, left: str, right: str, before
 
 
 class Lattice:
-    """All candidate segments of a window."""
+    """All candidate segments of a window; features also see the text around it."""
 
-    def __init__(self, window: str):
+    def __init__(self, window: str, before: str = "", after: str = ""):
         self.window = window
         self.tokens = [(m.start(), m.end()) for m in TOKEN.finditer(window)]
         self.segments: list[tuple[int, int, str, list[str]]] = []
+        outer_left, outer_right = (TOKEN.findall(before) or [""])[-1], (TOKEN.findall(after) or [""])[0]
         for i, (start, _) in enumerate(self.tokens):
             if window[start].isspace() or not (window[start].isalnum() or window[start] in "+("):
                 continue
@@ -180,9 +198,12 @@ class Lattice:
                     continue
                 digits = digits_of(segment)
                 for kind in candidate_kinds(segment, digits):
-                    left = window[slice(*self.tokens[i - 1])] if i else ""
-                    right = window[slice(*self.tokens[j + 1])] if j + 1 < len(self.tokens) else ""
-                    self.segments.append((i, j + 1, kind, features(kind, segment, digits, left, right, window[max(0, start - 3) : start], window[self.tokens[j][1] :][:8])))
+                    left = window[slice(*self.tokens[i - 1])] if i else outer_left
+                    right = window[slice(*self.tokens[j + 1])] if j + 1 < len(self.tokens) else outer_right
+                    end = self.tokens[j][1]
+                    came = (before[-3:] + window[max(0, start - 3) : start])[-3:] if start < 3 else window[start - 3 : start]
+                    follows = (window[end : end + 8] + after)[:8]
+                    self.segments.append((i, j + 1, kind, features(kind, segment, digits, left, right, came, follows)))
 
     def marginals(self, weights: dict[str, float]) -> tuple[np.ndarray, np.ndarray, float]:
         """Scores and posteriors of the segments, and the log partition; tokens outside segments score 0."""
@@ -302,12 +323,17 @@ def train(windows: list[Labelled], epochs: int = EPOCHS) -> dict[str, float]:
 def added_spans(text: str, base: list[Span], weights: dict[str, float]) -> list[Span]:
     known = defaultdict(float, weights)
     out = []
-    for low, high in hints(text):
+    free = 0
+    for low, high, own_low, own_high in search_windows(text):
         inside = [(s, e) for s, e, _ in base if s < high and e > low]
-        for start, end, kind, sure in Lattice(text[low:high]).best(known):
+        lattice = Lattice(text[low:high], text[max(0, low - 8) : low], text[high : high + 8])
+        for start, end, kind, sure in sorted(lattice.best(known)):
             s, e = low + start, low + end
+            if not own_low <= s < own_high or s < free:
+                continue
             if sure >= SURE and not any(s < y and x < e for x, y in inside) and (kind != "card" or luhn(digits_of(text[s:e]))):
                 out.append((s, e, kind))
+                free = e
     return out
 
 

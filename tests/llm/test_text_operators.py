@@ -249,6 +249,20 @@ def test_segment_model_learns_altered_forms():
     assert total == pytest.approx(math.log(1 + len(lattice.segments)), abs=1.0) and (sure <= 1).all()
 
 
+def test_segments_at_the_edges_of_long_windows():
+    rng = random.Random(10)
+    phones = [f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}" for _ in range(450)]
+    weights = pii.train([(f"on the {p} ingha for", [(7, 7 + len(p), "phone")]) for p in phones[:150]])
+    for shift in range(0, 24, 3):
+        text, wanted = "x" * shift + " call", []
+        for p in phones[150:]:
+            wanted.append((len(text) + 1, len(text) + len(p), "phone"))
+            text += f" {p[1:]} ingha"
+        assert pii.added_spans(text, pii.base_spans(text), weights) == wanted
+    windows = list(pii.search_windows(text))
+    assert len(windows) > 2 and max(high - low for low, high, *_ in windows) < 4 * pii.WINDOW
+
+
 # Chat
 
 
