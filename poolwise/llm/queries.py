@@ -14,6 +14,7 @@ from .decontaminate import contamination
 from .exact_dedup import exact_groups
 from .language_id import identify
 from .lm_score import scores
+from .merkle import manifest
 from .near_dedup import near_groups
 from .packing import pack
 from .pii import find_personal_data
@@ -71,6 +72,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents")).drop("copies")
+
+
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -131,6 +136,35 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(pos.n_hit, 0) AS
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+#: crc32 of the decimal digits of doc_id; 3988292384 is the reflected polynomial.
+CRC_SQL = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, n_chars, CRC % 7 = 0 AS tampered,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail FROM documents),
+l AS (SELECT r, doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+             CASE WHEN tampered THEN sha256(head || coalesce(strlen((n_chars::HUGEINT + 1)::VARCHAR) || ':' || (n_chars::HUGEINT + 1), '-') || tail) END AS altered FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+up AS (SELECT lang, 0 AS lvl, list(leaf ORDER BY pos) AS hs FROM p GROUP BY lang
+       UNION ALL SELECT lang, lvl + 1, list_transform(range(1, len(hs) + 1, 2), lambda i: sha256(hs[i] || coalesce(hs[i + 1], ''))) FROM up WHERE len(hs) > 1),
+sub AS (SELECT lang, hs[1] AS subroot, row_number() OVER (ORDER BY lang IS NOT NULL, lang) - 1 AS pos FROM up WHERE len(hs) = 1),
+top AS (SELECT 0 AS lvl, list(subroot ORDER BY pos) AS hs FROM sub HAVING count(*) > 0
+        UNION ALL SELECT lvl + 1, list_transform(range(1, len(hs) + 1, 2), lambda i: sha256(hs[i] || coalesce(hs[i + 1], ''))) FROM top WHERE len(hs) > 1),
+root AS (SELECT hs[1] AS root FROM top WHERE len(hs) = 1),
+steps AS (
+  SELECT p.r, u.lvl AS ord, p.pos >> u.lvl AS spot, u.hs FROM p JOIN up u ON u.lang IS NOT DISTINCT FROM p.lang AND len(u.hs) > 1
+  UNION ALL SELECT p.r, 1000 + t.lvl, s.pos >> t.lvl, t.hs FROM p JOIN sub s ON s.lang IS NOT DISTINCT FROM p.lang, top t WHERE len(t.hs) > 1),
+lists AS (SELECT r, coalesce(string_agg(hs[xor(spot, 1) + 1], '' ORDER BY ord), '') AS proof,
+                 list(CASE WHEN spot & 1 = 1 THEN 'l' ELSE 'r' END || coalesce(hs[xor(spot, 1) + 1], '') ORDER BY ord) AS sides FROM steps GROUP BY r),
+done AS (SELECT p.doc_id, p.leaf, s.subroot, root.root, sha256(coalesce(x.proof, '')) AS proof_sha256,
+                list_reduce([coalesce(p.altered, p.leaf)] || coalesce(x.sides, []), lambda a, b: CASE WHEN b[1] = 'l' THEN sha256(b[2:] || a) ELSE sha256(a || b[2:]) END) AS folded_root
+         FROM p JOIN sub s ON s.lang IS NOT DISTINCT FROM p.lang CROSS JOIN root LEFT JOIN lists x USING (r))
+SELECT *, folded_root = root AS verified FROM done
+""".replace("CRC", CRC_SQL)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_chat_format": op2_chat_format,
@@ -142,6 +176,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_token_files": op10_token_files,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_decontamination": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_decontamination": OP8_SQL, "op12_merkle_manifest": OP12_SQL}
