@@ -20,6 +20,7 @@ from .packing import pack
 from .pii import find_personal_data
 from .token_files import token_digests
 from .url_filter import judge
+from .warc import archived
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -72,6 +73,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
 
 
+def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(spark, table(spark, sf_dir, "pages")).drop("url")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -136,6 +141,15 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(pos.n_hit, 0) AS
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+OP11_SQL = r"""
+WITH p AS (SELECT row_number() OVER () AS r, page_id, coalesce(html, '') AS html FROM pages),
+o AS (SELECT *, strlen(html) AS n, row_number() OVER w AS k, first_value(page_id) OVER w AS first FROM p
+      WINDOW w AS (PARTITION BY html ORDER BY page_id NULLS LAST, r))
+SELECT page_id, n AS payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN n >= 100 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND k > 1 THEN first END AS refers_to FROM o
+"""
+
 #: crc32 of the decimal digits of doc_id; 3988292384 is the reflected polynomial.
 CRC_SQL = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
   lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
@@ -176,7 +190,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_token_files": op10_token_files,
+    "op11_warc_archive": op11_warc_archive,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_decontamination": OP8_SQL, "op12_merkle_manifest": OP12_SQL}
+ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_decontamination": OP8_SQL, "op11_warc_archive": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
