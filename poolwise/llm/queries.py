@@ -17,6 +17,7 @@ from .lm_score import scores
 from .merkle import manifest
 from .near_dedup import near_groups
 from .packing import pack
+from .periodic import periodic_runs
 from .pii import find_personal_data
 from .token_files import token_digests
 from .url_filter import judge
@@ -81,6 +82,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), texts=False).drop("runs", "collapsed")
+
+
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -179,6 +184,25 @@ done AS (SELECT p.doc_id, p.leaf, s.subroot, root.root, sha256(coalesce(x.proof,
 SELECT *, folded_root = root AS verified FROM done
 """.replace("CRC", CRC_SQL)
 
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS o, CRC AS h FROM documents),
+e AS (SELECT *, len(o) AS n, h // 10 % len(o) AS a FROM d),
+f AS (SELECT *, 1 + (n - a) // (3 + h // 10 % 8) AS p FROM e),
+x AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: o[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE o END AS w FROM f),
+t AS (SELECT r, n, unnest(range(n)) AS i, unnest(w) AS v FROM x),
+g AS (SELECT r, n, i, v || ' ' || lead(v) OVER o || ' ' || lead(v, 2) OVER o AS g FROM t WINDOW o AS (PARTITION BY r ORDER BY i)),
+pairs AS (SELECT a.r, a.i, b.i - a.i AS d FROM g a JOIN g b ON a.r = b.r AND a.g = b.g AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+stretch AS (SELECT r, d, min(i) AS s, count(*) + 2 + d AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY r, d ORDER BY i) AS k FROM pairs) GROUP BY r, d, k),
+runs AS (SELECT r, s, l, min(d) AS q FROM stretch WHERE l >= greatest(6, 4 * d) GROUP BY r, s, l),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (SELECT t.r, string_agg(t.v, ' ' ORDER BY t.i) AS c FROM t ANTI JOIN gone ON t.r = gone.r AND t.i = gone.i GROUP BY t.r),
+sums AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS listed,
+                first(struct_pack(s, l, q) ORDER BY l DESC, s, q) AS best FROM runs GROUP BY r)
+SELECT x.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.q AS period, 1000 * best.l // best.q AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+FROM x LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
+""".replace("CRC", CRC_SQL)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_chat_format": op2_chat_format,
@@ -192,6 +216,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
     "op11_warc_archive": op11_warc_archive,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_decontamination": OP8_SQL, "op11_warc_archive": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
+ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_decontamination": OP8_SQL, "op11_warc_archive": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_periodic_runs": OP13_SQL}
