@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..contracts import DAY
 from ..functions import rounded
+from ..session import shared_path
 from ..sources import importers
+from ..sources.json_array import read_json_array, write_json_arrays
 from ..sources.tables import jobs_from_events, table
 from .registry import query
 
@@ -193,3 +195,17 @@ def import_nested_attempts(spark, sf_dir):
 )
 def import_nested_skips(spark, sf_dir):
     return importers.attempt_jobs(attempt_log(spark, sf_dir), "HP")[1]
+
+
+NESTED_JOBS = """SELECT CAST(k AS VARCHAR) AS job_id, (epoch_us(d) - epoch_us(d0)) / 1e6 AS submit_time_seconds, dur AS duration_seconds, g::DOUBLE AS gpu_count,
+  'Spot' AS service_class, 'philly-gpu' AS gpu_model FROM m, org WHERE has AND dur > 0 AND g > 0"""
+ARRAY_RANGE_BYTES = 1 << 20
+
+
+@query("q_import_json_array", ATTEMPTS + NESTED_JOBS)
+def import_json_array(spark, sf_dir):
+    """The attempt log of all orders, laid out as array files and read back by byte ranges."""
+    path = shared_path(spark, "arrays")
+    write_json_arrays(attempt_log(spark, sf_dir), path)
+    log = read_json_array(spark, path, importers.ATTEMPT_LOG, ARRAY_RANGE_BYTES)
+    return importers.attempt_jobs(log, "Spot")[0]

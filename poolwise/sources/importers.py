@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..contracts import SERVICE_CLASSES
 from ..operators.slicing import one_value
+from .json_array import read_json_array
 
 
 def _strings(*names: str) -> T.StructType:
@@ -84,11 +85,10 @@ def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 
 
 def read_attempt_log(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
-    """The attempt log as a JSON array, which one task reads, or as JSON lines, which are split.
-
-    Broken JSON is an error.
-    """
-    return spark.read.schema(ATTEMPT_LOG).json(path, multiLine=not lines, mode="FAILFAST")
+    """The attempt log as a JSON array or as JSON lines; both are split. Broken JSON is an error."""
+    if lines:
+        return spark.read.schema(ATTEMPT_LOG).json(path, mode="FAILFAST")
+    return read_json_array(spark, path, ATTEMPT_LOG)
 
 
 def read_machine_list(spark: SparkSession, path: str) -> DataFrame:

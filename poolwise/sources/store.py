@@ -1,10 +1,17 @@
-"""The canonical trace on storage: data files, a manifest that names and hashes them."""
+"""The canonical trace on storage: data files, a table of their digests, a manifest that binds the table.
+
+A task hashes a file in blocks, so a file may have any size. The digests stay in a table; the manifest holds
+only their Merkle root.
+"""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from hashlib import sha256
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +23,8 @@ from ..contracts import (
     canonical_sha256,
 )
 from ..operators.slicing import require_valid
+from ..session import ship_package
+from .files import listed, open_file
 
 MANIFEST = "trace.json"
 SCHEMA_V1, SCHEMA_V2 = "trace/v1", "trace/v2"
@@ -30,6 +39,11 @@ MANIFEST_KEYS = {
     "trace_fingerprint",
 }
 ROWS_PER_FILE = 5_000_000
+BLOCK_BYTES = 1 << 20
+BUCKET_DIGITS = 3
+NAMED_FILES = 5
+DIGEST_TABLE = "digests"
+DIGESTS = "name string, size long, sha256 string"
 
 
 def safe_child(root: str, name: str) -> str:
@@ -40,14 +54,57 @@ def safe_child(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{part}"
 
 
-def file_hashes(spark: SparkSession, path: str) -> dict[str, str]:
-    """SHA-256 of every data file below ``path``, hashed by the executors."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    rows = files.select(
-        F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("name"),
-        F.sha2("content", 256).alias("digest"),
-    ).where(F.col("name").rlike(r"/part-"))
-    return {row.name: row.digest for row in rows.toLocalIterator()}
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """name, size and SHA-256 of every data file below ``path``; a task streams a file in blocks."""
+    ship_package(spark)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for uri in batch.column("path").to_pylist():
+                seen = sha256()
+                with open_file(uri) as source:
+                    while block := source.read(BLOCK_BYTES):
+                        seen.update(block)
+                found.append(seen.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("length"), pa.array(found, pa.string())], ["name", "size", "sha256"])
+
+    name = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)
+    files = listed(spark, path).withColumn("name", name).where(F.col("name").rlike(r"/part-"))
+    # A number of tasks of its own, since Spark would join such small rows into one.
+    return files.repartitionByRange(max(1, files.count()), "name").mapInArrow(digest, DIGESTS)
+
+
+def digest_root(digests: DataFrame) -> tuple[int, int, str]:
+    """Number, bytes and Merkle root of digest rows: files below buckets of their name's hash, buckets below the root."""
+    leaf = F.concat_ws(" ", "name", "size", "sha256")
+    buckets = digests.groupBy(F.substring(F.sha2("name", 256), 1, BUCKET_DIGITS).alias("bucket")).agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list(leaf)), "\n"), 256).alias("digest"),
+        F.count("*").alias("n"),
+        F.sum("size").alias("bytes"),
+    )
+    row = buckets.agg(
+        F.sum("n").alias("n"),
+        F.sum("bytes").alias("bytes"),
+        F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "bucket", "digest"))), "\n"), 256).alias("root"),
+    ).head()
+    return row["n"] or 0, row["bytes"] or 0, row["root"]
+
+
+def described(table: str, digests: DataFrame) -> dict:
+    """What the manifest says of the files; its size does not depend on their number."""
+    n, size, root = digest_root(digests)
+    return {"table": table, "count": n, "bytes": size, "root": root}
+
+
+def require_same_files(recorded: DataFrame, found: DataFrame) -> None:
+    """Raise with the names of files that are missing, new or changed."""
+    a, b = recorded.alias("a"), found.alias("b")
+    same = F.col("a.sha256").eqNullSafe(F.col("b.sha256")) & F.col("a.size").eqNullSafe(F.col("b.size"))
+    wrong = a.join(b, "name", "full").where(~same).select("name").orderBy("name").limit(NAMED_FILES)
+    names = [row["name"] for row in wrong.collect()]
+    if names:
+        raise ValueError(f"Trace files do not match the manifest, first of all {', '.join(names)}")
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -111,20 +168,21 @@ def write_trace(
         tenant = row["with"] > 0
     nodes, jobs = _columns(trace, tenant)
     ordered = {"nodes": nodes.sort("node_id"), "jobs": jobs.sort("submit_time_seconds", "job_id")}
-    files: dict[str, str] = {}
     for name, df in ordered.items():
         writer = df.write.mode("errorifexists").option("maxRecordsPerFile", ROWS_PER_FILE)
         if data_format == "csv":
             writer = writer.option("header", True)
         writer.format(data_format).save(f"{root}/{name}")
-        files.update(file_hashes(spark, f"{root}/{name}"))
+    both = file_digests(spark, f"{root}/nodes").unionByName(file_digests(spark, f"{root}/jobs"))
+    both.write.mode("errorifexists").parquet(f"{root}/{DIGEST_TABLE}")
+    digests = spark.read.schema(DIGESTS).parquet(f"{root}/{DIGEST_TABLE}")
     manifest = {
         "schema_version": SCHEMA_V2 if tenant else SCHEMA_V1,
         "trace_id": trace.trace_id,
         "time_origin": trace.time_origin,
         "source": source,
         "format": data_format,
-        "files": files,
+        "files": described(DIGEST_TABLE, digests),
     }
     if trace.evaluation_start_seconds is not None:
         manifest["evaluation_window_seconds"] = {
@@ -147,11 +205,11 @@ def read_trace(spark: SparkSession, root: str) -> Trace:
     payload = {k: v for k, v in manifest.items() if k != "trace_fingerprint"}
     if canonical_sha256(payload) != manifest["trace_fingerprint"]:
         raise ValueError("Manifest fingerprint is invalid")
-    found = {}
-    for name in ("nodes", "jobs"):
-        found.update(file_hashes(spark, safe_child(root, name)))
-    if found != manifest["files"]:
-        raise ValueError("Trace files do not match the manifest")
+    recorded = spark.read.schema(DIGESTS).parquet(safe_child(root, manifest["files"]["table"]))
+    if described(manifest["files"]["table"], recorded) != manifest["files"]:
+        raise ValueError("The digest table does not match the manifest")
+    found = file_digests(spark, safe_child(root, "nodes")).unionByName(file_digests(spark, safe_child(root, "jobs")))
+    require_same_files(recorded, found)
     tenant = manifest["schema_version"] == SCHEMA_V2
     schemas = {"nodes": NODE_SCHEMA, "jobs": JOB_SCHEMA_V2 if tenant else JOB_SCHEMA_V1}
     frames = {}
