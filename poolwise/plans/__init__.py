@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import QUERIES, Query
 
-PLAN_MODULES = ("workload", "policies", "forecasting", "decisions", "imports", "ledgers")
+PLAN_MODULES = ("workload", "policies", "forecasting", "decisions", "imports", "ledgers", "chains")
 
 
 def load_all() -> dict[str, Query]:
