@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,22 +12,42 @@ from ..functions import normal_quantile, rounded
 from ..operators import forecast, observation, predictive, tenant_model
 from ..operators.forecast import SeasonalConfig
 from ..operators.slicing import pool_capacity, total_capacity
+from ..session import cut_lineage, shared_path
 from ..sources.ledger import FIRST_WINDOW, LEDGER_CTES, WINDOW_COUNT, run_ledger
 from ..sources.tables import TRACE_CTES, trace_from_tables
-from .registry import query
+from ..streaming import eta
+from .registry import QUERIES, query
 
 WITH = "WITH " + TRACE_CTES
 CUTOFF = 15.0 * DAY
 STEP = 300.0
 Z90 = normal_quantile(0.9)
 
-OBSERVED = f""", vis AS (SELECT *, submit_time_seconds + duration_seconds AS finish FROM jobs WHERE submit_time_seconds <= {CUTOFF} + 1e-9),
-obs_start AS (SELECT {CUTOFF} - floor(({CUTOFF} - greatest(min(submit_time_seconds), {CUTOFF} - 672 * 3600)) / 300.0::DOUBLE + 1e-9) * 300.0::DOUBLE AS s FROM jobs),
-ticks AS (SELECT i AS tick, s + i * 300.0::DOUBLE AS t, s FROM obs_start, range(0, CAST(floor(({CUTOFF} - s) / 300.0::DOUBLE) AS BIGINT) + 1) r(i)),
+#: Where a query stops: at its declared cutoff, or at the full hour behind the last arrival.
+AT_CUTOFF = f"horizon AS (SELECT {CUTOFF}::DOUBLE AS e, {CUTOFF - 672 * HOUR}::DOUBLE AS earliest)"
+AT_END = "horizon AS (SELECT ceil(max(submit_time_seconds) / 3600.0::DOUBLE) * 3600.0::DOUBLE AS e, 0.0::DOUBLE AS earliest FROM jobs)"
+
+OBSERVED = f""", {AT_CUTOFF},
+vis AS (SELECT *, submit_time_seconds + duration_seconds AS finish FROM jobs, horizon WHERE submit_time_seconds <= e + 1e-9),
+obs_start AS (SELECT e - floor((e - greatest(min(submit_time_seconds), earliest)) / 300.0::DOUBLE + 1e-9) * 300.0::DOUBLE AS s, e FROM jobs, horizon GROUP BY e, earliest),
+ticks AS (SELECT i AS tick, s + i * 300.0::DOUBLE AS t, s FROM obs_start, range(0, CAST(floor((e - s) / 300.0::DOUBLE) AS BIGINT) + 1) r(i)),
 obs AS (SELECT c.service_class, k.tick, k.t, coalesce(sum(v.gpu_count), 0.0::DOUBLE) AS gpus
   FROM ticks k CROSS JOIN (SELECT unnest(['HP', 'Spot']) AS service_class) c LEFT JOIN vis v
     ON v.service_class = c.service_class AND v.submit_time_seconds <= k.t AND k.t < v.finish GROUP BY 1, 2, 3)
 """
+OBSERVED_WHOLE = OBSERVED.replace(AT_CUTOFF, AT_END)
+
+
+def trace_end(spark, sf_dir) -> float:
+    """The full hour behind the last arrival."""
+    last = trace_from_tables(spark, sf_dir).jobs.agg(F.max("submit_time_seconds")).first()[0]
+    return 0.0 if last is None else math.ceil(last / HOUR) * float(HOUR)
+
+
+def observed_whole(spark, sf_dir):
+    end = trace_end(spark, sf_dir)
+    jobs = trace_from_tables(spark, sf_dir).jobs
+    return observation.observe_classes(jobs, end, STEP, lookback_hours=math.ceil(end / HOUR))
 
 
 def observed(spark, sf_dir):
@@ -51,12 +73,11 @@ def observation_replay(spark, sf_dir):
 @query(
     "q_hourly_max",
     WITH
-    + OBSERVED.replace(str(CUTOFF), str(30.0 * DAY)).replace("672 * 3600", "720 * 3600")
+    + OBSERVED_WHOLE
     + "SELECT service_class, CAST(floor(t / 3600.0::DOUBLE + 1e-9) AS BIGINT) AS bucket, round(max(gpus), 6) AS gpus FROM obs GROUP BY 1, 2",
 )
 def hourly_max(spark, sf_dir):
-    jobs = trace_from_tables(spark, sf_dir).jobs
-    samples = observation.observe_classes(jobs, 30.0 * DAY, STEP, lookback_hours=720)
+    samples = observed_whole(spark, sf_dir)
     return observation.hourly_max(samples, ["service_class"], "active_gpus").withColumn("gpus", rounded(F.col("gpus")))
 
 
@@ -120,9 +141,10 @@ def quota_plan(spark, sf_dir):
     return forecast.quota_plan(seasonal_points(spark, sf_dir), capacity, (0.25, 1.0, 1.25))
 
 
-TENANTS = f""", vis AS (SELECT *, submit_time_seconds + duration_seconds AS finish FROM jobs WHERE submit_time_seconds <= {CUTOFF} + 1e-9),
-grid_start AS (SELECT floor(min(submit_time_seconds) / 300.0::DOUBLE) * 300.0::DOUBLE AS s FROM jobs),
-ticks AS (SELECT i AS tick, s + i * 300.0::DOUBLE AS t FROM grid_start, range(0, CAST(floor(({CUTOFF} - s) / 300.0::DOUBLE) AS BIGINT) + 1) r(i)),
+TENANTS = f""", {AT_CUTOFF},
+vis AS (SELECT *, submit_time_seconds + duration_seconds AS finish FROM jobs, horizon WHERE submit_time_seconds <= e + 1e-9),
+grid_start AS (SELECT floor(min(submit_time_seconds) / 300.0::DOUBLE) * 300.0::DOUBLE AS s, e FROM jobs, horizon GROUP BY e),
+ticks AS (SELECT i AS tick, s + i * 300.0::DOUBLE AS t FROM grid_start, range(0, CAST(floor((e - s) / 300.0::DOUBLE) AS BIGINT) + 1) r(i)),
 pools AS (SELECT c.gpu_model, k.tick, k.t, c.capacity_gpus, coalesce(sum(v.gpu_count) FILTER (v.service_class = 'HP'), 0.0::DOUBLE) AS hp_gpus,
     coalesce(sum(v.gpu_count) FILTER (v.service_class = 'Spot'), 0.0::DOUBLE) AS spot_gpus
   FROM ticks k CROSS JOIN cap c LEFT JOIN vis v ON v.gpu_model = c.gpu_model AND v.submit_time_seconds <= k.t AND k.t < v.finish GROUP BY 1, 2, 3, 4),
@@ -134,20 +156,21 @@ hourly AS (SELECT gpu_model, tenant_id, CAST(floor(t / 3600.0::DOUBLE + 1e-9) AS
 
 
 #: Queries without a cutoff of their own run to the end of the trace.
-END = 30.0 * DAY
-WHOLE = TENANTS.replace(str(CUTOFF), str(END))
+WHOLE = TENANTS.replace(AT_CUTOFF, AT_END)
 
 
-def tenant_series(spark, sf_dir, cutoff=END):
+def tenant_series(spark, sf_dir, cutoff=None):
+    cutoff = trace_end(spark, sf_dir) if cutoff is None else cutoff
     jobs = trace_from_tables(spark, sf_dir, last=cutoff).jobs
     return observation.observe_tenants(jobs, cutoff, STEP)
 
 
-def pool_samples(spark, sf_dir, cutoff=CUTOFF):
+def pool_samples(spark, sf_dir, cutoff=None):
+    cutoff = trace_end(spark, sf_dir) if cutoff is None else cutoff
     return observation.observe_pools(trace_from_tables(spark, sf_dir, last=cutoff), cutoff, STEP)
 
 
-def tenant_hours(spark, sf_dir, cutoff=END):
+def tenant_hours(spark, sf_dir, cutoff=None):
     return observation.hourly_max(
         tenant_series(spark, sf_dir, cutoff), ["gpu_model", "tenant_id"], "active_gpus"
     )
@@ -161,7 +184,7 @@ def tenant_hours(spark, sf_dir, cutoff=END):
   round(greatest(0.0::DOUBLE, capacity_gpus - hp_gpus - spot_gpus), 6) AS idle_gpus FROM pools""",
 )
 def tenant_observation(spark, sf_dir):
-    return pool_samples(spark, sf_dir)
+    return pool_samples(spark, sf_dir, CUTOFF)
 
 
 @query(
@@ -235,7 +258,7 @@ def gaussian_pool(spark, sf_dir):
 @query(
     "q_quantile_calibration",
     WITH
-    + TENANTS
+    + WHOLE
     + """, r AS (SELECT a.gpu_model, round(a.hp_gpus - b.hp_gpus, 6) + 0.0 AS x FROM pools a JOIN pools b ON b.gpu_model = a.gpu_model AND b.tick = a.tick - 288),
 o AS (SELECT gpu_model, round(quantile_disc(x, 0.9), 6) + 0.0 AS q FROM r GROUP BY 1)
 SELECT gpu_model, q AS quantile_offset_gpus, CAST(count(*) AS BIGINT) AS sample_count, round(count(*) FILTER (x <= 0) / count(*)::DOUBLE, 9) AS raw_coverage,
@@ -263,7 +286,7 @@ targets AS (SELECT p.gpu_model, p.t + k * 3600.0::DOUBLE AS target, p.hp_gpus AS
 @query(
     "q_forecast_eval",
     WITH
-    + TENANTS
+    + WHOLE
     + PERSISTENCE
     + """, m AS (SELECT x.gpu_model, p.hp_gpus AS a, mu, q FROM targets x JOIN pools p ON p.gpu_model = x.gpu_model AND CAST(round(p.t * 1e6) AS BIGINT) = CAST(round(target * 1e6) AS BIGINT))
 SELECT gpu_model, CAST(count(*) AS BIGINT) AS scored_point_count, round(avg(abs(a - mu)), 6) AS mae_gpus,
@@ -312,7 +335,7 @@ SELECT gpu_model, CAST(h AS BIGINT) AS horizon_hours, round(CASE WHEN n >= h THE
   CAST(CASE WHEN n >= h THEN greatest(0, least(c, floor(least(free * eta, idle + spot) + 1e-9))) ELSE 0 END AS BIGINT) AS spot_quota_gpus FROM f""",
 )
 def tenant_quota(spark, sf_dir):
-    samples = pool_samples(spark, sf_dir)
+    samples = pool_samples(spark, sf_dir, CUTOFF)
     hours = observation.hourly_max(samples, ["gpu_model"], "hp_gpus")
     profile = hours.groupBy("gpu_model", (F.col("bucket") % 24).alias("hour_of_day")).agg(
         F.avg("gpus").alias("mu"), F.stddev_pop("gpus").alias("sd")
@@ -359,7 +382,7 @@ def pool_updates(spark, sf_dir):
     """
     jobs = trace_from_tables(spark, sf_dir).jobs
     waiting = (
-        jobs.where((F.col("service_class") == "Spot") & (F.col("submit_time_seconds") <= CUTOFF))
+        jobs.where(F.col("service_class") == "Spot")
         .groupBy(
             "gpu_model", (F.ceil(F.col("submit_time_seconds") / STEP) * STEP).alias("sample_time_seconds")
         )
@@ -384,7 +407,7 @@ def pool_updates(spark, sf_dir):
 @query(
     "q_admission_diag",
     WITH
-    + TENANTS
+    + WHOLE
     + UPDATES
     + """SELECT CAST(count(*) AS BIGINT) AS pool_update_count, CAST(count(*) FILTER (quota = 0 AND idle > 1e-9 AND backlog > 1e-9) AS BIGINT) AS zero_quota_with_idle_backlog_count,
   round(count(*) FILTER (quota = 0 AND idle > 1e-9 AND backlog > 1e-9) / count(*)::DOUBLE, 9) AS zero_quota_with_idle_backlog_fraction,
@@ -477,6 +500,24 @@ def eta_trajectory(spark, sf_dir):
     return forecast.eta_trajectory(updates, ["gpu_model"]).withColumn("eta", rounded(F.col("eta"), 7))
 
 
+ETA_SQL = QUERIES["q_eta_trajectory"].oracle
+
+
+@query("q_eta_stream", ETA_SQL)
+def eta_stream(spark, sf_dir):
+    """The trajectory of q_eta_trajectory from a stream that is stopped half way and started again."""
+    waits = started(spark, sf_dir).drop("spot_backlog_gpus")
+    updates = cut_lineage(feedback_rates(spark, sf_dir).join(waits, ["gpu_model", "tick"], "left").fillna(0.0, ["maximum_spot_wait_seconds"]))
+    root = shared_path(spark, "eta-stream")
+    for half in (F.col("tick") <= LAST_TICK // 2, F.col("tick") > LAST_TICK // 2):
+        updates.where(half).write.mode("append").parquet(f"{root}/in")
+        rows = spark.readStream.schema(updates.schema).parquet(f"{root}/in")
+        sink = eta.eta_stream(rows, eta.TenantLaw()).writeStream.format("parquet").outputMode("append")
+        run = sink.option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.schema(eta.ETA).parquet(f"{root}/out").withColumn("eta", rounded(F.col("eta"), 7))
+
+
 @query(
     "q_aggregate_eta",
     "WITH RECURSIVE "
@@ -532,13 +573,13 @@ SELECT t AS cutoff, CAST(k AS BIGINT) AS horizon_step, target AS target_time_sec
   round(round(greatest(0.0::DOUBLE, least(c, mu + {Z90!r}::DOUBLE * sg)), 10), 6) AS guarantee_quantile_gpus FROM up0"""
 
 
-@query("q_update_forecasts", WITH + OBSERVED + UPDATED)
+@query("q_update_forecasts", WITH + OBSERVED_WHOLE + UPDATED)
 def update_forecasts(spark, sf_dir):
-    """The seasonal forecast at every five-minute update up to the cutoff."""
-    trace = trace_from_tables(spark, sf_dir)
-    start = observation.observation_start(trace.jobs, CUTOFF, STEP, 672)
+    """The seasonal forecast at every five-minute update of the trace."""
+    trace, end = trace_from_tables(spark, sf_dir), trace_end(spark, sf_dir)
+    start = observation.observation_start(trace.jobs, end, STEP, math.ceil(end / HOUR))
     origin = float(spark.range(1).select(start.alias("s")).first()["s"])
-    hp = observed(spark, sf_dir).where(F.col("service_class") == "HP")
+    hp = observed_whole(spark, sf_dir).where(F.col("service_class") == "HP")
     return predictive.update_forecasts(hp, "active_gpus", origin, total_capacity(trace.nodes))
 
 
