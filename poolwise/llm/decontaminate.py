@@ -5,12 +5,13 @@ shorter item is one window. Each task codes a document's words by the items' voc
 window of every length that items have, looks the hashes up in the sorted set and verifies the hits word
 by word. Documents are never shuffled.
 
-The set is broadcast, so its size is bounded: items are taken in blocks of at most ``BLOCK_CHARS``
-bytes by a running sum. Where a benchmark needs several blocks, each adds its hits to what the blocks before it
+The set is broadcast, so its size is bounded: items are taken in blocks of about ``BLOCK_CHARS``
+bytes by a running sum, and a block's arrays hold at most about 14 bytes for each of them. Where a benchmark needs several blocks, each adds its hits to what the blocks before it
 have found, and the rows are staged in between.
 
-Defined results: null or wordless texts and items have no windows; an item whose text repeats counts
-under each item_id; repeated (doc_id) rows are judged each by their own text; further columns are
+Defined results: null or wordless texts and items have no windows; an item without an item_id hits words like any
+other but is not among the items found; an item whose text repeats counts under each item_id; a null doc_id is
+judged and stays null; a text is judged as a whole, whatever its length; repeated (doc_id) rows are judged each by their own text; further columns are
 ignored; an empty benchmark hits nothing.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import arrow_batch, staged, text_bytes
 
 WINDOW_WORDS = 10
-BLOCK_CHARS = 64 << 20
+BLOCK_CHARS = 8 << 20
 
 #: ASCII letters and digits stay, letters in lower case; bytes of other scripts stay; all else parts words.
 KEEP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -37,65 +38,101 @@ def words_of(data: bytes) -> list[bytes]:
 
 
 class NgramSet:
-    """Windows by length: sorted hashes, and the items of each window's words."""
+    """Windows by length, as arrays: sorted hashes, where each window stands in the items' words, and its items.
 
-    def __init__(self, items: list[tuple[int, bytes]], size: int):
+    A window takes about 24 bytes besides the words' codes, whatever its length.
+    """
+
+    def __init__(self, items: list[tuple[int | None, bytes]], size: int):
         self.codes: dict[bytes, int] = {}
-        windows: dict[int, dict[tuple[int, ...], set[int]]] = {}
-        for item, data in items:
-            words = [self.codes.setdefault(w, len(self.codes) + 1) for w in words_of(data)]
-            length = min(size, len(words))
-            for at in range(len(words) - length + 1) if length else ():
-                windows.setdefault(length, {}).setdefault(tuple(words[at : at + length]), set()).add(item)
-        self.windows = windows
-        self.hashes = {n: np.unique(self.rolling(np.array(list(w), np.uint64).reshape(len(w), n))) for n, w in windows.items()}
+        self.ids = [item for item, _ in items]
+        coded = [np.fromiter((self.codes.setdefault(w, len(self.codes) + 1) for w in words_of(data)), np.uint32) for _, data in items]
+        n_words = np.array([len(c) for c in coded], np.int64)
+        first = np.cumsum(n_words) - n_words
+        self.flat = np.concatenate(coded) if coded else np.zeros(0, np.uint32)
+        self.sets = {}
+        lengths = np.minimum(n_words, size)
+        for n in sorted(set(lengths.tolist()) - {0}):
+            chosen = np.flatnonzero(lengths == n)
+            counts = n_words[chosen] - n + 1
+            owner = np.repeat(chosen, counts)
+            starts = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + first[owner]
+            self.sets[n] = self._sorted(starts, owner, n)
+
+    def _sorted(self, starts: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+        """Hash and place of each different window, and bounds of its items in one array."""
+        hashes = self.rolling([self.flat[starts + k] for k in range(n)])
+        order = np.lexsort((owner, *(self.flat[starts + k] for k in range(n)), hashes))
+        hashes, starts, owner = hashes[order], starts[order], owner[order]
+        new = np.ones(len(starts), bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        for k in range(n):
+            part = self.flat[starts + k]
+            new[1:] |= part[1:] != part[:-1]
+        heads = np.flatnonzero(new)
+        return hashes[heads], starts[heads].astype(np.int64), np.append(heads, len(starts)), owner.astype(np.int32)
 
     @staticmethod
-    def rolling(grams: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(grams), np.uint64)
-        for k in range(grams.shape[1]):
-            total = (total ^ grams[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+    def rolling(columns: list[np.ndarray]) -> np.ndarray:
+        total = np.zeros(len(columns[0]), np.uint64)
+        for column in columns:
+            total = (total ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             total ^= total >> np.uint64(29)
         return total
 
+    def _verified(self, coded: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the places ``at`` begin a window of the set, and the window's number."""
+        hashes, starts, _, _ = self.sets[n]
+        rolled = self.rolling([coded[at + k] for k in range(n)])
+        place = np.searchsorted(hashes, rolled)
+        found = np.full(len(at), -1)
+        open_ = np.flatnonzero(place < len(hashes))
+        while len(open_):
+            open_ = open_[hashes[place[open_]] == rolled[open_]]
+            same = np.ones(len(open_), bool)
+            for k in range(n):
+                same &= self.flat[starts[place[open_]] + k] == coded[at[open_] + k]
+            found[open_[same]] = place[open_[same]]
+            # Different windows with one hash stand side by side.
+            open_ = open_[~same]
+            place[open_] += 1
+            open_ = open_[place[open_] < len(hashes)]
+        hit = found >= 0
+        return at[hit], found[hit]
+
     def find(self, words: list[bytes]) -> tuple[np.ndarray, list[int]]:
-        """Hit word positions and the items found in ``words``."""
+        """Hit word positions and the named items found in ``words``."""
         get = self.codes.get
-        coded = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
+        coded = np.fromiter((get(w, 0) for w in words), np.uint32, len(words))
         known = np.concatenate([[0], np.cumsum(coded != 0)])
         marks, found = np.zeros(len(words) + 1, np.int64), set()
-        for n, hashes in self.hashes.items():
+        for n, (_, _, bounds, owner) in self.sets.items():
             if len(words) < n:
                 continue
-            starts = np.flatnonzero(known[n:] - known[:-n] == n)
-            if not len(starts):
-                continue
-            grams = np.lib.stride_tricks.sliding_window_view(coded, n)[starts]
-            rolled = self.rolling(grams)
-            place = np.minimum(np.searchsorted(hashes, rolled), len(hashes) - 1)
-            for k in np.flatnonzero(hashes[place] == rolled).tolist():
-                items = self.windows[n].get(tuple(grams[k].tolist()))
-                if items:
-                    found |= items
-                    marks[starts[k]] += 1
-                    marks[starts[k] + n] -= 1
-        return np.flatnonzero(np.cumsum(marks[:-1]) > 0), sorted(found)
-
-
-def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, bytes]]]:
+            at = np.flatnonzero(known[n:] - known[:-n] == n)
+            at, windows = self._verified(coded, at, n) if len(at) else (at, at)
+            np.add.at(marks, at, 1)
+            np.add.at(marks, at + n, -1)
+            for w in np.unique(windows).tolist():
+                found.update(self.ids[k] for k in owner[bounds[w] : bounds[w + 1]].tolist())
+        return np.flatnonzero(np.cumsum(marks[:-1]) > 0), sorted(found - {None})
+
+
+def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, bytes]]]:
     """The items with words, in blocks whose size is bounded; only one block is on the driver at a time."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_bytes().alias("body")).where(
-        F.col("item_id").isNotNull() & (F.octet_length("body") > 0)
-    )
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_bytes().alias("body")).where(F.octet_length("body") > 0)
     total = items.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
     if total <= block_chars:
         yield [(r.item_id, bytes(r.body)) for r in items.collect()]
         return
-    sizes = items.select("item_id", F.octet_length("body").cast("long").alias("n"))
-    running = sizes.withColumn("b", F.floor(F.sum("n").over(Window.orderBy("item_id")) / block_chars))
-    for block in [r.b for r in running.select("b").distinct().orderBy("b").collect()]:
-        chosen = running.where(F.col("b") == block).agg(F.min("item_id").alias("low"), F.max("item_id").alias("high")).first()
-        yield [(r.item_id, bytes(r.body)) for r in items.where(F.col("item_id").between(chosen.low, chosen.high)).collect()]
+    keyed = items.withColumn("key", F.struct(F.xxhash64("body").alias("h"), F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i")))
+    sizes = keyed.select("key", F.octet_length("body").cast("long").alias("n"))
+    running = staged(sizes.select("key", F.floor(F.sum("n").over(Window.orderBy("key")) / block_chars).alias("b")), "blocks")
+    bounds = running.groupBy("b").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    # Rows that agree in key may be in two blocks, which finds nothing twice.
+    for b in [r.b for r in bounds.select("b").orderBy("b").collect()]:
+        chosen = keyed.join(F.broadcast(bounds.where(F.col("b") == b)), F.col("key").between(F.col("low"), F.col("high")))
+        yield [(r.item_id, bytes(r.body)) for r in chosen.select("item_id", "body").collect()]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:

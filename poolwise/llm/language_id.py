@@ -17,7 +17,8 @@ language without calibration is held against the highest median. Nothing is reje
 language was calibrated.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected; without any training row, all
-others are ``und`` too; null labels are not learned; repeated rows are predicted alike; further columns are
+others are ``und`` too; null labels are not learned; texts are scored whole, those over ``PART`` characters part by part; the fit
+holds the n-grams of each distinct label's sample on the driver; repeated rows are predicted alike; further columns are
 ignored; an empty table gives no rows.
 """
 
@@ -38,6 +39,8 @@ from pyspark.sql import types as T
 from .common import arrow_batch, id_remainder, slices
 
 SLICE = 1 << 20
+#: Characters of a longer text that are scored at once.
+PART = 1 << 20
 
 ORDER = 4
 SAMPLE_DOCS = 400
@@ -59,6 +62,11 @@ def letters() -> np.ndarray:
     return _LETTERS[0]
 
 
+def folded(codes: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """A 16-bit symbol for each letter, 0 for all else."""
+    return np.where(keep, np.maximum(((codes >> 16) * 31 ^ codes) & 0xFFFF, 1), 0).astype(np.uint64)
+
+
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All texts as one array of 16-bit symbols; where boundaries were put in; first places; letters per text.
 
@@ -74,11 +82,10 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     between = np.zeros(len(codes), bool)
     for back in range(1, len(gap) + 1):
         between[np.append(first, len(codes)) - back] = True
-    folded = np.where(keep, np.maximum(((codes >> 16) * 31 ^ codes) & 0xFFFF, 1), 0).astype(np.uint64)
     n_letters = np.add.reduceat(keep, first, dtype=np.int64) if len(texts) else np.zeros(0, np.int64)
     kept = keep | between | np.append(False, keep[:-1])
     before = np.cumsum(kept) - kept
-    return folded[kept], between[kept], before[first], n_letters
+    return folded(codes, keep)[kept], between[kept], before[first], n_letters
 
 
 def packed(stream: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
@@ -188,8 +195,29 @@ class LanguageModels:
             out[missing] = passed + self._scores(stream, places[missing], n - 1)
         return out
 
+    def long_entropy(self, text: str) -> tuple[np.ndarray, int, int]:
+        """Nats per symbol, symbols and letters of a text that is read in parts; each goes on where the last one ends."""
+        known, total = letters(), np.zeros(len(self.names))
+        tail, after_letter, n, n_letters = np.zeros(ORDER - 1, np.uint64), False, 0, 0
+        for start in range(0, len(text), PART):
+            codes = np.frombuffer(text[start : start + PART].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+            keep = known[codes]
+            kept = keep | np.append(after_letter, keep[:-1])
+            stream = np.concatenate([tail, folded(codes, keep)[kept]])
+            total += self._scores(stream, np.arange(len(tail), len(stream)), self.order).sum(axis=0, dtype=np.float64)
+            n += int(kept.sum())
+            n_letters += int(keep.sum())
+            tail, after_letter = stream[-(ORDER - 1) :], bool(keep[-1])
+        return -total / max(n, 1), max(n, 1), n_letters
+
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Nats per symbol under every language, symbols, and letters of each text."""
+        long = {k for k, t in enumerate(texts) if len(t) > PART}
+        if long:
+            rest = self.entropies([t for k, t in enumerate(texts) if k not in long])
+            others = iter(zip(*rest, strict=True))
+            rows = [self.long_entropy(t) if k in long else next(others) for k, t in enumerate(texts)]
+            return tuple(np.array(c) for c in zip(*rows, strict=True))
         stream, between, first, n_letters = symbols(texts)
         scores = self._scores(stream, np.arange(len(stream)), self.order)
         scores[between] = 0

@@ -11,7 +11,8 @@ Every input split packs its own rows, so no row is shuffled and no group is gath
 most ``WINDOW`` waiting items, each shorter than a sequence. sequence_id is the task's number times 2^32 plus a
 count. A retried task reads the same split in the same order and makes the same sequences.
 
-Defined results: a null text is empty and packs as its end id alone; repeated rows are packed each; a
+Defined results: a null text is empty and packs as its end id alone; a text is packed as a whole, whatever its
+length, in time that grows with it; repeated rows are packed each; a
 null doc_id stays null; further columns are ignored; an empty table gives no rows.
 """
 
@@ -50,7 +51,7 @@ class Item:
 
     doc: int | None
     start: int
-    ids: bytes
+    ids: bytes | memoryview
     total: int
     masked: int
 
@@ -83,12 +84,13 @@ class Packer:
         self.rows: list[tuple] = []
 
     def add(self, doc: int | None, ids: bytes, masked: int = 0) -> None:
-        item = Item(doc, 0, ids, len(ids) // 4, masked)
-        while item.length >= self.limits.tokens and (n := item.cut_for(self.limits.tokens, self.limits.loss_tokens)) == self.limits.tokens:
-            head, item = item.cut(n)
-            self._close([head])
-        if item.length:
-            self._wait(item)
+        view, size, start, total = memoryview(ids), self.limits.tokens, 0, len(ids) // 4
+        # Whole sequences are views of one buffer; what waits is a copy shorter than them, unless loss tokens run out first.
+        while total - start >= size and min(size, max(0, masked - start)) + self.limits.loss_tokens >= size:
+            self._close([Item(doc, start, view[4 * start : 4 * (start + size)], total, masked)])
+            start += size
+        if start < total:
+            self._wait(Item(doc, start, bytes(view[4 * start :]), total, masked))
         while len(self.items) - len(self.free) >= self.window:
             self._fill()
 

@@ -9,9 +9,12 @@ digit, separators and neighbours; a dynamic program over bounded segments choose
 segment is added if its posterior is at least ``SURE`` and it overlaps no base span. Long runs of hints are searched
 in windows that reach ``OVERLAP`` tokens into their neighbours; each segment is taken from the window in whose own part
 it starts. It learns from
-windows of about ``SAMPLE_DOCS`` documents (twice that at most), labelled by the base spans in them, and from
+windows of about ``SAMPLE_DOCS`` documents (those with the smallest hashes, twice that number at most), labelled by the base spans in them, and from
 altered copies of these: plus signs dropped, dots for blanks, addresses written out, check digits broken.
 
+A segment ends at its last token and beats another of the same span by its score; of equal scores the one listed first
+in ``candidate_kinds`` wins. On altered forms in held-out documents the tests measure recall and precision, both over 0.9.
+
 Defined results: a null text is empty; rows are judged each by their own text, repeated ones alike; without training
 windows nothing is added; further columns are ignored; an empty table gives no rows.
 """
@@ -353,7 +356,8 @@ def fit(docs: DataFrame, size: int = SAMPLE_DOCS) -> dict[str, float]:
     likely = docs.where(F.col("text").rlike(r"@|[0-9]{3}"))
     n = likely.count()
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30)).cast("double") / (1 << 30)
-    chosen = likely.where(drawn < (size / n if n else 0.0)).select("text").limit(2 * size)
+    drawn_rows = likely.select("text", drawn.alias("drawn"), F.xxhash64("text").alias("key")).where(F.col("drawn") < (size / n if n else 0.0))
+    chosen = drawn_rows.orderBy("drawn", "key").limit(2 * size).select("text")
     rows = chosen.mapInArrow(window_rows, "w string, spans string").orderBy("w", "spans").collect()
     windows = []
     for r in rows:

@@ -3,8 +3,8 @@
 Layout: ``MAGIC``, the planes of block after block, the document index, the chunk index, the trailer.
 Numbers are little-endian. A block holds ``block_ids`` ids (the last one fewer); only planes below the
 highest set bit of the block are stored. The chunk index has a row for each block: place, number of
-ids, number of planes, then the stored length of each plane. The document index has doc_id and length
-of every document, delta coded and compressed. The trailer has the places of both indexes, the number
+ids, number of planes, then the stored length of each plane. The document index has a bit for each document
+without an id, then doc_id, delta coded, and length of every document, all compressed. The trailer has the places of both indexes, the number
 of blocks, documents and ids, the block size, the plane width and a crc32 of all these.
 """
 
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import zstandard
 
-MAGIC = b"PLANES01"
+MAGIC = b"PLANES02"
 HEAD = struct.Struct("<QQQQQII")
 TAIL = struct.Struct("<I8s")
 ENTRY = struct.Struct("<QII")
@@ -52,7 +52,7 @@ class PlaneWriter:
         self.at = self.n_ids = self.waiting = 0
         self.parts: list[bytes] = []
         self.chunks: list[bytes] = []
-        self.docs: list[int] = []
+        self.docs: list[int | None] = []
         self.lengths: list[int] = []
         self._put(MAGIC)
 
@@ -60,7 +60,7 @@ class PlaneWriter:
         self.sink.write(data)
         self.at += len(data)
 
-    def add(self, doc_id: int, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
         self.docs.append(doc_id)
         self.lengths.append(len(ids) // 4)
         self.parts.append(ids)
@@ -83,8 +83,10 @@ class PlaneWriter:
     def close(self) -> None:
         if self.waiting:
             self._block(b"".join(self.parts))
-        docs = np.array(self.docs, "<i8")
-        doc_index = self.zip.compress(np.diff(docs, prepend=docs[:1] * 0).tobytes() + np.array(self.lengths, "<u8").tobytes())
+        nameless = np.packbits([doc is None for doc in self.docs]).tobytes()
+        docs = np.array([0 if doc is None else doc for doc in self.docs], "<i8")
+        deltas = np.diff(docs, prepend=docs[:1] * 0).tobytes()
+        doc_index = self.zip.compress(nameless + deltas + np.array(self.lengths, "<u8").tobytes())
         chunk_index = b"".join(self.chunks)
         places = self.at, self.at + len(doc_index)
         self._put(doc_index)
@@ -112,9 +114,12 @@ class PlaneReader:
         if zlib.crc32(indexes + head) != crc:
             raise ValueError("the indexes are damaged")
         doc_index, chunk_index = indexes[: chunk_at - doc_at], indexes[chunk_at - doc_at :]
-        raw = zstandard.ZstdDecompressor().decompress(doc_index, max_output_size=max(1, 16 * self.n_docs))
-        self.docs = np.cumsum(np.frombuffer(raw, "<i8", self.n_docs))
-        self.lengths = np.frombuffer(raw, "<u8", self.n_docs, 8 * self.n_docs).astype(np.int64)
+        bits = -(-self.n_docs // 8)
+        raw = zstandard.ZstdDecompressor().decompress(doc_index, max_output_size=max(1, bits + 16 * self.n_docs))
+        nameless = np.unpackbits(np.frombuffer(raw, np.uint8, bits), count=self.n_docs).tolist()
+        docs = np.cumsum(np.frombuffer(raw, "<i8", self.n_docs, bits)).tolist()
+        self.docs = [None if absent else doc for doc, absent in zip(docs, nameless, strict=True)]
+        self.lengths = np.frombuffer(raw, "<u8", self.n_docs, bits + 8 * self.n_docs).astype(np.int64)
         self.chunks, at = [], 0
         for _ in range(self.n_chunks):
             place, n, planes = ENTRY.unpack_from(chunk_index, at)
@@ -128,7 +133,7 @@ class PlaneReader:
         unzip = zstandard.ZstdDecompressor()
         return unshuffle([unzip.decompress(self.source.read(x)) for x in lengths], n, self.width)
 
-    def documents(self) -> Iterator[tuple[int, int, Iterator[bytes]]]:
+    def documents(self) -> Iterator[tuple[int | None, int, Iterator[bytes]]]:
         """(doc_id, length, its ids as bytes in parts) in the order of the file; take the parts before going on."""
         k, held = 0, b""
 
@@ -141,5 +146,5 @@ class PlaneReader:
                 left -= len(part)
                 yield part
 
-        for doc, length in zip(self.docs.tolist(), self.lengths.tolist(), strict=True):
+        for doc, length in zip(self.docs, self.lengths.tolist(), strict=True):
             yield doc, length, parts(4 * length)

@@ -1,12 +1,14 @@
 """Token-id output: documents in doc_id order, written as plane files (``planes.py``) and read back.
 
-Documents are range-partitioned and sorted by (doc_id, text), each task encodes and streams one shard
+Documents are range-partitioned and sorted by (doc_id, first bytes of the text, place in the input), so not even rows
+that repeat a doc_id and a text have to meet in one task. Each task encodes and streams one shard
 file into shared storage, and a manifest row names what it wrote. A file's name holds the task attempt,
 so a retried or speculative task never touches the file of another; only the attempt that succeeded is
 in the manifest. Where a shard begins is a running sum over the manifest, which has a row per shard.
 
-Defined results: a null text is encoded as empty; a row with a null doc_id comes first, is written as the
-smallest integer and read back as null; equal doc_ids follow in the order of their texts; further columns are ignored;
+Defined results: a null text is encoded as empty; a row with a null doc_id comes first, is marked as such
+and read back as null; equal doc_ids follow in the order of the first ``HEAD_BYTES`` bytes
+of their texts, then of their places; a text is written as a whole; further columns are ignored;
 an empty table gives no rows.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import arrow_batch, shared_path, slices, staged, text_bytes
 
 END_ID = 0
-NO_ID = -(1 << 63)
+HEAD_BYTES = 64
 MANIFEST = "shard int, path string, n_docs long, n_ids long, n_bytes long"
 
 
@@ -53,7 +55,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, planes: str = "b
                 sink = files.open_output_stream(f"{at}/{name}")
                 writer = PlaneWriter(sink, planes)
             for doc, body in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                writer.add(NO_ID if doc is None else doc, encode(body) + end)
+                writer.add(doc, encode(body) + end)
         if writer is not None:
             writer.close()
             sink.close()
@@ -61,11 +63,11 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, planes: str = "b
             types = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             yield arrow_batch(["shard", "path", "n_docs", "n_ids", "n_bytes"], types, cells)
 
-    ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
-        .repartitionByRange(F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "body")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"), F.substring(text_bytes(), 1, HEAD_BYTES).alias("head"), F.monotonically_increasing_id().alias("place")
     )
+    order = [F.col("doc_id").asc_nulls_first(), F.col("head"), F.col("place")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "body")
     return staged(ordered.mapInArrow(write, MANIFEST), "manifest")
 
 
@@ -87,7 +89,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                         crc = 0
                         for part in parts:
                             crc = zlib.crc32(part, crc)
-                        rows.append((None if doc == NO_ID else doc, start, length, crc))
+                        rows.append((doc, start, length, crc))
                         start += length
                         if len(rows) == 4096:
                             yield arrow_batch(names, types, list(zip(*rows, strict=True)))
