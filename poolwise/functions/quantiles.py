@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .sizing import broadcast_if_small
 
-SKETCH_ACCURACY = 20_000
+#: A bracket holds two thousandths of a group; a smaller one would make the sketch the costlier part.
+SKETCH_ACCURACY = 4_000
 #: Buckets of ordered values: at least so many, and more where they would exceed so many rows each.
 RANK_BUCKETS = 64
 ROWS_PER_BUCKET = 500_000

@@ -41,6 +41,10 @@ def job_ledger(rows: DataFrame, runs: DataFrame) -> DataFrame:
         F.count_if(F.col("end_reason") == "preempted").alias("preemption_count"),
         F.count(F.lit(1)).alias("run_count"),
     )
+    return _evaluated(jobs, runs)
+
+
+def _evaluated(jobs: DataFrame, runs: DataFrame) -> DataFrame:
     windows = runs.select("run_id", "evaluation_start", "evaluation_end")
     return (
         jobs.join(broadcast_if_small(windows), "run_id")
@@ -53,6 +57,26 @@ def job_ledger(rows: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+def packed_job_ledger(packed: DataFrame, runs: DataFrame) -> DataFrame:
+    """``job_ledger`` of jobs that still hold their runs as an array; no job is shuffled."""
+    completed = F.filter("runs", lambda r: r["end_reason"] == "completed")
+    waited = F.aggregate("runs", F.lit(0.0), lambda t, r: t + (r["start_time_seconds"] - r["queued_since"]))
+    jobs = packed.select(
+        *RUN,
+        "job_id",
+        "service_class",
+        "gpu_model",
+        "gpu_count",
+        "submit_time_seconds",
+        F.array_min(F.transform("runs", lambda r: r["start_time_seconds"])).alias("start_time_seconds"),
+        F.array_max(F.transform(completed, lambda r: r["end_time_seconds"])).alias("completion_time_seconds"),
+        waited.alias("queue_seconds"),
+        F.size(F.filter("runs", lambda r: r["end_reason"] == "preempted")).cast("long").alias("preemption_count"),
+        F.size("runs").cast("long").alias("run_count"),
+    )
+    return _evaluated(jobs, runs)
+
+
 def preemption_ledger(rows: DataFrame) -> DataFrame:
     lost = F.col("rollback_seconds") + F.col("overhead_seconds")
     return rows.where(is_event()).select(
@@ -94,20 +118,34 @@ def evaluated_spot(rows: DataFrame, runs: DataFrame) -> DataFrame:
     return rows.where(F.col("service_class") == "Spot").join(windows, "run_id").where(arrived)
 
 
-def class_metrics(ledger: DataFrame) -> DataFrame:
+def class_metrics(ledger: DataFrame, stored: bool = False) -> DataFrame:
     """JCT, queueing and preemption per (run, class) of the evaluation population.
 
-    Both classes of a run appear; a class without jobs has counts of zero and no rates.
+    Both classes of a run appear; a class without jobs has counts of zero and no rates. ``stored`` says that the
+    ledger is cheap to read several times.
     """
-    # Written once: the population is read for its classes, its moments and twice for its ranks.
-    ledger = cut_lineage(
-        ledger.select(
-            *RUN, "service_class", "evaluation_population", "jct_seconds", "queue_seconds", "completion_time_seconds", "preemption_count", "run_count"
-        )
+    ledger = ledger.select(
+        *RUN, "service_class", "evaluation_population", "jct_seconds", "queue_seconds", "completion_time_seconds", "preemption_count", "run_count"
     )
+    if not stored:
+        # Written once: the population is read for its moments and twice for its ranks.
+        ledger = cut_lineage(ledger)
     key = [*RUN, "service_class"]
     classes = F.array(F.lit("HP"), F.lit("Spot"))
-    domain = ledger.select(*RUN).distinct().withColumn("service_class", F.explode(classes))
+    counted_in = F.col("evaluation_population")
+    here = lambda c: F.when(counted_in, F.col(c))
+    totals = cut_lineage(
+        ledger.groupBy(*key).agg(
+            F.count_if(counted_in).alias("job_count"),
+            F.count(here("completion_time_seconds")).alias("completed_count"),
+            F.avg(here("jct_seconds")).alias("jct_mean"),
+            F.avg(here("queue_seconds")).alias("queue_mean"),
+            F.sum(here("preemption_count")).alias("preemption_count"),
+            F.count_if(counted_in & (F.col("preemption_count") > 0)).alias("preempted_job_count"),
+            F.sum(here("run_count")).alias("run_count"),
+        )
+    )
+    domain = totals.select(*RUN).distinct().withColumn("service_class", F.explode(classes))
     scored = ledger.where("evaluation_population")
     shares = {"p50": 0.50, "p95": 0.95}
     values = scored.select(
@@ -121,15 +159,6 @@ def class_metrics(ledger: DataFrame) -> DataFrame:
     ranks = exact_quantiles(values, [*key, "measure"], "seconds", shares)
     picked = lambda m, q: F.max(F.when(F.col("measure") == m, F.col(q))).alias(f"{m}_{q}")
     quantiles = ranks.groupBy(*key).agg(*[picked(m, q) for m in ("jct", "queue") for q in shares])
-    totals = scored.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("job_count"),
-        F.count("completion_time_seconds").alias("completed_count"),
-        F.avg("jct_seconds").alias("jct_mean"),
-        F.avg("queue_seconds").alias("queue_mean"),
-        F.sum("preemption_count").alias("preemption_count"),
-        F.count_if(F.col("preemption_count") > 0).alias("preempted_job_count"),
-        F.sum("run_count").alias("run_count"),
-    )
     measured = ("jct_mean", "jct_p50", "jct_p95", "queue_mean", "queue_p50", "queue_p95")
     counted = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return (
@@ -149,67 +178,84 @@ def class_metrics(ledger: DataFrame) -> DataFrame:
     )
 
 
-def spot_metrics(rows: DataFrame, runs: DataFrame) -> DataFrame:
-    """Evictions, guarantees and lost work of evaluated Spot jobs, drain included."""
-    mine = evaluated_spot(rows, runs)
+def _spot_sums(counted: Column) -> dict[str, Column]:
+    """Sums over the run rows that are ``counted``, for ``_spot_columns``."""
     event, hit = is_event(), F.col("end_reason") == "preempted"
     kept = (F.col("end_reason") == "completed") | (run_seconds() + EPSILON >= F.col("guarantee_seconds"))
     lost = F.col("rollback_seconds") + F.col("overhead_seconds")
     inside = F.col("end_time_seconds") <= F.col("evaluation_end")
-    n = F.count(F.lit(1))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return mine.groupBy(*RUN).agg(
-        n.alias("spot_run_count"),
-        F.count_if(event).alias("preemption_event_count"),
-        F.count_if(event & inside).alias("events_during_evaluation_window"),
-        F.count_if(event & ~inside).alias("events_during_drain"),
-        rounded(F.count_if(event) / n).alias("eviction_rate_per_run"),
-        F.count_if(kept).alias("guarantee_succeeded_count"),
-        rounded(F.count_if(kept) / n).alias("guarantee_success_rate"),
-        F.count_if(~kept & ~hit).alias("unexplained_failure_count"),
-        rounded(zero(F.sum(F.when(event, F.col("rollback_seconds"))))).alias("rollback_seconds_total"),
-        rounded(zero(F.sum(F.when(event, F.col("overhead_seconds"))))).alias("overhead_seconds_total"),
-        rounded(zero(F.sum(F.when(event, lost * F.col("gpu_count"))))).alias("added_gpu_seconds_total"),
-    )
+    summed = lambda c: F.coalesce(F.sum(F.when(counted & event, c)), F.lit(0.0))
+    return {
+        "spot_run_count": F.count_if(counted),
+        "preemption_event_count": F.count_if(counted & event),
+        "events_during_evaluation_window": F.count_if(counted & event & inside),
+        "events_during_drain": F.count_if(counted & event & ~inside),
+        "guarantee_succeeded_count": F.count_if(counted & kept),
+        "unexplained_failure_count": F.count_if(counted & ~kept & ~hit),
+        "rollback_seconds_total": rounded(summed(F.col("rollback_seconds"))),
+        "overhead_seconds_total": rounded(summed(F.col("overhead_seconds"))),
+        "added_gpu_seconds_total": rounded(summed(lost * F.col("gpu_count"))),
+    }
+
+
+def _spot_rates() -> dict[str, Column]:
+    n = F.col("spot_run_count")
+    return {
+        "eviction_rate_per_run": F.when(n > 0, rounded(F.col("preemption_event_count") / n)),
+        "guarantee_success_rate": F.when(n > 0, rounded(F.col("guarantee_succeeded_count") / n)),
+    }
 
 
-def allocation(rows: DataFrame, runs: DataFrame, capacity: Column) -> DataFrame:
-    """Allocated GPU-seconds split at the evaluation window, and the rate inside it."""
-    windows = broadcast_if_small(runs.select("run_id", "evaluation_start", "evaluation_end"))
+def spot_metrics(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Evictions, guarantees and lost work of evaluated Spot jobs, drain included."""
+    sums = _spot_sums(F.lit(True))
+    return evaluated_spot(rows, runs).groupBy(*RUN).agg(*[c.alias(n) for n, c in sums.items()]).withColumns(_spot_rates())
+
+
+def _allocation_sums() -> dict[str, Column]:
     start, end = F.col("start_time_seconds"), F.col("end_time_seconds")
     lo, hi = F.col("evaluation_start"), F.col("evaluation_end")
-    overlap = lambda a, b: F.greatest(F.lit(0.0), F.least(end, b) - F.greatest(start, a))
+    overlap = F.greatest(F.lit(0.0), F.least(end, hi) - F.greatest(start, lo))
     gpus = F.col("gpu_count")
-    return (
-        rows.join(windows, "run_id")
-        .groupBy(*RUN, "evaluation_start", "evaluation_end")
-        .agg(
-            F.sum(gpus * (end - start)).alias("total"),
-            F.sum(gpus * F.greatest(F.lit(0.0), F.least(end, lo) - start)).alias("warmup"),
-            F.sum(gpus * overlap(lo, hi)).alias("inside"),
-        )
-        .select(
-            *RUN,
-            rounded(F.col("total"), 3).alias("allocated_gpu_seconds"),
-            rounded(F.col("warmup"), 3).alias("warmup_allocated_gpu_seconds"),
-            rounded(F.col("inside"), 3).alias("evaluation_allocated_gpu_seconds"),
-            rounded(F.col("total") - F.col("warmup") - F.col("inside"), 3).alias(
-                "drain_allocated_gpu_seconds"
-            ),
-            F.when(hi > lo, rounded(F.col("inside") / (capacity * (hi - lo))))
-            .otherwise(0.0)
-            .alias("allocation_rate_mean"),
-        )
-    )
+    return {
+        "total": F.sum(gpus * (end - start)),
+        "warmup": F.sum(gpus * F.greatest(F.lit(0.0), F.least(end, lo) - start)),
+        "inside": F.sum(gpus * overlap),
+    }
+
+
+def _allocation_rates(capacity: Column) -> dict[str, Column]:
+    lo, hi = F.col("evaluation_start"), F.col("evaluation_end")
+    return {
+        "allocated_gpu_seconds": rounded(F.col("total"), 3),
+        "warmup_allocated_gpu_seconds": rounded(F.col("warmup"), 3),
+        "evaluation_allocated_gpu_seconds": rounded(F.col("inside"), 3),
+        "drain_allocated_gpu_seconds": rounded(F.col("total") - F.col("warmup") - F.col("inside"), 3),
+        "allocation_rate_mean": F.when(hi > lo, rounded(F.col("inside") / (capacity * (hi - lo)))).otherwise(0.0),
+    }
+
+
+def allocation(rows: DataFrame, runs: DataFrame, capacity: Column) -> DataFrame:
+    """Allocated GPU-seconds split at the evaluation window, and the rate inside it."""
+    windows = broadcast_if_small(runs.select("run_id", "evaluation_start", "evaluation_end"))
+    sums = rows.join(windows, "run_id").groupBy(*RUN, "evaluation_start", "evaluation_end").agg(*[c.alias(n) for n, c in _allocation_sums().items()])
+    return sums.select(*RUN, *[c.alias(n) for n, c in _allocation_rates(capacity).items()])
 
 
 METRICS_SCHEMA = "policy-metrics/v1"
 LEDGER_COUNTS = ("preemption_event_count", "spot_run_count", "guarantee_failed_count", "unexplained_failure_count")
 
 
-def metrics_report(rows: DataFrame, runs: DataFrame, capacity: Column) -> DataFrame:
-    """One row per run with every catalogued metric and the ledgers' consistency, ready for audit and ranking."""
-    by_class = cut_lineage(class_metrics(job_ledger(rows, runs)))
+def metrics_report(
+    rows: DataFrame, runs: DataFrame, capacity: Column, jobs: DataFrame | None = None, evidence: dict[str, Column] | None = None
+) -> DataFrame:
+    """One row per run with every catalogued metric and the ledgers' consistency, ready for audit and ranking.
+
+    ``jobs`` is the job ledger where the caller has it without a shuffle; ``evidence`` are further aggregates over the
+    run rows. Spot metrics, allocation and evidence come from one partial aggregate.
+    """
+    stored = jobs is not None
+    by_class = cut_lineage(class_metrics(jobs if stored else job_ledger(rows, runs), stored))
 
     def side(name: str, prefix: str, columns: Sequence[str]) -> DataFrame:
         return by_class.where(F.col("service_class") == name).select(
@@ -225,24 +271,31 @@ def metrics_report(rows: DataFrame, runs: DataFrame, capacity: Column) -> DataFr
         )
 
     measured = ("jct_mean", "jct_p50", "jct_p95", "queue_mean", "queue_p95")
-    spot = spot_metrics(rows, runs).select(
+    windows = broadcast_if_small(runs.select("run_id", "evaluation_start", "evaluation_end"))
+    evaluated = (F.col("service_class") == "Spot") & F.col("submit_time_seconds").between(F.col("evaluation_start"), F.col("evaluation_end"))
+    sums = {**_spot_sums(evaluated), **_allocation_sums(), **(evidence or {})}
+    over_runs = (
+        rows.join(windows, "run_id")
+        .groupBy(*RUN, "evaluation_start", "evaluation_end")
+        .agg(*[c.alias(n) for n, c in sums.items()])
+        .withColumns({**_spot_rates(), **_allocation_rates(capacity)})
+    )
+    found = F.col("spot_run_count") > 0
+    spot = over_runs.select(
         *RUN,
+        "evaluation_start",
+        "evaluation_end",
+        *_allocation_rates(capacity),
         F.col("eviction_rate_per_run").alias("spot_eviction_rate_per_run"),
         F.col("guarantee_success_rate").alias("spot_guarantee_success_rate"),
-        F.col("added_gpu_seconds_total").alias("preemption_added_gpu_seconds"),
+        F.when(found, F.col("added_gpu_seconds_total")).alias("preemption_added_gpu_seconds"),
         "preemption_event_count",
         "spot_run_count",
         (F.col("spot_run_count") - F.col("guarantee_succeeded_count")).alias("guarantee_failed_count"),
         "unexplained_failure_count",
+        *(evidence or {}),
     )
-    windows = broadcast_if_small(runs.select("run_id", "evaluation_start", "evaluation_end"))
-    joined = (
-        allocation(rows, runs, capacity)
-        .join(side("HP", "hp", measured), RUN)
-        .join(side("Spot", "spot", measured), RUN)
-        .join(spot, RUN, "left")
-        .join(windows, "run_id")
-    )
+    joined = spot.join(side("HP", "hp", measured), RUN).join(side("Spot", "spot", measured), RUN)
     counted = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return joined.withColumns(
         {c: counted(c) for c in LEDGER_COUNTS}

@@ -44,11 +44,12 @@ class TenantModel:
     probability: float = 0.9
 
 
-def training_rows(hours: DataFrame, model: TenantModel, origin_weekday: int = 0) -> DataFrame:
+def training_rows(hours: DataFrame, model: TenantModel, origin_weekday: int = 0, business: DataFrame | None = None) -> DataFrame:
     """Lookback, cycle and target arrays at every hour of every series.
 
     ``hours``: series columns, bucket, gpus. Arrays are as long as the lookback, so a row is bounded
-    whatever the history. ``origin_weekday`` is the weekday of bucket zero, Monday being 0.
+    whatever the history. ``origin_weekday`` is the weekday of bucket zero, Monday being 0. ``business`` has day_index
+    and workday (``calendar.day_flags``); without it, or on days it lacks, the weekday decides.
     """
     ordered = Window.partitionBy(*SERIES).orderBy("bucket")
     history = ordered.rowsBetween(-(model.lookback - 1), 0)
@@ -61,13 +62,12 @@ def training_rows(hours: DataFrame, model: TenantModel, origin_weekday: int = 0)
     ).where(F.size("x") == model.lookback)
     moment = F.col("bucket") + 1
     weekday = F.pmod(F.floor(moment / 24) + origin_weekday, F.lit(7)).cast("int")
-    return arrays.withColumns(
-        {
-            "hour": F.pmod(moment, F.lit(24)).cast("int"),
-            "weekday": weekday,
-            "workday": (weekday < 5).cast("int"),
-        }
-    )
+    by_weekday = (weekday < 5).cast("int")
+    placed = arrays.withColumns({"hour": F.pmod(moment, F.lit(24)).cast("int"), "weekday": weekday, "day_index": F.floor(moment / 24).cast("long")})
+    if business is None:
+        return placed.withColumn("workday", by_weekday).drop("day_index")
+    flagged = placed.join(broadcast_if_small(business.select("day_index", "workday")), "day_index", "left")
+    return flagged.withColumn("workday", F.coalesce("workday", (F.col("weekday") < 5).cast("int"))).drop("day_index")
 
 
 def _design(frame: pd.DataFrame, model: TenantModel) -> tuple[np.ndarray, np.ndarray]:
@@ -291,7 +291,7 @@ def predict(rows: DataFrame, weights, model: TenantModel) -> DataFrame:
 
 
 def forecast_pools(
-    hours: DataFrame, cutoff: float, model: TenantModel, origin_weekday: int = 0
+    hours: DataFrame, cutoff: float, model: TenantModel, origin_weekday: int = 0, business: DataFrame | None = None
 ) -> DataFrame:
     """Calibrated pool forecasts at the cutoff, from hours complete by then."""
     ship_package(hours.sparkSession)
@@ -299,7 +299,7 @@ def forecast_pools(
     seen = hours.where(F.col("bucket") <= last)
     edge = last - model.validation_hours
     rows = cut_lineage(
-        training_rows(seen, model, origin_weekday)
+        training_rows(seen, model, origin_weekday, business)
         .withColumn("validation", F.col("bucket") > edge)
     )
     complete = F.size("y") == model.horizon

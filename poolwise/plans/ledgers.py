@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rounded
-from ..operators import metrics
+from ..operators import fingerprints, metrics
 from ..sources.ledger import LEDGER_CTES, ledger_capacity, ledger_windows, run_ledger
 from .registry import query
 
@@ -125,3 +125,50 @@ def eviction_budget(spark, sf_dir):
     return counted.select(
         "run_id", "action_id", "spot_run_count", "preemption_event_count", (share <= 0.09 + 1e-9).alias("within_budget")
     )
+
+
+def _part_sql(text: str, k: int) -> str:
+    return f"('0x' || substr(sha256({text}), {1 + k * fingerprints.PART_DIGITS}, {fingerprints.PART_DIGITS}))::BIGINT"
+
+
+def _canonical_sql(values: dict[str, str]) -> str:
+    shown = "CASE WHEN ({v}) IS NULL THEN '-' ELSE length(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR) END"
+    return " || ".join(f"'{name}=' || {shown.format(v=v)} || ';'" for name, v in values.items())
+
+
+def _fingerprint_sql(text: str) -> str:
+    sums = " || ':' || ".join(f"CAST(sum({text}{k}::HUGEINT) AS VARCHAR)" for k in range(2))
+    ors = " || ':' || ".join(f"CAST(bit_xor({text}{k}) AS VARCHAR)" for k in range(2))
+    return f"sha256(count(*) || ':' || {sums} || ':' || {ors})"
+
+
+_SHARED = {
+    "job": "job_id", "ordinal": "run_ordinal", "start": "CAST(round(s * 1000) AS BIGINT)", "reason": "end_reason", "trigger": "trigger_id",
+    "rollback": "CAST(round(rollback_seconds * 1000) AS BIGINT)",
+}
+_END = "CAST(round((e{shift}) * 1000) AS BIGINT)"
+_FIRST = _canonical_sql(_SHARED | {"end": _END.format(shift="")})
+_SECOND = _canonical_sql(_SHARED | {"end": _END.format(shift=" + CASE WHEN l_orderkey % 5003 = 17 * i THEN 1 ELSE 0 END")})
+
+
+@query(
+    "q_repetition_fingerprints",
+    WITH
+    + f""", tx AS (SELECT run_id, action_id, {_FIRST} AS a, {_SECOND} AS b FROM runs),
+hx AS (SELECT run_id, action_id, {_part_sql('a', 0)} AS a0, {_part_sql('a', 1)} AS a1, {_part_sql('b', 0)} AS b0, {_part_sql('b', 1)} AS b1 FROM tx),
+fp AS (SELECT run_id, action_id, count(*) AS row_count, {_fingerprint_sql('a')} AS primary_fingerprint, {_fingerprint_sql('b')} AS repeated_fingerprint FROM hx GROUP BY 1, 2)
+SELECT *, CASE WHEN primary_fingerprint = repeated_fingerprint THEN 1 ELSE 2 END::BIGINT AS distinct_fingerprints, primary_fingerprint = repeated_fingerprint AS fingerprints_match FROM fp""",
+)
+def repetition_fingerprints(spark, sf_dir):
+    """Whether both repetitions of each (window, action) have the same run rows, in whatever order."""
+    ms = fingerprints.thousandths
+    shared = {
+        "job": F.col("job_id"),
+        "ordinal": F.col("run_ordinal"),
+        "start": ms(F.col("start_time_seconds")),
+        "reason": F.col("end_reason"),
+        "trigger": F.col("trigger_id"),
+        "rollback": ms(F.col("rollback_seconds")),
+    }
+    ends = {"primary": {"end": ms(F.col("end_time_seconds"))}, "repeated": {"end": ms(F.col("repeated_end_seconds"))}}
+    return fingerprints.repetition_fingerprints(run_ledger(spark, sf_dir), ["run_id", "action_id"], shared, ends)

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..contracts import DAY, HOUR
 from ..functions import exact_quantiles, rounded
-from ..operators import profile, slicing
-from ..sources.tables import TRACE_CTES, trace_from_tables
+from ..operators import calendar, profile, slicing
+from ..sources.tables import TRACE_CTES, TRACE_ORIGIN, table, trace_from_tables
 from .registry import query
 
 WITH = "WITH " + TRACE_CTES
@@ -392,3 +392,24 @@ def last_wins_union(spark, sf_dir):
     return both.groupBy("service_class", "gpu_model").agg(
         F.count(F.lit(1)).alias("job_count"), F.round(F.sum("duration_seconds"), 2).alias("duration_seconds")
     )
+
+
+def business_calendar(spark, sf_dir):
+    """A calendar table with a change for every nation: holidays, make-up days, and back to the weekday."""
+    key = F.col("n_nationkey")
+    business = F.when(key % 5 == 0, False).when(key % 5 == 3, True)
+    return table(spark, sf_dir, "nation").select(F.date_add(F.lit("2024-01-01").cast("date"), key.cast("int")).alias("from_day"), business.alias("business"))
+
+
+@query(
+    "q_calendar_features",
+    WITH
+    + """, cal AS (SELECT DATE '2024-01-01' + CAST(n_nationkey AS INT) AS from_day, CASE n_nationkey % 5 WHEN 0 THEN false WHEN 3 THEN true END AS business FROM nation),
+m AS (SELECT job_id, service_class, TIMESTAMP '2024-01-01 00:00:00' + to_microseconds(CAST(round(submit_time_seconds * 1e6) AS BIGINT)) AS moment FROM jobs),
+ds AS (SELECT DISTINCT CAST(moment AS DATE) AS day FROM m),
+rl AS (SELECT day, CASE WHEN business IS NULL THEN isodow(day) <= 5 ELSE business END AS work FROM ds ASOF LEFT JOIN cal ON ds.day >= cal.from_day)
+SELECT job_id, service_class, CAST(work AS INT) AS workday, CAST(isodow(moment) - 1 AS INT) AS weekday, CAST(hour(moment) AS INT) AS hour FROM m JOIN rl ON rl.day = CAST(moment AS DATE)""",
+)
+def calendar_features(spark, sf_dir):
+    jobs = trace_from_tables(spark, sf_dir).jobs.select("job_id", "service_class", "submit_time_seconds")
+    return calendar.time_categories(jobs, "submit_time_seconds", TRACE_ORIGIN, business_calendar(spark, sf_dir)).drop("submit_time_seconds")

@@ -53,8 +53,8 @@ def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run rows of every (window, action): one run, or an evicted one and its second try."""
+def job_runs(jobs: DataFrame) -> DataFrame:
+    """Every (window, action) of each job with its ``runs``: one, or an evicted one and its second try."""
     actions = F.array(*[F.struct(F.lit(a).alias("action_id"), F.lit(i).alias("i")) for i, a in enumerate(MULTIWINDOW_ACTIONS)])
     i, part, supp = F.col("a.i"), F.col("l_partkey"), F.col("l_suppkey")
     spot = F.col("service_class") == "Spot"
@@ -77,13 +77,9 @@ def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = run(1, F.col("submit_time_seconds"), start, cut_end, F.lit("preempted"), F.when(part % 211 != 0, F.concat(F.lit("t"), supp.cast("string"))), F.col("rollback"), F.col("overhead"))
     second = run(2, cut_end, again, last_end, F.when(part % 499 == 0, "cut").otherwise("completed"), nobody, none, none)
     only = run(1, F.col("submit_time_seconds"), start, start + F.col("length"), F.lit("completed"), nobody, none, none)
-    rows = (
-        _jobs(spark, sf_dir)
-        .withColumn("a", F.explode(actions))
-        .withColumns({"evicted": evicted, "half": half, "wait": wait, "rollback": rollback, "overhead": overhead})
-        .withColumn("run", F.explode(F.when(F.col("evicted"), F.array(first, second)).otherwise(F.array(only))))
+    rows = jobs.withColumn("a", F.explode(actions)).withColumns(
+        {"evicted": evicted, "half": half, "wait": wait, "rollback": rollback, "overhead": overhead}
     )
-    end = F.col("run.end_time_seconds")
     return rows.select(
         F.col("window_id").alias("run_id"),
         F.col("a.action_id").alias("action_id"),
@@ -94,12 +90,27 @@ def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         "submit_time_seconds",
         "guarantee_seconds",
         "node_count",
-        "run.*",
-        (end + F.when(F.col("l_orderkey") % 5003 == 17 * i, 1.0).otherwise(0.0)).alias("repeated_end_seconds"),
-        (end + F.when(F.col("l_orderkey") % 6007 == 19 * i, 1.0).otherwise(0.0)).alias("recorded_end_seconds"),
+        F.when(F.col("evicted"), F.array(first, second)).otherwise(F.array(only)).alias("runs"),
+        F.when(F.col("l_orderkey") % 5003 == 17 * i, 1.0).otherwise(0.0).alias("repeated_shift"),
+        F.when(F.col("l_orderkey") % 6007 == 19 * i, 1.0).otherwise(0.0).alias("recorded_shift"),
     )
 
 
+def run_rows(packed: DataFrame) -> DataFrame:
+    """One row per run."""
+    end = F.col("end_time_seconds")
+    shifts = ("repeated_shift", "recorded_shift")
+    jobs = [c for c in packed.columns if c not in ("runs", *shifts)]
+    return packed.select(*jobs, *shifts, F.inline("runs")).withColumns(
+        {"repeated_end_seconds": end + F.col("repeated_shift"), "recorded_end_seconds": end + F.col("recorded_shift")}
+    ).drop(*shifts)
+
+
+def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run rows of every (window, action)."""
+    return run_rows(job_runs(_jobs(spark, sf_dir)))
+
+
 def ledger_windows(spark: SparkSession) -> DataFrame:
     """The evaluation window of every study window; windows are a fixed enumeration."""
     day = F.col("id").cast("int")
@@ -117,18 +128,18 @@ def ledger_capacity(spark: SparkSession, sf_dir: str) -> float:
 
 def ledger_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every metric of every (window, action), with the evidence that auditing and comparing ask for."""
-    # Written once: the ledger is read for jobs, runs, allocation and evidence.
-    rows, windows = cut_lineage(run_ledger(spark, sf_dir)), ledger_windows(spark)
-    report = metrics.metrics_report(rows, windows, F.lit(ledger_capacity(spark, sf_dir)))
-    evidence = rows.groupBy("run_id", "action_id").agg(
-        F.count("*").alias("n"),
-        F.bool_and(F.col("repeated_end_seconds") == F.col("end_time_seconds")).alias("deterministic_repetitions"),
-        F.bool_and(F.col("recorded_end_seconds") == F.col("end_time_seconds")).alias("evidence_valid"),
-    )
+    # The jobs are stored, not their runs: laying runs out again is cheaper than writing them.
+    packed, windows = job_runs(cut_lineage(_jobs(spark, sf_dir))), ledger_windows(spark)
+    evidence = {
+        "n": F.count("*"),
+        "deterministic_repetitions": F.bool_and(F.col("repeated_end_seconds") == F.col("end_time_seconds")),
+        "evidence_valid": F.bool_and(F.col("recorded_end_seconds") == F.col("end_time_seconds")),
+    }
+    capacity = F.lit(ledger_capacity(spark, sf_dir))
+    report = metrics.metrics_report(run_rows(packed), windows, capacity, jobs=metrics.packed_job_ledger(packed, windows), evidence=evidence)
     other = (F.col("action_id") == MULTIWINDOW_ACTIONS[4]) & (F.substring("window_id", 9, 2).cast("int") % 10 == 9)
     return (
-        report.join(evidence, ["run_id", "action_id"])
-        .withColumnRenamed("run_id", "window_id")
+        report.withColumnRenamed("run_id", "window_id")
         .withColumn("source", F.lit("lineitem"))
         .withColumn("trace_id", F.when(other, "lines-b").otherwise("lines-a"))
     )
