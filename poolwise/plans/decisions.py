@@ -6,12 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..contracts import DAY, HOUR, ROLLING_ACTIONS
-from ..functions import normal_quantile, rounded
-from ..operators import observation, rolling
+from ..functions import normal_quantile, ordered_positions, rounded
+from ..operators import observation, rolling, scenario
 from ..operators.profile import complete_windows
 from ..operators.slicing import as_of, pool_capacity
 from ..session import cut_lineage
 from ..sources.tables import TRACE_CTES, trace_from_tables
+from .ledgers import canonical_sql
 from .registry import query
 
 WITH = "WITH " + TRACE_CTES
@@ -161,8 +162,9 @@ def survival(spark, sf_dir):
     return rolling.survival_estimates(completed, carryover_jobs(jobs, CUTOFF), HORIZON)
 
 
-SURVIVAL = f""", done AS (SELECT * FROM jobs WHERE submit_time_seconds <= {CUTOFF} + 1e-9 AND submit_time_seconds + duration_seconds <= {CUTOFF} + 1e-9),
-carry AS (SELECT *, {CUTOFF} - submit_time_seconds AS elapsed FROM jobs WHERE submit_time_seconds <= {CUTOFF} + 1e-9 AND submit_time_seconds + duration_seconds > {CUTOFF} + 1e-9),
+def _survival_sql(cut, done="SELECT * FROM jobs"):
+    return f""", done AS (SELECT * FROM ({done}) WHERE submit_time_seconds <= {cut} + 1e-9 AND submit_time_seconds + duration_seconds <= {cut} + 1e-9),
+carry AS (SELECT *, {cut} - submit_time_seconds AS elapsed FROM jobs WHERE submit_time_seconds <= {cut} + 1e-9 AND submit_time_seconds + duration_seconds > {cut} + 1e-9),
 pools AS (SELECT DISTINCT service_class, gpu_model FROM done),
 pairs AS (SELECT c.job_id, d.duration_seconds AS d, c.elapsed FROM carry c LEFT JOIN pools p ON p.service_class = c.service_class AND p.gpu_model = c.gpu_model
   JOIN done d ON d.service_class = c.service_class AND (p.gpu_model IS NULL OR d.gpu_model = c.gpu_model)),
@@ -175,6 +177,9 @@ est AS (SELECT c.job_id, c.service_class, c.gpu_model, c.gpu_count, c.tenant_id,
 """
 
 
+SURVIVAL = _survival_sql(CUTOFF)
+
+
 @query(
     "q_survival_median",
     WITH
@@ -215,8 +220,11 @@ def forecast_points(trace, cutoff):
     )
 
 
-def scenario_pieces(trace, estimates, cutoff=CUTOFF):
-    """HP pieces for what the forecast expects beyond carry-over that should still be running."""
+def scenario_pieces(trace, estimates, cutoff=CUTOFF, workload=None):
+    """HP pieces for what the forecast expects beyond carry-over that should still be running.
+
+    Shapes come from the finished HP jobs of ``workload``, or of the trace itself.
+    """
     points = cut_lineage(forecast_points(trace, cutoff))
     estimates = cut_lineage(estimates)
     hp = estimates.where(F.col("service_class") == "HP")
@@ -242,7 +250,7 @@ def scenario_pieces(trace, estimates, cutoff=CUTOFF):
         )
     )
     finish = F.col("submit_time_seconds") + F.col("duration_seconds")
-    history = trace.jobs.where(
+    history = (trace.jobs if workload is None else workload).where(
         (F.col("service_class") == "HP")
         & (F.col("submit_time_seconds") > cutoff - HORIZON)
         & (F.col("submit_time_seconds") <= cutoff + 1e-9)
@@ -251,32 +259,22 @@ def scenario_pieces(trace, estimates, cutoff=CUTOFF):
     carried = hp.select(
         "gpu_model", "gpu_count", "tenant_id", F.lit(1).alias("src"), F.lit(0.0).alias("t"), "job_id"
     )
-    order = Window.partitionBy("gpu_model").orderBy("src", "t", "job_id")
-    fitting = history.unionByName(carried).join(capacity, "gpu_model").where("gpu_count <= capacity_gpus")
-    templates = fitting.select(
-        "gpu_model",
-        (F.row_number().over(order) - 1).alias("position"),
-        F.count(F.lit(1)).over(Window.partitionBy("gpu_model")).alias("template_count"),
-        "gpu_count",
-        "tenant_id",
-    )
-    return rolling.forecast_pieces(asked, templates)
+    fitting = history.unionByName(carried).join(capacity, "gpu_model").where("gpu_count <= capacity_gpus").drop("capacity_gpus")
+    templates = ordered_positions(fitting, ["gpu_model"], ["src", "t", "job_id"], total="template_count")
+    return rolling.forecast_pieces(asked, templates.drop("src", "t", "job_id"))
 
 
-@query(
-    "q_forecast_pieces",
-    WITH
-    + SURVIVAL
-    + f""", ticks AS (SELECT s + i * 300.0::DOUBLE AS t FROM (SELECT floor(min(submit_time_seconds) / 300.0::DOUBLE) * 300.0::DOUBLE AS s FROM jobs), range(0, CAST(floor(({CUTOFF} - s) / 300.0::DOUBLE) AS BIGINT) + 1) r(i)),
+def _pieces_sql(cut, past="done"):
+    return f""", ticks AS (SELECT s + i * 300.0::DOUBLE AS t FROM (SELECT floor(min(submit_time_seconds) / 300.0::DOUBLE) * 300.0::DOUBLE AS s, any_value({cut}) AS c FROM jobs), range(0, CAST(floor((c - s) / 300.0::DOUBLE) AS BIGINT) + 1) r(i)),
 hs AS (SELECT cap.gpu_model, k.t, coalesce(sum(gpu_count), 0.0::DOUBLE) AS g FROM ticks k CROSS JOIN cap LEFT JOIN jobs j ON j.gpu_model = cap.gpu_model AND service_class = 'HP'
     AND submit_time_seconds <= k.t AND k.t < submit_time_seconds + duration_seconds GROUP BY 1, 2),
 hh AS (SELECT gpu_model, CAST(floor(t / 3600.0::DOUBLE + 1e-9) AS BIGINT) AS b, max(g) AS v FROM hs GROUP BY 1, 2),
 pf AS (SELECT gpu_model, b % 24 AS hod, avg(v) AS mu, stddev_pop(v) AS sd FROM hh GROUP BY 1, 2),
-pts AS (SELECT gpu_model, row_number() OVER (ORDER BY gpu_model, k) - 1 AS pi, {CUTOFF} + k * 3600.0::DOUBLE AS target, round(mu + {Z90!r}::DOUBLE * sd, 6) AS q
-  FROM pf JOIN range(1, 5) r(k) ON hod = CAST({CUTOFF} / 3600 + k AS BIGINT) % 24),
+pts AS (SELECT gpu_model, row_number() OVER (ORDER BY gpu_model, k) - 1 AS pi, {cut} + k * 3600.0::DOUBLE AS target, round(mu + {Z90!r}::DOUBLE * sd, 6) AS q
+  FROM pf JOIN range(1, 5) r(k) ON hod = CAST({cut} / 3600 + k AS BIGINT) % 24),
 req AS (SELECT p.*, capacity_gpus, greatest(0.0::DOUBLE, least(capacity_gpus, greatest(0.0::DOUBLE, q)) - coalesce((SELECT sum(e.gpu_count) FROM est e WHERE e.service_class = 'HP'
-    AND e.gpu_model = p.gpu_model AND e.estimated_remaining_seconds > p.target - {CUTOFF} + 1e-9), 0.0::DOUBLE)) AS r FROM pts p JOIN cap USING (gpu_model)),
-tm0 AS (SELECT gpu_model, gpu_count, tenant_id, 0 AS src, submit_time_seconds AS t, job_id FROM done WHERE service_class = 'HP' AND submit_time_seconds > {CUTOFF} - {HORIZON}
+    AND e.gpu_model = p.gpu_model AND e.estimated_remaining_seconds > p.target - {cut} + 1e-9), 0.0::DOUBLE)) AS r FROM pts p JOIN cap USING (gpu_model)),
+tm0 AS (SELECT gpu_model, gpu_count, tenant_id, 0 AS src, submit_time_seconds AS t, job_id FROM {past} WHERE service_class = 'HP' AND submit_time_seconds > {cut} - {HORIZON}
   UNION ALL SELECT gpu_model, gpu_count, tenant_id, 1, 0.0, job_id FROM est WHERE service_class = 'HP'),
 tmf AS (SELECT tm0.* FROM tm0 JOIN cap USING (gpu_model) WHERE gpu_count <= capacity_gpus),
 tm AS (SELECT gpu_model, gpu_count, tenant_id, row_number() OVER (PARTITION BY gpu_model ORDER BY src, t, job_id) - 1 AS pos, count(*) OVER (PARTITION BY gpu_model) AS n FROM tmf),
@@ -284,12 +282,110 @@ tc AS (SELECT gpu_model, count(*) AS n FROM tmf GROUP BY 1),
 sl AS (SELECT req.gpu_model, pi, target, r, i, greatest(r / 256, coalesce(tm.gpu_count, least(r, greatest(1.0::DOUBLE, capacity_gpus / 64)))) AS size,
     coalesce(tm.tenant_id, 'forecast-aggregate') AS tenant_id FROM req CROSS JOIN range(0, 256) s(i) LEFT JOIN tc ON tc.gpu_model = req.gpu_model
   LEFT JOIN tm ON tm.gpu_model = req.gpu_model AND tm.pos = (pi + i) % tc.n WHERE r > 1e-9),
-cs AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY pi ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS before FROM sl)
-SELECT gpu_model, CAST(pi AS INT) AS point_index, target AS target_time_seconds, CAST(i AS INT) AS piece_index, round(least(size, r - before), 6) AS gpu_count, tenant_id
-FROM cs WHERE r - before > 1e-9""",
-)
+cs AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY pi ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS before FROM sl),
+pieces AS (SELECT gpu_model, CAST(pi AS INT) AS point_index, target AS target_time_seconds, CAST(i AS INT) AS piece_index, round(least(size, r - before), 6) AS gpu_count, tenant_id
+FROM cs WHERE r - before > 1e-9)
+"""
+
+
+@query("q_forecast_pieces", WITH + SURVIVAL + _pieces_sql(CUTOFF) + "SELECT * FROM pieces")
 def forecast_pieces(spark, sf_dir):
     trace = trace_from_tables(spark, sf_dir)
     return scenario_pieces(trace, survival(spark, sf_dir)).withColumn(
         "gpu_count", rounded(F.col("gpu_count"))
     )
+
+
+def second_log(jobs):
+    """A workload log that lacks a tenant and restates the larger jobs."""
+    half = F.when(F.col("gpu_count") >= 2, 0.5).otherwise(1.0)
+    return jobs.where("tenant_id <> 't4'").withColumn("duration_seconds", F.col("duration_seconds") * half)
+
+
+SECOND_LOG = """, wl AS (SELECT * REPLACE (CASE WHEN gpu_count >= 2 THEN duration_seconds * 0.5::DOUBLE ELSE duration_seconds END AS duration_seconds) FROM jobs WHERE tenant_id <> 't4')
+"""
+
+
+def _scenario_sql(source):
+    micros = lambda c: f"CAST(round({c} * 1000000) AS BIGINT)"
+    values = {
+        "job": "scenario_job_id",
+        "submit": micros("submit_time_seconds"),
+        "duration": micros("duration_seconds"),
+        "gpus": micros("gpu_count"),
+        "class": "service_class",
+        "pool": "gpu_model",
+        "tenant": "tenant_id",
+    }
+    shown = {c: f"round({c}, 6) AS {c}" for c in ("submit_time_seconds", "duration_seconds", "gpu_count")}
+    return f"SELECT * REPLACE ({', '.join(shown.values())}), sha256({canonical_sql(values)}) AS job_fingerprint FROM {source}"
+
+
+def shown_scenario(jobs):
+    return jobs.withColumns({c: rounded(F.col(c)) for c in ("submit_time_seconds", "duration_seconds", "gpu_count")})
+
+
+@query(
+    "q_scenario_history",
+    WITH
+    + KS.rstrip(",")
+    + SECOND_LOG
+    + """, past AS (SELECT k AS decision, wl.*, row_number() OVER (PARTITION BY k ORDER BY submit_time_seconds, job_id) - 1 AS i FROM ks JOIN wl
+  ON submit_time_seconds > (k - 1) * 86400.0::DOUBLE AND submit_time_seconds <= k * 86400.0::DOUBLE + 1e-9 AND submit_time_seconds + duration_seconds <= k * 86400.0::DOUBLE + 1e-9),
+moved AS (SELECT decision, 'history::' || lpad(CAST(i AS VARCHAR), CAST(greatest(6, length(CAST(i AS VARCHAR))) AS INT), '0') || '::' || job_id AS scenario_job_id, 'history' AS origin,
+  submit_time_seconds + 86400.0::DOUBLE AS submit_time_seconds, duration_seconds, gpu_count, service_class, gpu_model, tenant_id FROM past)
+"""
+    + _scenario_sql("moved"),
+)
+def scenario_history(spark, sf_dir):
+    """The finished arrivals of each whole day, as the scenario of the next one."""
+    jobs = trace_from_tables(spark, sf_dir).jobs
+    moved = scenario.shifted_history(
+        second_log(jobs), interval=float(DAY), horizon=float(DAY), decisions=complete_windows(jobs)
+    )
+    named = scenario.history_jobs(moved, "decision")
+    return shown_scenario(scenario.with_fingerprints(named))
+
+
+LAST_CUT = "(SELECT n * 86400.0::DOUBLE FROM nk)"
+VISIBLE = f"""SELECT * FROM wl WHERE submit_time_seconds + duration_seconds <= {LAST_CUT} + 1e-9 UNION ALL
+  SELECT * FROM jobs WHERE (job_id, service_class) NOT IN (SELECT (job_id, service_class) FROM wl WHERE submit_time_seconds + duration_seconds <= {LAST_CUT} + 1e-9)"""
+
+
+@query(
+    "q_scenario_jobs",
+    WITH
+    + KS.rstrip(",")
+    + SECOND_LOG
+    + _survival_sql(LAST_CUT, VISIBLE)
+    + f""", wdone AS (SELECT * FROM wl WHERE submit_time_seconds + duration_seconds <= {LAST_CUT} + 1e-9)"""
+    + _pieces_sql(LAST_CUT, "wdone")
+    + f""", past AS (SELECT *, row_number() OVER (ORDER BY submit_time_seconds, job_id) - 1 AS i FROM wdone WHERE submit_time_seconds > {LAST_CUT} - {HORIZON}),
+held AS (SELECT *, row_number() OVER (ORDER BY elapsed_seconds DESC, job_id) - 1 AS i FROM est),
+scn AS (SELECT 'carryover::' || lpad(CAST(i AS VARCHAR), 6, '0') || '::' || job_id AS scenario_job_id, 'carryover' AS origin, {LAST_CUT} AS submit_time_seconds,
+    estimated_remaining_seconds AS duration_seconds, gpu_count, service_class, gpu_model, tenant_id FROM held
+  UNION ALL SELECT 'history::' || lpad(CAST(i AS VARCHAR), 6, '0') || '::' || job_id, 'history', submit_time_seconds + {HORIZON}, duration_seconds, gpu_count, service_class, gpu_model, tenant_id
+  FROM past WHERE service_class <> 'HP'
+  UNION ALL SELECT 'forecast-hp::' || lpad(CAST(point_index AS VARCHAR), 6, '0') || '::' || lpad(CAST(piece_index AS VARCHAR), 4, '0') || '::' || gpu_model, 'forecast-hp',
+    greatest({LAST_CUT}, target_time_seconds - 3600), greatest(60.0::DOUBLE, least(3600.0::DOUBLE, {LAST_CUT} + {HORIZON} - (target_time_seconds - 3600))), gpu_count, 'HP', gpu_model, tenant_id FROM pieces)
+"""
+    + _scenario_sql("scn"),
+)
+def scenario_at_last_cutoff(spark, sf_dir):
+    """The whole scenario of the last whole day's end: carry-over, past Spot arrivals, HP from the forecast."""
+    trace = trace_from_tables(spark, sf_dir)
+    days = trace.jobs.agg(complete_windows(trace.jobs).alias("n")).first()["n"]
+    cutoff = (days or 0) * float(DAY)
+    workload = second_log(trace.jobs)
+    completed = scenario.visible_completed(trace.jobs, workload, cutoff)
+    estimates = cut_lineage(rolling.survival_estimates(completed, carryover_jobs(trace.jobs, cutoff), HORIZON))
+    pieces = scenario_pieces(trace, estimates, cutoff, workload).withColumn("gpu_count", rounded(F.col("gpu_count")))
+    recent = workload.where((F.col("submit_time_seconds") > cutoff - HORIZON) & (F.col("submit_time_seconds") <= cutoff + 1e-9))
+    past = scenario.shifted_history(recent, interval=max(cutoff, HORIZON), horizon=HORIZON, decisions=F.lit(1))
+    return shown_scenario(
+        scenario.scenario_jobs(
+            scenario.carried_jobs(estimates, cutoff),
+            scenario.history_jobs(past),
+            scenario.forecast_jobs(pieces, cutoff, HORIZON),
+        )
+    )

@@ -131,7 +131,7 @@ def _part_sql(text: str, k: int) -> str:
     return f"('0x' || substr(sha256({text}), {1 + k * fingerprints.PART_DIGITS}, {fingerprints.PART_DIGITS}))::BIGINT"
 
 
-def _canonical_sql(values: dict[str, str]) -> str:
+def canonical_sql(values: dict[str, str]) -> str:
     shown = "CASE WHEN ({v}) IS NULL THEN '-' ELSE length(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR) END"
     return " || ".join(f"'{name}=' || {shown.format(v=v)} || ';'" for name, v in values.items())
 
@@ -147,8 +147,8 @@ _SHARED = {
     "rollback": "CAST(round(rollback_seconds * 1000) AS BIGINT)",
 }
 _END = "CAST(round((e{shift}) * 1000) AS BIGINT)"
-_FIRST = _canonical_sql(_SHARED | {"end": _END.format(shift="")})
-_SECOND = _canonical_sql(_SHARED | {"end": _END.format(shift=" + CASE WHEN l_orderkey % 5003 = 17 * i THEN 1 ELSE 0 END")})
+_FIRST = canonical_sql(_SHARED | {"end": _END.format(shift="")})
+_SECOND = canonical_sql(_SHARED | {"end": _END.format(shift=" + CASE WHEN l_orderkey % 5003 = 17 * i THEN 1 ELSE 0 END")})
 
 
 @query(
