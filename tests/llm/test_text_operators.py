@@ -6,6 +6,7 @@ import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +85,66 @@ def test_language_probabilities_sum_to_one():
         assert total == pytest.approx([1, 1], abs=1e-4)
 
 
+def plain_entropy(counts, text):
+    """Interpolated Kneser-Ney from the counts of four-symbol windows, written as its recursion; nats per symbol."""
+    signs = {g[-1] for grams in counts.values() for g in grams}
+
+    def order(grams):
+        """Counts of each order, the lower ones of distinct left neighbours."""
+        found = {4: dict(grams)}
+        for n in (3, 2, 1):
+            found[n] = Counter(g[1:] for g in found[n + 1])
+        return found
+
+    def probability(levels, context, sign):
+        if len(context) < 0 or not levels:
+            return 1 / (len(signs) + 1)
+        n = max(levels)
+        lower = probability({k: v for k, v in levels.items() if k < n}, context[1:], sign)
+        table = levels[n]
+        ones, twos = (sum(c == k for c in table.values()) for k in (1, 2))
+        d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+        after = {g[-1]: c for g, c in table.items() if g[:-1] == context}
+        if not after:
+            return lower
+        total = sum(after.values())
+        return (max(after.get(sign, 0) - d, 0) + d * len(after) * lower) / total
+
+    stream = []
+    for ch in text.lower():
+        if ch.isalpha():
+            stream.append(max(((ord(ch) >> 16) * 31 ^ ord(ch)) & 0xFFFF, 1))
+        elif stream and stream[-1]:
+            stream.append(0)
+    padded = [0, 0, 0, *stream]
+    return {
+        lang: -sum(math.log(probability(order(grams), tuple(padded[i : i + 3]), padded[i + 3])) for i in range(len(stream))) / max(len(stream), 1)
+        for lang, grams in counts.items()
+    }
+
+
+def test_entropies_equal_a_plain_kneser_ney():
+    taught = {"x": ["The cat sat on the mat.", "A cat, that is all; the hat!"], "y": ["der Hut ist alt", "das ist der Kater Ä", "𝔄 und ß"]}
+    counts = {}
+    for lang, texts in taught.items():
+        grams = counts.setdefault(lang, Counter())
+        for text in texts:
+            stream = [0, 0, 0]
+            for ch in text.lower():
+                if ch.isalpha():
+                    stream.append(max(((ord(ch) >> 16) * 31 ^ ord(ch)) & 0xFFFF, 1))
+                elif len(stream) > 3 and stream[-1]:
+                    stream.append(0)
+            grams.update(tuple(stream[i - 3 : i + 1]) for i in range(3, len(stream)))
+    models = LanguageModels.fit(counts)
+    texts = ["the cat", "der Kater ist", "zzz qq", "a", "  hat -- 42 mat", "𝔄ß", "cat der that und " * 3]
+    found, n, _ = models.entropies(texts)
+    for row, text in zip(found, texts, strict=True):
+        wanted = plain_entropy(counts, text)
+        assert row == pytest.approx([wanted[name] for name in models.names], rel=1e-5), text
+    assert models.predict(texts)[0] == [min(sorted(w), key=w.get) for w in (plain_entropy(counts, t) for t in texts)]
+
+
 @pytest.mark.parametrize("unlearned", ["de", "es"])
 def test_language_that_no_row_is_labelled_with_is_rejected(spark, unlearned):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -304,6 +365,39 @@ def test_url_rules(spark):
     assert {r.verdict for r in judge(frame.where("page_id < 3")).collect()} == {"allow"}
 
 
+def test_trees_judge_held_out_labelled_urls(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    held = F.crc32("url") % 3 == 0
+    rows = judge(pages, learn=~held).join(pages.select("page_id", "url"), "page_id").where(F.col("rule").isNotNull() & held)
+    urls = {r.url: (r.verdict, r.method_verdict) for r in rows.collect()}
+    blocked = [m == "block" for v, m in urls.values() if v == "block"]
+    allowed = [m == "allow" for v, m in urls.values() if v == "allow"]
+    assert min(len(blocked), len(allowed)) >= 8
+    assert sum(blocked) / len(blocked) > 0.9 and sum(allowed) / len(allowed) > 0.9
+
+
+def test_copies_of_one_url_do_not_fill_the_training_sample(spark):
+    urls = ["http://a.net/x"] * 3000 + [f"http://h{i}.net/de/{i}" for i in range(60)] + [f"http://h{i}.org/fr/{i}" for i in range(60)] + ["http://free.org/fr/new?", "http://plain.org/en/y"]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    rows = {r.page_id: r for r in judge(frame, train_rows=60).collect()}
+    assert len(rows) == len(urls)
+    assert rows[0].method_verdict == "block" and rows[3060].method_verdict == "allow"
+    assert rows[len(urls) - 1].rule is None and rows[len(urls) - 1].verdict == rows[len(urls) - 1].method_verdict
+
+
+def test_fixed_columns_of_pages_equal_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.01/pages.parquet'")
+    fits = "((host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}'))"
+    cases = " ".join(f"WHEN {fits.format(r.host, r.path)} THEN '{r.shown} {r.verdict}'" for r in sorted(RULES, key=lambda r: -len(r.shown)))
+    wanted = con.execute(f"""
+        WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+          regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+        SELECT page_id, host, path, CASE {cases} END FROM u ORDER BY page_id""").fetchall()
+    found = sorted(judge(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect(), key=lambda r: r.page_id)
+    assert [(r.page_id, r.host, r.path, r.rule and f"{r.rule} {r.verdict}") for r in found] == wanted
+
+
 def test_url_query_runs_no_python(spark):
     from poolwise.llm.queries import op9_url_filter
 
