@@ -24,6 +24,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import broadcast_if_small
+from ..session import cut_lineage
+
 TRAIN_ROWS = 20_000
 TREES, DEPTH = 12, 3
 PRIOR_ROWS = 20
@@ -120,12 +123,14 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, train_rows: int = T
     def share(blocked: str, labelled: str, prior: Column) -> Column:
         return (F.coalesce(blocked, F.lit(0.0)) + PRIOR_ROWS * prior) / (F.col(labelled) + PRIOR_ROWS)
 
+    # Read by the sample and by all rows, so it is written once; a hot suffix is not shuffled while the table is small.
     statistics = (
         opening.join(whole, "suffix")
         .withColumn("f_suffix_blocked", share("all_blocked", "all_labelled", F.lit(0.5)))
         .withColumn("f_opening_blocked", share("blocked", "labelled", F.col("f_suffix_blocked")))
         .select("suffix", "opening", F.log1p("all_n").alias("f_suffix_count"), "f_suffix_blocked", F.log1p("n").alias("f_opening_count"), "f_opening_blocked")
     )
+    statistics = broadcast_if_small(cut_lineage(statistics))
 
     # Copies of a url are one row of the sample.
     taught_urls = rows.where(F.col("label").isNotNull() & counted.isNull())
