@@ -24,8 +24,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import broadcast_if_small
-from ..session import cut_lineage
+from poolwise.functions import broadcast_if_small
+from poolwise.session import cut_lineage
 
 TRAIN_ROWS = 20_000
 TREES, DEPTH = 12, 3
