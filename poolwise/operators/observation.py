@@ -42,14 +42,6 @@ def hourly_max(
     ).agg(F.max(value).alias("gpus"))
 
 
-def lookback(history: DataFrame, cutoff: float, hours: int, interval: float = HOUR) -> DataFrame:
-    """Buckets inside the lookback, and at most that many of the latest."""
-    start = F.col("bucket") * float(interval)
-    kept = history.where((start + EPSILON >= cutoff - hours * HOUR) & (start <= cutoff + EPSILON))
-    newest = Window.orderBy(F.col("bucket").desc())
-    return kept.withColumn("age", F.row_number().over(newest)).where(F.col("age") <= hours)
-
-
 def observe_tenants(
     jobs: DataFrame, cutoff: float, step: float = 300.0, service_class: str = "HP"
 ) -> DataFrame:

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from poolwise.functions import asof_lookup, exact_quantiles, global_value_ranks
+from poolwise.functions import asof_lookup, broadcast_if_small, exact_quantiles, global_value_ranks
 
 PROBS = {"p00": 0.0, "p05": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0}
 
@@ -70,3 +70,12 @@ def test_quantile_plan_keeps_no_group_in_one_buffer(skewed):
     plan = exact_quantiles(df, ["g"], "v", {"p50": 0.5})._jdf.queryExecution().toString()
     assert "collect_list" not in plan and "percentile(" not in plan
     assert df.where(F.col("v").isNull()).count() == 0
+
+
+def test_broadcast_is_bound_by_rows_and_by_bytes(spark):
+    def hinted(df, **bounds):
+        return "broadcast" in broadcast_if_small(df, **bounds)._jdf.queryExecution().logical().toString().lower()
+
+    wide = spark.range(3).select("id", F.repeat(F.lit("x"), 1000).alias("text"), F.array("id").alias("a.b"))
+    assert hinted(wide) and hinted(wide.limit(0))
+    assert not hinted(wide, max_rows=2) and not hinted(wide, max_bytes=2000)
