@@ -1,8 +1,11 @@
 """Language-model scores of whole texts: a unigram base and a hidden Markov model.
 
 Words are runs without ASCII white space, A-Z in lower case; an end follows the last word. The corpus
-statistics are counts of every word of every learning document. Words over ``FREQUENT`` are few enough
-to broadcast by a bound on their number; all other words meet their counts in a shuffle join, where no word is hot.
+statistics are counts of every word of every learning document. A word over ``LONGEST_WORD`` bytes is known by its
+sha256 behind a space, which no word holds, so words of any length take bounded space. Beside its learning count each
+word has its count in all rows. The at most ``FREQUENT`` words most seen in all rows, unknown ones and long ones
+included, are broadcast; all others meet their counts in a shuffle join. There none is hot: a word below the cut
+is at most about one in ``FREQUENT`` of all tokens.
 
 The hidden Markov model emits word classes: the most frequent words are a class each, all others fall into
 ``HASHED`` classes by their crc32. A state draws a class, the class draws the word with an absolute
@@ -18,6 +21,7 @@ are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import arrow_batch, id_remainder, slices, staged, text_bytes
 
 FREQUENT = 200_000
-LONGEST_FREQUENT = 64
+LONGEST_WORD = 64
 OWN, HASHED = 2048, 512
 STATES, ROUNDS, WINDOW, SEED = 8, 4, 128, 5
 DISCOUNT = 0.5
@@ -42,23 +46,37 @@ CODED = (
 )
 
 
+def words_of(body: bytes) -> list[bytes]:
+    """The words of a text, long ones by their digests."""
+    words = body.lower().split()
+    if len(body) > LONGEST_WORD:
+        for k, word in enumerate(words):
+            if len(word) > LONGEST_WORD:
+                words[k] = b" " + hashlib.sha256(word).digest()
+    return words
+
+
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of each split; handed on whenever ``HELD_WORDS`` words are held."""
+    """Partial counts of each split, in learning rows and in all; handed on whenever ``HELD_WORDS`` words are held."""
     from collections import Counter
 
-    held: Counter = Counter()
+    learned: Counter = Counter()
+    others: Counter = Counter()
 
     def out() -> pa.RecordBatch:
-        return arrow_batch(["word", "c"], [pa.binary(), pa.int64()], [list(held.keys()), list(held.values())])
+        words = list({**learned, **others})
+        c = [learned[w] for w in words]
+        seen = [n + others[w] for n, w in zip(c, words, strict=True)]
+        return arrow_batch(["word", "c", "seen"], [pa.binary(), pa.int64(), pa.int64()], [words, c, seen])
 
     for batch in slices(batches, "body"):
-        bodies = batch.column("body").to_pylist()
-        for body in bodies:
-            held.update(body.lower().split())
-        held[END] += len(bodies)
-        if len(held) > HELD_WORDS:
+        for body, learn in zip(batch.column("body").to_pylist(), batch.column("learn").to_pylist(), strict=True):
+            held = learned if learn else others
+            held.update(words_of(body))
+            held[END] += 1
+        if len(learned) + len(others) > HELD_WORDS:
             yield out()
-            held = Counter()
+            learned, others = Counter(), Counter()
     yield out()
 
 
@@ -75,14 +93,15 @@ class WordStatistics:
         self.hashed = hashed
         self.index = {word: k for k, (word, _) in enumerate(ranked)}
         counts = np.array([c for _, c in ranked] or [0], float)
-        self.own = min(OWN, len(ranked))
+        self.own = min(OWN, sum(c > 0 for _, c in ranked))
         self.known = counts > 0
         self.base = np.log10((counts + 1) / (n + v + 1))
         self.classes = np.array([k if k < self.own else self.rare_class(w) for k, (w, _) in enumerate(ranked)] or [0], np.int64)
         within = np.zeros(len(counts))
         for k, (word, c) in enumerate(ranked):
             if k >= self.own:
-                within[k] = np.log10((c - DISCOUNT) / hashed[zlib.crc32(word) % HASHED][0])
+                total, kinds = hashed.get(zlib.crc32(word) % HASHED, (0, 0))
+                within[k] = np.log10((c - DISCOUNT if c else kinds * DISCOUNT) / total) if total else 0.0
         self.within = within
 
     @property
@@ -105,8 +124,8 @@ class WordStatistics:
 
 
 def frequency_cut(counts: DataFrame, size: int) -> int:
-    """The smallest count, on a logarithmic scale, that at most ``size`` words reach."""
-    step = F.floor(F.log2(F.col("c").cast("double")) * 8)
+    """The smallest count of all rows, on a logarithmic scale, that at most ``size`` words reach."""
+    step = F.floor(F.log2(F.col("seen").cast("double")) * 8)
     found = sorted(((r.s, r.n) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True)
     total, cut = 0, None
     for s, n in found:
@@ -126,7 +145,7 @@ def encode_texts(batches: Iterator[pa.RecordBatch], stats: WordStatistics) -> It
     for batch in slices(batches, "body"):
         out: list[list] = [[] for _ in range(6)]
         for body in batch.column("body").to_pylist():
-            words = body.lower().split()
+            words = words_of(body)
             words.append(END)
             places = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
             common = places[places >= 0]
@@ -190,15 +209,16 @@ def scores(docs: DataFrame, learn: Column | None = None, states: int = STATES, r
     spark = docs.sparkSession
     learn = id_remainder(7) != 2 if learn is None else learn
     bodies = docs.select(text_bytes().alias("body"), learn.alias("learn"))
-    words = bodies.where("learn").select("body").mapInArrow(count_words, "word binary, c long")
-    counts = staged(words.groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"), "words")
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    words = bodies.mapInArrow(count_words, "word binary, c long, seen long")
+    counts = staged(words.groupBy("word").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen")), "words")
+    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
 
     cut = frequency_cut(counts, frequent)
-    is_frequent = (F.octet_length("word") == 0) | ((F.col("c") >= cut) & (F.octet_length("word") <= LONGEST_FREQUENT))
+    is_frequent = (F.octet_length("word") == 0) | (F.col("seen") >= cut)
     common = [(bytes(r.word), r.c) for r in counts.where(is_frequent).collect()]
-    own = [bytes(w) for w, _ in sorted(common, key=lambda x: (x[0] != END, -x[1], x[0]))[:OWN]]
-    in_hashed = counts.where(~F.col("word").isin(own)) if own else counts
+    own = [bytes(w) for w, c in sorted(common, key=lambda x: (x[0] != END, -x[1], x[0]))[:OWN] if c]
+    known_words = counts.where("c > 0").drop("seen")
+    in_hashed = known_words.where(~F.col("word").isin(own)) if own else known_words
     per_class = in_hashed.groupBy(class_of_rare().alias("k")).agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).collect()
     hashed = {r.k: (r.total, r.kinds) for r in per_class}
     stats = WordStatistics(common, totals.n, totals.v, hashed)
@@ -230,7 +250,7 @@ def scores(docs: DataFrame, learn: Column | None = None, states: int = STATES, r
     rare = coded.select("row_id", F.explode("rare").alias("r")).select("row_id", F.col("r.word").alias("word"), F.col("r.n").alias("n"))
     rows = [(k, float(t), float(v)) for k, (t, v) in hashed.items()]
     by_class = spark.createDataFrame(rows, "k long, total double, kinds double")
-    known = rare.join(counts.where(~is_frequent), "word", "left").withColumn("k", class_of_rare()).join(F.broadcast(by_class), "k", "left")
+    known = rare.join(counts.where(~is_frequent & (F.col("c") > 0)).drop("seen"), "word", "left").withColumn("k", class_of_rare()).join(F.broadcast(by_class), "k", "left")
     left_over = F.coalesce(F.log10(F.col("kinds") * DISCOUNT / F.col("total")), F.lit(0.0))
     rare_sums = known.groupBy("row_id").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known"),

@@ -248,6 +248,30 @@ def test_scores_on_odd_rows(make_docs):
     assert all(r.score == r.base_score and r.train_tokens == 0 for r in scores(only_held, rounds=1).collect())
 
 
+def test_long_lines_and_unknown_words_of_a_third_of_the_rows_are_not_hot(make_docs, monkeypatch):
+    from poolwise.llm import lm_score
+
+    line = "https://example.org/" + "ab" * 300
+    texts = {i: f"w{i} v{i % 37} w{i}" + (f" {line}" if i % 3 == 0 else "") for i in range(400)}
+    held = {i for i in texts if zlib.crc32(str(i).encode()) % 7 == 2}
+    texts |= {i: texts[i] + " neverlearned" for i in held}
+    kept = {}
+    real = lm_score.staged
+    monkeypatch.setattr(lm_score, "staged", lambda df, name: kept.setdefault(name, real(df, name)))
+    rows = {r.doc_id: r for r in scores(make_docs(list(texts.items())), rounds=1, frequent=60).collect()}
+    shuffled = Counter(bytes(x.word) for r in kept["coded"].collect() for x in r.rare)
+    assert shuffled and max(shuffled.values()) <= 2 * sum(len(t.split()) + 1 for t in texts.values()) / 60
+    assert b"neverlearned" not in shuffled and max(map(len, shuffled)) <= lm_score.LONGEST_WORD
+    counts = Counter(w for i, t in texts.items() if i not in held for w in [*t.split(), ""])
+    n, v = sum(counts.values()), len(counts)
+    for i, t in texts.items():
+        words = [*t.split(), ""]
+        assert rows[i].n_known == sum(counts[w] > 0 for w in words)
+        assert rows[i].base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words), rel=1e-9)
+    whole = {r.doc_id: r.score for r in scores(make_docs(list(texts.items())), rounds=1).collect()}
+    assert all(math.isfinite(s) for s in whole.values())
+
+
 # Personal data
 
 
