@@ -583,9 +583,10 @@ def claim_gates(comparisons: DataFrame) -> DataFrame:
 
 
 def closeout(arms: DataFrame) -> DataFrame:
-    """Arms that pass in every window, each against all others, and which one the ranking puts first.
+    """Arms that pass in every window, ranked by duels of each with all others, and the one recommended.
 
-    The first arm is recommended if it beats the second: it loses to nobody, and no other arm does so too.
+    Arms stand by wins less losses, then by arm_id; the first is recommended unless it ties with the second. Where
+    the pairwise rule is transitive this is its sorted order, and where it runs in a circle the order is still defined.
     The arms are a declared enumeration, so each holds the others in one array.
     """
     eligible = arms.where(
@@ -598,13 +599,18 @@ def closeout(arms: DataFrame) -> DataFrame:
         F.struct(*fields).alias("l"), F.explode("_all").alias("r")
     )
     verdict = F.when(F.col("l.arm_id") != F.col("r.arm_id"), arm_verdict("l", "r", passes_first=False))
-    counted = rivals.select(F.col("l.arm_id").alias("arm_id"), verdict.alias("v")).groupBy("arm_id").agg(
+    duel = F.struct(F.col("rival"), F.col("v"))
+    counted = rivals.select(F.col("l.arm_id").alias("arm_id"), F.col("r.arm_id").alias("rival"), verdict.alias("v")).groupBy("arm_id").agg(
         F.count_if(F.col("v") == "better").alias("wins"),
         F.count_if(F.col("v") == "worse").alias("losses"),
         F.count_if(F.col("v") == "tie").alias("ties"),
+        F.map_from_entries(F.collect_list(duel)).alias("_duels"),
     )
-    unbeaten = F.count_if(F.col("losses") == 0).over(everyone)
-    return counted.withColumn("recommended", (F.col("losses") == 0) & (unbeaten == 1))
+    order = everyone.orderBy(F.desc(F.col("wins") - F.col("losses")), "arm_id")
+    ranked = counted.withColumns({"position": F.row_number().over(order).cast("long"), "_second": F.lead("arm_id").over(order)})
+    against_second = F.col("_duels")[F.col("_second")]
+    recommended = (F.col("position") == 1) & F.coalesce(against_second != "tie", F.lit(True))
+    return ranked.withColumn("recommended", recommended).drop("_duels", "_second")
 
 
 def study_violations(

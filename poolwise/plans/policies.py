@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..contracts import DAY, MULTIWINDOW_ACTIONS, POLICIES
 from ..functions import rounded
 from ..operators import audit, compare, ranking
-from ..sources.ledger import REPORT_CTES, policy_metrics
-from ..sources.tables import ARM_RECORDS_CTES, TRACE_CTES, arm_records
+from ..sources.ledger import ARM_RECORDS_CTES, REPORT_CTES, arm_records, policy_metrics
+from ..sources.tables import TRACE_CTES
 from .registry import query
 from .workload import SPLIT, split_windows
 
@@ -60,7 +60,7 @@ RELAXED = f"""rel AS (SELECT *, status = 'unavailable' AND ((metric LIKE 'hp\\_%
     OR (metric LIKE 'spot\\_%' ESCAPE '\\' AND spot_job_count = 0)) AS vacuous,
     severity = 'hard' AND constraint_id NOT IN {audit.PROSPECTIVE_CONSTRAINTS} AS waits FROM aud)"""
 CANDIDATE_PASS = "cp AS (SELECT window_id, action_id, bool_and(passed OR vacuous OR waits OR severity <> 'hard') AS ok FROM rel GROUP BY 1, 2)"
-AR = "WITH " + ARM_RECORDS_CTES
+AR = PM + "," + ARM_RECORDS_CTES
 WINDOW = ["window_id"]
 
 FRONTIER = """
@@ -553,7 +553,7 @@ cmp AS (SELECT r.arm_id AS comparator_arm_id, CASE WHEN l.hard_slo_pass_count >
 
 @query("q_arm_aggregate", AR + "," + ARMS + "SELECT * FROM arms")
 def arm_aggregate(spark, sf_dir):
-    return ranking.arm_aggregate(arm_records(spark, sf_dir))
+    return ranking.arm_aggregate(arm_records(policy_metrics(spark, sf_dir)))
 
 
 @query("q_arm_compare", AR + "," + ARMS + "," + COMPARED + "SELECT * FROM cmp")
@@ -584,15 +584,19 @@ def claim_gate(spark, sf_dir):
     "q_closeout",
     AR
     + ","
-    + ARMS
+    + ARMS.replace("FROM ar GROUP", "FROM ar WHERE feasible GROUP")
     + f""", el AS (SELECT * FROM arms WHERE arm_id <> 'posthoc-catalog-oracle' AND hard_slo_pass_count = window_count),
-duel AS (SELECT l.arm_id, CASE WHEN l.arm_id <> r.arm_id THEN CASE {LADDER} END AS v FROM el l CROSS JOIN el r)
-SELECT arm_id, CAST(count(*) FILTER (v = 'better') AS BIGINT) AS wins, CAST(count(*) FILTER (v = 'worse') AS BIGINT) AS losses,
-  CAST(count(*) FILTER (v = 'tie') AS BIGINT) AS ties,
-  count(*) FILTER (v = 'worse') = 0 AND sum(CASE WHEN count(*) FILTER (v = 'worse') = 0 THEN 1 ELSE 0 END) OVER () = 1 AS recommended FROM duel GROUP BY 1""",
+duel AS (SELECT l.arm_id, r.arm_id AS rival, CASE WHEN l.arm_id <> r.arm_id THEN CASE {LADDER} END AS v FROM el l CROSS JOIN el r),
+tally AS (SELECT arm_id, CAST(count(*) FILTER (v = 'better') AS BIGINT) AS wins, CAST(count(*) FILTER (v = 'worse') AS BIGINT) AS losses,
+  CAST(count(*) FILTER (v = 'tie') AS BIGINT) AS ties FROM duel GROUP BY 1),
+placed AS (SELECT *, row_number() OVER o AS position, lead(arm_id) OVER o AS second FROM tally WINDOW o AS (ORDER BY wins - losses DESC, arm_id))
+SELECT arm_id, wins, losses, ties, position,
+  position = 1 AND coalesce((SELECT v <> 'tie' FROM duel d WHERE d.arm_id = placed.arm_id AND d.rival = placed.second), true) AS recommended FROM placed""",
 )
 def closeout(spark, sf_dir):
-    return ranking.closeout(arm_aggregate(spark, sf_dir))
+    """Over the windows that some action passes: where none does, no arm can be told from another."""
+    records = arm_records(policy_metrics(spark, sf_dir)).where("feasible")
+    return ranking.closeout(ranking.arm_aggregate(records))
 
 
 RULE = """

@@ -157,6 +157,61 @@ def policy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.join(verdicts, ["window_id", "action_id"]).withColumn("stress_scenario_pass_count", calm + prompt)
 
 
+
+# Each study arm's candidate actions (by their place in the catalog), how many windows late it sees their
+# reports, and its simulations and calls a window.
+STUDY_ARMS = (
+    ("ordinary-fifo", (0,), 0, None, None),
+    ("fixed-tenant-predictive", (3,), 0, None, None),
+    ("rolling-workload-rule", (0, 1, 2), 0, 3, None),
+    ("rolling-single-agent", (0, 2, 3), 0, 3, 1),
+    ("rolling-multi-agent", (0, 3, 4), 0, 3, 2),
+    ("rolling-multi-agent-masked", (0, 3, 4), 1, 3, 2),
+    ("posthoc-catalog-oracle", (0, 1, 2, 3, 4), 0, None, None),
+)
+
+
+def arm_records(reports: DataFrame) -> DataFrame:
+    """One study record per (window, arm): the report of the action that the arm takes there.
+
+    ``reports`` is what ``policy_metrics`` returns. An arm takes, of its candidates, one that passes the audit
+    before one that fails, then the larger allocation, then the smaller name. A late arm judges by the window
+    before; in the first one it takes its first candidate. A window counts as ``feasible`` if any action passes in it.
+    """
+    rows = [
+        (arm, MULTIWINDOW_ACTIONS[k], MULTIWINDOW_ACTIONS[candidates[0]], late, simulations, calls)
+        for arm, candidates, late, simulations, calls in STUDY_ARMS
+        for k in candidates
+    ]
+    schema = "arm_id string, action_id string, default_id string, late int, candidate_simulation_count long, llm_call_count long"
+    arms = reports.sparkSession.createDataFrame(rows, schema)
+    everyone = Window.partitionBy("window_id")
+    reports = reports.select(
+        "window_id",
+        "action_id",
+        "hard_slo_passed",
+        "allocation_rate_mean",
+        "spot_jct_p95_seconds",
+        "spot_eviction_rate_per_run",
+        F.bool_or("hard_slo_passed").over(everyone).alias("feasible"),
+    )
+    best = Window.partitionBy("arm_id", "window_id").orderBy(
+        F.desc("hard_slo_passed"), F.desc_nulls_last("allocation_rate_mean"), "action_id"
+    )
+    judged = reports.join(F.broadcast(arms), "action_id").withColumn("place", F.row_number().over(best)).where("place = 1")
+    in_time = Window.partitionBy("arm_id").orderBy("window_id")
+    taken = judged.select(
+        "window_id",
+        "arm_id",
+        F.when(F.col("late") == 0, F.col("action_id"))
+        .otherwise(F.coalesce(F.lag("action_id").over(in_time), F.col("default_id")))
+        .alias("action_id"),
+        "candidate_simulation_count",
+        "llm_call_count",
+    )
+    return reports.join(taken, ["window_id", "action_id"])
+
+
 _INDEX = " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(MULTIWINDOW_ACTIONS))
 
 # The same layout and metrics for the DuckDB oracle.
@@ -240,3 +295,20 @@ pm0 AS (SELECT al.run_id AS window_id, al.action_id, n, es AS evaluation_start,
   JOIN cm spot ON spot.run_id = al.run_id AND spot.action_id = al.action_id AND spot.service_class = 'Spot'
   LEFT JOIN sm ON sm.run_id = al.run_id AND sm.action_id = al.action_id)
 """
+
+_ARMS = ", ".join(
+    f"('{arm}', '{MULTIWINDOW_ACTIONS[k]}', '{MULTIWINDOW_ACTIONS[ks[0]]}', {late}, {'NULL' if n is None else n}::BIGINT, {'NULL' if calls is None else calls}::BIGINT)"
+    for arm, ks, late, n, calls in STUDY_ARMS
+    for k in ks
+)
+
+# The same records over ``pm``, the oracle's policy metrics.
+ARM_RECORDS_CTES = f"""
+ar0 AS (SELECT window_id, arm_id, pm.action_id, default_id, late, candidate_simulation_count, llm_call_count
+  FROM pm JOIN (VALUES {_ARMS}) v(arm_id, action_id, default_id, late, candidate_simulation_count, llm_call_count) ON v.action_id = pm.action_id
+  QUALIFY row_number() OVER (PARTITION BY arm_id, window_id ORDER BY hard_slo_passed DESC, allocation_rate_mean DESC NULLS LAST, pm.action_id) = 1),
+ar1 AS (SELECT window_id, arm_id, CASE late WHEN 0 THEN action_id
+    ELSE coalesce(lag(action_id) OVER (PARTITION BY arm_id ORDER BY window_id), default_id) END AS action_id, candidate_simulation_count, llm_call_count FROM ar0),
+ar AS (SELECT ar1.*, hard_slo_passed, allocation_rate_mean, spot_jct_p95_seconds, spot_eviction_rate_per_run,
+    (SELECT bool_or(q.hard_slo_passed) FROM pm q WHERE q.window_id = ar1.window_id) AS feasible FROM ar1 JOIN pm USING (window_id, action_id))
+"""

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import Trace
-from ..functions import exact_quantiles
 
 TRACE_ORIGIN = "2024-01-01 00:00:00"
 
@@ -101,61 +100,3 @@ nodes AS (
 cap AS (SELECT gpu_model, CAST(sum(gpu_count) AS DOUBLE) AS capacity_gpus FROM nodes GROUP BY 1),
 total AS (SELECT sum(capacity_gpus) AS capacity_gpus FROM cap)
 """
-
-
-# The study arm played by each residue of event_id modulo seven.
-STUDY_ARMS = (
-    "ordinary-fifo",
-    "fixed-tenant-predictive",
-    "rolling-workload-rule",
-    "rolling-single-agent",
-    "rolling-multi-agent",
-    "rolling-multi-agent-masked",
-    "posthoc-catalog-oracle",
-)
-
-
-def arm_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One study record per (day, arm), computed from every event."""
-    arms = F.array(*[F.lit(a) for a in STUDY_ARMS])
-    events = table(spark, sf_dir, "events").select(
-        F.to_date("ts").cast("string").alias("window_id"),
-        F.element_at(arms, (F.col("event_id") % 7 + 1).cast("int")).alias("arm_id"),
-        "value",
-    )
-    key = ["window_id", "arm_id"]
-    n = F.col("n")
-    rolling = F.col("arm_id").startswith("rolling-")
-    return (
-        events.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(exact_quantiles(events, key, "value", {"p95": 0.95}), key)
-        .select(
-            *key,
-            (n % 6 != 0).alias("hard_slo_passed"),
-            F.when(n % 11 != 0, F.round(0.5 + (n % 9) / 100.0, 6)).alias("allocation_rate_mean"),
-            F.when(n % 8 != 0, F.floor(F.col("p95") / 40.0) * 40.0).alias("spot_jct_p95_seconds"),
-            F.round((n % 3) / 100.0, 6).alias("spot_eviction_rate_per_run"),
-            F.when(rolling, F.lit(3)).cast("long").alias("candidate_simulation_count"),
-            F.when(F.col("arm_id").startswith("rolling-multi"), 2)
-            .when(F.col("arm_id") == "rolling-single-agent", 1)
-            .cast("long")
-            .alias("llm_call_count"),
-        )
-    )
-
-
-# The same derivation for the DuckDB oracle.
-ARM_RECORDS_CTES = """
-ar0 AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS window_id,
-    ['ordinary-fifo', 'fixed-tenant-predictive', 'rolling-workload-rule', 'rolling-single-agent', 'rolling-multi-agent',
-     'rolling-multi-agent-masked', 'posthoc-catalog-oracle'][event_id % 7 + 1] AS arm_id,
-    count(*) AS n, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY 1, 2),
-ar AS (SELECT window_id, arm_id, n % 6 <> 0 AS hard_slo_passed,
-    CASE WHEN n % 11 <> 0 THEN round(0.5::DOUBLE + (n % 9) / 100.0::DOUBLE, 6) END AS allocation_rate_mean,
-    CASE WHEN n % 8 <> 0 THEN floor(p95 / 40.0::DOUBLE) * 40.0::DOUBLE END AS spot_jct_p95_seconds,
-    round((n % 3) / 100.0::DOUBLE, 6) AS spot_eviction_rate_per_run,
-    CASE WHEN arm_id LIKE 'rolling-%' THEN 3 END AS candidate_simulation_count,
-    CASE WHEN arm_id LIKE 'rolling-multi%' THEN 2 WHEN arm_id = 'rolling-single-agent' THEN 1 END AS llm_call_count
-  FROM ar0)
-"""

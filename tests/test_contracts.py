@@ -210,6 +210,27 @@ def test_closeout_recommends_an_arm_that_beats_the_second(spark):
     assert set(rows) == {"a", "b", "c"} and rows["a"].recommended and rows["b"].ties == 1
     tied = [("a", 3, 3, 0.6, 5.0, 0.0), ("b", 3, 3, 0.6, 5.0, 0.0)]
     assert not any(r.recommended for r in closeout(spark.createDataFrame(tied, columns)).collect())
+    circle = [("x", 3, 3, 0.600, 1.0, 0.0), ("y", 3, 3, 0.606, 2.0, 0.0), ("z", 3, 3, 0.612, 3.0, 0.0)]
+    rows = {r.arm_id: r for r in closeout(spark.createDataFrame(circle, columns)).collect()}
+    assert {(r.wins, r.losses, r.ties) for r in rows.values()} == {(1, 1, 0)}
+    assert [a for a, r in rows.items() if r.recommended] == ["x"] and rows["z"].position == 3
+
+
+def test_arms_take_what_their_candidates_reports_allow(spark):
+    from poolwise.contracts import MULTIWINDOW_ACTIONS as A
+    from poolwise.sources.ledger import arm_records
+
+    columns = "window_id string, action_id string, hard_slo_passed boolean, allocation_rate_mean double, spot_jct_p95_seconds double, spot_eviction_rate_per_run double"
+    passes = {"d1": (0, 3), "d2": (0, 4), "d3": ()}
+    reports = [(w, a, k in passes[w], 0.5 + k / 10 if k != 1 else None, 1.0, 0.0) for w in passes for k, a in enumerate(A)]
+    found = {(r.arm_id, r.window_id): r for r in arm_records(spark.createDataFrame(reports, columns)).collect()}
+    taken = {key: A.index(r.action_id) for key, r in found.items()}
+    assert len(found) == 21
+    assert [taken["rolling-multi-agent", w] for w in passes] == [3, 4, 4]
+    assert [taken["rolling-multi-agent-masked", w] for w in passes] == [0, 3, 4]
+    assert [taken["rolling-workload-rule", w] for w in passes] == [0, 0, 2]
+    assert not found["rolling-multi-agent-masked", "d2"].hard_slo_passed
+    assert {w for (_, w), r in found.items() if r.feasible} == {"d1", "d2"}
 
 
 def test_the_future_does_not_reach_an_observation(spark):
