@@ -252,7 +252,7 @@ def test_wildcards_keep_every_node(spark):
 
 
 def test_configs_are_strict(spark):
-    from poolwise.sources.configs import lock_selection, policy_from, slo_from, verify_lock
+    from poolwise.sources.configs import policy_from, slo_from
 
     policy = {
         "schema_version": "x", "action_id": "a", "scheduler": "fifo", "spot_guarantee_seconds": 0,
@@ -266,27 +266,37 @@ def test_configs_are_strict(spark):
     item = {"id": "x", "metric": "hp_jct_p95_seconds", "operator": "<=", "severity": "hard", "threshold": relative}
     constraints, band = slo_from({"constraints": [item], "ranking": {"allocation_tie_band": 0.01}})
     assert constraints[0].multiplier == 1.01 and band == 0.01
-    path = tempfile.mkdtemp(prefix="poolwise-lock-") + "/lock.json"
-    lock_selection(spark, path, "d", ["fifo"], 0)
-    assert verify_lock(spark, path, "d")["selection_status"] == "selected"
-    with pytest.raises(ValueError):
-        verify_lock(spark, path, "other")
-    with pytest.raises(ValueError):
-        lock_selection(spark, path, "d", ["fifo"], 1)
 
 
-def test_aggregate_eta_law(spark):
-    from poolwise.operators.forecast import aggregate_eta_trajectory
+def test_a_lock_is_bound_to_its_calibration_summary(spark):
+    from poolwise.operators.ranking import calibration_selection
+    from poolwise.sources.configs import calibration_document, lock_selection, verify_lock
 
-    rows = [
-        ("c", 0, 0.0, 0.4, True, 1.0),
-        ("c", 1, 300.0, 0.0, True, 1.0),
-        ("c", 2, 600.0, 0.1, True, 1.0),
-        ("c", 3, 4000.0, None, False, 1.0),
-        ("c", 4, 4300.0, None, False, 0.0),
-    ]
-    df = spark.createDataFrame(
-        rows, "k string, tick long, now_seconds double, eviction_rate double, new_runs boolean, spot_backlog_gpus double"
+    columns = (
+        "window_id string, action_id string, hard_slo_passed boolean, deterministic_repetitions boolean, "
+        "allocation_rate_mean double, spot_jct_p95_seconds double, spot_eviction_rate_per_run double"
     )
-    got = [r.eta for r in aggregate_eta_trajectory(df, ["k"]).orderBy("tick").collect()]
-    assert got == pytest.approx([0.25, 0.275, 0.275, 0.3025, 0.3025])
+    rows = [(w, a, a != "c", True, x, 5.0, 0.0) for w in ("w1", "w2") for a, x in (("a", 0.6), ("b", 0.5), ("c", 0.9))]
+    summary = calibration_document("d", calibration_selection(spark.createDataFrame(rows, columns)))
+    assert summary["calibration_selection"]["selected_arm_ids"] == ["a"] and set(summary["arms"]) == {"a", "b", "c"}
+    path = tempfile.mkdtemp(prefix="poolwise-lock-") + "/lock.json"
+    lock = lock_selection(spark, path, "d", summary, 0)
+    assert verify_lock(spark, path, "d", summary) == lock and lock["selection_status"] == "selected"
+    assert not lock["human_approval_required"]
+    for fingerprint, given, results, message in (
+        ("other", summary, 0, "another study"),
+        ("d", summary, 1, "already exist"),
+        ("d", {**summary, "arms": {}}, 0, "valid calibration summary"),
+        ("d", {**summary, "partition": "holdout"}, 0, "valid calibration summary"),
+    ):
+        with pytest.raises(ValueError, match=message):
+            lock_selection(spark, path, fingerprint, given, results)
+    with pytest.raises(ValueError, match="another study"):
+        verify_lock(spark, path, "other")
+    tied = [(w, a, True, True, 0.5, 5.0, 0.0) for w in ("w1", "w2") for a in ("a", "b")]
+    second = calibration_document("d", calibration_selection(spark.createDataFrame(tied, columns)))
+    with pytest.raises(ValueError, match="another calibration summary"):
+        verify_lock(spark, path, "d", second)
+    assert lock_selection(spark, path + "2", "d", second, 0)["human_approval_required"]
+    nobody = calibration_document("d", calibration_selection(spark.createDataFrame([], columns)))
+    assert nobody["calibration_selection"] == {**nobody["calibration_selection"], "status": "no_eligible_arm", "selected_arm_ids": []}
