@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rounded
 from ..operators import fingerprints, metrics
-from ..sources.ledger import LEDGER_CTES, ledger_capacity, ledger_windows, run_ledger
+from ..sources.ledger import LEDGER_CTES, class_report, ledger_capacity, ledger_windows, run_ledger
 from .registry import query
 
 WITH = "WITH " + LEDGER_CTES
@@ -20,7 +20,7 @@ WITH = "WITH " + LEDGER_CTES
   queue_p50 + 0.0 AS queue_p50_seconds, queue_p95 + 0.0 AS queue_p95_seconds, preemption_count, preempted_job_count, preempted_job_rate, run_count FROM cm""",
 )
 def metrics_by_class(spark, sf_dir):
-    report = metrics.class_metrics(metrics.job_ledger(run_ledger(spark, sf_dir), ledger_windows(spark)))
+    report = class_report(spark, sf_dir)
     return report.withColumns({c: rounded(F.col(c), 4) for c in ("jct_mean_seconds", "queue_mean_seconds")})
 
 
