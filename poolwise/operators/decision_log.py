@@ -219,7 +219,7 @@ def hold_actions(decisions: DataFrame, hold_seconds: float, baseline: str, block
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for item in batch.to_pylist():
+            for item in _items(batch):
                 rows = [(r["cutoff_seconds"], r["selected_action_id"], r["eligible_action_ids"] or []) for r in item["rows"]]
                 yield _table(MAPS, [(item[CHAIN], item["block"], *m) for m in _block_map(rows, hold, baseline)])
 
@@ -237,7 +237,7 @@ def hold_actions(decisions: DataFrame, hold_seconds: float, baseline: str, block
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for item in batch.to_pylist():
+            for item in _items(batch):
                 state, out = (item["action"], item["since"]), []
                 for r in item["rows"]:
                     row = (r["cutoff_seconds"], r["selected_action_id"], r["eligible_action_ids"] or [])
@@ -251,6 +251,12 @@ def hold_actions(decisions: DataFrame, hold_seconds: float, baseline: str, block
     return blocks.join(entries, [CHAIN, "block"]).select(CHAIN, "rows", "action", "since").mapInArrow(walk, HELD)
 
 
+def _items(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch as Python values, one at a time: a batch holds thousands of blocks."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _table(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
     fields = [f.split(" ") for f in schema.split(", ")]
