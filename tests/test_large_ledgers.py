@@ -37,6 +37,7 @@ def test_overfull_brackets_are_cut_again_without_sketches(spark, monkeypatch):
 def test_ledger_jobs_equal_their_grouped_runs_where_orders_repeat(spark, tmp_path, monkeypatch):
     day = datetime.datetime(1995, 3, 4)
     lines = [(k, p * 211 + k, 17 * k + p, n, 10.0 + p, 5.0) for k in range(1, 40) for p, n in ((1, 1), (2, 2), (2, 2), (499, 3))]
+    lines += [(k, None, 12 * k, 4, None, None) for k in range(1, 20)] + [(k, 998 + k, 10, 5, None, 1.0) for k in range(1, 20)]
     orders = [(k, k, day + datetime.timedelta(days=k), "1-URGENT" if k % 3 == 0 else "5-LOW") for k in range(1, 40)]
     orders += orders[:20] + [(7, 8, day, None), (8, None, day, "2-HIGH")]
     spark.createDataFrame(
