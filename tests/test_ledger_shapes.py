@@ -63,6 +63,7 @@ def test_quantiles_read_shapes_and_not_every_job(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(metrics, "exact_quantiles", counted)
     report = ledger.ledger_report(spark, path).where("action_id = 'native-fifo'").first()
+    assert report.hp_preempted_job_rate == 0.0 and report.hp_completion_rate == 1.0
     # One shape, under five actions, by two measures.
     assert report.hp_job_count > 200 and read == [10]
 
@@ -76,3 +77,12 @@ def test_weighted_quantiles_are_those_of_the_repeated_rows(spark, monkeypatch):
     assert sorted(map(repr, exact_quantiles(df, ["g"], "v", shares, weight="n").collect())) == expected
     monkeypatch.setattr("poolwise.functions.quantiles.BRACKET_ROWS", 20)
     assert sorted(map(repr, exact_quantiles(df, ["g"], "v", shares, weight="n").collect())) == expected
+
+
+def test_jobs_none_of_which_ends_or_is_preempted_have_rates_of_zero(spark):
+    rows = [("r", "a", "HP", True, None, 1.0, None, 0, 1, 5), ("r", "a", "Spot", False, 2.0, 1.0, 3.0, 1, 2, 4)]
+    schema = "run_id string, action_id string, service_class string, evaluation_population boolean, jct_seconds double, queue_seconds double"
+    schema += ", completion_time_seconds double, preemption_count long, run_count long, jobs long"
+    got = {r.service_class: r for r in metrics.class_metrics(spark.createDataFrame(rows, schema), stored=True).collect()}
+    assert (got["HP"].job_count, got["HP"].completion_rate, got["HP"].preempted_job_rate, got["HP"].run_count) == (5, 0.0, 0.0, 5)
+    assert (got["Spot"].job_count, got["Spot"].completion_rate, got["Spot"].preempted_job_rate) == (0, None, None)
