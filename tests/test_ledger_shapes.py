@@ -86,3 +86,28 @@ def test_jobs_none_of_which_ends_or_is_preempted_have_rates_of_zero(spark):
     got = {r.service_class: r for r in metrics.class_metrics(spark.createDataFrame(rows, schema), stored=True).collect()}
     assert (got["HP"].job_count, got["HP"].completion_rate, got["HP"].preempted_job_rate, got["HP"].run_count) == (5, 0.0, 0.0, 5)
     assert (got["Spot"].job_count, got["Spot"].completion_rate, got["Spot"].preempted_job_rate) == (0, None, None)
+
+
+def test_layout_needs_no_price_as_lines_that_differ_in_it_alone_are_one_job(spark, odd_tables, tmp_path):
+    bare = f"{tmp_path}/bare"
+    spark.read.parquet(f"{odd_tables}/lineitem.parquet").drop("l_extendedprice").write.parquet(f"{bare}/lineitem.parquet")
+    spark.read.parquet(f"{odd_tables}/orders.parquet").write.parquet(f"{bare}/orders.parquet")
+    prices = f"{tmp_path}/prices"
+    lines = spark.read.parquet(f"{bare}/lineitem.parquet").withColumn("l_extendedprice", F.rand(3))
+    lines.write.parquet(f"{prices}/lineitem.parquet")
+    spark.read.parquet(f"{odd_tables}/orders.parquet").write.parquet(f"{prices}/orders.parquet")
+    jobs = [sorted(map(repr, ledger._jobs(ledger._lines(spark, path)).collect())) for path in (bare, prices, odd_tables)]
+    assert len(jobs[0]) > 300 and jobs[0] == jobs[1] == jobs[2]
+
+
+def test_fate_behind_its_tests_is_that_of_every_bit(spark):
+    rows = [(k, p, s, u) for k in (0, 17, 34, 5020, 5071, 5083, 6026, 6083, 6098, -17, 7) for p in (None, 1, 4, 5, 1500, -1499, -1, 2998) for s in (None, 10, 8, -3) for u in (True, False)]
+    df = spark.createDataFrame(rows, "k long, p long, s long, urgent boolean")
+    got = df.select("k", "p", "s", "urgent", ledger._fate(F.col("k"), F.col("p"), F.col("s")).alias("fate")).collect()
+    mod = lambda a, b: None if a is None else (a % b if a >= 0 else -(-a % b))
+    for k, p, s, urgent, fate in got:
+        hits = sum(1 << i for i in range(1, 5) if (mod(p, 1499) == i if urgent else s is not None and mod(s + 3 * i, 12 + i) == 0))
+        later = {ledger.LONG_ROLLBACK: mod(p, 101) == 0, ledger.LONG_OVERHEAD: mod(s, 53) == 0, ledger.CUT: mod(p, 499) == 0}
+        later[ledger.SEEN] = p is not None and mod(p, 211) != 0 and s is not None
+        differ = sum(1 << first + i for first, modulus, step in ledger.DIFFERENCES for i in range(5) if mod(k, modulus) == step * i)
+        assert fate == differ + (hits + sum(1 << bit for bit, c in later.items() if c) if hits else 0)
